@@ -18,4 +18,4 @@ def parse_date(c: Column) -> Column:
     norm = F.concat(F.upper(F.substring(norm, 1, 1)), F.lower(F.substring(norm, 2, 2)),
                     F.substring(norm, 4, 1 << 30))
     return F.when(norm.rlike(r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
-                  F.try_to_date(norm, F.lit("MMM d, yyyy")))
+                  F.try_to_date(norm, "MMM d, yyyy"))

@@ -67,11 +67,21 @@ KEY_SPELLINGS: dict[str, list[str]] = {
     "llm_generated_university": ["llm_generated_university", "llm-generated-university"],
 }
 
-# A wide "any spelling" record schema, all text, used to read raw JSON.
-RAW_RECORD = T.StructType([
-    T.StructField(name, T.StringType(), True)
-    for names in KEY_SPELLINGS.values() for name in names
-])
+# A wide "any spelling" record schema, all text, used to read raw JSON files.
+# Spark resolves names case-insensitively, so spellings differing only in
+# case (gpa / GPA) keep one field; read JSON text as a map to keep both.
+def _raw_record() -> T.StructType:
+    seen, fields = set(), []
+    for names in KEY_SPELLINGS.values():
+        for name in names:
+            if name.lower() not in seen:
+                seen.add(name.lower())
+                fields.append(T.StructField(name, T.StringType(), True))
+    return T.StructType(fields)
+
+
+RAW_RECORD = _raw_record()
+RECORD_MAP = T.MapType(T.StringType(), T.StringType())
 
 # Watermarks: one row per source.
 WATERMARKS = T.StructType([
