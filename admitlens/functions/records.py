@@ -61,6 +61,18 @@ def classify_badges(badges: Column) -> Column:
     )
 
 
+def badge_issue_count(badges: Column) -> Column:
+    """Numeric badges (GPA / GRE kinds) whose number cannot be read."""
+    def bad(x: Column) -> Column:
+        k = _badge_kind(x)
+        val = (F.when(k == "gpa", parse_prefixed_number(x, "GPA"))
+               .when(k == "gre", parse_prefixed_number(x, "GRE"))
+               .when(k == "gre_v", parse_prefixed_number(x, "GRE V"))
+               .when(k == "gre_aw", parse_prefixed_number(x, "GRE AW")))
+        return k.isin("gpa", "gre", "gre_v", "gre_aw") & val.isNull()
+    return F.size(F.filter(badges, lambda x: F.coalesce(bad(x), F.lit(False))))
+
+
 def combine_names(university: Column, program: Column) -> Column:
     """L3: "u - p" when both are present, else whichever is present, else NULL
     (an empty string counts as missing)."""
