@@ -87,7 +87,7 @@ RECORD_MAP = T.MapType(T.StringType(), T.StringType())
 WATERMARKS = T.StructType([
     T.StructField("source", T.StringType(), True),
     T.StructField("last_seen", T.StringType(), True),
-    T.StructField("updated_at", T.TimestampType(), True),
+    T.StructField("updated_at", T.TimestampNTZType(), True),
 ])
 
 # Task message.
