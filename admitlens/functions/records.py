@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from admitlens.fixed_values import CITIZENSHIP_VALUES, SEMESTER_PATTERN
 from admitlens.functions.numbers import try_double
-from admitlens.functions.text import ws_trim
+from admitlens.functions.text import let, ws_trim
 
 
 def split_status_date(c: Column) -> Column:
@@ -45,20 +45,25 @@ def classify_badges(badges: Column) -> Column:
     """First-match cascade per badge; a later badge of a kind overwrites an
     earlier one. struct(semester, citizenship, gpa, gre, gre_v, gre_aw).
 
-    Pure array functions: no explode, no regrouping, no shuffle."""
-
-    def last_of(kind: str) -> Column:
-        picked = F.filter(badges, lambda x: F.coalesce(_badge_kind(x) == kind, F.lit(False)))
-        return F.try_element_at(picked, F.lit(-1))
-
-    return F.struct(
-        last_of("semester").alias("semester"),
-        last_of("citizenship").alias("citizenship"),
-        parse_prefixed_number(last_of("gpa"), "GPA").alias("gpa"),
-        parse_prefixed_number(last_of("gre"), "GRE").alias("gre"),
-        parse_prefixed_number(last_of("gre_v"), "GRE V").alias("gre_v"),
-        parse_prefixed_number(last_of("gre_aw"), "GRE AW").alias("gre_aw"),
-    )
+    Pure array functions: no explode, no regrouping, no shuffle. Each badge
+    is classified once; the kinds are then picked from that array."""
+    kinded = F.transform(badges, lambda x: F.struct(_badge_kind(x).alias("k"), x.alias("v")))
+
+    def build(kb: Column) -> Column:
+        def last_of(kind: str) -> Column:
+            picked = F.filter(kb, lambda e: F.coalesce(e["k"] == kind, F.lit(False)))
+            return F.try_element_at(picked, F.lit(-1))["v"]
+
+        return F.struct(
+            last_of("semester").alias("semester"),
+            last_of("citizenship").alias("citizenship"),
+            parse_prefixed_number(last_of("gpa"), "GPA").alias("gpa"),
+            parse_prefixed_number(last_of("gre"), "GRE").alias("gre"),
+            parse_prefixed_number(last_of("gre_v"), "GRE V").alias("gre_v"),
+            parse_prefixed_number(last_of("gre_aw"), "GRE AW").alias("gre_aw"),
+        )
+
+    return let(kinded, build)
 
 
 def badge_issue_count(badges: Column) -> Column:

@@ -17,6 +17,15 @@ def _lit(s: str) -> Column:
     return F.lit(s)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (a lambda variable).
+
+    Higher-order functions run interpreted, without common-subexpression
+    elimination, so an expression referenced several times inside them would
+    otherwise be recomputed (and nested CASE chains grow exponentially)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ws_trim(c: Column) -> Column:
     """str.strip(): drop Unicode whitespace at both ends."""
     return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
@@ -55,16 +64,27 @@ def split_program_university(c: Column) -> Column:
     Returns struct(program, university): program title-cased ('' if absent),
     university expanded / title-cased with ``of`` kept lower, 'Unknown' if absent.
     """
-    s = clean_text(c)
-    parts = F.filter(F.transform(F.split(s, SPLIT_SEPARATORS), lambda p: F.trim(p)),
+    parts = F.filter(F.transform(F.split(clean_text(c), SPLIT_SEPARATORS), lambda p: F.trim(p)),
                      lambda p: p != "")
-    prog = F.coalesce(F.try_element_at(parts, F.lit(1)), _lit(""))
-    uni = F.coalesce(F.try_element_at(parts, F.lit(2)), _lit(""))
-    for pattern, full in FALLBACK_UNI_EXPANSIONS:
-        core = pattern.replace("(?i)", "")
-        uni = F.when(uni.rlike(f"(?i)^(?:{core})$"), _lit(full)).otherwise(uni)
-    uni = F.when(uni != "", lower_of(title_case(uni))).otherwise(_lit("Unknown"))
-    return F.struct(title_case(prog).alias("program"), uni.alias("university"))
+
+    def finish(ps: Column) -> Column:
+        prog = F.coalesce(F.try_element_at(ps, F.lit(1)), _lit(""))
+        uni = F.coalesce(F.try_element_at(ps, F.lit(2)), _lit(""))
+
+        def expand(u: Column) -> Column:
+            # The expansions are applied in turn; an expanded name never
+            # matches a later pattern, so one first-match CASE is the same.
+            out = None
+            for pattern, full in FALLBACK_UNI_EXPANSIONS:
+                core = pattern.replace("(?i)", "")
+                cond = u.rlike(f"(?i)^(?:{core})\\z")
+                out = F.when(cond, _lit(full)) if out is None else out.when(cond, _lit(full))
+            e = out.otherwise(u)
+            return F.when(u != "", lower_of(title_case(e))).otherwise(_lit("Unknown"))
+
+        return F.struct(title_case(prog).alias("program"), let(uni, expand).alias("university"))
+
+    return let(parts, finish)
 
 
 def json_from_chatter(c: Column) -> Column:

@@ -278,8 +278,9 @@ def listing_rows(pages: DataFrame, base_url: str | Column = "https://example.tes
     """Every <tr> of every page with the record fields filled in on record
     starts (E2–E9); one parse per page feeds both E10 and E11."""
     rows = stitch_followers(mark_record_start(explode_elements(pages, "tr")))
-    rec = main_row_fields(rows, base_url)
-    badges = badge_texts(F.col("next_desc"))
+    # Badge texts are used twice below: compute them once as a column.
+    rec = main_row_fields(rows, base_url).withColumn("_badges", badge_texts(F.col("next_desc")))
+    badges = F.col("_badges")
     start = F.col("is_start")
     return rec.select(
         "page_id", "pos", "is_start", "error",

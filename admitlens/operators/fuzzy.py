@@ -21,11 +21,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from admitlens.session import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def difflib_ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
     """SequenceMatcher(None, candidate, query).ratio(), as get_close_matches
     computes it (candidate is the first sequence, the query the second)."""

@@ -93,7 +93,9 @@ def incremental_update(batch: DataFrame, table: DataFrame, page_col: str = "page
     """New records of the pages before the first fully seen page,
     numbered after the table's last key in page/row order. Returns the rows to
     append (empty when nothing is new)."""
-    flagged = cut_lineage(known_flag(batch, table, url_col))
+    # The batch (often an extraction) is computed once; every later step reads
+    # the checkpoint.
+    flagged = cut_lineage(known_flag(cut_lineage(batch), table, url_col))
     kept = stop_at_seen_page(flagged, page_novelty(flagged, page_col), page_col)
     new = kept.filter(~F.col("is_known")).drop("is_known")
     return number_rows(new, [page_col, pos_col], next_key(table, key), key)

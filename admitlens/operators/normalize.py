@@ -25,6 +25,7 @@ from admitlens.fixed_values import (
 )
 from admitlens.functions.text import (
     json_from_chatter,
+    let,
     lower_of,
     split_program_university,
     title_case,
@@ -42,11 +43,17 @@ def expand_abbreviation(c: Column, rules: list[tuple[str, str]] = ABBREV_UNI) ->
     Rules are a bounded list compiled into one CASE expression."""
     if len(rules) > MAX_RULES:
         raise ValueError("rule table too large for a single expression")
-    out = None
-    for pattern, replacement in rules:
-        cond = c.rlike(f"^(?:{pattern})\\z")
-        out = F.when(cond, F.lit(replacement)) if out is None else out.when(cond, F.lit(replacement))
-    return c if out is None else out.otherwise(c)
+    if not rules:
+        return c
+
+    def chain(x: Column) -> Column:
+        out = None
+        for pattern, replacement in rules:
+            cond = x.rlike(f"^(?:{pattern})\\z")
+            out = F.when(cond, F.lit(replacement)) if out is None else out.when(cond, F.lit(replacement))
+        return out.otherwise(x)
+
+    return let(c, chain)
 
 
 # ------------------------------------------------------------------ N4
@@ -55,7 +62,7 @@ def apply_fixes(c: Column, fixes: dict[str, str]) -> Column:
     if not fixes:
         return c
     m = F.create_map(*[F.lit(x) for kv in fixes.items() for x in kv])
-    return F.coalesce(F.try_element_at(m, c), c)
+    return let(c, lambda x: F.coalesce(F.try_element_at(m, x), x))
 
 
 def apply_fixes_table(df: DataFrame, col: str, fixes: DataFrame,
@@ -83,9 +90,8 @@ def _program_pre(c: Column) -> Column:
 
 
 def _university_pre(c: Column) -> Column:
-    u = ws_trim(F.coalesce(c, F.lit("")))
-    u = apply_fixes(expand_abbreviation(u), COMMON_UNI_FIXES)
-    return F.when(u != "", lower_of(title_case(u))).otherwise(u)
+    u = apply_fixes(expand_abbreviation(ws_trim(F.coalesce(c, F.lit("")))), COMMON_UNI_FIXES)
+    return let(u, lambda x: F.when(x != "", lower_of(title_case(x))).otherwise(x))
 
 
 def _dictionary_step(df: DataFrame, pre_col: str, out_col: str, dictionary: DataFrame | None,

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Dimension-side rows we are willing to ship to every executor.
 DEFAULT_BROADCAST_ROWS = 100_000
+# Upper bound (optimizer estimate) of a side we broadcast without running a job.
+DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -22,6 +24,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -67,14 +70,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows (reads at most max+1)."""
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (an upper bound for scans,
+    filters, projections and aggregates over them); None if unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - e.g. a remote (Connect) session
+        return None
+
+
+def bounded_rows(df: DataFrame, max_rows: int,
+                 max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True when ``df`` is known to be small: its estimated size is within
+    ``max_bytes`` (no job), or else a bounded count reads at most max+1 rows.
+    Frames estimated far above the byte bound are not counted at all."""
+    est = estimated_bytes(df)
+    if est is not None and est <= max_bytes:
+        return True
+    if est is not None and est > 64 * max_bytes:
+        return False
     return df.limit(max_rows + 1).count() <= max_rows
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only behind a checked size; otherwise leave the choice
-    to the optimizer / AQE (sort-merge or shuffled hash join)."""
+    to the optimizer / AQE (sort-merge or shuffled hash join, or a broadcast
+    decided at run time from real shuffle sizes)."""
     return F.broadcast(df) if bounded_rows(df, max_rows) else df
 
 
