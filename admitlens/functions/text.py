@@ -43,13 +43,15 @@ def title_case(c: Column) -> Column:
     upper-cased and the rest lower-cased; every other character is kept."""
     pieces = F.regexp_extract_all(
         c, _lit(f"([{CASED_CLASS}]+|[^{CASED_CLASS}]+)"), 1)
+    def word(x: Column) -> Column:
+        # Upper-casing may expand a letter (ß -> SS, ﬁ -> FI); its title form
+        # keeps only the first letter upper (Ss, Fi).
+        up = F.upper(F.substring(x, 1, 1))
+        return F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, 2, 1 << 30)),
+                        F.lower(F.substring(x, 2, 1 << 30)))
+
     fixed = F.transform(
-        pieces,
-        lambda x: F.when(
-            x.rlike(f"^[{CASED_CLASS}]"),
-            F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30))),
-        ).otherwise(x),
-    )
+        pieces, lambda x: F.when(x.rlike(f"^[{CASED_CLASS}]"), word(x)).otherwise(x))
     return F.array_join(fixed, "")
 
 
