@@ -8,6 +8,7 @@ the parquet scan) and then aggregates with partial + final HashAggregate.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,16 @@ def _any_like(c: Column, patterns: list[str]) -> Column:
 
 
 # ------------------------------------------------------------ predicates
+def _term(df: DataFrame, term: str) -> Column:
+    """semester = term; on a table partitioned by term year the implied
+    ``term_year`` predicate is added so only that partition is read."""
+    cond = F.col("semester") == term
+    m = re.search(r"(\d{4})", term)
+    if m and "term_year" in df.columns:
+        cond = cond & (F.col("term_year") == int(m.group(1)))
+    return cond
+
+
 def _q7_pred(school="%Johns Hopkins%", program="%Computer Science%", degree="%Master%"):
     return (F.col("program").ilike(school) & F.col("program").ilike(program)
             & F.col("degreeType").ilike(degree))
@@ -47,7 +58,7 @@ def _q8_pred(school_col="program", program_col="program", schools=None,
 # ------------------------------------------------------------ Q1 .. Q11
 def term_count(df: DataFrame, term: str = DEFAULT_TERM) -> DataFrame:
     """Q1: rows of one term."""
-    return df.filter(F.col("semester") == term).agg(F.count(F.lit(1)).alias("total"))
+    return df.filter(_term(df, term)).agg(F.count(F.lit(1)).alias("total"))
 
 
 def citizenship_pct(df: DataFrame, citizenship: str = "International") -> DataFrame:
@@ -71,7 +82,7 @@ def average_scores(df: DataFrame) -> DataFrame:
 def term_citizen_gpa(df: DataFrame, term: str = DEFAULT_TERM,
                      citizenship: str = "American") -> DataFrame:
     """Q4: average GPA of one citizenship in one term."""
-    return (df.filter((F.col("citizenship") == citizenship) & (F.col("semester") == term)
+    return (df.filter((F.col("citizenship") == citizenship) & _term(df, term)
                       & F.col("gpa").isNotNull())
             .agg(round2(F.avg("gpa")).alias("avg_gpa")))
 
@@ -79,7 +90,7 @@ def term_citizen_gpa(df: DataFrame, term: str = DEFAULT_TERM,
 def term_acceptance_pct(df: DataFrame, term: str = DEFAULT_TERM,
                         status: str = "Accepted") -> DataFrame:
     """Q5: 100 * accepted / all within a term."""
-    return (df.filter(F.col("semester") == term)
+    return (df.filter(_term(df, term))
             .agg(pct(F.count_if(F.col("status") == status), F.count(F.lit(1)))
                  .alias("acceptance_pct")))
 
@@ -87,7 +98,7 @@ def term_acceptance_pct(df: DataFrame, term: str = DEFAULT_TERM,
 def term_accepted_gpa(df: DataFrame, term: str = DEFAULT_TERM,
                       status: str = "Accepted") -> DataFrame:
     """Q6: average GPA of the accepted in a term."""
-    return (df.filter((F.col("semester") == term) & (F.col("status") == status)
+    return (df.filter(_term(df, term) & (F.col("status") == status)
                       & F.col("gpa").isNotNull())
             .agg(round2(F.avg("gpa")).alias("avg_gpa")))
 
@@ -208,3 +219,9 @@ QUESTIONS = {
     "q8": top_school_acceptances, "q9": top_school_acceptances_std,
     "q10": rejection_rate_by_term, "q11": gpa_by_outcome,
 }
+
+
+def answer_set(df: DataFrame, questions=None) -> dict[str, DataFrame]:
+    """A replaceable question set: name -> (applicants DataFrame -> answer
+    DataFrame). Defaults to the eleven questions."""
+    return {name: fn(df) for name, fn in (questions or QUESTIONS).items()}

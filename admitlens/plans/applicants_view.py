@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admitlens.schema import APPLICANT_COLUMNS
-from admitlens.session import maybe_broadcast, read_table
+from admitlens.session import bounded_rows, maybe_broadcast, read_table
 
 # Fixed values of the fixture: university by c_nationkey % 8.
 UNIVERSITY_BY_NATION_MOD8 = [
@@ -48,7 +48,7 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_mktsegment")
     prof = customer.join(maybe_broadcast(dim), customer.c_nationkey == dim.n_nationkey)
-    return prof.select(
+    out = prof.select(
         "c_custkey",
         _university(F.col("c_nationkey")).alias("university"),
         _raw_program(F.col("c_mktsegment")).alias("raw_program"),
@@ -56,6 +56,10 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("r_name").isin("ASIA", "EUROPE"), "International")
          .when(F.col("r_name") == "AFRICA", "Other")).alias("citizenship"),
     )
+    # The profile has exactly the customer rows (N:1 joins with dimensions),
+    # so judge its size by the customer scan: the optimizer's estimate of the
+    # joined frame is inflated and would make it broadcast the fact side.
+    return F.broadcast(out) if bounded_rows(customer, 1_000_000) else out
 
 
 def applicant_records(spark: SparkSession, sf_dir: str) -> DataFrame:

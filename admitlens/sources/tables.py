@@ -48,9 +48,12 @@ class ApplicantsTable:
             empty.write.mode("ignore").partitionBy(PARTITION_COL).parquet(self.path)
         return self
 
-    def scan(self) -> DataFrame:
+    def scan(self, with_partition: bool = False) -> DataFrame:
+        """The table's rows. ``with_partition`` keeps ``term_year`` so that the
+        questions can prune partitions for an exact term."""
         self.ensure()
-        return self.spark.read.schema(self.schema).parquet(self.path).select(*APPLICANT_COLUMNS)
+        df = self.spark.read.schema(self.schema).parquet(self.path)
+        return df if with_partition else df.select(*APPLICANT_COLUMNS)
 
     def append(self, df: DataFrame) -> None:
         self.ensure()

@@ -75,3 +75,34 @@ def test_fuzzy_plan_has_no_cartesian_product(spark):
     plan = fuzzy_match(q, "q", d, 0.86)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert F is not None
+
+
+def test_enrich_with_user_model(spark):
+    """The model runs over distinct pairs in mapInPandas; JSON answers (even
+    inside chatter) are used, anything else falls back to the rule split."""
+    import pandas as pd
+
+    from admitlens.operators.normalize import enrich
+
+    calls = []
+
+    def model(view: pd.DataFrame) -> pd.Series:
+        calls.append(len(view))
+        out = []
+        for u, p, msgs in zip(view["university"], view["program"], view["messages"]):
+            assert len(msgs) == 10 and msgs[0]["role"] == "system"
+            if u == "McG":
+                out.append('Sure: {"standardized_program": "information studies", '
+                           '"standardized_university": "McG"} bye')
+            else:
+                out.append("no idea")
+        return pd.Series(out)
+
+    rows = [(1, "McG", "Info"), (2, "McG", "Info"), (3, "Harvard", "Math, UBC")]
+    df = spark.createDataFrame(rows, "id int, university string, program string")
+    got = {r.id: (r.llm_generated_program, r.llm_generated_university)
+           for r in enrich(df, infer_fn=model).collect()}
+    # Without a dictionary the title step turns McGill into Mcgill.
+    assert got == {1: ("Information Studies", "Mcgill University"),
+                   2: ("Information Studies", "Mcgill University"),
+                   3: ("Math", "University of British Columbia")}

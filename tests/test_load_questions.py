@@ -121,3 +121,11 @@ def test_empty_table_gives_null_not_error(spark, tmp_path):
     assert Q.citizenship_pct(df).first()[0] is None
     assert Q.term_count(df).first()[0] == 0
     assert Q.scalar_bundle(df).first()["q5_acceptance_pct"] is None
+
+
+def test_replaceable_question_set(spark, tmp_path):
+    t = _table(spark, tmp_path)
+    L.load_batch(t, _batch(spark, SAMPLE), map_col="rec")
+    custom = {"n": lambda df: df.groupBy().count(), "q1": Q.term_count}
+    got = {k: v.first()[0] for k, v in Q.answer_set(t.scan(), custom).items()}
+    assert got == {"n": 2, "q1": 2}

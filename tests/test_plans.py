@@ -35,3 +35,14 @@ def test_listing_windows_are_partitioned_by_page(spark, sf_small):
     for line in plan.splitlines():
         if "Window [" in line:
             assert "[page_id" in line, line
+
+
+def test_term_questions_prune_partitions(spark, sf_small, tmp_path):
+    from admitlens.sources.tables import ApplicantsTable
+
+    t = ApplicantsTable(spark, str(tmp_path / "tbl"))
+    t.append(applicants_view(spark, sf_small))
+    df = t.scan(with_partition=True)
+    plan = _plan(Q.term_acceptance_pct(df))
+    assert "PartitionFilters: [isnotnull(term_year" in plan and "(term_year" in plan
+    assert Q.term_count(df).first()[0] == Q.term_count(t.scan()).first()[0] == 90
