@@ -34,6 +34,7 @@ VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr basefont bgsound "
     "command frame image isindex keygen menuitem nextid spacer".split())
 RAW_TEXT = frozenset(["script", "style", "template"])
+OUT_ROWS = 4096
 
 DESC_TYPE = ("array<struct<tag:string,nth:int,cell:int,classes:array<string>,"
              "nodes:array<string>,href:string>>")
@@ -176,9 +177,14 @@ def explode_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
                        *[F.col(c).cast("string") for c in carry])
     schema = ELEMENT_SCHEMA + "".join(f", {c} string" for c in carry)
 
+    cols = ["page_id", "pos", "tag", "classes", "href", "text", "nodes", "hrefs",
+            "descendants", "error", *carry]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Output is flushed every OUT_ROWS elements, so memory per task stays
+        # bounded however many pages an input batch holds.
+        out: list[dict] = []
         for pdf in batches:
-            out = []
             extra = [pdf[c] for c in carry]
             for i, (pid, html) in enumerate(zip(pdf["page_id"], pdf["html"])):
                 kept = {c: extra[j].iat[i] for j, c in enumerate(carry)}
@@ -192,8 +198,10 @@ def explode_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
                                 "href": None, "text": None, "nodes": None, "hrefs": None,
                                 "descendants": None, "error": f"{type(e).__name__}: {e}",
                                 **kept})
-            cols = ["page_id", "pos", "tag", "classes", "href", "text", "nodes", "hrefs",
-                    "descendants", "error", *carry]
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=cols)
+                    out = []
+        if out:
             yield pd.DataFrame(out, columns=cols)
 
     return src.mapInPandas(run, schema)
