@@ -94,10 +94,29 @@ def q_apply_fixes(spark, sf):
 
 
 # ----------------------------------------------------------------- N5 / N6
-@register("title_case", f"SELECT p_partkey, {duck_title('p_name')} AS title FROM part")
+def duck_title_unicode(x: str) -> str:
+    """Python str.title() over cased letters, as DuckDB SQL. A word starting
+    with ß titles as 'Ss' (DuckDB's upper gives the capital sharp s)."""
+    cased = r"\p{Lu}\p{Ll}\p{Lt}"
+    return (f"list_aggregate(list_transform(regexp_extract_all({x}, '([{cased}]+|[^{cased}]+)'), "
+            f"lambda w: CASE WHEN left(w, 1) = 'ß' THEN 'Ss' || lower(substr(w, 2)) "
+            f"WHEN regexp_matches(w, '^[{cased}]') THEN upper(left(w, 1)) || "
+            "lower(substr(w, 2)) ELSE w END), 'string_agg', '')")
+
+
+@register("title_case", f"""
+SELECT 'part' AS source, p_partkey AS id, {duck_title('p_name')} AS title FROM part
+UNION ALL
+SELECT 'document', doc_id, {duck_title_unicode('text')} FROM documents""")
 def q_title_case(spark, sf):
-    p = read_table(spark, sf, "part").select("p_partkey", "p_name")
-    return p.select("p_partkey", title_case(F.col("p_name")).alias("title"))
+    """Part names and whole documents (four languages) title-cased."""
+    p = read_table(spark, sf, "part").select(
+        F.lit("part").alias("source"), F.col("p_partkey").alias("id"),
+        title_case(F.col("p_name")).alias("title"))
+    d = read_table(spark, sf, "documents").select(
+        F.lit("document").alias("source"), F.col("doc_id").alias("id"),
+        title_case(F.col("text")).alias("title"))
+    return p.unionByName(d)
 
 
 @register("lower_of", with_av(
