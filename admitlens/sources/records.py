@@ -93,12 +93,17 @@ def chunked_write_merge(df: DataFrame, n: int, path: str,
                         order: list | None = None) -> DataFrame:
     """Split rows into ``n`` contiguous chunks (the last one takes the
     remainder), process with ``fn``, write one folder per chunk, read the
-    merged result back (with its ``chunk`` column)."""
+    merged result back (with its ``chunk`` column).
+
+    The numbering sorted the rows into contiguous ranges, so each task holds
+    one or two chunks' rows: the write needs no extra shuffle, and a chunk is a
+    folder of files written by many tasks (a chunk is never funnelled through
+    one task, whatever its size)."""
     spark = df.sparkSession
     indexed = with_row_index(df, order, name="_pos")
     total = indexed.count()
     size = max(total // n, 1)
     chunk = F.least(F.floor(F.col("_pos") / size), F.lit(n - 1)).cast("int")
     out = fn(indexed.withColumn("chunk", chunk).drop("_pos"))
-    out.repartition(n, "chunk").write.mode("overwrite").partitionBy("chunk").parquet(path)
+    out.write.mode("overwrite").partitionBy("chunk").parquet(path)
     return spark.read.parquet(path)

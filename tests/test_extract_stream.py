@@ -56,3 +56,25 @@ def test_task_message_shape(spark):
         .withColumn("ts", F.lit("2025-01-01 10:00:00").cast("timestamp_ntz"))
     v = T.encode_tasks(df, "kind", "ts", "payload").first().value
     assert v == '{"kind":"scrape_new_data","ts":"2025-01-01T10:00:00","payload":{}}'
+
+
+def test_paced_consume_one_file_per_batch(spark, sf_small):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["paced_consume"](spark, sf_small).collect()
+    assert len(rows) == 5 and all(r.num_input_rows == 1 for r in rows)
+    assert [r.batch_id for r in rows] == sorted(r.batch_id for r in rows)
+
+
+def test_dead_letters_are_not_duplicated_on_replay(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("bad{",), ('{"kind": "nope"}',), ('{"kind": "ok"}',)], "value string") \
+        .coalesce(1).write.text(src)
+    dead = str(tmp_path / "dead")
+    handled = []
+    for ck in ("c1", "c2"):  # a replay with a fresh checkpoint re-runs batch 0
+        T.consume(spark, src, {"ok": lambda df, b: handled.append(df.count())}, dead,
+                  str(tmp_path / ck))
+    got = sorted(r.reason for r in spark.read.parquet(dead).collect())
+    assert got == ["malformed", "unknown_kind"]
+    assert handled == [1, 1]
