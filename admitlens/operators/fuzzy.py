@@ -80,7 +80,10 @@ def fuzzy_match(names: DataFrame, name_col: str, dictionary: DataFrame, cutoff:
         .select("q", "d").distinct()
     lq, ld = F.length("q"), F.length("d")
     pairs = pairs.filter(F.lit(2.0) * F.least(lq, ld) / (lq + ld) >= F.lit(cutoff - 1e-12))
-    scored = pairs.withColumn("score", difflib_ratio(F.col("d"), F.col("q"))) \
+    # Marked non-deterministic only so that the filter on the score is not
+    # pushed below the projection, which would run the Python ratio twice.
+    ratio = difflib_ratio.asNondeterministic()
+    scored = pairs.withColumn("score", ratio(F.col("d"), F.col("q"))) \
         .filter(F.col("score") >= F.lit(cutoff))
     best = scored.groupBy("q").agg(F.max(F.struct("score", "d")).alias("b"))
     return q.join(best, "q", "left").select(
