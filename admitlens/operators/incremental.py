@@ -98,6 +98,8 @@ def incremental_update(batch: DataFrame, table: DataFrame, page_col: str = "page
     flagged = cut_lineage(known_flag(cut_lineage(batch), table, url_col))
     kept = stop_at_seen_page(flagged, page_novelty(flagged, page_col), page_col)
     new = kept.filter(~F.col("is_known")).drop("is_known")
+    if new.isEmpty():  # nothing new: a no-op, no numbering work
+        return new.withColumn(key, F.lit(None).cast("long"))
     return number_rows(new, [page_col, pos_col], next_key(table, key), key)
 
 

@@ -30,6 +30,10 @@ def ingest_handler(table: ApplicantsTable, pages: Callable[[], DataFrame],
         records = E.extract_listing(pages(), base_url)
         current = table.scan()
         new = I.incremental_update(records, current)
+        if new.isEmpty():  # nothing new: nothing to standardise or load
+            if stats is not None:
+                stats.append((batch_id, {"inserted": 0, "skipped": 0, "rejected": 0}))
+            return
         enriched = N.enrich(new, "university", "program", infer_fn, program_dict,
                             university_dict)
         result = L.load_batch(table, enriched).first()
