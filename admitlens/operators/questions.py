@@ -193,20 +193,21 @@ def run_all(df: DataFrame, limit=DEFAULT_LIMIT) -> DataFrame:
     bundle = scalar_bundle(df)
     stack = ", ".join(f"'{q}', '{m}', CAST(`{q}_{m}` AS DOUBLE)" for q, m in SCALAR_COLUMNS)
     scalars = bundle.selectExpr(f"stack({len(SCALAR_COLUMNS)}, {stack}) AS (question, metric, value)") \
-        .select("question", F.lit(1).alias("row_no"), F.lit(None).cast("string").alias("label"),
+        .select("question", F.lit(1).cast("long").alias("row_no"),
+                F.lit(None).cast("string").alias("label"),
                 "metric", "value")
 
     from pyspark.sql import Window
 
     q10 = rejection_rate_by_term(df, limit=limit)
     q10 = q10.withColumn("row_no", F.row_number().over(
-        Window.orderBy(F.col("semester").desc_nulls_first())))
+        Window.orderBy(F.col("semester").desc_nulls_first())).cast("long"))
     q10_long = q10.selectExpr(
         "'q10' AS question", "row_no", "semester AS label",
         "stack(3, 'total', CAST(total AS DOUBLE), 'rejections', CAST(rejections AS DOUBLE), "
         "'rejection_pct', rejection_pct) AS (metric, value)")
     q11 = gpa_by_outcome(df, limit=limit)
-    q11 = q11.withColumn("row_no", F.row_number().over(Window.orderBy("status")))
+    q11 = q11.withColumn("row_no", F.row_number().over(Window.orderBy("status")).cast("long"))
     q11_long = q11.selectExpr(
         "'q11' AS question", "row_no", "status AS label",
         "stack(2, 'total', CAST(total AS DOUBLE), 'avg_gpa', avg_gpa) AS (metric, value)")

@@ -12,6 +12,10 @@ from helpers import rows_key
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "DateType()": "DATE", "BooleanType()": "BOOLEAN",
+                 "TimestampNTZType()": "TIMESTAMP"}
+
 QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()
 
@@ -33,6 +37,10 @@ def test_every_survey_operator_is_registered():
 def test_matches_oracle(spark, sf_small, duck, name):
     df = QUERIES[name](spark, sf_small)
     rows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(ORACLE[name])
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType))
+            for f in df.schema.fields} == types
     cur = duck.execute(ORACLE[name])
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
