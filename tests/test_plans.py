@@ -46,3 +46,34 @@ def test_term_questions_prune_partitions(spark, sf_small, tmp_path):
     plan = _plan(Q.term_acceptance_pct(df))
     assert "PartitionFilters: [isnotnull(term_year" in plan and "(term_year" in plan
     assert Q.term_count(df).first()[0] == Q.term_count(t.scan()).first()[0] == 90
+
+
+def test_hot_key_is_aggregated_before_the_shuffle(spark):
+    """One key holds a third of all rows: dedupe / watermark / novelty all
+    combine map-side, so the hot key reaches the shuffle as one row per task."""
+    from pyspark.sql import functions as F
+
+    from admitlens.operators import incremental as I
+    from admitlens.operators import load as L
+
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
+        F.col("id").alias("pos"), (F.col("id") * 7 % 1000).alias("v")).repartition(8)
+    first = L.dedupe_first(df, "k", "pos")
+    plan = _plan(first)
+    assert "partial_min_by" in plan
+    assert first.filter("k = 0").first()["pos"] == 0 and first.count() == n - n // 3 + 1
+    wm = I.advance_watermark(spark.createDataFrame([], "source string, last_seen string, "
+                                                       "updated_at timestamp_ntz"),
+                             df.withColumn("ts", F.timestamp_seconds("pos").cast("timestamp_ntz")),
+                             F.when(F.col("k") == 0, "hot").otherwise("cold"), "v", "ts")
+    assert "partial_max_by" in _plan(wm)
+    got = {r.source: r.last_seen for r in wm.collect()}
+    assert got == {"hot": str((n - 3) * 7 % 1000), "cold": str((n - 1) * 7 % 1000)}
+    flagged = I.known_flag(df.select(F.concat(F.lit("u"), F.col("k").cast("string")).alias("url"),
+                                     (F.col("pos") % 50).alias("page_id")),
+                           spark.createDataFrame([("u0",)], "url string"))
+    nov = I.page_novelty(flagged)
+    assert "partial_count" in _plan(nov) or "partial_count_if" in _plan(nov)
+    assert flagged.filter("is_known").count() == n // 3
