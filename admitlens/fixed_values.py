@@ -19,6 +19,15 @@ WS_CLASS = (
 # Cased letters (Python's title(): a word is a run of cased letters).
 CASED_CLASS = r"\p{Lu}\p{Ll}\p{Lt}"
 
+# Letters whose title case is neither their upper nor lower case (Latin
+# digraphs): any case of the digraph -> its title-case form.
+TITLECASE_DIGRAPHS = {
+    "Ǆ": "ǅ", "ǅ": "ǅ", "ǆ": "ǅ",
+    "Ǉ": "ǈ", "ǈ": "ǈ", "ǉ": "ǈ",
+    "Ǌ": "ǋ", "ǋ": "ǋ", "ǌ": "ǋ",
+    "Ǳ": "ǲ", "ǲ": "ǲ", "ǳ": "ǲ",
+}
+
 # Program/university split separators (rule-based fallback).
 SPLIT_SEPARATORS = r",| at | @ "
 

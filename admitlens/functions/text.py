@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from admitlens.fixed_values import (
     CASED_CLASS,
+    TITLECASE_DIGRAPHS,
     FALLBACK_UNI_EXPANSIONS,
     SPLIT_SEPARATORS,
     WS_CLASS,
@@ -43,12 +44,17 @@ def title_case(c: Column) -> Column:
     upper-cased and the rest lower-cased; every other character is kept."""
     pieces = F.regexp_extract_all(
         c, _lit(f"([{CASED_CLASS}]+|[^{CASED_CLASS}]+)"), 1)
+    digraphs = F.create_map(*[F.lit(c) for kv in TITLECASE_DIGRAPHS.items() for c in kv])
+
     def word(x: Column) -> Column:
         # Upper-casing may expand a letter (ß -> SS, ﬁ -> FI); its title form
-        # keeps only the first letter upper (Ss, Fi).
-        up = F.upper(F.substring(x, 1, 1))
-        return F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, 2, 1 << 30)),
-                        F.lower(F.substring(x, 2, 1 << 30)))
+        # keeps only the first letter upper (Ss, Fi). Digraphs have a title
+        # form of their own.
+        first = F.substring(x, 1, 1)
+        up = F.upper(first)
+        head = F.coalesce(F.try_element_at(digraphs, first),
+                          F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, 2, 1 << 30))))
+        return F.concat(head, F.lower(F.substring(x, 2, 1 << 30)))
 
     fixed = F.transform(
         pieces, lambda x: F.when(x.rlike(f"^[{CASED_CLASS}]"), word(x)).otherwise(x))

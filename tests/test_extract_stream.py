@@ -78,3 +78,16 @@ def test_dead_letters_are_not_duplicated_on_replay(spark, tmp_path):
     got = sorted(r.reason for r in spark.read.parquet(dead).collect())
     assert got == ["malformed", "unknown_kind"]
     assert handled == [1, 1]
+
+
+def test_resolve_url_matches_urljoin(spark):
+    from urllib.parse import urljoin
+
+    from admitlens.functions.records import resolve_url
+
+    base = "https://a.test/x/y/z?q=1#f"
+    hrefs = ["/r/1", "../b", "./c", "?p=2", "#frag", "//cdn.test/x", "mailto:me@x", "",
+             "https://b.test/k", "http://c.test/./d/../e", "rel/path", "/a/../b", None]
+    df = spark.createDataFrame([(base, h) for h in hrefs], "base string, href string")
+    got = [r[0] for r in df.select(resolve_url(F.col("base"), F.col("href"))).collect()]
+    assert got == [None if h is None else urljoin(base, h) for h in hrefs]

@@ -129,3 +129,39 @@ def test_replaceable_question_set(spark, tmp_path):
     custom = {"n": lambda df: df.groupBy().count(), "q1": Q.term_count}
     got = {k: v.first()[0] for k, v in Q.answer_set(t.scan(), custom).items()}
     assert got == {"n": 2, "q1": 2}
+
+
+def test_missing_dictionary_is_empty_and_table_drop(spark, tmp_path):
+    from admitlens.sources.records import read_dictionary
+
+    assert read_dictionary(spark, str(tmp_path / "absent.txt")).count() == 0
+    p = tmp_path / "dict.txt"
+    p.write_text("  McGill University \n\n\tStanford University\n   \n")
+    got = [(r.name, r.pos) for r in read_dictionary(spark, str(p)).orderBy("pos").collect()]
+    assert [g[0] for g in got] == ["McGill University", "Stanford University"]
+    t = _table(spark, tmp_path)
+    t.ensure()
+    assert t.exists()
+    t.drop()
+    assert not t.exists()
+
+
+def test_prompt_messages_and_watermark_keeps_absent_source(spark):
+    import json
+
+    from admitlens.fixed_values import FEW_SHOTS, SYSTEM_PROMPT
+    from admitlens.operators.incremental import advance_watermark
+    from admitlens.operators.normalize import build_prompts
+
+    df = spark.createDataFrame([("Café U", 'Math "pure"')], "u string, p string")
+    msgs = build_prompts(df, "u", "p").first().messages
+    assert msgs[0].content == SYSTEM_PROMPT and len(msgs) == 2 + 2 * len(FEW_SHOTS)
+    assert msgs[1].content == json.dumps(FEW_SHOTS[0][0], ensure_ascii=False)
+    assert msgs[-1].content == json.dumps({"university": "Café U", "program": 'Math "pure"'},
+                                          ensure_ascii=False)
+    old = spark.createDataFrame([("a", "1", "2024-01-01 00:00:00"), ("b", "7", "2024-01-01 00:00:00")],
+                                "source string, last_seen string, updated_at string") \
+        .withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+    batch = spark.createDataFrame([("a", 2, "2024-02-01 00:00:00")], "s string, v int, ts string")
+    got = {r.source: r.last_seen for r in advance_watermark(old, batch, "s", "v", "ts").collect()}
+    assert got == {"a": "2", "b": "7"}
