@@ -229,24 +229,30 @@ def _text_of(d: Column, sep: str = "") -> Column:
     return F.array_join(d["nodes"], sep)
 
 
-def main_row_fields(rows: DataFrame, base_url: Column | str,
-                    classes: list[str] = RECORD_START_CLASSES) -> DataFrame:
-    """University (marker div), program + degree (spans of cell 2), date
-    (cell 3), status / status date (cell 4, E5), absolute link (first a, E6)."""
+def _main_row_exprs(classes: list[str] = RECORD_START_CLASSES) -> dict[str, Column]:
+    """E3 field expressions over a row's descendants (no URL)."""
     desc = F.col("descendants")
     uni = _first(F.filter(desc, lambda d: (d["tag"] == "div") & _has_classes(d, classes)))
     spans = F.filter(desc, lambda d: (d["tag"] == "span") & (d["cell"] == 2))
     cell = lambda k: _first(F.filter(desc, lambda d: (d["tag"] == "td") & (d["nth"] == k)))
     status = split_status_date(_text_of(cell(4)))
+    return {
+        "university": _text_of(uni),
+        "program": _text_of(F.try_element_at(spans, F.lit(1))),
+        "degree_type": _text_of(F.try_element_at(spans, F.lit(2))),
+        "date_posted": _text_of(cell(3)),
+        "status": status["status"],
+        "status_date": status["status_date"],
+    }
+
+
+def main_row_fields(rows: DataFrame, base_url: Column | str,
+                    classes: list[str] = RECORD_START_CLASSES) -> DataFrame:
+    """University (marker div), program + degree (spans of cell 2), date
+    (cell 3), status / status date (cell 4, E5), absolute link (first a, E6)."""
     base = F.lit(base_url) if isinstance(base_url, str) else base_url
     return rows.select(
-        "*",
-        _text_of(uni).alias("university"),
-        _text_of(F.try_element_at(spans, F.lit(1))).alias("program"),
-        _text_of(F.try_element_at(spans, F.lit(2))).alias("degree_type"),
-        _text_of(cell(3)).alias("date_posted"),
-        status["status"].alias("status"),
-        status["status_date"].alias("status_date"),
+        "*", *[e.alias(n) for n, e in _main_row_exprs(classes).items()],
         resolve_url(base, _first(F.col("hrefs"))).alias("url"),
     )
 
@@ -283,33 +289,38 @@ RECORD_FIELDS = ["university", "program", "degree_type", "date_posted", "status"
 
 def listing_rows(pages: DataFrame, base_url: str | Column = "https://example.test/",
                  comment_separator: str = " ") -> DataFrame:
-    """Every <tr> of every page with the record fields filled in on record
-    starts (E2–E9); one parse per page feeds both E10 and E11."""
+    """Every <tr> of every page; the record fields are computed on record
+    starts only (E2–E9, the link still relative in ``_href``). One parse per
+    page feeds both E10 and E11."""
     rows = stitch_followers(mark_record_start(explode_elements(pages, "tr")))
-    # Badge texts are used twice below: compute them once as a column.
-    rec = main_row_fields(rows, base_url).withColumn("_badges", badge_texts(F.col("next_desc")))
-    badges = F.col("_badges")
     start = F.col("is_start")
-    return rec.select(
+    first = rows.select(
         "page_id", "pos", "is_start", "error",
-        *[F.when(start, F.col(c)).alias(c) for c in
-          ("university", "program", "degree_type", "date_posted", "status", "status_date")],
-        F.when(start, classify_badges(badges)).alias("_b"),
+        *[F.when(start, e).alias(n) for n, e in _main_row_exprs().items()],
+        F.when(start, _first(F.col("hrefs"))).alias("_href"),
+        # Badge texts are used twice below: one column, computed once.
+        F.when(start, badge_texts(F.col("next_desc"))).alias("_badges"),
         F.when(start, extract_comment(F.col("next2_nodes"), F.col("next2_desc"),
-                                      comment_separator)).alias("comment"),
-        F.when(start, F.col("url")).alias("url"),
+                                      comment_separator)).alias("comment"))
+    badges = F.col("_badges")
+    return first.select(
+        "page_id", "pos", "is_start", "error", "university", "program", "degree_type",
+        "date_posted", "status", "status_date",
+        F.when(start, classify_badges(badges)).alias("_b"), "comment", "_href",
         F.when(start, badge_issue_count(badges)).alias("bad_fields"),
     ).select("page_id", "pos", "is_start", "error", "university", "program", "degree_type",
-             "date_posted", "status", "status_date", "_b.*", "comment", "url", "bad_fields")
+             "date_posted", "status", "status_date", "_b.*", "comment", "_href", "bad_fields")
 
 
 def extract_listing(pages: DataFrame, base_url: str | Column = "https://example.test/",
                     comment_separator: str = " ", rows: DataFrame | None = None) -> DataFrame:
     """Pages -> applicant records in page order: (page_id, record_no,
-    the 14 record fields, bad_fields)."""
+    the 14 record fields, bad_fields). Links are resolved on records only."""
     rows = rows if rows is not None else listing_rows(pages, base_url, comment_separator)
+    base = F.lit(base_url) if isinstance(base_url, str) else base_url
     w = Window.partitionBy("page_id").orderBy("pos")
-    return rows.filter("is_start").select(
+    recs = rows.filter("is_start").withColumn("url", resolve_url(base, F.col("_href")))
+    return recs.select(
         "page_id", (F.row_number().over(w) - 1).alias("record_no"), *RECORD_FIELDS, "bad_fields")
 
 
