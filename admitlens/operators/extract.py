@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from admitlens.fixed_values import BADGE_CLASS, RECORD_START_CLASSES
+from admitlens.session import spread
 from admitlens.functions.records import (
     badge_issue_count,
     classify_badges,
@@ -173,8 +174,10 @@ def explode_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
     that cannot be parsed yields one row with ``error`` set and pos = -1.
     ``carry`` names string columns of ``pages`` copied onto every row."""
     carry = carry or []
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"),
-                       *[F.col(c).cast("string") for c in carry])
+    # Parsing is CPU-bound: make sure the pages are spread over the cores.
+    src = spread(pages.select(F.col(id_col).cast("long").alias("page_id"),
+                              F.col(html_col).alias("html"),
+                              *[F.col(c).cast("string") for c in carry]))
     schema = ELEMENT_SCHEMA + "".join(f", {c} string" for c in carry)
 
     cols = ["page_id", "pos", "tag", "classes", "href", "text", "nodes", "hrefs",

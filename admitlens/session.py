@@ -99,16 +99,34 @@ def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if bounded_rows(df, max_rows) else df
 
 
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin a frame over the cores when it has fewer partitions than the
+    cluster can run at once (e.g. one small file with a single row group feeding
+    CPU-heavy row work). A no-op whenever the input is already split wider,
+    which is the case for any large table."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism * factor)
+    return df
+
+
 _TABLES: dict[tuple[int, str], DataFrame] = {}
 
 
+# Fact-like inputs that feed row-wise CPU work; spread when under-split.
+SPREAD_TABLES = {"orders", "lineitem", "documents", "pages", "events", "conversations"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table (read-only parquet). The DataFrame is reused within a
-    session so that file listing and footer reads happen once per table."""
+    session so that file listing and footer reads happen once per table.
+    Fact-like tables are spread over the cores when under-split."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (id(spark), path)
     df = _TABLES.get(key)
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(path)
+        if name in SPREAD_TABLES:
+            df = spread(df)
         _TABLES[key] = df
     return df
