@@ -77,3 +77,13 @@ def test_hot_key_is_aggregated_before_the_shuffle(spark):
     nov = I.page_novelty(flagged)
     assert "partial_count" in _plan(nov) or "partial_count_if" in _plan(nov)
     assert flagged.filter("is_known").count() == n // 3
+
+
+def test_spread_only_widens_under_split_inputs(spark):
+    from admitlens.session import spread
+
+    narrow = spark.range(100).coalesce(1)
+    wide = spark.range(100).repartition(64)
+    par = spark.sparkContext.defaultParallelism
+    assert spread(narrow).rdd.getNumPartitions() == par * 2
+    assert spread(wide) is wide
