@@ -87,3 +87,26 @@ def test_spread_only_widens_under_split_inputs(spark):
     par = spark.sparkContext.defaultParallelism
     assert spread(narrow).rdd.getNumPartitions() == par * 2
     assert spread(wide) is wide
+
+
+def test_top_k_and_small_batch_insert_plans(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from admitlens.operators import load as L
+    from admitlens.operators import report as R
+
+    big = spark.range(0, 200000).select(F.col("id").cast("int").alias("p_id"),
+                                        (F.col("id") % 97).alias("v"))
+    path = str(tmp_path / "target")
+    big.write.parquet(path)
+    target = spark.read.parquet(path)
+    top = R.order_limit(target, [F.col("v").desc(), F.col("p_id")], 500)
+    assert "TakeOrderedAndProject" in _plan(top) and top.count() == 100  # clamped to 100
+    batch = spark.createDataFrame([(5, 1), (199999, 2), (300000, 3)], "p_id int, v long")
+    new = L.insert_ignore(target, batch, "p_id")
+    plan = _plan(new)
+    # The table is probed through broadcast joins and read on its key only:
+    # it is never shuffled.
+    assert "BroadcastHashJoin" in plan and "ReadSchema: struct<p_id:int>" in plan
+    assert "SortMergeJoin" not in plan
+    assert [r.p_id for r in new.collect()] == [300000]
