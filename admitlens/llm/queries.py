@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import mixing, token_file, topk
+from admitlens.llm import contamination, mixing, simhash, token_file, topk, toxicity
 from admitlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,51 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination", """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[0-9a-z\\x{80}-\\x{10FFFF}]+'), []) AS w
+  FROM documents
+), b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, len, list_aggregate(w[s:s + len - 1], 'string_agg', ' ') AS gram
+  FROM (SELECT item_id, w, least(13, len(w)) AS len, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s
+        FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT rid, s, len, list_aggregate(w[s:s + len - 1], 'string_agg', ' ') AS gram
+  FROM (SELECT rid, w, l.len, unnest(range(1, len(w) - l.len + 2)) AS s
+        FROM d, (SELECT DISTINCT len FROM bw) l WHERE len(w) >= l.len)
+), m AS (
+  SELECT rid, s, dw.len, item_id FROM dw JOIN bw USING (gram)
+), h AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT rid, unnest(range(s, s + len)) AS p FROM m) GROUP BY rid
+), i AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items,
+         list_aggregate(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), 'string_agg', ',') AS ids
+  FROM m GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)
+""")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
