@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import contamination, mixing, simhash, token_file, topk, toxicity
+from admitlens.llm import chat, contamination, html_text, langid, license_scan, mixing, simhash, token_file, topk, toxicity
 from admitlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,57 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(table(spark, sf_dir, "documents"))
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_preferences", """
+WITH said AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), replied AS (
+  SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS n
+  FROM said
+), picked AS (
+  SELECT conv_id, turns, n, turns[n].text AS reply, conv_id // 1024 AS block FROM replied WHERE n IS NOT NULL
+), swapped AS (
+  SELECT *, coalesce(lead(reply) OVER (PARTITION BY block ORDER BY conv_id),
+                     first_value(reply) OVER (PARTITION BY block ORDER BY conv_id)) AS other
+  FROM picked
+), cut AS (
+  SELECT *, CASE WHEN reply = other THEN n ELSE n - 1 END AS k FROM swapped
+)
+SELECT conv_id AS pair_id,
+       coalesce(list_aggregate(list_transform(turns[1:k], lambda t: '<|' || replace(t.role, '<|', '< |') || '|>' || chr(10)
+                || replace(t.text, '<|', '< |') || '<|end|>' || chr(10)), 'string_agg', ''), '') AS prompt,
+       CAST(k AS INTEGER) AS prompt_turns,
+       CASE WHEN k = n THEN '' ELSE '<|assistant|>' || chr(10) || replace(reply, '<|', '< |') || '<|end|>' || chr(10) END AS chosen,
+       CASE WHEN k = n THEN '' ELSE '<|assistant|>' || chr(10) || replace(other, '<|', '< |') || '<|end|>' || chr(10) END AS rejected,
+       CASE WHEN k = n THEN 0 ELSE len(replace(reply, '<|', '< |')) + 8 END AS chosen_learnt,
+       CASE WHEN k = n THEN 0 ELSE len(replace(other, '<|', '< |')) + 8 END AS rejected_learnt,
+       k < n AS valid
+FROM cut
+""")
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def learnt(name):   # characters to learn of a completion
+        return F.aggregate(F.filter(name, lambda s: s["learn"]), F.lit(0).cast("bigint"),
+                           lambda n, s: n + F.char_length(s["text"]))
+
+    p = chat.preferences(chat.exchanged_replies(table(spark, sf_dir, "conversations")))
+    return p.select("pair_id", "prompt", "prompt_turns", "chosen", "rejected",
+                    learnt("chosen_segments").alias("chosen_learnt"),
+                    learnt("rejected_segments").alias("rejected_learnt"), "valid")
