@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admitlens.functions.dates import parse_date
-from admitlens.functions.numbers import try_double
+from admitlens.functions.numbers import try_double, try_key
 from admitlens.functions.records import combine_names, parse_prefixed_number
 from admitlens.schema import APPLICANT_COLUMNS, KEY_SPELLINGS
 from admitlens.session import DEFAULT_BROADCAST_ROWS, bounded_rows
@@ -50,7 +50,7 @@ def conform(df: DataFrame, keep: list[str] | None = None,
     date = date_raw.cast("date") if date_type in ("date", "timestamp", "timestamp_ntz") \
         else parse_date(_text(date_raw))
     out = [
-        raw_key.try_cast("int").alias("p_id"),
+        try_key(raw_key).alias("p_id"),
         combine_names(_text(pick("university")), _text(pick("program"))).alias("program"),
         _text(pick("degree_type")).alias("degreeType"),
         date.alias("datePosted"),
@@ -130,33 +130,52 @@ def load_stats(flagged: DataFrame, new_rows: DataFrame, key: str = "p_id") -> Da
     return both.select(*[F.col(c).cast("long") for c in ("inserted", "skipped", "rejected")])
 
 
-def prepare_batch(batch: DataFrame, target: DataFrame,
-                  map_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def prepare_batch(batch: DataFrame, target: DataFrame, map_col: str | None = None,
+                  order_cols: list[Column | str] | None = None) -> tuple[DataFrame, DataFrame]:
     """L1 -> L6 -> L4 -> L5 without writing: (flagged batch, rows to append).
 
-    The batch's physical order decides "first" within the batch."""
-    ordered = batch.withColumn(ORDER_COL, F.monotonically_increasing_id())
+    ``order_cols`` say which of several rows of a key came first (for files:
+    ``file_order()``). Rows made in memory come in their own order; rows read
+    from files have none that Spark keeps, so it must be given."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols or []]
+    if not order:
+        if batch.inputFiles():
+            raise ValueError("rows come from files: say by order_cols which of a key's rows is first")
+        order = [F.monotonically_increasing_id()]
+    ordered = batch.withColumn(ORDER_COL, F.struct(*order))
     flagged = flag_invalid(conform(ordered, keep=[ORDER_COL], map_col=map_col))
     good = flagged.filter(F.col("reject_reason").isNull()).select(*APPLICANT_COLUMNS, ORDER_COL)
     first = dedupe_first(good, "p_id", ORDER_COL).drop(ORDER_COL)
     return flagged, insert_ignore(target, first, "p_id").select(*APPLICANT_COLUMNS)
 
 
-def load_batch(table, batch: DataFrame, map_col: str | None = None) -> DataFrame:
+def file_order() -> list[Column]:
+    """Order of rows read from files: by path, then by place in the file."""
+    return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+
+
+def load_batch(table, batch: DataFrame, map_col: str | None = None,
+               order_cols: list[Column | str] | None = None, batch_id: str | None = None) -> DataFrame:
     """Conform, set rejects aside, dedupe, insert-ignore, append; returns
     the one-row stats frame. Loading the same batch twice inserts nothing the
-    second time."""
+    second time; rejects are kept per ``batch_id`` (default: a digest of the
+    batch), so a replay replaces its own. ``order_cols``: see prepare_batch."""
     from admitlens.session import cut_lineage
 
     # Materialise the flagged batch once: rejects, appends and stats all use it,
     # and the new rows must be fixed before the table they were checked
     # against changes.
-    flagged, _ = prepare_batch(batch, table.scan(), map_col)
+    flagged, _ = prepare_batch(batch, table.scan(), map_col, order_cols)
     flagged = cut_lineage(flagged)
     good = flagged.filter(F.col("reject_reason").isNull()).select(*APPLICANT_COLUMNS, ORDER_COL)
     first = dedupe_first(good, "p_id", ORDER_COL).drop(ORDER_COL)
     new_rows = cut_lineage(insert_ignore(table.scan(), first, "p_id").select(*APPLICANT_COLUMNS))
     rejects = flagged.filter(F.col("reject_reason").isNotNull())
-    table.append_rejects(rejects.drop(ORDER_COL))
+    rejects = rejects.drop(ORDER_COL)
+    if batch_id is None:
+        d = rejects.agg(F.count(F.lit(1)).alias("n"),
+                        F.sum(F.xxhash64(*rejects.columns).cast("decimal(38,0)")).alias("h")).first()
+        batch_id = f"{d['n']}-{d['h'] or 0}"
+    table.append_rejects(rejects, batch_id)
     table.append(new_rows)
     return load_stats(flagged, new_rows)

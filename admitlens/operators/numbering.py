@@ -35,3 +35,17 @@ def with_row_index(df: DataFrame, order: list[Column | str] | None = None,
     out = s.join(maybe_broadcast(offsets, 1_000_000), _PID).withColumn(
         name, (start_col + F.col("_nb_off") + local).cast("long"))
     return out.drop(_PID, _MID, "_nb_off")
+
+
+def running_totals(df: DataFrame, order_col: str, value_col: str, name: str) -> DataFrame:
+    """Add ``name`` = sum of ``value_col`` over all rows before in ``order_col``:
+    range partitions, a running sum inside each, and the sums of the partitions
+    before it (one row per partition)."""
+    parts = cut_lineage(df.repartitionByRange(order_col).withColumn(_PID, F.spark_partition_id()))
+    inside = F.sum(value_col).over(Window.partitionBy(_PID).orderBy(order_col)
+                                   .rowsBetween(Window.unboundedPreceding, -1))
+    sums = parts.groupBy(_PID).agg(F.sum(value_col).alias("_nb_n"))
+    before = sums.select(_PID, F.coalesce(F.sum("_nb_n").over(
+        Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_nb_off"))
+    return (parts.withColumn(name, F.coalesce(inside, F.lit(0))).join(before, _PID)
+            .withColumn(name, (F.col(name) + F.col("_nb_off")).cast("long")).drop(_PID, "_nb_off"))

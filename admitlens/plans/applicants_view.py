@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admitlens.schema import APPLICANT_COLUMNS
-from admitlens.session import bounded_rows, maybe_broadcast, read_table
+from admitlens.session import read_table
 
 # Fixed values of the fixture: university by c_nationkey % 8.
 UNIVERSITY_BY_NATION_MOD8 = [
@@ -43,12 +43,12 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer ⋈ nation ⋈ region reduced to what the view needs per customer."""
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    # nation and region are dimension tables; broadcast only after a size check.
-    dim = nation.join(maybe_broadcast(region), nation.n_regionkey == region.r_regionkey)
+    # No hints: scan sizes decide, and AQE decides again from real sizes.
+    dim = nation.join(region, nation.n_regionkey == region.r_regionkey)
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_mktsegment")
-    prof = customer.join(maybe_broadcast(dim), customer.c_nationkey == dim.n_nationkey)
-    out = prof.select(
+    prof = customer.join(dim, customer.c_nationkey == dim.n_nationkey)
+    return prof.select(
         "c_custkey",
         _university(F.col("c_nationkey")).alias("university"),
         _raw_program(F.col("c_mktsegment")).alias("raw_program"),
@@ -56,10 +56,6 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("r_name").isin("ASIA", "EUROPE"), "International")
          .when(F.col("r_name") == "AFRICA", "Other")).alias("citizenship"),
     )
-    # The profile has exactly the customer rows (N:1 joins with dimensions),
-    # so judge its size by the customer scan: the optimizer's estimate of the
-    # joined frame is inflated and would make it broadcast the fact side.
-    return F.broadcast(out) if bounded_rows(customer, 1_000_000) else out
 
 
 def applicant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +69,7 @@ def applicant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     odate = F.col("o_orderdate").cast("date")
     uni = F.col("university")
     return j.select(
-        k.cast("int").alias("p_id"),
+        k.cast("bigint").alias("p_id"),
         uni.alias("university"),
         F.col("raw_program"),
         F.concat_ws(" - ", uni, F.col("raw_program")).alias("program"),
@@ -114,7 +110,7 @@ _PROG_CASE = ("CASE WHEN c.c_mktsegment IN ('FURNITURE','MACHINERY') THEN 'Compu
               "ELSE 'Economics' END")
 
 AV_RECORDS_SQL = f"""
-SELECT CAST(o.o_orderkey AS INTEGER) AS p_id,
+SELECT CAST(o.o_orderkey AS BIGINT) AS p_id,
        {_UNI_CASE} AS university,
        {_PROG_CASE} AS raw_program,
        {_UNI_CASE} || ' - ' || {_PROG_CASE} AS program,

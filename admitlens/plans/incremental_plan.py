@@ -109,13 +109,13 @@ fresh AS (SELECT url, ROW_NUMBER() OVER (ORDER BY page_id, p_id) AS rn FROM b
   WHERE NOT is_known AND ((SELECT s FROM stop) IS NULL OR page_id < (SELECT s FROM stop)))
 SELECT p_id, url FROM tab
 UNION ALL
-SELECT CAST((SELECT greatest(COUNT(*), max(p_id)) FROM tab) + rn AS INTEGER), url FROM fresh"""))
+SELECT CAST((SELECT greatest(COUNT(*), max(p_id)) FROM tab) + rn AS BIGINT), url FROM fresh"""))
 def q_incremental_update(spark, sf):
     """Second round over the listing: the table holds the known records; the
     update appends the new ones of the pages before the first seen page."""
     _, table = _known_split(spark, sf)
     new = I.incremental_update(_extracted(spark, sf), table)
-    return table.unionByName(new.select(F.col("p_id").cast("int"), "url"))
+    return table.unionByName(new.select(F.col("p_id").cast("bigint"), "url"))
 
 
 @register("full_build", with_av("""

@@ -55,7 +55,7 @@ def _envelopes(spark, sf) -> DataFrame:
     return packed.select("grp", text.alias("body"))
 
 
-_ENV_SCHEMA = T.StructType([T.StructField("p_id", T.IntegerType()),
+_ENV_SCHEMA = T.StructType([T.StructField("p_id", T.LongType()),
                             T.StructField("program", T.StringType()),
                             T.StructField("status", T.StringType())])
 
@@ -192,9 +192,7 @@ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""")
 def q_combine_names(spark, sf):
     c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf, "nation").select("n_nationkey", "n_name")
-    from admitlens.session import maybe_broadcast
-
-    j = c.join(maybe_broadcast(n), c.c_nationkey == n.n_nationkey)
+    j = c.join(n, c.c_nationkey == n.n_nationkey)
     m = F.col("c_custkey") % 4
     u = F.when(m == 1, F.lit("")).when(m == 3, F.lit("")).otherwise(F.col("n_name"))
     p = F.when(m == 2, F.lit(None).cast("string")).when(m == 3, F.lit(None).cast("string")) \
@@ -217,14 +215,13 @@ def q_dedupe_first(spark, sf):
 
 # ----------------------------------------------------------------- L5
 _OLD = "datePosted < DATE '1996-01-01'"
-_NEW = "datePosted >= DATE '1994-01-01'"
+_NEW = "TRUE"      # the batch is every order
 
 
 def _split(spark, sf):
     av = applicants_view(spark, sf)
     target = av.filter(F.col("datePosted") < F.lit("1996-01-01").cast("date"))
-    batch = av.filter(F.col("datePosted") >= F.lit("1994-01-01").cast("date")) \
-        .withColumn("status", F.concat(F.col("status"), F.lit(" (again)")))
+    batch = av.withColumn("status", F.concat(F.col("status"), F.lit(" (again)")))
     return target, batch
 
 
@@ -242,7 +239,7 @@ def q_insert_ignore(spark, sf):
 def _dirty_records(spark, sf) -> DataFrame:
     """AV records with broken keys / scores injected (by key residue), plus a
     second copy of every tenth record marked as a duplicate."""
-    r = applicant_records(spark, sf).filter(F.col("datePosted") >= F.lit("1994-01-01").cast("date"))
+    r = applicant_records(spark, sf)
     k = F.col("p_id")
     key = (F.when(k % 13 == 0, F.lit(None).cast("string"))
            .when(k % 17 == 0, F.concat(F.lit("x"), k.cast("string")))
@@ -254,7 +251,8 @@ def _dirty_records(spark, sf) -> DataFrame:
         F.date_format("datePosted", "MMM d, yyyy").alias("date_posted"), "status", "semester",
         "citizenship", gpa.alias("gpa"), "gre", "gre_v", "gre_aw", "url",
         "llm_generated_program", "llm_generated_university")
-    dups = rec.filter(k % 10 == 0).withColumn("status", F.lit("DUPLICATE"))
+    rec = rec.withColumn("copy", F.lit(1))
+    dups = rec.filter(k % 10 == 0).withColumn("status", F.lit("DUPLICATE")).withColumn("copy", F.lit(2))
     return rec.unionByName(dups)
 
 
@@ -291,7 +289,7 @@ FROM rec"""
 @register("load_stats", with_av(_STATS_SQL))
 def q_load_stats(spark, sf):
     target, _ = _split(spark, sf)
-    flagged, new_rows = L.prepare_batch(_dirty_records(spark, sf), target)
+    flagged, new_rows = L.prepare_batch(_dirty_records(spark, sf), target, order_cols=["copy"])
     return L.load_stats(flagged, new_rows)
 
 
@@ -309,6 +307,6 @@ def q_load_batch(spark, sf):
     target, _ = _split(spark, sf)
     table.append(target)
     batch = _dirty_records(spark, sf)
-    L.load_batch(table, batch).collect()
-    L.load_batch(table, batch).collect()
+    L.load_batch(table, batch, order_cols=["copy"]).collect()
+    L.load_batch(table, batch, order_cols=["copy"]).collect()
     return table.scan()

@@ -121,7 +121,7 @@ fresh AS (SELECT url, ROW_NUMBER() OVER (ORDER BY page_id, p_id) AS rn FROM b
   WHERE NOT is_known AND ((SELECT s FROM stop) IS NULL OR page_id < (SELECT s FROM stop)))
 SELECT p_id, url FROM tab
 UNION ALL
-SELECT CAST((SELECT greatest(COUNT(*), max(p_id)) FROM tab) + rn AS INTEGER), url FROM fresh"""))
+SELECT CAST((SELECT greatest(COUNT(*), max(p_id)) FROM tab) + rn AS BIGINT), url FROM fresh"""))
 def q_handle_ingest(spark, sf):
     """Scrape tasks drive extract -> new -> enrich -> load; the same task
     files are consumed twice (a replay with a fresh checkpoint): the table
@@ -152,13 +152,16 @@ def q_handle_refresh(spark, sf):
     return spark.read.parquet(report).drop("batch_id")
 
 
-@register("paced_consume")
+@register("paced_consume", """
+SELECT row_number() OVER () - 1 AS batch_id, CAST(1 AS BIGINT) AS num_input_rows FROM nation""")
 def q_paced_consume(spark, sf):
-    """One message file per batch: the progress lists one batch per file.
-    Rows-only check (progress is driver metadata)."""
-    src = _one_message_per_region(spark, sf, "recompute_analytics")
-    seen = []
-    progress = T.consume(spark, src, {"recompute_analytics": lambda df, b: seen.append(b)},
-                         scratch_path(spark, "dead"), scratch_path(spark, "ckpt"),
-                         max_files_per_trigger=1)
-    return spark.createDataFrame(progress, "batch_id long, num_input_rows long")
+    """One message file per nation and one file per batch: the consumer's own
+    progress table lists one batch per file."""
+    nation = read_table(spark, sf, "nation").select("n_name")
+    msgs = nation.select(F.to_json(F.struct(F.lit("recompute_analytics").alias("kind"),
+                                            F.struct(F.col("n_name").alias("nation")).alias("payload"))).alias("value"))
+    src, progress = scratch_path(spark, "tasks-in"), scratch_path(spark, "progress")
+    msgs.coalesce(1).repartition(25).write.mode("overwrite").text(src)      # a nation a file
+    T.consume(spark, src, {"recompute_analytics": lambda df, b: None}, scratch_path(spark, "dead"),
+              scratch_path(spark, "ckpt"), max_files_per_trigger=1, progress_path=progress)
+    return T.read_progress(spark, progress)

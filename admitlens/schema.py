@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 # The applicants table: 16 scalar columns, key ``p_id``.
 APPLICANTS = T.StructType([
-    T.StructField("p_id", T.IntegerType(), True),
+    T.StructField("p_id", T.LongType(), True),
     T.StructField("program", T.StringType(), True),
     T.StructField("degreeType", T.StringType(), True),
     T.StructField("datePosted", T.DateType(), True),
@@ -25,26 +25,6 @@ APPLICANTS = T.StructType([
 ])
 APPLICANT_COLUMNS = [f.name for f in APPLICANTS.fields]
 
-# A scraped record (all nullable, untyped on the wire).
-RECORD = T.StructType([
-    T.StructField("applicant_number", T.LongType(), True),
-    T.StructField("university", T.StringType(), True),
-    T.StructField("program", T.StringType(), True),
-    T.StructField("degree_type", T.StringType(), True),
-    T.StructField("date_posted", T.StringType(), True),
-    T.StructField("status", T.StringType(), True),
-    T.StructField("status_date", T.StringType(), True),
-    T.StructField("semester", T.StringType(), True),
-    T.StructField("citizenship", T.StringType(), True),
-    T.StructField("gpa", T.DoubleType(), True),
-    T.StructField("gre", T.DoubleType(), True),
-    T.StructField("gre_v", T.DoubleType(), True),
-    T.StructField("gre_aw", T.DoubleType(), True),
-    T.StructField("comment", T.StringType(), True),
-    T.StructField("url", T.StringType(), True),
-])
-RECORD_COLUMNS = [f.name for f in RECORD.fields]
-
 # Every key spelling seen for a record field, in order of
 # preference (first present, non-null one wins).
 KEY_SPELLINGS: dict[str, list[str]] = {
@@ -67,20 +47,7 @@ KEY_SPELLINGS: dict[str, list[str]] = {
     "llm_generated_university": ["llm_generated_university", "llm-generated-university"],
 }
 
-# A wide "any spelling" record schema, all text, used to read raw JSON files.
-# Spark resolves names case-insensitively, so spellings differing only in
-# case (gpa / GPA) keep one field; read JSON text as a map to keep both.
-def _raw_record() -> T.StructType:
-    seen, fields = set(), []
-    for names in KEY_SPELLINGS.values():
-        for name in names:
-            if name.lower() not in seen:
-                seen.add(name.lower())
-                fields.append(T.StructField(name, T.StringType(), True))
-    return T.StructType(fields)
-
-
-RAW_RECORD = _raw_record()
+# Records read from JSON text: a map keeps spellings that differ in case only.
 RECORD_MAP = T.MapType(T.StringType(), T.StringType())
 
 # Watermarks: one row per source.
@@ -89,10 +56,3 @@ WATERMARKS = T.StructType([
     T.StructField("last_seen", T.StringType(), True),
     T.StructField("updated_at", T.TimestampNTZType(), True),
 ])
-
-# Task message.
-TASK = T.StructType([
-    T.StructField("kind", T.StringType(), True),
-    T.StructField("ts", T.StringType(), True),
-    T.StructField("payload", T.MapType(T.StringType(), T.StringType()), True),
-])

@@ -57,11 +57,18 @@ class ApplicantsTable:
 
     def append(self, df: DataFrame) -> None:
         self.ensure()
-        (_with_partition(df.select(*APPLICANT_COLUMNS))
+        # Rebalanced by partition: few files per year, a hot year still splits.
+        (_with_partition(df.select(*APPLICANT_COLUMNS)).hint("rebalance", PARTITION_COL)
          .write.mode("append").partitionBy(PARTITION_COL).parquet(self.path))
 
-    def append_rejects(self, rejects: DataFrame) -> None:
-        rejects.write.mode("append").parquet(self.rejects_path)
+    def append_rejects(self, rejects: DataFrame, batch_id: str) -> None:
+        """Rejects of one batch, in a folder of their own: written again, they
+        replace themselves."""
+        safe = "".join(c if c.isalnum() or c in "-_." else "_" for c in str(batch_id))
+        rejects.write.mode("overwrite").parquet(f"{self.rejects_path}/batch_id={safe}")
+
+    def rejects(self) -> DataFrame:
+        return self.spark.read.parquet(self.rejects_path)
 
     def drop(self) -> None:
         """DROP TABLE IF EXISTS (removes the folder through the Hadoop FS)."""

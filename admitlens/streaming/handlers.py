@@ -12,22 +12,30 @@ from admitlens.operators import incremental as I
 from admitlens.operators import load as L
 from admitlens.operators import normalize as N
 from admitlens.operators import questions as Q
-from admitlens.sources.tables import ApplicantsTable
+from admitlens.session import cut_lineage
+from admitlens.sources.tables import ApplicantsTable, WatermarkTable
 
 
 def ingest_handler(table: ApplicantsTable, pages: Callable[[], DataFrame],
                    base_url: str = "https://example.test/", infer_fn=None,
                    program_dict: DataFrame | None = None,
                    university_dict: DataFrame | None = None,
-                   stats: list | None = None):
+                   stats: list | None = None, issues_path: str | None = None,
+                   watermarks: WatermarkTable | None = None, source: str = "listing"):
     """T5: on any 'scrape_new_data' message of the batch: extract the pages,
     keep what is new (I6), standardise it (N13) and load it (L8). Replaying
-    the same messages inserts nothing new (insert-ignore on the key)."""
+    the same messages inserts nothing new (insert-ignore on the key). The parse
+    is done once: with ``issues_path`` its per-page issues (E11) are written per
+    batch id; with ``watermarks`` the last key loaded is noted (I5)."""
 
     def handle(messages: DataFrame, batch_id: int) -> None:
         if messages.isEmpty():
             return
-        records = E.extract_listing(pages(), base_url)
+        read = pages()
+        rows = cut_lineage(E.listing_rows(read, base_url))
+        if issues_path:
+            E.extraction_issues(read, base_url, rows).write.mode("overwrite").parquet(f"{issues_path}/batch_id={batch_id}")
+        records = E.extract_listing(read, base_url, rows=rows)
         current = table.scan()
         new = I.incremental_update(records, current)
         if new.isEmpty():  # nothing new: nothing to standardise or load
@@ -36,7 +44,11 @@ def ingest_handler(table: ApplicantsTable, pages: Callable[[], DataFrame],
             return
         enriched = N.enrich(new, "university", "program", infer_fn, program_dict,
                             university_dict)
-        result = L.load_batch(table, enriched).first()
+        result = L.load_batch(table, enriched, order_cols=["p_id"]).first()
+        if watermarks is not None:
+            last = table.scan().agg(F.max("p_id").alias("v")).select(
+                F.lit(source).alias("s"), "v", F.current_timestamp().cast("timestamp_ntz").alias("t"))
+            watermarks.append(I.advance_watermark(watermarks.scan().filter(F.col("source") == source), last, "s", "v", "t"))
         if stats is not None:
             stats.append((batch_id, result.asDict()))
 

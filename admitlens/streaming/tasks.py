@@ -49,7 +49,7 @@ def encode_tasks(df: DataFrame, kind: Column | str, ts: Column | str,
     return df.select(task_message(c(kind), c(ts), p).alias("value"))
 
 
-def decode_tasks(messages: DataFrame, value_col: str = "value") -> DataFrame:
+def decode_tasks(messages: DataFrame, value_col: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Parse each message; ``status`` is 'ok' for a JSON object and
     'malformed' for bad JSON or JSON that is not an object. A missing kind
     reads as ''; a missing payload as {}."""
@@ -63,7 +63,7 @@ def decode_tasks(messages: DataFrame, value_col: str = "value") -> DataFrame:
         F.when(is_obj, F.lit("ok")).otherwise(F.lit("malformed")).alias("status"),
         F.when(is_obj, kind).alias("kind"),
         F.when(is_obj, F.try_variant_get(v, "$.ts", "string")).alias("ts"),
-        F.when(is_obj, payload).alias("payload"))
+        F.when(is_obj, payload).alias("payload"), *(keep or []))
 
 
 def route_tasks(decoded: DataFrame, kinds: list[str]) -> DataFrame:
@@ -80,29 +80,44 @@ def dead_letter_frame(df: DataFrame, reason: Column | str, batch_id: int) -> Dat
     return df.select("value", r.alias("reason"), F.lit(batch_id).cast("long").alias("batch_id"))
 
 
-def make_batch_processor(handlers: dict[str, Handler], dead_path: str,
-                         log: list | None = None) -> Callable[[DataFrame, int], None]:
-    """T3 + T4: the ``foreachBatch`` function. Each kind goes to its handler;
-    malformed / unknown / failed messages go to ``dead_path`` (one folder per
-    batch id, overwritten on replay, so a re-run batch never duplicates)."""
+def make_batch_processor(handlers: dict[str, Handler], dead_path: str, log: list | None = None,
+                         progress_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """T3 + T4: the ``foreachBatch`` function. The batch is read and decoded once.
+    Kinds run in the order of their first message in the batch, each handler on
+    its kind's messages, none on an empty set; malformed / unknown / failed
+    messages go to ``dead_path`` (one folder per batch id, overwritten on replay,
+    so a re-run batch never duplicates). ``progress_path`` gets a row per batch
+    the same way, however many batches there are."""
     kinds = list(handlers)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        routed = route_tasks(decode_tasks(batch), kinds)
-        dead = [dead_letter_frame(routed.filter(F.col("route").isin("malformed", "unknown_kind")),
-                                  F.col("route"), batch_id)]
-        for kind, handler in handlers.items():
-            sub = routed.filter(F.col("route") == kind)
-            try:
-                handler(sub, batch_id)
-            except Exception as e:  # noqa: BLE001 - a failed handler never stops the stream
-                if log is not None:
-                    log.append((batch_id, kind, "".join(traceback.format_exception_only(e))))
-                dead.append(dead_letter_frame(sub, "handler_failed", batch_id))
-        out = dead[0]
-        for d in dead[1:]:
-            out = out.unionByName(d)
-        out.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+        numbered = batch.withColumn("_place", F.monotonically_increasing_id())
+        routed = route_tasks(decode_tasks(numbered, keep=["_place"]), kinds).persist()
+        try:
+            # A row per kind at most.
+            met = routed.groupBy("route").agg(F.min("_place").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+            failed = []
+            for r in sorted(met, key=lambda r: r["p"]):
+                kind = r["route"]
+                if kind not in handlers:
+                    continue
+                try:
+                    handlers[kind](routed.filter(F.col("route") == kind).drop("_place"), batch_id)
+                except Exception as e:  # noqa: BLE001 - a failed handler never stops the stream
+                    if log is not None:
+                        log.append((batch_id, kind, "".join(traceback.format_exception_only(e))))
+                    failed.append(kind)
+            dead = routed.filter(F.col("route").isin("malformed", "unknown_kind", *failed))
+            reason = F.when(F.col("route").isin(*failed), F.lit("handler_failed")).otherwise(F.col("route")) \
+                if failed else F.col("route")
+            dead_letter_frame(dead, reason, batch_id).write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+            if progress_path:
+                total = sum(r["n"] for r in met)
+                batch.sparkSession.range(1).select(
+                    F.lit(batch_id).cast("long").alias("batch_id"), F.lit(total).cast("long").alias("num_input_rows")
+                ).write.mode("overwrite").parquet(f"{progress_path}/b={batch_id}")
+        finally:
+            routed.unpersist()
 
     return process
 
@@ -117,15 +132,16 @@ def read_task_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 
 def consume(spark: SparkSession, source_path: str, handlers: dict[str, Handler],
             dead_path: str, checkpoint: str, max_files_per_trigger: int | None = 1,
-            log: list | None = None) -> list[dict]:
-    """Drain what is there (``availableNow``), paced by files per
-    trigger, committing (acknowledging) each batch through the checkpoint.
-    Returns the progress of every batch (driver-side metadata)."""
+            log: list | None = None, progress_path: str | None = None) -> None:
+    """Drain what is there (``availableNow``), paced by files per trigger,
+    committing (acknowledging) each batch through the checkpoint. The batches seen
+    and their sizes are the table at ``progress_path`` (see ``read_progress``)."""
     stream = read_task_stream(spark, source_path, max_files_per_trigger)
-    q = (stream.writeStream.foreachBatch(make_batch_processor(handlers, dead_path, log))
+    q = (stream.writeStream.foreachBatch(make_batch_processor(handlers, dead_path, log, progress_path))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return [
-        {"batch_id": p["batchId"], "num_input_rows": p["numInputRows"]}
-        for p in q.recentProgress if p.get("numInputRows", 0) > 0
-    ]
+
+
+def read_progress(spark: SparkSession, progress_path: str) -> DataFrame:
+    """(batch_id, num_input_rows) of every batch a consumer has finished."""
+    return spark.read.schema("batch_id long, num_input_rows long").parquet(progress_path + "/b=*")
