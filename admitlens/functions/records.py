@@ -91,9 +91,13 @@ def combine_names(university: Column, program: Column) -> Column:
 def _urljoin_udf(base: pd.Series, href: pd.Series) -> pd.Series:
     from urllib.parse import urljoin
 
-    return pd.Series([
-        None if h is None else urljoin(b or "", h) for b, h in zip(base, href)
-    ], dtype=object)
+    def join(b, h):
+        try:
+            return None if h is None else urljoin(b or "", h)
+        except ValueError:      # a link that is none: NULL, never a failed job
+            return None
+
+    return pd.Series([join(b, h) for b, h in zip(base, href)], dtype=object)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
@@ -104,8 +108,9 @@ def resolve_url(base: Column, href: Column) -> Column:
     root = F.concat(F.try_parse_url(base, F.lit("PROTOCOL")), F.lit("://"),
                     F.try_parse_url(base, F.lit("AUTHORITY")))
     dotted = href.rlike(r"(^|/)\.\.?(/|$|\?|#)")
-    absolute = href.rlike(r"^https?://[^/?#]+") & ~dotted & ~href.contains(" ")
-    rooted = href.rlike(r"^/([^/]|$)") & ~dotted & root.isNotNull()
+    plain = ~dotted & href.rlike(r"^[!$%&'()*+,\-./0-9:=@A-Z_a-z~]*$")
+    absolute = href.rlike(r"^https?://[^/]+/") & plain
+    rooted = href.rlike(r"^/([^/]|$)") & plain & root.isNotNull()
     native = F.when(absolute, href).when(rooted, F.concat(root, href))
     # The UDF is evaluated for every row by Spark, so hand it NULLs for the
     # rows already resolved natively: it then returns at once.

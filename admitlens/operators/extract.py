@@ -1,10 +1,11 @@
 """Listing pages -> applicant records, as one Spark job over ``pages``.
 
 Only E1 (HTML -> elements) runs Python: a stdlib ``html.parser`` tree per page
-inside ``mapInPandas`` (pages are independent, so this is embarrassingly
-parallel and needs no shuffle). Everything after it — record starts, field
-picking, stitching the follower rows with ``lead`` over a window partitioned by
-page, badge classification, number parsing, URL joining — is native.
+inside ``mapInArrow``, one output row per page with the ordered array of its
+elements. Stitching the follower rows is array access (rows i+1 and i+2 of the
+same page), record numbers are array positions, and pages are exploded last: from
+the parse to the records nothing is shuffled. Field picking, badge
+classification, number parsing and URL joining are native.
 
 Tree rules (as a non-correcting parser builds them): no tag is closed
 implicitly, an end tag closes up to the nearest open element of its name (or is
@@ -18,12 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from admitlens.fixed_values import BADGE_CLASS, RECORD_START_CLASSES
-from admitlens.session import spread
 from admitlens.functions.records import (
     badge_issue_count,
     classify_badges,
@@ -31,17 +33,19 @@ from admitlens.functions.records import (
     split_status_date,
 )
 
-VOID = frozenset(
-    "area base br col embed hr img input link meta param source track wbr basefont bgsound "
-    "command frame image isindex keygen menuitem nextid spacer".split())
+# Elements that never hold children: those of the HTML standard, then obsolete ones.
+VOID = frozenset([
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+    "basefont", "bgsound", "command", "frame", "image", "isindex", "keygen", "menuitem", "nextid", "spacer",
+])
 RAW_TEXT = frozenset(["script", "style", "template"])
-OUT_ROWS = 4096
+OUT_TEXT = 1 << 22     # characters of output gathered before a batch is handed on
 
 DESC_TYPE = ("array<struct<tag:string,nth:int,cell:int,classes:array<string>,"
              "nodes:array<string>,href:string>>")
-ELEMENT_SCHEMA = (
-    "page_id long, pos int, tag string, classes array<string>, href string, text string, "
-    f"nodes array<string>, hrefs array<string>, descendants {DESC_TYPE}, error string")
+ELEMENT_TYPE = ("struct<pos:int,tag:string,classes:array<string>,href:string,text:string,"
+                f"nodes:array<string>,hrefs:array<string>,descendants:{DESC_TYPE}>")
+ELEMENT_FIELDS = ["pos", "tag", "classes", "href", "text", "nodes", "hrefs", "descendants"]
 
 
 class _Node:
@@ -143,7 +147,32 @@ def _cell(n: _Node, top: _Node):
     return None
 
 
-def _explode_page(html: str, tag: str, with_desc: bool) -> list[dict]:
+def _listing_only(desc: list[_Node], top: _Node) -> list[_Node]:
+    """Of a row's descendants those that E2, E3, E7 and E9 read: the first marker,
+    two spans of cell 2, cells 3 and 4, a paragraph, and every badge."""
+    left = {"marker": 1, "span": 2, 3: 1, 4: 1, "p": 1}
+    out = []
+    for d in desc:
+        kind = None
+        if d.tag == "div":
+            classes = _classes(d)
+            if BADGE_CLASS in classes:
+                out.append(d)
+                continue
+            kind = "marker" if all(c in classes for c in RECORD_START_CLASSES) else None
+        elif d.tag == "span" and left["span"] and _cell(d, top) == 2:
+            kind = "span"
+        elif d.tag == "td" and d.nth in (3, 4):
+            kind = d.nth
+        elif d.tag == "p":
+            kind = "p"
+        if kind is not None and left[kind]:
+            left[kind] -= 1
+            out.append(d)
+    return out
+
+
+def _explode_page(html: str, tag: str, with_desc: bool | str) -> list[dict]:
     b = _TreeBuilder()
     b.feed(html or "")
     b.close()
@@ -152,20 +181,58 @@ def _explode_page(html: str, tag: str, with_desc: bool) -> list[dict]:
     for pos, el in enumerate(n for n in b.order if n.tag == tag):
         nodes = _strings(el)
         desc = _descendants(el)
+        links = [d.attrs["href"] for d in desc if d.tag == "a" and "href" in d.attrs]
+        if with_desc == "listing":      # the first link is all that is read
+            desc, links = _listing_only(desc, el), links[:1]
         rows.append({
             "pos": pos, "tag": tag, "classes": _classes(el), "href": el.attrs.get("href"),
             "text": "".join(nodes),
             "nodes": nodes,
-            "hrefs": [d.attrs["href"] for d in desc if d.tag == "a" and "href" in d.attrs],
+            "hrefs": links,
             "descendants": [
                 {"tag": d.tag, "nth": d.nth, "cell": _cell(d, el), "classes": _classes(d),
                  "nodes": _strings(d), "href": d.attrs.get("href")}
                 for d in desc] if with_desc else None,
-            "error": None,
         })
     return rows
 
 
+def page_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
+                  html_col: str = "html", with_descendants: bool | str = True,
+                  carry: list[str] | None = None) -> DataFrame:
+    """E1, a row per page: (page_id, items, error, carried columns). ``items`` is
+    the array of the page's ``tag`` elements in document order; a page that cannot
+    be parsed has none and its ``error`` set. A null id stays null. Descendants are
+    given in full, not at all, or (``"listing"``) as far as listings are read."""
+    carry = carry or []
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"),
+                       *[F.col(c).cast("string").alias(c) for c in carry])
+    out_type = T._parse_datatype_string(
+        f"page_id long, items array<{ELEMENT_TYPE}>, error string" + "".join(f", {c} string" for c in carry))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(out_type)
+        out: list[dict] = []
+        size = 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                items, error = [], None
+                try:
+                    items = _explode_page(row["html"], tag, with_descendants)
+                except Exception as e:  # noqa: BLE001 - one bad page never stops the run
+                    error = f"{type(e).__name__}: {e}"
+                out.append({"page_id": row["page_id"], "items": items, "error": error,
+                            **{c: row[c] for c in carry}})
+                size += len(row["html"] or "") + 64
+                if size >= OUT_TEXT:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return src.mapInArrow(run, out_type)
+
+
 def explode_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
                      html_col: str = "html", with_descendants: bool = True,
                      carry: list[str] | None = None) -> DataFrame:
@@ -174,40 +241,12 @@ def explode_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
     that cannot be parsed yields one row with ``error`` set and pos = -1.
     ``carry`` names string columns of ``pages`` copied onto every row."""
     carry = carry or []
-    # Parsing is CPU-bound: make sure the pages are spread over the cores.
-    src = spread(pages.select(F.col(id_col).cast("long").alias("page_id"),
-                              F.col(html_col).alias("html"),
-                              *[F.col(c).cast("string") for c in carry]))
-    schema = ELEMENT_SCHEMA + "".join(f", {c} string" for c in carry)
-
-    cols = ["page_id", "pos", "tag", "classes", "href", "text", "nodes", "hrefs",
-            "descendants", "error", *carry]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Output is flushed every OUT_ROWS elements, so memory per task stays
-        # bounded however many pages an input batch holds.
-        out: list[dict] = []
-        for pdf in batches:
-            extra = [pdf[c] for c in carry]
-            for i, (pid, html) in enumerate(zip(pdf["page_id"], pdf["html"])):
-                kept = {c: extra[j].iat[i] for j, c in enumerate(carry)}
-                try:
-                    for r in _explode_page(html, tag, with_descendants):
-                        r["page_id"] = int(pid)
-                        r.update(kept)
-                        out.append(r)
-                except Exception as e:  # noqa: BLE001 - one bad page never stops the run
-                    out.append({"page_id": int(pid), "pos": -1, "tag": tag, "classes": None,
-                                "href": None, "text": None, "nodes": None, "hrefs": None,
-                                "descendants": None, "error": f"{type(e).__name__}: {e}",
-                                **kept})
-                if len(out) >= OUT_ROWS:
-                    yield pd.DataFrame(out, columns=cols)
-                    out = []
-        if out:
-            yield pd.DataFrame(out, columns=cols)
-
-    return src.mapInPandas(run, schema)
+    parsed = page_elements(pages, tag, id_col, html_col, with_descendants, carry)
+    # explode_outer keeps a failed page (its array is empty) as one row.
+    rows = parsed.where((F.size("items") > 0) | F.col("error").isNotNull()).select(
+        "page_id", F.explode_outer("items").alias("e"), "error", *carry)
+    return rows.select("page_id", F.coalesce("e.pos", F.lit(-1)).alias("pos"), F.coalesce("e.tag", F.lit(tag)).alias("tag"),
+                       *[F.col(f"e.{n}").alias(n) for n in ELEMENT_FIELDS[2:]], "error", *carry)
 
 
 # ---------------------------------------------------------------- E2 .. E9
@@ -218,10 +257,14 @@ def _has_classes(d: Column, classes: list[str]) -> Column:
     return cond
 
 
+def _is_start(descendants: Column, classes: list[str] = RECORD_START_CLASSES) -> Column:
+    marker = F.exists(descendants, lambda d: (d["tag"] == "div") & _has_classes(d, classes))
+    return F.coalesce(marker, F.lit(False))
+
+
 def mark_record_start(rows: DataFrame, classes: list[str] = RECORD_START_CLASSES) -> DataFrame:
     """A row starts a record iff it holds a div carrying all the classes."""
-    marker = F.exists("descendants", lambda d: (d["tag"] == "div") & _has_classes(d, classes))
-    return rows.withColumn("is_start", F.coalesce(marker, F.lit(False)))
+    return rows.withColumn("is_start", _is_start(F.col("descendants"), classes))
 
 
 def _first(arr: Column) -> Column:
@@ -275,14 +318,20 @@ def extract_comment(nodes: Column, descendants: Column, separator: str = " ") ->
     return F.when(F.coalesce(has_p, F.lit(False)), F.array_join(nodes, separator))
 
 
-def stitch_followers(rows: DataFrame) -> DataFrame:
-    """Details from row+1 and comment from row+2 of the same page, by
-    position only (whatever those rows are)."""
-    w = Window.partitionBy("page_id").orderBy("pos")
-    return (rows
-            .withColumn("next_desc", F.lead("descendants", 1).over(w))
-            .withColumn("next2_desc", F.lead("descendants", 2).over(w))
-            .withColumn("next2_nodes", F.lead("nodes", 2).over(w)))
+def stitch_followers(parsed: DataFrame) -> DataFrame:
+    """Each element with those one and two places further on in its page, by
+    position only (whatever those are; NULL behind the end): (page_id, error,
+    carried columns, element columns, ``next``, ``next2``). Array access within
+    the page's row, then one explode; a page without elements has no row, a page
+    that failed one with pos = -1."""
+    items = F.col("items")
+    stitched = F.transform(items, lambda e, i: F.struct(
+        e.alias("e"), F.get(items, i + 1).alias("next"), F.get(items, i + 2).alias("next2")))
+    other = [c for c in parsed.columns if c != "items"]
+    rows = parsed.where((F.size("items") > 0) | F.col("error").isNotNull()).select(
+        *other, F.explode_outer(stitched).alias("x"))
+    return rows.select(*other, F.coalesce("x.e.pos", F.lit(-1)).alias("pos"),
+                       *[F.col(f"x.e.{n}").alias(n) for n in ELEMENT_FIELDS[1:]], "x.next", "x.next2")
 
 
 RECORD_FIELDS = ["university", "program", "degree_type", "date_posted", "status",
@@ -294,24 +343,30 @@ def listing_rows(pages: DataFrame, base_url: str | Column = "https://example.tes
                  comment_separator: str = " ") -> DataFrame:
     """Every <tr> of every page; the record fields are computed on record
     starts only (E2–E9, the link still relative in ``_href``). One parse per
-    page feeds both E10 and E11."""
-    rows = stitch_followers(mark_record_start(explode_elements(pages, "tr")))
+    page feeds both E10 and E11; ``record_no`` counts the starts of a page."""
+    parsed = page_elements(pages, "tr", with_descendants="listing")
+    # Record numbers come from the array itself: starts at or before a position.
+    marks = F.transform("items", lambda e: _is_start(e["descendants"]))
+    parsed = parsed.withColumn("_marks", marks)
+    rows = stitch_followers(parsed)
+    rows = rows.withColumn("is_start", F.coalesce(F.get("_marks", F.col("pos")), F.lit(False)))
     start = F.col("is_start")
+    number = F.size(F.filter(F.slice("_marks", F.lit(1), F.greatest(F.col("pos"), F.lit(0))), lambda m: m))
     first = rows.select(
-        "page_id", "pos", "is_start", "error",
+        "page_id", "pos", "is_start", "error", F.when(start, number).alias("record_no"),
         *[F.when(start, e).alias(n) for n, e in _main_row_exprs().items()],
         F.when(start, _first(F.col("hrefs"))).alias("_href"),
         # Badge texts are used twice below: one column, computed once.
-        F.when(start, badge_texts(F.col("next_desc"))).alias("_badges"),
-        F.when(start, extract_comment(F.col("next2_nodes"), F.col("next2_desc"),
+        F.when(start, badge_texts(F.col("next.descendants"))).alias("_badges"),
+        F.when(start, extract_comment(F.col("next2.nodes"), F.col("next2.descendants"),
                                       comment_separator)).alias("comment"))
     badges = F.col("_badges")
     return first.select(
-        "page_id", "pos", "is_start", "error", "university", "program", "degree_type",
+        "page_id", "pos", "is_start", "error", "record_no", "university", "program", "degree_type",
         "date_posted", "status", "status_date",
         F.when(start, classify_badges(badges)).alias("_b"), "comment", "_href",
         F.when(start, badge_issue_count(badges)).alias("bad_fields"),
-    ).select("page_id", "pos", "is_start", "error", "university", "program", "degree_type",
+    ).select("page_id", "pos", "is_start", "error", "record_no", "university", "program", "degree_type",
              "date_posted", "status", "status_date", "_b.*", "comment", "_href", "bad_fields")
 
 
@@ -321,10 +376,8 @@ def extract_listing(pages: DataFrame, base_url: str | Column = "https://example.
     the 14 record fields, bad_fields). Links are resolved on records only."""
     rows = rows if rows is not None else listing_rows(pages, base_url, comment_separator)
     base = F.lit(base_url) if isinstance(base_url, str) else base_url
-    w = Window.partitionBy("page_id").orderBy("pos")
     recs = rows.filter("is_start").withColumn("url", resolve_url(base, F.col("_href")))
-    return recs.select(
-        "page_id", (F.row_number().over(w) - 1).alias("record_no"), *RECORD_FIELDS, "bad_fields")
+    return recs.select("page_id", "record_no", *RECORD_FIELDS, "bad_fields")
 
 
 def extraction_issues(pages: DataFrame, base_url: str | Column = "https://example.test/",
@@ -339,7 +392,8 @@ def extraction_issues(pages: DataFrame, base_url: str | Column = "https://exampl
         F.max("error").alias("failure"))
     # Pages without any row still get a line (zero records).
     ids = pages.select(F.col("page_id").cast("long").alias("page_id"))
-    return ids.join(per, "page_id", "left").select(
+    per = per.withColumnRenamed("page_id", "_id")
+    return ids.join(per, F.col("page_id").eqNullSafe(F.col("_id")), "left").select(
         "page_id", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
         F.coalesce("records", F.lit(0)).cast("long").alias("records"),
         F.coalesce("bad_fields", F.lit(0)).cast("long").alias("bad_fields"), "failure")

@@ -80,11 +80,9 @@ SELECT page_id, pos, text,
   lead(text, 2) OVER (PARTITION BY page_id ORDER BY pos) AS next2_text
 FROM y""")
 def q_stitch_followers(spark, sf):
-    li = E.explode_elements(read_table(spark, sf, "pages"), "li", with_descendants=False) \
-        .filter(F.col("pos") >= 0)
-    w = Window.partitionBy("page_id").orderBy("pos")
-    return li.select("page_id", "pos", "text", F.lead("text", 1).over(w).alias("next_text"),
-                     F.lead("text", 2).over(w).alias("next2_text"))
+    li = E.stitch_followers(E.page_elements(read_table(spark, sf, "pages"), "li", with_descendants=False))
+    return li.filter(F.col("pos") >= 0).select(
+        "page_id", "pos", "text", F.col("next.text").alias("next_text"), F.col("next2.text").alias("next2_text"))
 
 
 # ----------------------------------------------------------------- E5

@@ -63,7 +63,4 @@ def render_listing(records: DataFrame) -> DataFrame:
     out = pages.select("page_id", F.concat(F.lit(BASE_URL + "survey/?page="),
                                            F.col("page_id").cast("string")).alias("url"),
                        html.alias("html"))
-    # Parsing costs far more CPU per byte than moving the page, so spread the
-    # pages over every core (an explicit count is not coalesced by AQE).
-    spark = records.sparkSession
-    return out.repartition(max(spark.sparkContext.defaultParallelism, 1) * 2, "page_id")
+    return out

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 # Dimension-side rows we are willing to ship to every executor.
 DEFAULT_BROADCAST_ROWS = 100_000
-# Upper bound (optimizer estimate) of a side we broadcast without running a job.
-DEFAULT_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -54,6 +52,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        # A cluster must name a shared folder; only a local session picks one.
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="admitlens-ckpt-")
     spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -70,25 +71,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (an upper bound for scans,
-    filters, projections and aggregates over them); None if unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - e.g. a remote (Connect) session
-        return None
-
-
-def bounded_rows(df: DataFrame, max_rows: int,
-                 max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """True when ``df`` is known to be small: its estimated size is within
-    ``max_bytes`` (no job), or else a bounded count reads at most max+1 rows.
-    Frames estimated far above the byte bound are not counted at all."""
-    est = estimated_bytes(df)
-    if est is not None and est <= max_bytes:
-        return True
-    if est is not None and est > 64 * max_bytes:
-        return False
+def bounded_rows(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` holds at most ``max_rows`` rows: counted, reading at most
+    one row more. Plan estimates are no bounds, so they are not asked. Callers
+    hand in frames that are cheap to read again (stored or plain scans)."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
@@ -99,34 +85,6 @@ def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if bounded_rows(df, max_rows) else df
 
 
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin a frame over the cores when it has fewer partitions than the
-    cluster can run at once (e.g. one small file with a single row group feeding
-    CPU-heavy row work). A no-op whenever the input is already split wider,
-    which is the case for any large table."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism * factor)
-    return df
-
-
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
-# Fact-like inputs that feed row-wise CPU work; spread when under-split.
-SPREAD_TABLES = {"orders", "lineitem", "documents", "pages", "events", "conversations"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table (read-only parquet). The DataFrame is reused within a
-    session so that file listing and footer reads happen once per table.
-    Fact-like tables are spread over the cores when under-split."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        if name in SPREAD_TABLES:
-            df = spread(df)
-        _TABLES[key] = df
-    return df
+    """An input table (read-only parquet)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
