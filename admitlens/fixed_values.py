@@ -18,6 +18,9 @@ WS_CLASS = (
 
 # Cased letters (Python's title(): a word is a run of cased letters).
 CASED_CLASS = r"\p{Lu}\p{Ll}\p{Lt}"
+# The same with the letters that are cased by property alone (ª, ⅷ, ⓐ, ʰ), as
+# Java's regex names them.
+CASED_BY_PROPERTY = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
 
 # Letters whose title case is neither their upper nor lower case (Latin
 # digraphs): any case of the digraph -> its title-case form.
@@ -138,5 +141,4 @@ FEW_SHOTS = [
 ]
 
 # Task kinds handled by the worker.
-TASK_KINDS = ["scrape_new_data", "recompute_analytics"]
 # ------------------------------------------------------------ end fixed values

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from admitlens.fixed_values import (
-    CASED_CLASS,
+    CASED_BY_PROPERTY,
     TITLECASE_DIGRAPHS,
     FALLBACK_UNI_EXPANSIONS,
     SPLIT_SEPARATORS,
@@ -43,7 +43,7 @@ def title_case(c: Column) -> Column:
     """Python ``str.title``: a run of cased letters gets its first letter
     upper-cased and the rest lower-cased; every other character is kept."""
     pieces = F.regexp_extract_all(
-        c, _lit(f"([{CASED_CLASS}]+|[^{CASED_CLASS}]+)"), 1)
+        c, _lit(f"([{CASED_BY_PROPERTY}]+|[^{CASED_BY_PROPERTY}]+)"), 1)
     digraphs = F.create_map(*[F.lit(c) for kv in TITLECASE_DIGRAPHS.items() for c in kv])
 
     def word(x: Column) -> Column:
@@ -53,11 +53,11 @@ def title_case(c: Column) -> Column:
         first = F.substring(x, 1, 1)
         up = F.upper(first)
         head = F.coalesce(F.try_element_at(digraphs, first),
-                          F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, 2, 1 << 30))))
-        return F.concat(head, F.lower(F.substring(x, 2, 1 << 30)))
+                          F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, F.lit(2), F.length(up)))))
+        return F.concat(head, F.lower(F.substring(x, F.lit(2), F.length(x))))
 
     fixed = F.transform(
-        pieces, lambda x: F.when(x.rlike(f"^[{CASED_CLASS}]"), word(x)).otherwise(x))
+        pieces, lambda x: F.when(x.rlike(f"^[{CASED_BY_PROPERTY}]"), word(x)).otherwise(x))
     return F.array_join(fixed, "")
 
 

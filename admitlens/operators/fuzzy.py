@@ -1,64 +1,101 @@
 """Best dictionary entry by Ratcliff–Obershelp ratio (stdlib ``difflib``
 semantics), as an exact similarity join.
 
-The ratio is 2·M/(la+lb) where M (matched characters) never exceeds the
-character-multiset overlap of the two strings. For ratio ≥ c a string of
-length l therefore needs an overlap of at least ceil(c·l/(2−c)) with any
-partner, and by the prefix-filtering lemma (Chaudhuri et al. 2006; Bayardo et
-al. 2007) two such strings share a token among the first l − t + 1 tokens of
-each, under any fixed global token order. Tokens are (character, occurrence)
-pairs, ordered rare-first by dictionary frequency.
-
-Candidates come from an equi-join on prefix tokens (the dictionary side is
-broadcast after a size check), then a length bound, then the exact ratio in
-an Arrow-batched pandas UDF (the stdlib computation itself, on few pairs).
-No cross join, no cap on candidates: every pair that can reach the cut-off
-is scored.
+The ratio is 2·M/(la+lb), and the M matched characters form a common subsequence,
+so ratio ≥ c means that at most τ = (1−c)(la+lb) insertions and deletions turn one
+string into the other. Each of them spoils at most one of the pieces a dictionary
+entry is cut into; with more pieces than operations one piece stands unspoilt in
+the name, moved by no more than the operations before it (partition-based
+similarity joins: Li et al., Pass-Join, 2011). Candidates are an equi-join on
+(entry length, piece number, piece); the length bound and the character-bag bound
+prune natively; the ratio itself is computed by the stdlib in an Arrow-batched UDF
+on the few pairs left. No cross join, no cap on candidates, no broadcast of either
+side: every pair that can reach the cut-off is scored.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from admitlens.session import DEFAULT_BROADCAST_ROWS, maybe_broadcast
+EPS = 1e-9
 
 
-@F.pandas_udf(T.DoubleType())
-def difflib_ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
-    """SequenceMatcher(None, candidate, query).ratio(), as get_close_matches
-    computes it (candidate is the first sequence, the query the second)."""
-    from difflib import SequenceMatcher
+def _ratio_udf(cutoff: float):
+    @F.pandas_udf(T.DoubleType())
+    def ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
+        """SequenceMatcher(None, candidate, query).ratio(), as get_close_matches
+        computes it (candidate is the first sequence, the query the second, whose
+        index is kept); NULL where an upper bound is below the cut-off."""
+        from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(candidate, query)],
-                     dtype="float64")
+        m, last, out = SequenceMatcher(None), None, []
+        for a, b in zip(candidate, query):
+            if b != last:
+                m.set_seq2(b)
+                last = b
+            m.set_seq1(a)
+            out.append(m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else None)
+        return pd.Series(out, dtype="float64")
+
+    # Marked non-deterministic only so that the filter on the score is not
+    # pushed below the projection, which would run the Python ratio twice.
+    return ratio.asNondeterministic()
 
 
-def _tokens(s: Column) -> Column:
+def _bag(s: Column) -> Column:
     """Characters of ``s`` tagged with their occurrence number: 'e#1', 'e#2'…"""
     chars = F.regexp_extract_all(s, F.lit("(?s)(.)"), 1)
-    return F.transform(
-        chars,
-        lambda c, i: F.concat(c, F.lit("#"), F.size(F.filter(F.slice(chars, 1, i + 1),
-                                                         lambda x: x == c)).cast("string")))
+    counted = F.array_sort(chars)
+    return F.transform(counted, lambda c, i: F.concat(c, F.lit("#"), (i - F.array_position(counted, c)).cast("string")))
+
+
+def _operations(total: Column, cutoff: float) -> Column:
+    """Most insertions and deletions between strings of that total length."""
+    return F.floor(total * F.lit(1.0 - cutoff) + F.lit(EPS)).cast("int")
+
 
+def _longest(length: Column, cutoff: float) -> Column:
+    return F.floor(length * F.lit((2.0 - cutoff) / cutoff) + F.lit(EPS)).cast("int")
 
-def _min_overlap(length: Column, cutoff: float) -> Column:
-    return F.greatest(F.ceil(length * F.lit(cutoff / (2.0 - cutoff)) - F.lit(1e-9)), F.lit(1))
 
+def _shortest(length: Column, cutoff: float) -> Column:
+    return F.greatest(F.ceil(length * F.lit(cutoff / (2.0 - cutoff)) - F.lit(EPS)).cast("int"), F.lit(1))
 
-def _prefix_tokens(df: DataFrame, col: str, order: DataFrame, cutoff: float) -> DataFrame:
-    """(value, token) for the prefix tokens of each distinct value."""
-    toks = df.select(col, F.explode(_tokens(F.col(col))).alias("token"))
-    ranked = toks.join(maybe_broadcast(order, DEFAULT_BROADCAST_ROWS * 10), "token", "left") \
-        .withColumn("rank", F.coalesce(F.col("rank"), F.lit(-1)))
-    length = F.length(F.col(col))
-    keep = length - _min_overlap(length, cutoff) + 1
-    w = Window.partitionBy(col).orderBy(F.col("rank"), F.col("token"))
-    return ranked.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= keep) \
-        .select(col, "token")
+
+def _pieces(ld: Column, cutoff: float) -> Column:
+    """Number of pieces of an entry of length ``ld``: one more than operations.
+    A cut-off so low that there are more pieces than characters leaves one empty
+    piece, which every name of a fitting length holds."""
+    n = _operations(ld + _longest(ld, cutoff), cutoff) + 1
+    return F.when(n <= ld, n).otherwise(0)
+
+
+def candidate_pairs(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
+    """(q, d): every pair of names that can reach the cut-off, few others."""
+    dd = d.withColumn("ld", F.length("d")).withColumn("n", _pieces(F.col("ld"), cutoff))
+    k, n, ld = F.col("k"), F.col("n"), F.col("ld")
+    some = F.greatest(n, F.lit(1))
+    first = F.floor(k * ld / some).cast("int")
+    size = F.floor((k + 1) * ld / some).cast("int") - first
+    entries = dd.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))).select(
+        "d", "ld", "k", F.when(n > 0, F.substring(F.col("d"), first + 1, size)).otherwise("").alias("piece"))
+    lq = F.col("lq")
+    names = (q.withColumn("lq", F.length("q"))
+             .withColumn("ld", F.explode(F.sequence(_shortest(lq, cutoff), _longest(lq, cutoff))))
+             .withColumn("n", _pieces(ld, cutoff))
+             .withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))))
+             .withColumn("first", first).withColumn("size", size))
+    ops, longer = _operations(lq + ld, cutoff), lq - ld
+    low = F.greatest(F.lit(0), F.col("first") - F.floor((ops - longer) / 2).cast("int"))
+    high = F.least(lq - F.col("size"), F.col("first") + F.floor((ops + longer) / 2).cast("int"))
+    places = F.when((n > 0) & (low <= high), F.sequence(low, high)).when(n == 0, F.array(F.lit(0)))
+    names = names.where((n == 0) | (low <= high)).withColumn("at", F.explode(places)).select(
+        "q", "ld", "k", F.when(n > 0, F.substring(F.col("q"), F.col("at") + 1, F.col("size"))).otherwise("").alias("piece")
+    ).distinct()
+    return names.join(entries, ["ld", "k", "piece"]).select("q", "d").distinct()
 
 
 def fuzzy_match(names: DataFrame, name_col: str, dictionary: DataFrame, cutoff: float,
@@ -70,20 +107,12 @@ def fuzzy_match(names: DataFrame, name_col: str, dictionary: DataFrame, cutoff:
         F.col("q").isNotNull() & (F.col("q") != "")).distinct()
     d = dictionary.select(F.col(dict_col).alias("d")).filter(
         F.col("d").isNotNull() & (F.col("d") != "")).distinct()
-    # Global token order: rare first by frequency in the dictionary.
-    d_toks = d.select("d", F.explode(_tokens(F.col("d"))).alias("token"))
-    order = d_toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).select(
-        "token", F.row_number().over(Window.orderBy("freq", "token")).alias("rank"))
-    qp = _prefix_tokens(q, "q", order, cutoff)
-    dp = _prefix_tokens(d, "d", order, cutoff)
-    pairs = qp.join(maybe_broadcast(dp, DEFAULT_BROADCAST_ROWS * 10), "token") \
-        .select("q", "d").distinct()
+    pairs = candidate_pairs(q, d, cutoff)
     lq, ld = F.length("q"), F.length("d")
-    pairs = pairs.filter(F.lit(2.0) * F.least(lq, ld) / (lq + ld) >= F.lit(cutoff - 1e-12))
-    # Marked non-deterministic only so that the filter on the score is not
-    # pushed below the projection, which would run the Python ratio twice.
-    ratio = difflib_ratio.asNondeterministic()
-    scored = pairs.withColumn("score", ratio(F.col("d"), F.col("q"))) \
+    shared = F.size(F.array_intersect(_bag(F.col("q")), _bag(F.col("d"))))
+    pairs = pairs.filter(F.lit(2.0) * F.least(lq, ld) / (lq + ld) >= F.lit(cutoff - EPS)) \
+        .filter(F.lit(2.0) * shared / (lq + ld) >= F.lit(cutoff - EPS))
+    scored = pairs.withColumn("score", _ratio_udf(cutoff)(F.col("d"), F.col("q"))) \
         .filter(F.col("score") >= F.lit(cutoff))
     best = scored.groupBy("q").agg(F.max(F.struct("score", "d")).alias("b"))
     return q.join(best, "q", "left").select(

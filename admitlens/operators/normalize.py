@@ -34,24 +34,26 @@ from admitlens.functions.text import (
 from admitlens.operators.fuzzy import fuzzy_match
 from admitlens.session import maybe_broadcast
 
-MAX_RULES = 1000
+RULES_PER_CASE = 200
 
 
 # ------------------------------------------------------------------ N3
 def expand_abbreviation(c: Column, rules: list[tuple[str, str]] = ABBREV_UNI) -> Column:
     """Ordered full-match regex table, first hit wins, else unchanged.
-    Rules are a bounded list compiled into one CASE expression."""
-    if len(rules) > MAX_RULES:
-        raise ValueError("rule table too large for a single expression")
+    Each list compiles into a CASE expression; long ones into a chain of them,
+    since generated code is bounded in size."""
     if not rules:
         return c
 
     def chain(x: Column) -> Column:
-        out = None
-        for pattern, replacement in rules:
-            cond = x.rlike(f"^(?:{pattern})\\z")
-            out = F.when(cond, F.lit(replacement)) if out is None else out.when(cond, F.lit(replacement))
-        return out.otherwise(x)
+        parts = []
+        for a in range(0, len(rules), RULES_PER_CASE):
+            out = None
+            for pattern, replacement in rules[a:a + RULES_PER_CASE]:
+                cond = x.rlike(f"^(?:{pattern})\\z")
+                out = F.when(cond, F.lit(replacement)) if out is None else out.when(cond, F.lit(replacement))
+            parts.append(out)
+        return F.coalesce(*parts, x)
 
     return let(c, chain)
 
@@ -113,7 +115,7 @@ def _dictionary_step(df: DataFrame, pre_col: str, out_col: str, dictionary: Data
     res = F.col("_norm")
     if empty_value is not None:
         res = F.when(res == "", F.lit(empty_value)).otherwise(res)
-    out = df.join(maybe_broadcast(mapping), pre_col, "left")
+    out = df.join(mapping, pre_col, "left")
     return out.withColumn(out_col, res).drop(pre_col, "_norm")
 
 
@@ -169,11 +171,6 @@ def build_prompts(df: DataFrame, university_col: str, program_col: str,
 InferFn = Callable[[pd.DataFrame], pd.Series]
 
 
-def _identity_answer(u: Column, p: Column) -> Column:
-    return F.to_json(F.struct(p.alias("standardized_program"),
-                              u.alias("standardized_university")))
-
-
 def enrich(df: DataFrame, university_col: str = "university", program_col: str = "program",
            infer_fn: InferFn | None = None, program_dict: DataFrame | None = None,
            university_dict: DataFrame | None = None) -> DataFrame:
@@ -182,15 +179,20 @@ def enrich(df: DataFrame, university_col: str = "university", program_col: str =
 
     Per distinct (university, program) pair: the model's answer (``infer_fn``:
     pandas DataFrame with columns university, program, messages -> Series of
-    answer texts, run in mapInPandas; default: the pair itself as the answer),
-    read by N11 when it holds a JSON object, else the rule split N2 of the
-    program text; then N9 / N10."""
+    answer texts, run in mapInPandas), read by N11 when it holds a JSON object,
+    else the rule split N2 of the program text. Without a model the pair itself,
+    or the rule split where there is no university. Then N9 / N10."""
     u_key, p_key = "_en_u", "_en_p"
     keyed = df.withColumn(u_key, F.coalesce(F.col(university_col).cast("string"), F.lit(""))) \
         .withColumn(p_key, F.coalesce(F.col(program_col).cast("string"), F.lit("")))
     pairs = keyed.select(u_key, p_key).distinct()
     if infer_fn is None:
-        answered = pairs.withColumn("_answer", _identity_answer(F.col(u_key), F.col(p_key)))
+        # No model: the pair itself, or the rule split where there is no university.
+        split = split_program_university(F.col(p_key))
+        no_uni = F.trim(F.col(u_key)) == ""
+        parsed = pairs.withColumn("_fb", split).select(
+            u_key, p_key, F.when(no_uni, F.col("_fb.program")).otherwise(F.col(p_key)).alias("_sp"),
+            F.when(no_uni, F.col("_fb.university")).otherwise(F.col(u_key)).alias("_su"))
     else:
         prompts = build_prompts(pairs, u_key, p_key)
 
@@ -203,16 +205,15 @@ def enrich(df: DataFrame, university_col: str = "university", program_col: str =
                 yield out
 
         answered = prompts.mapInPandas(run, f"{u_key} string, {p_key} string, _answer string")
-    parsed = answered.withColumn("_js", json_from_chatter(F.col("_answer"))) \
-        .withColumn("_fb", split_program_university(F.col(p_key)))
-    std = parsed.select(
-        u_key, p_key,
-        F.when(F.col("_js.ok"), F.col("_js.program")).otherwise(F.col("_fb.program"))
-        .alias("_sp"),
-        F.when(F.col("_js.ok"), F.col("_js.university")).otherwise(F.col("_fb.university"))
-        .alias("_su"))
+        read = answered.withColumn("_js", json_from_chatter(F.col("_answer"))) \
+            .withColumn("_fb", split_program_university(F.col(p_key)))
+        ok = F.col("_js.ok")
+        parsed = read.select(
+            u_key, p_key, F.when(ok, F.col("_js.program")).otherwise(F.col("_fb.program")).alias("_sp"),
+            F.when(ok, F.col("_js.university")).otherwise(F.col("_fb.university")).alias("_su"))
+    std = parsed
     std = normalize_program(std, "_sp", program_dict, out_col="llm_generated_program")
     std = normalize_university(std, "_su", university_dict, out_col="llm_generated_university")
     std = std.drop("_sp", "_su")
     base = keyed.drop("llm_generated_program", "llm_generated_university")
-    return base.join(maybe_broadcast(std), [u_key, p_key], "left").drop(u_key, p_key)
+    return base.join(std, [u_key, p_key], "left").drop(u_key, p_key)

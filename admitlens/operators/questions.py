@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from admitlens.fixed_values import (
     DEFAULT_LIMIT,
+    MAX_LIMIT,
     DEFAULT_TERM,
     DEFAULT_YEARS,
     TOP_SCHOOL_PATTERNS,
@@ -127,8 +128,9 @@ def top_school_acceptances_std(df: DataFrame, schools: list[str] | None = None,
 
 def rejection_rate_by_term(df: DataFrame, years: list[str] | None = None,
                            degree: str = "%PhD%", status: str = "Rejected",
-                           limit=DEFAULT_LIMIT) -> DataFrame:
-    """Q10: per term: total, rejections, pct; term descending; capped."""
+                           limit=DEFAULT_LIMIT, max_limit: int | None = MAX_LIMIT) -> DataFrame:
+    """Q10: per term: total, rejections, pct; term descending; capped at
+    ``limit``, itself at most ``max_limit`` (None: no ceiling)."""
     years = years or DEFAULT_YEARS
     return (df.filter(F.col("degreeType").ilike(degree)
                       & _any_like(F.col("semester"), [f"%{y}%" for y in years]))
@@ -137,19 +139,20 @@ def rejection_rate_by_term(df: DataFrame, years: list[str] | None = None,
                  F.count_if(F.col("status") == status).alias("rejections"))
             .withColumn("rejection_pct", pct(F.col("rejections"), F.col("total")))
             .orderBy(F.col("semester").desc_nulls_first())
-            .limit(clamp_limit(limit)))
+            .limit(clamp_limit(limit, max_limit)))
 
 
 def gpa_by_outcome(df: DataFrame, year: str = "2026", degree: str = "%PhD%",
                    statuses: tuple[str, ...] = ("Accepted", "Rejected"),
-                   limit=DEFAULT_LIMIT) -> DataFrame:
-    """Q11: per status: count and average GPA of rows with a GPA; capped."""
+                   limit=DEFAULT_LIMIT, max_limit: int | None = MAX_LIMIT) -> DataFrame:
+    """Q11: per status: count and average GPA of rows with a GPA; capped at
+    ``limit``, itself at most ``max_limit`` (None: no ceiling)."""
     return (df.filter(F.col("degreeType").ilike(degree) & F.col("semester").like(f"%{year}%")
                       & F.col("status").isin(*statuses) & F.col("gpa").isNotNull())
             .groupBy("status")
             .agg(F.count(F.lit(1)).alias("total"), round2(F.avg("gpa")).alias("avg_gpa"))
             .orderBy(F.col("status").asc_nulls_last())
-            .limit(clamp_limit(limit)))
+            .limit(clamp_limit(limit, max_limit)))
 
 
 # ------------------------------------------------------------ Q12 / Q13
@@ -185,7 +188,7 @@ def scalar_bundle(df: DataFrame, term: str = DEFAULT_TERM) -> DataFrame:
     )
 
 
-def run_all(df: DataFrame, limit=DEFAULT_LIMIT) -> DataFrame:
+def run_all(df: DataFrame, limit=DEFAULT_LIMIT, max_limit: int | None = MAX_LIMIT) -> DataFrame:
     """Q13: every answer as one long frame (question, row_no, label, metric, value).
 
     Three jobs: the bundle (one scan) and the two grouped questions. The
@@ -226,3 +229,16 @@ def answer_set(df: DataFrame, questions=None) -> dict[str, DataFrame]:
     """A replaceable question set: name -> (applicants DataFrame -> answer
     DataFrame). Defaults to the eleven questions."""
     return {name: fn(df) for name, fn in (questions or QUESTIONS).items()}
+
+
+def answer_until_failure(df: DataFrame, questions=None) -> tuple[dict[str, list], str | None]:
+    """Q13, strict: the questions one after the other; the first that fails ends
+    it. Returns the answers given so far (rows of each tiny answer frame) and
+    which question failed why, or None."""
+    done: dict[str, list] = {}
+    for name, fn in (questions or QUESTIONS).items():
+        try:
+            done[name] = [tuple(r) for r in fn(df).collect()]
+        except Exception as e:  # noqa: BLE001 - reported, with what was computed before
+            return done, f"{name}: {type(e).__name__}: {e}"
+    return done, None

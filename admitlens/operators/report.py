@@ -13,9 +13,9 @@ from admitlens.functions.numbers import clamp_limit
 
 
 def order_limit(df: DataFrame, order: list[Column], limit) -> DataFrame:
-    """Sort then cut (top-k). The cut is clamped to 1..100, so the plan is
-    a TakeOrderedAndProject (per-partition top-k, then a tiny merge)."""
-    return df.orderBy(*order).limit(clamp_limit(limit))
+    """Sort then cut (top-k): a TakeOrderedAndProject (per-partition top-k,
+    then a merge). The caller's limit stands as given; at least 1."""
+    return df.orderBy(*order).limit(clamp_limit(limit, None))
 
 
 def _label_map() -> Column:
@@ -83,8 +83,7 @@ def report_json(answers: DataFrame) -> DataFrame:
         .otherwise(F.element_at(F.col("ps.piece"), 1))
     entries = per_q.select(
         F.regexp_extract("question", r"(\d+)", 1).cast("int").alias("n"),
-        F.concat(F.to_json(F.array("question")).substr(2, 1 << 20).substr(1, 1 << 20),
-                 F.lit("")).alias("k"), body.alias("body"))
+        F.substring(F.to_json(F.array("question")), F.lit(2), F.length(F.to_json(F.array("question")))).alias("k"), body.alias("body"))
     entries = entries.select("n", F.concat(
         F.regexp_replace("k", r"\]$", ""), F.lit(":"), F.col("body")).alias("kv"))
     return entries.agg(F.concat(

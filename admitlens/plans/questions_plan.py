@@ -182,3 +182,16 @@ def q_format_report(spark, sf):
 def q_report_json(spark, sf):
     """Rows-only check here; parsed back against the answers in the tests."""
     return R.report_json(Q.run_all(_av(spark, sf)))
+
+
+@register("answer_set", with_av("""
+SELECT 'rows' AS question, COUNT(*) AS value FROM av
+UNION ALL SELECT 'phd', COUNT(*) FROM av WHERE degreeType = 'PhD'
+UNION ALL SELECT 'q1', COUNT(*) FROM av WHERE semester = 'Fall 2026'"""))
+def q_answer_set(spark, sf):
+    """A question set of the user's own beside one of the eleven."""
+    own = {"rows": lambda df: df.agg(F.count(F.lit(1)).alias("value")),
+           "phd": lambda df: df.filter(F.col("degreeType") == "PhD").agg(F.count(F.lit(1)).alias("value")),
+           "q1": lambda df: Q.term_count(df).toDF("value")}
+    answers = [a.select(F.lit(name).alias("question"), "value") for name, a in Q.answer_set(_av(spark, sf), own).items()]
+    return answers[0].unionByName(answers[1]).unionByName(answers[2])

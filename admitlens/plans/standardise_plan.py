@@ -142,42 +142,73 @@ def q_canonical_lookup(spark, sf):
 # ----------------------------------------------------------------- N8
 def _typo(c):
     """Drop the second character (a typical typo) of every third name."""
-    return F.concat(F.substring(c, 1, 1), F.substring(c, 3, 1 << 20))
+    return F.concat(F.substring(c, 1, 1), F.substring(c, F.lit(3), F.length(c)))
 
 
-@register("fuzzy_match")
+# Names of real cardinality: 32 random letters per customer, so that the best
+# entry of a name is known: a name with a letter dropped is 31 of 32 letters its
+# own entry's and no other's.
+_CODE_SQL = "translate(md5({0}), '0123456789', 'ghijklmnop')"
+_C = _CODE_SQL.format("CAST(c_custkey AS VARCHAR)")
+_STRANGE = _CODE_SQL.format("'x' || CAST(c_custkey AS VARCHAR)")
+_CASE = "CASE c_custkey % 3 WHEN 0 THEN 'typo' WHEN 1 THEN 'same' ELSE 'strange' END"
+
+
+def _code(c):
+    return F.translate(F.md5(c.cast("binary")), "0123456789", "ghijklmnop")
+
+
+def _coded(spark, sf):
+    """(c_custkey, entry, query): a typo, the entry itself, or a strange name."""
+    key = F.col("c_custkey").cast("string")
+    c = read_table(spark, sf, "customer").select("c_custkey", _code(key).alias("entry"),
+                                                 _code(F.concat(F.lit("x"), key)).alias("strange"))
+    v = F.col("c_custkey") % 3
+    return c.select("c_custkey", "entry", F.when(v == 0, _typo(F.col("entry"))).when(v == 1, F.col("entry"))
+                    .otherwise(F.col("strange")).alias("query"))
+
+
+@register("fuzzy_match", f"""
+SELECT c_custkey, CASE {_CASE} WHEN 'typo' THEN left({_C}, 1) || substr({_C}, 3) WHEN 'same' THEN {_C} ELSE {_STRANGE} END AS query,
+  CASE {_CASE} WHEN 'strange' THEN NULL ELSE {_C} END AS match,
+  CASE {_CASE} WHEN 'typo' THEN CAST(62 AS DOUBLE) / 63 WHEN 'same' THEN CAST(1 AS DOUBLE) END AS score
+FROM customer""")
 def q_fuzzy_match(spark, sf):
-    """Rows-only in the driver (no Ratcliff–Obershelp in SQL); checked against
-    stdlib difflib in tests/test_fuzzy.py."""
-    p = read_table(spark, sf, "part").select("p_partkey", "p_name")
-    queries = p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, _typo(F.col("p_name")))
-                       .otherwise(F.concat(F.col("p_name"), F.lit("s"))).alias("query"))
-    d = p.select(F.col("p_name").alias("name"))
-    m = fuzzy_match(queries, "query", d, 0.84)
-    return queries.join(m, "query", "left").select("p_partkey", "query", "match", "score")
+    c = _coded(spark, sf)
+    m = fuzzy_match(c, "query", c.select(F.col("entry").alias("name")), 0.84)
+    return c.join(m, "query", "left").select("c_custkey", "query", "match", "score")
 
 
 # ----------------------------------------------------------------- N9 / N10
-@register("normalize_program")
+def _title(c):
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
+
+
+def _titled_sql(x: str) -> str:
+    return f"upper(left({x}, 1)) || substr({x}, 2)"
+
+
+_NORMAL_SQL = f"""
+SELECT c_custkey, CASE {_CASE} WHEN 'strange' THEN {_titled_sql(_STRANGE)} ELSE {_titled_sql(_C)} END AS name FROM customer
+"""
+
+
+@register("normalize_program", _NORMAL_SQL)
 def q_normalize_program(spark, sf):
-    """Programs with typos against a dictionary of the clean program names."""
-    r = applicant_records(spark, sf).select("p_id", "raw_program")
-    k = F.col("p_id")
-    noisy = F.when(k % 3 == 0, _typo(F.col("raw_program"))) \
-        .when(k % 3 == 1, F.lower(F.col("raw_program"))).otherwise(F.col("raw_program"))
-    dictionary = r.select(F.col("raw_program").alias("name"))
-    return N.normalize_program(r.select("p_id", noisy.alias("program")), "program", dictionary)
+    """Lower-case names with typos against a dictionary of title-case names."""
+    c = _coded(spark, sf)
+    return N.normalize_program(c.select("c_custkey", F.concat(F.lit("  "), F.col("query")).alias("name")), "name",
+                               c.select(_title(F.col("entry")).alias("name")))
 
 
-@register("normalize_university")
+@register("normalize_university", _NORMAL_SQL.replace("SELECT c_custkey, CASE", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'Unknown' ELSE CASE")
+          .replace(" END AS name", " END END AS name"))
 def q_normalize_university(spark, sf):
-    r = applicant_records(spark, sf).select("p_id", "university", "llm_generated_university")
-    k = F.col("p_id")
-    noisy = F.when(k % 3 == 0, _typo(F.col("university"))) \
-        .when(k % 3 == 1, F.upper(F.col("university"))).otherwise(F.col("university"))
-    dictionary = r.select(F.col("llm_generated_university").alias("name"))
-    return N.normalize_university(r.select("p_id", noisy.alias("university")), "university",
-                                  dictionary)
+    """The same in capitals, and some without a name."""
+    c = _coded(spark, sf)
+    name = F.when(F.col("c_custkey") % 7 == 0, F.lit(" ")).otherwise(F.upper(F.col("query")))
+    return N.normalize_university(c.select("c_custkey", name.alias("name")), "name",
+                                  c.select(_title(F.col("entry")).alias("name")))
 
 
 # ----------------------------------------------------------------- N11
@@ -233,11 +264,38 @@ def q_build_prompts(spark, sf):
 
 # ----------------------------------------------------------------- N13
 @register("enrich", with_av("""
-SELECT p_id, raw_program AS program, university, raw_program AS llm_generated_program,
+SELECT p_id, CASE WHEN p_id % 4 = 0 THEN raw_program || ', ' || university ELSE raw_program END AS program,
+  CASE WHEN p_id % 4 = 0 THEN NULL ELSE university END AS university, raw_program AS llm_generated_program,
   CASE WHEN university = 'MIT' THEN 'Mit' ELSE university END AS llm_generated_university
 FROM av_rec"""))
 def q_enrich(spark, sf):
-    """Rules path (no model, no dictionary) over every AV record."""
-    r = applicant_records(spark, sf).select("p_id", F.col("raw_program").alias("program"),
-                                            "university")
+    """Rules path (no model, no dictionary) over every AV record; in every fourth
+    the program text holds the university, which the rules split off."""
+    r = applicant_records(spark, sf)
+    joint = F.col("p_id") % 4 == 0
+    r = r.select("p_id", F.when(joint, F.concat_ws(", ", "raw_program", "university")).otherwise(F.col("raw_program")).alias("program"),
+                 F.when(~joint, F.col("university")).alias("university"))
     return N.enrich(r, "university", "program")
+
+
+@register("enrich_model", with_av("""
+SELECT p_id, CASE WHEN p_id % 3 = 0 THEN raw_program ELSE 'Model Of ' || raw_program END AS llm_generated_program,
+  CASE WHEN p_id % 3 = 0 THEN 'Unknown' WHEN university = 'MIT' THEN 'Mit' ELSE university END AS llm_generated_university
+FROM (SELECT *, row_number() OVER () FROM av_rec) r"""))
+def q_enrich_model(spark, sf):
+    """A deterministic user function as the model; where it answers no JSON
+    object the rules split the program text, which holds no university."""
+    r = applicant_records(spark, sf)
+    r = r.select("p_id", F.concat(F.col("raw_program"), F.when(F.col("p_id") % 3 == 0, F.lit(" ")).otherwise(F.lit(""))).alias("program"),
+                 "university")
+
+    def infer(frame):
+        import json
+
+        import pandas as pd
+
+        return pd.Series(["I cannot tell." if p.endswith(" ") else
+                          "Here: " + json.dumps({"standardized_program": "model of " + p, "standardized_university": u})
+                          for u, p in zip(frame["university"], frame["program"])])
+
+    return N.enrich(r, "university", "program", infer).select("p_id", "llm_generated_program", "llm_generated_university")

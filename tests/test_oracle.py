@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from admitlens.plans import registry
 from helpers import rows_key
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -16,8 +17,9 @@ SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType
                  "StringType()": "VARCHAR", "DateType()": "DATE", "BooleanType()": "BOOLEAN",
                  "TimestampNTZType()": "TIMESTAMP"}
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+entry.queries()      # imports every plan
+QUERIES = dict(registry.QUERIES)
+ORACLE = dict(registry.ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
