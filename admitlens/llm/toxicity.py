@@ -29,6 +29,7 @@ from admitlens.llm.contamination import words_of
 MAX_EXAMPLES = 20_000    # labelled examples used, by a seeded hash (a bound on the fit)
 MAX_TERMS = 4_000        # terms that span the space, by significance
 CHANCE = 0.05            # expected terms taken by chance
+LIFT = 8.0               # least ratio of a term's rates under label 1 and label 0
 STEMS = range(4, 9)      # bytes at the start of a longer word that make stem terms
 NEIGHBOURS = 15
 PRIOR = 0.5              # weight of the prior in a vote
@@ -87,12 +88,15 @@ class Index:
         self.labels = np.array([r[1] for r in rows], dtype=np.float64)
         blocks = -(-len(rows) // BLOCK)
         self.peak = np.zeros((len(self.at), blocks), dtype=np.float64)
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for e, (_, _, ids, v) in enumerate(rows):
-            for t, w in zip(ids, v):
-                postings.setdefault((t, e // BLOCK), []).append((e % BLOCK, w))
-                self.peak[t, e // BLOCK] = max(self.peak[t, e // BLOCK], w)
-        self.postings = {k: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for k, v in postings.items()}
+        self.postings = []                       # per block: its terms, weights[example, term]
+        for b in range(blocks):
+            part = rows[b * BLOCK:(b + 1) * BLOCK]
+            terms = np.array(sorted({t for r in part for t in r[2]}), dtype=np.int64)
+            w = np.zeros((len(part), len(terms)))
+            for i, (_, _, ids, v) in enumerate(part):
+                w[i, np.searchsorted(terms, ids)] = v
+            self.postings.append((terms, w))
+            self.peak[terms, b] = w.max(axis=0)
         return self
 
     def nearest(self, ids: tuple[int, ...], v: np.ndarray, k: int, without: int | None = None):
@@ -100,15 +104,14 @@ class Index:
         if not len(ids) or not len(self.ids):
             return np.empty(0), np.empty(0, dtype=np.int64)
         bound = v @ self.peak[list(ids)]
+        query = np.zeros(len(self.at))
+        query[list(ids)] = v
         best_s, best_e = np.empty(0), np.empty(0, dtype=np.int64)
         for b in np.lexsort((np.arange(len(bound)), -bound)):
             if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
                 break
-            s = np.zeros(BLOCK)
-            for t, w in zip(ids, v):
-                p = self.postings.get((t, int(b)))
-                if p is not None:
-                    s[p[0]] += w * p[1]
+            terms, w = self.postings[b]
+            s = w @ query[terms]
             e = np.flatnonzero(s > 0)
             s, e = s[e], e + b * BLOCK
             if without is not None:
@@ -192,8 +195,10 @@ def _telling_terms(sample: DataFrame, n: int, ones: int, max_terms: int) -> list
     both = (a + b) / n
     g = (part(a, F.lit(float(ones)), both) + part(b, F.lit(float(zeros)), both)
          + part(ones - a, F.lit(float(ones)), 1 - both) + part(zeros - b, F.lit(float(zeros)), 1 - both))
-    # Only terms of the rarer label's side: absence of the others tells as much.
-    rows = (counted.withColumn("g", g).where((F.col("g") > math.log(tried / CHANCE)) & (a / ones > b / zeros))
+    # Terms that speak for label 1; in long texts small differences of common
+    # words are many and tell nothing.
+    lift = (a + 0.5) / ones >= F.lit(LIFT) * (b + 0.5) / zeros
+    rows = (counted.withColumn("g", g).where((F.col("g") > math.log(tried / CHANCE)) & lift)
             .orderBy(F.desc("g"), "term").limit(max_terms).collect())
     return sorted(bytes(r["term"]) for r in rows)
 
@@ -268,18 +273,14 @@ def _calibrate(spark, index: Index, bare: list[int]) -> None:
 
         def run(batches):
             ix = cloudpickle.loads(shared.value)
-            rows: dict[int, list[tuple[int, float]]] = {}
-            for batch in batches:
-                blocks = {int(x) for x in batch.column(0).to_numpy()}
-                for (t, b), (p, w) in ix.postings.items():
-                    if b in blocks:
-                        for i, x in zip(p, w):
-                            rows.setdefault(b * BLOCK + int(i), []).append((t, x))
             out = Counter()
-            for e, tw in rows.items():
-                tw.sort()
-                s, near = ix.nearest(tuple(t for t, _ in tw), np.array([x for _, x in tw]), NEIGHBOURS, e)
-                out[(ix.bin(ix.vote(s, near), not len(s)), int(ix.labels[e]))] += 1
+            for batch in batches:
+                for b in batch.column(0).to_pylist():
+                    terms, w = ix.postings[b]
+                    for i in range(len(w)):
+                        has = np.flatnonzero(w[i])
+                        s, near = ix.nearest(tuple(terms[has].tolist()), w[i, has], NEIGHBOURS, b * BLOCK + i)
+                        out[(ix.bin(ix.vote(s, near), not len(s)), int(ix.labels[b * BLOCK + i]))] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()),
                  pa.array(list(out.values()), pa.int64())], ["bin", "y", "n"])
