@@ -65,37 +65,44 @@ def _shortest(length: Column, cutoff: float) -> Column:
     return F.greatest(F.ceil(length * F.lit(cutoff / (2.0 - cutoff)) - F.lit(EPS)).cast("int"), F.lit(1))
 
 
-def _pieces(ld: Column, cutoff: float) -> Column:
-    """Number of pieces of an entry of length ``ld``: one more than operations.
-    A cut-off so low that there are more pieces than characters leaves one empty
-    piece, which every name of a fitting length holds."""
-    n = _operations(ld + _longest(ld, cutoff), cutoff) + 1
-    return F.when(n <= ld, n).otherwise(0)
+def _fitting(df: DataFrame, col: str) -> list[int]:
+    """Distinct lengths of a column: no more than the longest string has letters."""
+    return sorted(r["n"] for r in df.select(F.length(col).alias("n")).distinct().collect())
 
 
 def candidate_pairs(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
-    """(q, d): every pair of names that can reach the cut-off, few others."""
-    dd = d.withColumn("ld", F.length("d")).withColumn("n", _pieces(F.col("ld"), cutoff))
-    k, n, ld = F.col("k"), F.col("n"), F.col("ld")
-    some = F.greatest(n, F.lit(1))
-    first = F.floor(k * ld / some).cast("int")
-    size = F.floor((k + 1) * ld / some).cast("int") - first
-    entries = dd.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))).select(
-        "d", "ld", "k", F.when(n > 0, F.substring(F.col("d"), first + 1, size)).otherwise("").alias("piece"))
-    lq = F.col("lq")
-    names = (q.withColumn("lq", F.length("q"))
-             .withColumn("ld", F.explode(F.sequence(_shortest(lq, cutoff), _longest(lq, cutoff))))
-             .withColumn("n", _pieces(ld, cutoff))
-             .withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))))
-             .withColumn("first", first).withColumn("size", size))
+    """(q, d): every pair of names that can reach the cut-off, few others.
+
+    For each pair of lengths that occurs and can reach it, entries are cut into
+    one piece more than the operations it allows; where that is more pieces than
+    letters (a very low cut-off), pairs of those lengths meet by length alone."""
+    ld, lq, k = F.col("ld"), F.col("lq"), F.col("k")
+    n = F.col("n")
+
+    def lengths(of: list[int], own: Column) -> Column:
+        low, high = _shortest(own, cutoff), _longest(own, cutoff)
+        return F.filter(F.array(*[F.lit(x) for x in of]).cast("array<int>"), lambda x: (x >= low) & (x <= high))
+
+    def cut(df: DataFrame) -> DataFrame:
+        ops = _operations(lq + ld, cutoff)
+        df = df.withColumn("n", F.when(ops < ld, ops + 1).otherwise(0))
+        df = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))))
+        some = F.greatest(n, F.lit(1))
+        return df.withColumn("first", F.floor(k * ld / some).cast("int")).withColumn(
+            "size", F.when(n > 0, F.floor((k + 1) * ld / some).cast("int") - F.col("first")).otherwise(0))
+
+    entries = cut(d.withColumn("ld", F.length("d")).withColumn("lq", F.explode(lengths(_fitting(q, "q"), ld)))).select(
+        "d", "ld", "lq", "k", F.substring(F.col("d"), F.col("first") + 1, F.col("size")).alias("piece"))
+    names = cut(q.withColumn("lq", F.length("q")).withColumn("ld", F.explode(lengths(_fitting(d, "d"), lq))))
+    # Of the operations, insertions outnumber deletions by the longer name's
+    # surplus; a piece moves by those before it.
     ops, longer = _operations(lq + ld, cutoff), lq - ld
     low = F.greatest(F.lit(0), F.col("first") - F.floor((ops - longer) / 2).cast("int"))
     high = F.least(lq - F.col("size"), F.col("first") + F.floor((ops + longer) / 2).cast("int"))
-    places = F.when((n > 0) & (low <= high), F.sequence(low, high)).when(n == 0, F.array(F.lit(0)))
-    names = names.where((n == 0) | (low <= high)).withColumn("at", F.explode(places)).select(
-        "q", "ld", "k", F.when(n > 0, F.substring(F.col("q"), F.col("at") + 1, F.col("size"))).otherwise("").alias("piece")
-    ).distinct()
-    return names.join(entries, ["ld", "k", "piece"]).select("q", "d").distinct()
+    places = F.when(n == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high))
+    names = names.withColumn("at", F.explode(places)).select(
+        "q", "ld", "lq", "k", F.substring(F.col("q"), F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    return names.join(entries, ["ld", "lq", "k", "piece"]).select("q", "d").distinct()
 
 
 def fuzzy_match(names: DataFrame, name_col: str, dictionary: DataFrame, cutoff: float,
