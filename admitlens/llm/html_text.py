@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admitlens.llm.common import row_hash
+from admitlens.llm.common import row_hash, stored
 
 MANY = 50                # pages of a host that make a subtree template in any case
 FEW, SHARE = 4, 0.1      # ... or at least this many, and this share of its pages
@@ -267,8 +267,9 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("host"),
                                               pa.array(hashes, pa.list_(pa.int64()))], ["k", "host", "h"])
 
-    hashed = (pages.select("k", "host", "html").mapInArrow(run, "k long, host long, h array<long>")
-              .groupBy("k", "host").agg(F.first("h").alias("h")))
+    # Stored: pages are read for their hashes once, not for each use of them.
+    hashed = stored(pages.select("k", "host", "html").mapInArrow(run, "k long, host long, h array<long>")
+                    .groupBy("k", "host").agg(F.first("h").alias("h")), "subtrees")
     on = hashed.select("k", "host", F.explode("h").alias("h"))
     sizes = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = on.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW)
