@@ -14,6 +14,8 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -30,29 +32,36 @@ MAGIC = b"BPL1"
 CHUNK_IDS = 1 << 16      # ids in a chunk, but for a segment's last
 SEGMENT_IDS = 1 << 20    # a segment closes at the first document that ends beyond
 END_ID = 0
-CACHED_UNITS = 200_000   # encoded units a worker remembers
-ENCODE_CHARS = 1 << 20   # characters given to the tokenizer at once
+CACHED_UNITS = 1_000_000   # encoded units a worker remembers
+ENCODE_CHARS = 1 << 14   # characters given to the tokenizer at once
 
 # Unicode white space, the only place where the byte-level split looks around
 # itself: a unit is a run of other characters with the one blank before it, or a
 # run of white space without that blank.
 _SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
                            0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_UNITS = 200_000   # encoded units a worker remembers
-ENCODE_CHARS = 1 << 20   # characters given to the tokenizer at once
-
-# Unicode white space, the only place where the byte-level split looks around
-# itself: a unit is a run of other characters with the one blank before it, or a
-# run of white space without that blank.
-_SPACE = r"\t-\r \x85\xa0  -     　"
-_UNITS = 200_000   # encoded units a worker remembers
-ENCODE_CHARS = 1 << 20   # characters given to the tokenizer at once
-
-# Unicode white space, the only place where the byte-level split looks around
-# itself: a unit is a run of other characters with the one blank before it, or a
-# run of white space without that blank.
-_SPACE = r"\t-\r \x85\xa0  -     　"
-_UNITS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_LETTERS = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)))
+# Points and commas behind a letter at the end of a run are a unit of their own.
+_UNITS = re.compile(rf" ?[^{_SPACE}.,]+(?:[.,]+[^{_SPACE}.,]+)*(?:(?<![{_LETTERS}])[.,]+)?|[.,]+(?=[{_SPACE}]|\Z)"
+                    rf"| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
+# The byte-level spelling: printable bytes stand for themselves, the rest for the
+# characters from 256 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_REST = [b for b in range(256) if b not in _PRINTED]
+_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(_REST)}
+
+
+def _pieces(units: list[str], chars: int) -> Iterator[list[str]]:
+    row, size = [], 0
+    for u in units:
+        row.append(u)
+        size += len(u)
+        if size >= chars:
+            yield row
+            row, size = [], 0
+    if row:
+        yield row
 
 
 class Encoder:
@@ -73,40 +82,71 @@ class Encoder:
                         and not pre.get("add_prefix_space") and not config.get("normalizer"))
         self.added = [t["content"] for t in config.get("added_tokens", [])]
         self.memory: dict[str, bytes] = {}
-
-    def _fresh(self, texts: list[str]) -> Iterator[bytes]:
-        part, size = [], 0
-        for i, t in enumerate(texts):
-            part.append(t)
-            size += len(t)
-            if size >= ENCODE_CHARS or i == len(texts) - 1:
-                for e in self.tokenizer.encode_batch(part, add_special_tokens=False):
-                    yield np.array(e.ids, dtype="<u4").tobytes()
-                part, size = [], 0
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        for token, i in vocabulary.items():      # byte-level spelling of a blank
+            self.opens[i] = token.startswith(chr(0x120))
+        line_end = self._ids("\n")
+        self.line_end = int(line_end[0]) if len(line_end) == 1 else -1
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _remember(self, units: list[str]) -> None:
+        """Encode units many at a time. Those that open with a blank stand one
+        behind the other, and a token that opens with a blank begins the next;
+        those that open with another character stand behind line ends."""
+        memory = self.memory
+        blank, plain = [], []
+        word, model = _WORD.fullmatch, self.tokenizer.model
+        for u in units:
+            if word(u):              # one piece of the split: the model alone
+                ids = [t.id for t in model.tokenize(u.encode().decode("latin-1").translate(_BYTES))]
+                memory[u] = struct.pack(f"<{len(ids)}I", *ids)
+            elif u[0] not in _SPACE:
+                plain.append(u)
+            elif len(u) > 1 and u[0] == " " and u[1] not in _SPACE:
+                blank.append(u)
+            else:
+                memory[u] = self._ids(u).tobytes()
+        for row, ends in ((blank, None), (plain, "\n")):
+            for some in _pieces(row, ENCODE_CHARS):
+                if ends is None:
+                    ids = self._ids("".join(some))
+                    cuts, skip = 4 * np.flatnonzero(self.opens[ids]), 0
+                else:
+                    ids = self._ids(ends + ends.join(some))
+                    cuts, skip = 4 * np.flatnonzero(ids == self.line_end), 4
+                if len(cuts) == len(some):
+                    data, cuts = ids.tobytes(), cuts.tolist()
+                    for u, a, b in zip(some, cuts, [*cuts[1:], len(data)]):
+                        memory[u] = data[a + skip:b]
+                else:
+                    memory.update((u, self._ids(u).tobytes()) for u in some)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.by_unit or any(a in text for a in self.added):
-            return next(self._fresh([text]), b"")
+            return self._ids(text).tobytes()
         units = _UNITS.findall(text)
         memory = self.memory
-        new = {u for u in units if u not in memory}
-        if new:
+        parts = list(map(memory.get, units))
+        if None in parts:
+            new = {u for u, p in zip(units, parts) if p is None}
             if len(memory) + len(new) > CACHED_UNITS:
                 memory.clear()
-                new = set(units)
-            new = list(new)
-            memory.update(zip(new, self._fresh(new)))
-        return b"".join([memory[u] for u in units])
-
-
-_encoders: dict[str, Encoder] = {}   # one per worker process and file
+            self._remember(list(new))
+            parts = [memory[u] if p is None else p for u, p in zip(units, parts)]
+        return b"".join(parts)
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One per worker process and file: tasks that a worker runs share its memory
+    (kept beside the modules, since this package may travel by value)."""
+    kept = sys.modules.setdefault("_token_file_encoders", types.ModuleType("_token_file_encoders"))
+    if path not in kept.__dict__:
+        kept.__dict__[path] = Encoder(path)
+    return kept.__dict__[path]
 
 
 def to_planes(ids: np.ndarray, planes: str = "byte") -> list[bytes]:
@@ -127,7 +167,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(by).view("<u4").reshape(-1)
 
 
-def pack_segment(doc_ids: list, counts: list[int], ids: np.ndarray, planes: str = "bit",
+def pack_segment(doc_ids: list, counts: list[int], ids: np.ndarray, planes: str = "byte",
                  chunk_ids: int = CHUNK_IDS, level: int = 3) -> bytes:
     """The image of a segment. Header: magic, planes per chunk, ids per chunk,
     documents, chunks. Then per document its id (a null one flagged) and count;
@@ -174,7 +214,7 @@ def read_chunk(image: bytes, chunk: tuple[int, int, list[int]]) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
-                 planes: str = "bit", segment_ids: int = SEGMENT_IDS) -> None:
+                 planes: str = "byte", segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every text, append ``end_id``, write segments in ascending doc_id
     order below ``path`` (columns part, place, first, n_ids, image). Null texts
     are empty; null ids come first; rows of one id are ordered by text. Empty
