@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -22,8 +23,15 @@ LEAST_REDUCTION = 0.2
 LEAST_COVERAGE = 0.8     # of the template's words, in order
 MEMORY = 20_000          # judged blocks a task remembers
 
-#: A line is looked at if it holds one of these, whatever the case.
-CUES = re.compile(r"licen[sc]e|licen[sc]ing|copyright|warrant|permission|redistribut|public domain|spdx", re.I)
+#: A line is looked at if it holds one of these, whatever the case of ASCII letters.
+#: One pattern for Spark and Python; "MIT" and "ISC" alone are no cue (mit is a German word).
+SIGNS = (r"licen[sc]|copyright|warrant|permission|redistribut|public domain|spdx|all rights reserved|\(c\)|\u00a9"
+         r"|(?<![a-z0-9])(?:apache|gnu|[al]?gpl|mozilla|mpl|bsd|creative commons|cc[ -]by|cc0|unlicense)(?![a-z])")
+#: Words that stand in any text: the last to be taken as cue of a template.
+COMMON = frozenset("""a above all an and any are as at author be but by charge can conditions following for form free from
+    general has have if in including into is it law limitation limited made may mit must no not of on or other
+    particular permitted possible provided public purpose released retain rights shall should software subject such
+    terms that the this to under use version which with without work you your""".split())
 
 #: Short notices by which texts state a license (fixed wording; others by parameter).
 TEMPLATES = {
@@ -44,22 +52,43 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "ISC": "Released under the ISC License.",
     "Proprietary": "Copyright. All rights reserved.",
+    "All-rights-reserved": "All rights reserved.",
 }
 
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
+_SIGNS = re.compile(SIGNS, re.I | re.A)
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
+def cue_words(words: list[str]) -> set[str]:
+    """Words of a template of which every text that covers LEAST_COVERAGE of it
+    holds one: they make up more of its words than may be missing."""
+    counts, most, found = Counter(words), int((1 - LEAST_COVERAGE) * len(words) + 1e-9), set()
+    for w in sorted(counts, key=lambda w: (not _SIGNS.search(w), w in COMMON, -len(w), w)):
+        if sum(counts[x] for x in found) > most:
+            break
+        found.add(w)
+    return found
+
+
+def cues(templates: dict[str, str]) -> str:
+    """Pattern of all cues, for Spark and Python: the fixed ones and the
+    templates' own."""
+    own = set().union(*(cue_words(_WORD.findall(t.lower())) for t in templates.values()), ())
+    own = sorted({x for w in own if not _SIGNS.search(w) for x in ({w} if w.isascii() else {w, w.upper(), w.title()})})
+    return SIGNS + (rf"|(?<![a-z0-9])(?:{'|'.join(map(re.escape, own))})(?![a-z0-9])" if own else "")
+
+
+def blocks(text: str, cue: re.Pattern = _SIGNS) -> list[tuple[int, str]]:
     """(start, block) of every line with a cue; of a very long line, what stands
     around its cues, runs that touch joined."""
     out, at = [], 0
     for line in text.split("\n"):
-        cues = [m.span() for m in CUES.finditer(line)]
-        if cues and len(line) <= 4 * AROUND:
+        met = [m.span() for m in cue.finditer(line)]
+        if met and len(line) <= 4 * AROUND:
             out.append((at, line))
         else:
             runs: list[list[int]] = []
-            for a, b in cues:
+            for a, b in met:
                 a, b = max(0, a - AROUND), min(len(line), b + AROUND)
                 if runs and a <= runs[-1][1] and b - runs[-1][0] <= 4 * AROUND:
                     runs[-1][1] = b
@@ -121,24 +150,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     is named. Columns but doc_id and text are not read.
     """
     templates = dict(TEMPLATES if templates is None else templates)
+    pattern = cues(templates)
     names = ["doc_id", "block_start", "block_chars", "license", "reduction", "coverage", "missing", "added", "confirmed"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(),
              pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
 
     def run(batches):
-        scanner = Scanner(templates)
+        scanner, cue = Scanner(templates), re.compile(pattern, re.I | re.A)
         for batch in batches:
             rows = []
             for d, t in zip(batch.column(0), batch.column(1)):
-                for at, block in blocks(t.as_py() or ""):
-                    rows.append((d.as_py(), at, len(block), *scanner.judge(block)))
+                for at, block in blocks(t.as_py() or "", cue):
+                    verdict = scanner.judge(block)
+                    if verdict[-1] or _SIGNS.search(block):   # a template's word alone is no row
+                        rows.append((d.as_py(), at, len(block), *verdict))
                 if len(rows) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows), types)], names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows), types)], names)
 
-    cued = F.lower("text").rlike("licen[sc]|copyright|warrant|permission|redistribut|public domain|spdx")
-    return (docs.where(cued).select(F.col("doc_id").cast("long"), "text")
+    return (docs.where(F.col("text").rlike("(?i)" + pattern)).select(F.col("doc_id").cast("long"), "text")
             .mapInArrow(run, "doc_id long, block_start long, block_chars long, license string, reduction double, "
                              "coverage double, missing array<string>, added array<string>, confirmed boolean"))

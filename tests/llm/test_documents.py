@@ -346,6 +346,19 @@ def test_licenses_by_wording(spark, none):
     assert all(r["license"] is None for r in license_scan.scan(df, {}).collect())
 
 
+def test_every_planted_license_line_is_found(spark):
+    lines = {"All rights reserved.": "All-rights-reserved", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+             "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+             "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+             "Copyright. All rights reserved.": "Proprietary"}
+    df = spark.createDataFrame([(i, f"first\n{line}\nlast") for i, line in enumerate(lines)], "doc_id long, text string")
+    got = license_scan.scan(df).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got if r["confirmed"]) == list(enumerate(lines.values()))
+    df = spark.createDataFrame([(1, "These pages are for perusal by members only."), (2, "\u00a9 2020 Somebody")], "doc_id long, text string")
+    got = license_scan.scan(df, {"House": "These pages are for perusal by members only."}).collect()
+    assert sorted((r["doc_id"], r["confirmed"]) for r in got) == [(1, True), (2, False)]
+
+
 def test_toxicity_learns_from_labels_and_shows_evidence(spark, sf_small, docs, none):
     rng = np.random.default_rng(4)
     common = [f"w{i}" for i in range(300)]
