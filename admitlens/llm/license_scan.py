@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 LEVEL = 19
 AROUND = 400             # characters of a long line kept on either side of a cue
-LEAST_REDUCTION = 0.2
+LEAST_REDUCTION = 0.2    # of the template's own compressed size
 LEAST_COVERAGE = 0.8     # of the template's words, in order
 MEMORY = 20_000          # judged blocks a task remembers
 
@@ -108,6 +108,7 @@ class Scanner:
             level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
             dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for k, t in self.templates.items() if len(t) >= 8}
+        self.own = {k: len(self.alone.compress(self.templates[k].lower().encode())) for k in self.given}
         self.memory: dict[str, tuple] = {}
 
     def differences(self, block: str, name: str) -> tuple[float, list[str], list[str]]:
@@ -123,18 +124,19 @@ class Scanner:
 
     def judge(self, block: str) -> tuple[str | None, float, float, list[str], list[str], bool]:
         """Best template, size reduction, coverage, missing, added, confirmed.
-        Equal reductions are told apart by the wording: most words met, fewest
-        added, then by name."""
+        The reduction is a share of the template's own compressed size, so what
+        stands around a notice does not lessen it. Equal savings are told apart
+        by the wording: most words met, fewest added, then by name."""
         if block not in self.memory:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
             data = block.lower().encode("utf-8", "surrogatepass")
             size = len(self.alone.compress(data))
-            gains = sorted(((1 - len(c.compress(data)) / size, k) for k, c in self.given.items()), reverse=True)
+            gains = sorted(((size - len(c.compress(data)), k) for k, c in self.given.items()), reverse=True)
             if not gains:
                 return None, 0.0, 0.0, [], [], False
             # Sizes are whole bytes: templates within two bytes of the best tie.
-            close = [(self.differences(block, k), g, k) for g, k in gains if g >= gains[0][0] - 2.5 / size]
+            close = [(self.differences(block, k), g / self.own[k], k) for g, k in gains if g >= gains[0][0] - 2]
             (coverage, missing, added), gain, name = min(close, key=lambda x: (-x[0][0], len(x[0][2]), -x[1], x[2]))
             sure = gain >= LEAST_REDUCTION and coverage >= LEAST_COVERAGE
             self.memory[block] = (name, gain, coverage, missing, added, sure)

@@ -359,6 +359,19 @@ def test_every_planted_license_line_is_found(spark):
     assert sorted((r["doc_id"], r["confirmed"]) for r in got) == [(1, True), (2, False)]
 
 
+@pytest.mark.parametrize("around", [100, 400, 800, 5000])
+def test_text_around_a_notice_does_not_refute_it(spark, around):
+    rng = np.random.default_rng(around)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    noise = " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(around))
+    lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+             "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    df = spark.createDataFrame([(i, f"{noise[:around // 2]} {line} {noise[around // 2:around]}") for i, line in enumerate(lines)]
+                               + [(9, noise[:around] + " licence " + noise[:around])], "doc_id long, text string")
+    got = license_scan.scan(df).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got if r["confirmed"]) == list(enumerate(lines.values()))
+
+
 def test_toxicity_learns_from_labels_and_shows_evidence(spark, sf_small, docs, none):
     rng = np.random.default_rng(4)
     common = [f"w{i}" for i in range(300)]
