@@ -1,15 +1,18 @@
 """License scans by conditional compression (operator 4).
 
-A block that may be a license notice is compressed by zstandard on its own and
-again with each template as raw dictionary; the template that shrinks it most is
-the candidate, and the exact wording differences between the two, word by word,
-confirm or refute it.
+Where enough words of a template stand together, over however many lines, the
+passage is compressed by zstandard on its own and again with the template as raw
+dictionary; the reduction and the exact wording differences between the two, word
+by word, confirm or refute it. Of passages that share most of their words the one
+closest to its template stays. A line with a cue in which nothing is confirmed is
+named after the template that shrinks it most.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -33,24 +36,100 @@ COMMON = frozenset("""a above all an and any are as at author be but by charge c
     particular permitted possible provided public purpose released retain rights shall should software subject such
     terms that the this to under use version which with without work you your""".split())
 
-#: Short notices by which texts state a license (fixed wording; others by parameter).
+_GPL = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as "
+        "published by the Free Software Foundation, either version {} of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+        "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+        "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+#: Short notices by which texts state a license, headers of files and short license
+#: texts; a license may have several wordings, of any length (others by parameter).
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
-    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
-    "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+        "compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+        "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+        "language governing permissions and limitations under the License.",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the Software. THE "
+        "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        _GPL.format("General Public License", 3, "General Public License"),
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        _GPL.format("General Public License", 2, "General Public License"),
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        _GPL.format("Lesser General Public License", 3, "Lesser General Public License"),
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        _GPL.format("Affero General Public License", 3, "Affero General Public License"),
+    ],
+    "BSD-3-Clause": [
+        "Licensed under the BSD 3-Clause License.",
+        _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+                    "or promote products derived from this software without specific prior written permission. "),
+    ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License.",
+        _BSD.format(""),
+    ],
+    "MPL-2.0": [
+        "This work is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of "
+        "the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all rights to this work under CC0 1.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "ISC": "Released under the ISC License.",
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means.",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"
+        " is hereby granted, provided that the above copyright notice and this permission notice appear in "
+        "all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO "
+        "THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE"
+        " AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE"
+        " OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE.",
+    ],
     "Proprietary": "Copyright. All rights reserved.",
     "All-rights-reserved": "All rights reserved.",
 }
@@ -70,20 +149,32 @@ def cue_words(words: list[str]) -> set[str]:
     return found
 
 
-def cues(templates: dict[str, str]) -> str:
+def wordings(templates: dict[str, str | list[str]]) -> dict[tuple[str, int], str]:
+    """Templates by license and place in its list."""
+    return {(k, i): t for k in sorted(templates)
+            for i, t in enumerate([templates[k]] if isinstance(templates[k], str) else templates[k])}
+
+
+def cues(templates: dict[str, str | list[str]]) -> str:
     """Pattern of all cues, for Spark and Python: the fixed ones and the
     templates' own."""
-    own = set().union(*(cue_words(_WORD.findall(t.lower())) for t in templates.values()), ())
+    own = set().union(*(cue_words(_WORD.findall(t.lower())) for t in wordings(templates).values()), ())
     own = sorted({x for w in own if not _SIGNS.search(w) for x in ({w} if w.isascii() else {w, w.upper(), w.title()})})
     return SIGNS + (rf"|(?<![a-z0-9])(?:{'|'.join(map(re.escape, own))})(?![a-z0-9])" if own else "")
 
 
-def blocks(text: str, cue: re.Pattern = _SIGNS) -> list[tuple[int, str]]:
-    """(start, block) of every line with a cue; of a very long line, what stands
-    around its cues, runs that touch joined."""
+def _apart(a: int, b: int, taken: list[tuple[int, int]]) -> bool:
+    return all(b <= x or y <= a for x, y in taken)
+
+
+def blocks(text: str, taken: list[tuple[int, int]] = ()) -> list[tuple[int, str]]:
+    """(start, block) of every line with a cue that is not taken; of a very long
+    line, what stands around its cues, runs that touch joined."""
     out, at = [], 0
     for line in text.split("\n"):
-        met = [m.span() for m in cue.finditer(line)]
+        met = [m.span() for m in _SIGNS.finditer(line)]
+        if met and taken:
+            met = [(a, b) for a, b in met if _apart(at + a, at + b, taken)]
         if met and len(line) <= 4 * AROUND:
             out.append((at, line))
         else:
@@ -99,34 +190,131 @@ def blocks(text: str, cue: re.Pattern = _SIGNS) -> list[tuple[int, str]]:
     return out
 
 
+def _bounds(text: str, first: int, last: int) -> tuple[int, int]:
+    """The lines over which text[first:last] goes; of a very long line, what
+    stands around it."""
+    a, b = text.rfind("\n", 0, first) + 1, text.find("\n", last)
+    b = len(text) if b < 0 else b
+    if b - a > 4 * AROUND + last - first:
+        a, b = max(a, first - AROUND), min(b, last + AROUND)
+    return a, b
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
-        self.templates = {k: templates[k] for k in sorted(templates)}
+    def __init__(self, templates: dict[str, str | list[str]]):
+        self.templates = wordings(templates)
         self.words = {k: _WORD.findall(t.lower()) for k, t in self.templates.items()}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.vocabulary = set().union(*self.counts.values(), ())
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
         self.given = {k: zstandard.ZstdCompressor(
             level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
             dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for k, t in self.templates.items() if len(t) >= 8}
         self.own = {k: len(self.alone.compress(self.templates[k].lower().encode())) for k in self.given}
-        self.memory: dict[str, tuple] = {}
+        self.memory: dict[tuple, tuple] = {}
 
-    def differences(self, block: str, name: str) -> tuple[float, list[str], list[str]]:
-        """Share of the template's words met in order, those missing, and words
-        that stand between them but not in the template."""
-        have, want = _WORD.findall(block.lower()), self.words[name]
+    def differences(self, have: list[str], name: tuple[str, int]) -> tuple[float, list[str], list[str], list[int]]:
+        """Share of the template's words met in order, those missing, words that
+        stand between them but not in the template, and the places of those met."""
+        want = self.words[name]
         ops = difflib.SequenceMatcher(None, want, have, autojunk=False).get_opcodes()
-        same = [o for o in ops if o[0] == "equal"]
+        met = [i for t, _, _, a, b in ops if t == "equal" for i in range(a, b)]
         missing = [w for t, a, b, _, _ in ops if t in ("delete", "replace") for w in want[a:b]]
-        first, last = (same[0][3], same[-1][4]) if same else (0, 0)
+        first, last = (met[0], met[-1] + 1) if met else (0, 0)
         added = [w for t, _, _, a, b in ops if t in ("insert", "replace") and first <= a and b <= last for w in have[a:b]]
-        return 1 - len(missing) / max(1, len(want)), missing, added
+        return 1 - len(missing) / max(1, len(want)), missing, added, met
+
+    def dense(self, name: tuple[str, int], words: list[str], places: list[int]) -> list[tuple[int, int]]:
+        """Ranges of words with enough of the template's words in one of its
+        windows (any order): no other can cover LEAST_COVERAGE of it there.
+        ``places`` are those of the template's words."""
+        counts, n = self.counts[name], len(self.words[name])
+        need, width = n - int((1 - LEAST_COVERAGE) * n + 1e-9), 2 * n + 8
+        have, met, left, out = Counter(), 0, 0, []
+        for p in places:
+            w = words[p]
+            have[w] += 1
+            met += have[w] <= counts[w]
+            while p - places[left] >= width:
+                x = words[places[left]]
+                met -= have[x] <= counts[x]
+                have[x] -= 1
+                left += 1
+            if met >= need:
+                if out and places[left] <= out[-1][1]:
+                    out[-1] = (out[-1][0], p + 1)
+                else:
+                    out.append((places[left], p + 1))
+        # What is met first may go on behind: by the rest of the window.
+        return [(a, min(len(words), b + n)) for a, b in out]
 
-    def judge(self, block: str) -> tuple[str | None, float, float, list[str], list[str], bool]:
-        """Best template, size reduction, coverage, missing, added, confirmed.
-        The reduction is a share of the template's own compressed size, so what
-        stands around a notice does not lessen it. Equal savings are told apart
-        by the wording: most words met, fewest added, then by name."""
+    def passages(self, name: tuple[str, int], words: list[str], places: list[int]):
+        """(coverage, missing, added, places of the words met) of every passage
+        that covers enough of the template, with up to about as many words
+        between as the template has."""
+        want, slack = self.words[name], len(self.words[name]) // 2 + 4
+        todo = [(0, len(words))]
+        while todo:
+            a, b = todo.pop()
+            for x, y in self.dense(name, words, places[bisect_left(places, a):bisect_left(places, b)]):
+                y = min(y, b)
+                run = difflib.SequenceMatcher(None, want, words[x:y], autojunk=False).find_longest_match()
+                start = x + run.b - run.a
+                lo, hi = max(a, start - slack), min(b, start + len(want) + slack)
+                coverage, missing, added, met = self.differences(words[lo:hi], name)
+                if coverage >= LEAST_COVERAGE:
+                    met = [lo + i for i in met]
+                    yield coverage, missing, added, met
+                    todo += [(x, met[0]), (met[-1] + 1, y)]
+                else:
+                    todo += [(x, x + run.b), (x + run.b + run.size, y)]
+
+    def reduction(self, block: str, name: tuple[str, int]) -> float:
+        """Bytes that the template saves, as a share of its own compressed size:
+        what stands around a notice does not lessen it."""
+        key = (name, block)
+        if key not in self.memory:
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+            data = block.lower().encode("utf-8", "surrogatepass")
+            self.memory[key] = (len(self.alone.compress(data)) - len(self.given[name].compress(data))) / self.own[name]
+        return self.memory[key]
+
+    def notices(self, text: str) -> list[tuple]:
+        """(first, last, license, reduction, coverage, missing, added) of every
+        passage of ``text`` whose wording confirms a template. Of passages that
+        share more than half of their words the one with the most words met, less
+        those missing and added, stays; then by coverage, reduction and name."""
+        spans, words, at = [], [], {}
+        for m in _WORD.finditer(text):
+            w = m.group().lower()
+            if w in self.vocabulary:
+                at.setdefault(w, []).append(len(words))
+            spans.append(m.span())
+            words.append(w)
+        found = []
+        for name in self.given:
+            counts, n = self.counts[name], len(self.words[name])
+            most = sum(min(c, len(at.get(w, ()))) for w, c in counts.items())
+            if not n or 1 - (n - most) / n < LEAST_COVERAGE:
+                continue
+            places = sorted(i for w in counts for i in at.get(w, ()))
+            for coverage, missing, added, met in self.passages(name, words, places):
+                first, last = spans[met[0]][0], spans[met[-1]][1]
+                gain = self.reduction(text[first:last], name)
+                if gain >= LEAST_REDUCTION:
+                    found.append((len(added) + len(missing) - len(met), -coverage, -gain, name,
+                                  set(met), (first, last, name[0], gain, coverage, missing, added)))
+        kept = []
+        for f in sorted(found, key=lambda f: f[:4]):
+            if all(2 * len(f[4] & k[4]) <= min(len(f[4]), len(k[4])) for k in kept):
+                kept.append(f)
+        return [k[5] for k in kept]
+
+    def judge(self, block: str) -> tuple[str | None, float, float, list[str], list[str]]:
+        """Best template, size reduction, coverage, missing, added. Equal savings
+        are told apart by the wording: most words met, fewest added, then by name."""
         if block not in self.memory:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
@@ -134,18 +322,30 @@ class Scanner:
             size = len(self.alone.compress(data))
             gains = sorted(((size - len(c.compress(data)), k) for k, c in self.given.items()), reverse=True)
             if not gains:
-                return None, 0.0, 0.0, [], [], False
+                return None, 0.0, 0.0, [], []
             # Sizes are whole bytes: templates within two bytes of the best tie.
-            close = [(self.differences(block, k), g / self.own[k], k) for g, k in gains if g >= gains[0][0] - 2]
-            (coverage, missing, added), gain, name = min(close, key=lambda x: (-x[0][0], len(x[0][2]), -x[1], x[2]))
-            sure = gain >= LEAST_REDUCTION and coverage >= LEAST_COVERAGE
-            self.memory[block] = (name, gain, coverage, missing, added, sure)
+            have = _WORD.findall(block.lower())
+            close = [(self.differences(have, k), g / self.own[k], k) for g, k in gains if g >= gains[0][0] - 2]
+            (coverage, missing, added, _), gain, name = min(close, key=lambda x: (-x[0][0], len(x[0][2]), -x[1], x[2]))
+            self.memory[block] = (name[0], gain, coverage, missing, added)
         return self.memory[block]
 
+    def rows(self, text: str) -> list[tuple]:
+        """(block_start, block_chars, license, reduction, coverage, missing,
+        added, confirmed) in order of block_start."""
+        out, taken = [], []
+        for first, last, *verdict in self.notices(text):
+            a, b = _bounds(text, first, last)
+            taken.append((a, b))
+            out.append((a, b - a, *verdict, True))
+        out += [(at, len(block), *self.judge(block), False) for at, block in blocks(text, taken)]
+        return sorted(out, key=lambda r: (r[0], r[2] or ""))
+
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """A row per candidate block: doc_id, block_start, block_chars, license,
-    reduction, coverage, missing, added (words), confirmed.
+def scan(docs: DataFrame, templates: dict[str, str | list[str]] | None = None) -> DataFrame:
+    """A row per confirmed notice, and per line with a cue that no notice has:
+    doc_id, block_start, block_chars, license, reduction, coverage, missing, added
+    (words), confirmed. The block is made of the lines over which the notice goes.
 
     Whole texts are looked through. Null and empty texts, and texts without a
     cue, have no rows; repeated rows have theirs again. Without templates nothing
@@ -158,14 +358,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
              pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
 
     def run(batches):
-        scanner, cue = Scanner(templates), re.compile(pattern, re.I | re.A)
+        scanner = Scanner(templates)
         for batch in batches:
             rows = []
             for d, t in zip(batch.column(0), batch.column(1)):
-                for at, block in blocks(t.as_py() or "", cue):
-                    verdict = scanner.judge(block)
-                    if verdict[-1] or _SIGNS.search(block):   # a template's word alone is no row
-                        rows.append((d.as_py(), at, len(block), *verdict))
+                rows += [(d.as_py(), *r) for r in scanner.rows(t.as_py() or "")]
                 if len(rows) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows), types)], names)
                     rows = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -372,6 +373,28 @@ def test_text_around_a_notice_does_not_refute_it(spark, around):
     assert sorted((r["doc_id"], r["license"]) for r in got if r["confirmed"]) == list(enumerate(lines.values()))
 
 
+def test_notices_over_lines_and_two_in_a_line(spark):
+    def wrapped(text, mark="# "):
+        return "\n".join(mark + x for x in textwrap.wrap(text, 60))
+
+    t = license_scan.TEMPLATES
+    long = " ".join(f"clause{i} binds party{i % 7} and party{i % 11} under section{i % 13}" for i in range(120))
+    assert len(long) > 4000
+    texts = [wrapped(t["Apache-2.0"][1]), "x = 1\n" + wrapped(t["MIT"][1], " * ") + "\nmain()", wrapped(t["BSD-3-Clause"][1], ""),
+             wrapped(t["BSD-2-Clause"][1]), wrapped(t["LGPL-3.0"][1]), "Intro\n\n" + wrapped(long, "") + "\n\nEnd",
+             "Released under the MIT License. Licensed under the Apache License, Version 2.0.",
+             wrapped(t["MIT"][1]) + "\n" + wrapped(t["Apache-2.0"][1]) + "\n" + wrapped(t["MIT"][1]),
+             wrapped(" ".join(sorted(t["MIT"][1].split()))), t["GPL-2.0"][1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r for r in license_scan.scan(df, {**t, "House": long}).collect() if r["confirmed"]]
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [
+        (0, "Apache-2.0"), (1, "MIT"), (2, "BSD-3-Clause"), (3, "BSD-2-Clause"), (4, "LGPL-3.0"), (5, "House"),
+        (6, "Apache-2.0"), (6, "MIT"), (7, "Apache-2.0"), (7, "MIT"), (7, "MIT"), (9, "GPL-2.0")]
+    mit = next(r for r in got if r["doc_id"] == 1)
+    assert (mit["block_start"], mit["missing"], mit["coverage"]) == (6, [], 1.0)
+    assert mit["block_start"] + mit["block_chars"] == len(texts[1]) - len("\nmain()")
+
+
 def test_toxicity_learns_from_labels_and_shows_evidence(spark, sf_small, docs, none):
     rng = np.random.default_rng(4)
     common = [f"w{i}" for i in range(300)]
