@@ -1,11 +1,12 @@
 """Main text of web pages by site template removal (operator 5).
 
 Every page is read into elements and each element's subtree is hashed. Spark
-counts, per host, the pages on which a subtree occurs; subtrees that recur on
-many pages of their host are template and are deleted, as are elements that say
-what they are (menus, headers, footers, forms, adverts, comments ...). Blocks of
-running text inside the article are never taken for template: a passage may well
-stand on many pages.
+counts, per host, the different main texts with which a subtree occurs; subtrees
+that recur with many of them are template and are deleted, as are elements that
+say what they are (menus, headers, footers, forms, adverts, comments ...). What
+holds running text of the article, in an element of whatever kind, is never taken
+for template: a passage may well stand on many pages. Without article and main
+the element that holds most of the running text is the article.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from admitlens.llm.common import row_hash, stored
 
-MANY = 50                # pages of a host that make a subtree template in any case
-FEW, SHARE = 4, 0.1      # ... or at least this many, and this share of its pages
+MANY = 50                # main texts of a host that make a subtree template in any case
+FEW, SHARE = 4, 0.1      # ... or at least this many, and this share of its main texts
 SEED = 5
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -35,6 +36,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img"}
 TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "tr", "dt", "dd",
                "figcaption", "caption"} | INLINE
+FRAME = {"html", "body", "article", "main", "head"}
 # What an element of one kind closes when it opens, up to the elements named.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -115,14 +117,19 @@ class Element:
     dropped: bool = False       # by what it says, itself or an ancestor
     main: bool = False          # in an article, or is one
     body: bool = False          # in a main element, or is one
+    prose: bool = False         # in a block of running text, or is one
     parts: list = field(default_factory=list)
     hash: int = 0
+    size: int = 0               # characters of running text in it
+    inside: bool = False        # in the article of the page, whatever stands for it
+    holds: bool = False         # running text of that article
 
 
 @dataclass
 class Page:
     elements: list
-    blocks: list                # (text, element), in page order
+    blocks: list                # (text, element, whether it is links alone), in page order
+    explicit: bool = False      # the page has an article or main element
 
 
 def _says(tag: str, inside: str) -> bool:
@@ -146,13 +153,15 @@ def read_page(page: str) -> Page:
     root = Element("", None)
     stack, elements, blocks, text = [root], [], [], []
     open_tags: Counter = Counter()
+    plain = False               # whether the text has words outside links
 
     def flush():
+        nonlocal plain
         said = " ".join("".join(text).split())
         text.clear()
         if said:
-            top = stack[-1]
-            blocks.append((said, top))
+            blocks.append((said, stack[-1], not plain))
+        plain = False
 
     def close():
         e = stack.pop()
@@ -183,6 +192,7 @@ def read_page(page: str) -> Page:
             said = " ".join(said.split())
             if said:
                 stack[-1].parts.append(said)
+                plain = plain or not open_tags["a"]
         elif kind == "close":
             if tag == "br" or tag == "p" and not open_tags["p"]:
                 text.append(" ")
@@ -201,38 +211,67 @@ def read_page(page: str) -> Page:
                 continue
             up = stack[-1]
             said = tag in RAW or _says(tag, inside)
-            e = Element(tag, up, up.dropped or said, up.main or tag == "article", up.body or tag == "main" or 'role="main"' in inside)
+            e = Element(tag, up, up.dropped or said, up.main or tag == "article", up.body or tag == "main" or 'role="main"' in inside,
+                        up.prose or tag in TEXT_BLOCKS - INLINE)
             elements.append(e)
             stack.append(e)
             open_tags[tag] += 1
     flush()
     while len(stack) > 1:
         close()
-    return Page(elements, blocks)
-
-
-def _protected(e: Element, inner: str) -> bool:
-    """Running text inside the article, and the frame of the page."""
-    return e.tag in ("html", "body", "article", "main", "head") or getattr(e, inner) and not e.dropped and e.tag in TEXT_BLOCKS
-
-
-def _inner(page: Page) -> str:
-    """Where the text stands: in articles, else in main, else anywhere."""
-    kept = [e for e in page.elements if not e.dropped]
-    return "main" if any(e.tag == "article" for e in kept) else "body" if any(e.body for e in kept) else ""
-
-
-def subtree_hashes(page: str | None) -> list[int]:
-    """Distinct hashes of the elements that may be template."""
+    page = Page(elements, blocks)
+    _find_article(page, root)
+    return page
+
+
+def _find_article(p: Page, root: Element) -> None:
+    """Marks what is inside the article and what holds running text of it: articles,
+    else main, else the element that holds most of the text in blocks of running
+    text (menus, which are links alone, set aside), or of all text if none is."""
+    kept = [e for e in p.elements if not e.dropped]
+    inner = "main" if any(e.tag == "article" for e in kept) else "body" if any(e.body for e in kept) else ""
+    p.explicit = bool(inner)
+    said = [(t, e) for t, e, links in p.blocks if not e.dropped and (inner or not links)]
+    prose = [(t, e) for t, e in said if e.prose]
+    if inner:
+        for e in p.elements:
+            e.inside = getattr(e, inner)
+    else:
+        for t, e in prose or said:
+            e.size += len(t)
+        for e in reversed(p.elements):
+            e.parent.size += e.size
+        # Elements with more than half lie in one another; the last is the innermost.
+        most = [e for e in p.elements if 2 * e.size > root.size and (e.tag not in TEXT_BLOCKS or e.tag == "td")]
+        top = most[-1] if most else root
+        top.inside = True
+        for e in p.elements:
+            e.inside = e.inside or e.parent.inside
+        if not prose and top is not root and top.tag not in FRAME:
+            prose = said
+    for _, e in prose:
+        if e.inside:
+            while e is not None and not e.holds:
+                e.holds, e = True, e.parent
+
+
+def _protected(e: Element) -> bool:
+    """What holds running text of the article, and the frame of the page."""
+    return e.tag in FRAME or not e.dropped and (e.holds or e.inside and e.tag in TEXT_BLOCKS)
+
+
+def subtree_hashes(page: str | None) -> tuple[int, list[int]]:
+    """Hash of the main text, template included, and distinct hashes of the
+    elements that may be template."""
     p = read_page(page or "")
-    inner = _inner(p) or "dropped"
-    return list({e.hash for e in p.elements if not _protected(e, inner)})
+    said = [t for t, e, _ in p.blocks if e.inside and not e.dropped]
+    text = xxhash.xxh64_intdigest("\n".join(said).encode("utf-8", "surrogatepass"), SEED)
+    return text, list({e.hash for e in p.elements if not _protected(e)})
 
 
 def main_text(page: str | None, template: set[int] = frozenset()) -> str:
     """Blocks outside template and dropped elements, two line ends between."""
     p = read_page(page or "")
-    inner = _inner(p)
     gone: dict[int, bool] = {}
 
     def is_gone(e):
@@ -242,11 +281,11 @@ def main_text(page: str | None, template: set[int] = frozenset()) -> str:
             e = e.parent
         state = gone[id(e)] if e is not None else False
         for x in reversed(chain):
-            state = state or x.dropped or x.hash in template and not _protected(x, inner or "dropped")
+            state = state or x.dropped or x.hash in template and not _protected(x)
             gone[id(x)] = state
         return state
 
-    return "\n\n".join(t for t, e in p.blocks if (not inner or getattr(e, inner)) and not is_gone(e))
+    return "\n\n".join(t for t, e, _ in p.blocks if (e.inside or not p.explicit) and not is_gone(e))
 
 
 def _signed(x: int) -> int:
@@ -259,20 +298,22 @@ def host_of(url):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(k, h): page key and the template subtrees on that page. Equal pages of a
-    host count as one."""
+    """(k, h): page key and the template subtrees on that page. Pages of a host
+    with equal main texts count as one."""
     def run(batches):
         for batch in batches:
-            hashes = [[_signed(h) for h in subtree_hashes(t.as_py())] for t in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("host"),
-                                              pa.array(hashes, pa.list_(pa.int64()))], ["k", "host", "h"])
+            read = [subtree_hashes(t.as_py()) for t in batch.column("html")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k"), batch.column("host"), pa.array([_signed(m) for m, _ in read], pa.int64()),
+                 pa.array([[_signed(x) for x in h] for _, h in read], pa.list_(pa.int64()))], ["k", "host", "m", "h"])
 
     # Stored: pages are read for their hashes once, not for each use of them.
-    hashed = stored(pages.select("k", "host", "html").mapInArrow(run, "k long, host long, h array<long>")
-                    .groupBy("k", "host").agg(F.first("h").alias("h")), "subtrees")
+    hashed = stored(pages.select("k", "host", "html").mapInArrow(run, "k long, host long, m long, h array<long>")
+                    .groupBy("k", "host").agg(F.first("m").alias("m"), F.first("h").alias("h")), "subtrees")
     on = hashed.select("k", "host", F.explode("h").alias("h"))
-    sizes = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = on.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW)
+    sizes = hashed.select("host", "m").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    once = hashed.select("host", "m", F.explode("h").alias("h")).distinct()
+    counts = once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW)
     found = (counts.join(sizes, "host").where((F.col("n") >= MANY) | (F.col("n") >= SHARE * F.col("pages")))
              .select("host", "h"))
     return on.join(found, ["host", "h"]).groupBy("k").agg(F.collect_list("h").alias("template"))

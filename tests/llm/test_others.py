@@ -79,6 +79,27 @@ def test_recurring_subtrees_of_a_host_go(spark):
     assert got[200] == "Buy our things\n\nsame"
 
 
+def test_article_text_stays_in_any_container_and_on_any_copy(spark):
+    """Copies of a page under other URLs count once, and no element that holds
+    running text of the article goes, with an article element or without."""
+    story = "<div><p>A story that many pages hold.</p><p>Its end.</p></div>"
+    said = "A story that many pages hold.\n\nIts end."
+    shared = "<section><p>s</p></section><ul><li>a</li></ul><table><tr><td>c</td></tr></table><div><div><p>d</p></div></div>"
+    box = "<div><span>Buy</span> our things</div>"
+    pages = [(i, "http://a.test/p", f"<body>{box}<article>{story}</article></body>") for i in range(60)]
+    pages += [(100 + i, "http://b.test/p", f"<body>{box}{story}<div>seen {i}</div></body>") for i in range(60)]
+    pages += [(200 + i, "http://c.test/p", f"<body><article>{box}{shared}<p>own {i}</p></article></body>") for i in range(60)]
+    pages += [(300 + i, "http://d.test/p", f"<body>{box}<div>{shared}<p>own story number {i}</p></div></body>") for i in range(60)]
+    pages += [(400 + i, "http://e.test/p", f"<body>{box}<article>{story if i < 4 else '<p>own %d</p>' % i}</article></body>") for i in range(40)]
+    pages = [(i, f"{u}{i}", h) for i, u, h in pages]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Buy our things\n\n{said}" or got[i] == said for i in range(60))
+    assert all(said in got[100 + i] for i in range(60))
+    assert all(got[200 + i] == f"s\n\na\n\nc\n\nd\n\nown {i}" for i in range(60))
+    assert all(got[300 + i] == f"s\n\na\n\nc\n\nd\n\nown story number {i}" for i in range(60))
+    assert all(got[400 + i] == (said if i < 4 else f"own {i}") for i in range(40))
+
+
 def test_odd_pages_take_linear_time():
     import time
 
