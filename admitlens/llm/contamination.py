@@ -24,6 +24,7 @@ from admitlens.llm.common import row_hash, stored
 
 WINDOW = 13
 BITS = 1 << 22           # bitmap of test terms: 512 KB whatever the benchmark's size
+NEAR = 4                 # rarest present terms of an item's window that tell of its proximity
 OUT_ROWS = 2048
 SEED = 6
 TERMS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -186,20 +187,50 @@ def phrase_matches(index: DataFrame, items: DataFrame, wins: DataFrame) -> DataF
     return pairs.where(fits).select("rid", "tid", (F.col("at") + F.col("s")).alias("start"), "len")
 
 
+def near_terms(items: DataFrame, counts: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(tid, o): offsets of the NEAR rarest terms of each window, of those that
+    the corpus has at all; of the whole item where it is shorter."""
+    tokens = (items.select("tid", "n", F.posexplode("words").alias("o", "word")).distinct()
+              .join(counts.where("cf > 0"), "word"))
+    last = F.greatest(F.col("n") - width, F.lit(0))
+    each = tokens.withColumn("s", F.explode(F.sequence(F.greatest(F.col("o") - width + 1, F.lit(0)),
+                                                       F.least(F.col("o"), last))))
+    each = each.groupBy("tid", "s", "word", "cf").agg(F.min("o").alias("o"))
+    place = F.row_number().over(Window.partitionBy("tid", "s").orderBy("cf", "word"))
+    return each.withColumn("place", place).where(F.col("place") <= NEAR).select("tid", "o").distinct()
+
+
 def proximity_matches(index: DataFrame, items: DataFrame, wins: DataFrame, span: int = 2 * WINDOW,
                       least: int = 3) -> DataFrame:
-    """(rid, tid, block, n_terms): places where at least ``least`` different
-    indexed terms of an item stand, in any order, within about ``span`` words
-    (blocks of that size that overlap by half)."""
-    tokens = items.select("tid", F.posexplode("words").alias("o", "word"))
-    ends = wins.select("tid", F.explode(F.array("first", "second")).alias("o")).distinct()
-    terms = stored(ends.join(tokens, ["tid", "o"]).select("tid", "word").distinct(), "terms")
-    half = max(1, span // 2)
-    block = F.floor(F.col("pos") / half)
-    near = (index.where(F.col("word").isNotNull()).join(_small(terms), "word")
-            .select("rid", "tid", "word", F.explode(F.array(block - 1, block)).alias("block")))
-    return (near.distinct().groupBy("rid", "tid", "block").agg(F.count("word").alias("n_terms"))
-            .where(F.col("n_terms") >= least))
+    """(rid, tid, start, n_terms): places from which ``span`` words hold at least
+    ``least`` different terms of an item, in any order, or all words of an item
+    that has fewer. ``wins`` are windows or near_terms; the terms are theirs."""
+    tokens = items.select("tid", F.posexplode("words").alias("o", "word"), F.size(F.array_distinct("words")).alias("own"))
+    ends = (wins.select("tid", F.explode(F.array("first", "second")).alias("o")) if "first" in wins.columns
+            else wins.select("tid", "o")).distinct()
+    terms = stored(ends.join(tokens, ["tid", "o"])
+                   .select("tid", "word", F.least("own", F.lit(least)).alias("least")).distinct(), "terms")
+    ahead = Window.partitionBy("rid", "tid").orderBy("pos").rangeBetween(0, span - 1)   # span postings at most
+    near = index.where(F.col("word").isNotNull()).select("rid", "word", "pos").join(_small(terms), "word")
+    return (near.withColumn("n_terms", F.size(F.collect_set("word").over(ahead)))
+            .where(F.col("n_terms") >= F.col("least")).select("rid", "tid", F.col("pos").alias("start"), "n_terms"))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, span: int = 2 * WINDOW,
+              least: int = 3) -> DataFrame:
+    """doc_id, n_words, n_near, near_ids per row of ``docs``: the items, by id as
+    text, of which the row has a proximity match, whether word for word or not."""
+    items = stored(item_terms(benchmark), "items")
+    vocabulary = items.select(F.explode("words").alias("word")).distinct()
+    wins = stored(near_terms(items, stored(term_counts(docs, vocabulary), "term-counts"), width), "near-terms")
+    tokens = items.select("tid", F.posexplode("words").alias("o", "word")).distinct()
+    index = positional_index(docs, wins.join(tokens, ["tid", "o"]).select("word").distinct(), 0)
+    near = proximity_matches(index, items, wins, span, least).select("rid", "tid").distinct()
+    named = (near.join(items.where(F.col("item_id").isNotNull()).select("tid", F.col("item_id").cast("string").alias("i")).distinct(), "tid")
+             .groupBy("rid").agg(F.sort_array(F.collect_set("i")).alias("ids")))
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    return (index.where(F.col("word").isNull()).select("rid", "doc_id", "n_words").join(named, "rid", "left")
+            .select("doc_id", "n_words", F.size(ids).cast("long").alias("n_near"), ids.alias("near_ids")))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW):

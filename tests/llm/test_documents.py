@@ -7,6 +7,7 @@ import hashlib
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -191,6 +192,32 @@ def test_proximity_finds_rare_terms_out_of_order(spark):
     assert {r["doc_id"] for r in four.join(ids, "rid").collect()} == {1}
 
 
+def test_proximity_of_short_items_and_at_any_place(spark):
+    """With the parameters of production: short items, absent words, terms up to
+    the full span apart wherever they stand, against a scan."""
+    items = [(1, "zebra quagga okapi gnu"), (2, "missing1 missing2 lynx puma ocelot"), (3, "kea kakapo"),
+             (4, " ".join(f"w{i}" for i in range(40))), (5, "tern absent1 absent2")]
+    texts = []
+    for shift in range(0, 30, 3):
+        texts += [" ".join(["pad"] * shift + ["gnu"] + ["pad"] * a + ["zebra"] + ["pad"] * (23 - a) + ["okapi"]) for a in (0, 12)]
+        texts += [" ".join(["pad"] * shift + ["gnu"] + ["pad"] * 12 + ["zebra"] + ["pad"] * 12 + ["okapi"])]   # one word too far
+    texts += ["ocelot or puma or lynx", "puma lynx", "kakapo kea", "kea " + "pad " * 30 + "kakapo", "w30 w9 w31 w10 w33 w12", "tern", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["near_ids"] for r in contamination.proximity(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    cf = Counter(w for t in texts for w in (t or "").split())
+    want = {}
+    for d, text in enumerate(texts):
+        words, want[d] = (text or "").split(), []
+        for i, item in items:
+            own = item.split()
+            terms = {w for s in range(max(1, len(own) - 12))
+                     for w in sorted((w for w in set(own[s:s + 13]) if cf[w]), key=lambda w: (cf[w], w))[:contamination.NEAR]}
+            if any(len(terms & set(words[s:s + 26])) >= min(3, len(set(own))) for s in range(len(words))):
+                want[d].append(str(i))
+    assert got == want
+    assert [want[d] for d in range(3)] == [["1"], ["1"], []] and want[30] == ["2"] and want[32] == ["3"] and want[34] == ["4"]
+
+
 # Token files --------------------------------------------------------------
 
 def test_token_file_round_trip(docs, none):
