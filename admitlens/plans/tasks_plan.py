@@ -161,7 +161,7 @@ def q_paced_consume(spark, sf):
     msgs = nation.select(F.to_json(F.struct(F.lit("recompute_analytics").alias("kind"),
                                             F.struct(F.col("n_name").alias("nation")).alias("payload"))).alias("value"))
     src, progress = scratch_path(spark, "tasks-in"), scratch_path(spark, "progress")
-    msgs.coalesce(1).repartition(25).write.mode("overwrite").text(src)      # a nation a file
+    msgs.write.mode("overwrite").option("maxRecordsPerFile", 1).text(src)   # a nation a file
     T.consume(spark, src, {"recompute_analytics": lambda df, b: None}, scratch_path(spark, "dead"),
               scratch_path(spark, "ckpt"), max_files_per_trigger=1, progress_path=progress)
     return T.read_progress(spark, progress)

@@ -94,6 +94,14 @@ def test_paced_consume_one_file_per_batch(spark, sf_small):
     assert sorted(r.batch_id for r in rows) == list(range(25))
 
 
+def test_paced_consume_lists_more_batches_than_spark_remembers(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.range(0, 105, 1, 3).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('N', id) AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = entry.queries()["paced_consume"](spark, str(tmp_path)).collect()
+    assert sorted(r.batch_id for r in rows) == list(range(105)) and all(r.num_input_rows == 1 for r in rows)
+
+
 def test_kinds_run_in_message_order_and_only_when_met(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([('{"kind": "b"}',), ('{"kind": "a"}',), ('{"kind": "bad"}',), ('{"kind": "b"}',)],
