@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from admitlens.llm import chat, contamination, html_text, langid, license_scan, mixing, simhash, token_file, topk, toxicity
+from admitlens.llm import (
+    chat, contamination, html_text, langid, license_scan, mixing, periodic_runs, simhash, token_file, topk, toxicity,
+)
 from admitlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +162,9 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("pair_id", "prompt", "prompt_turns", "chosen", "rejected",
                     learnt("chosen_segments").alias("chosen_learnt"),
                     learnt("rejected_segments").alias("rejected_learnt"), "valid")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digest(periodic_runs.find_runs(texts))
