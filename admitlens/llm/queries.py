@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from admitlens.llm import (
     chat, contamination, html_text, langid, license_scan, mixing, periodic_runs, simhash, token_file, topk, toxicity,
+    url_filter,
 )
 from admitlens.llm.common import table
 
@@ -168,3 +169,11 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))
     return periodic_runs.run_digest(periodic_runs.find_runs(texts))
+
+
+@query("op12_url_filter")
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+                                   ("net/es/", "block"), ("net/fr/", "block")], "rule string, verdict string")
+    examples = spark.createDataFrame(url_filter.LABELLED, "url string, block boolean")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, examples)
