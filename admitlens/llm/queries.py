@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from admitlens.llm import (
-    chat, contamination, html_text, langid, license_scan, mixing, periodic_runs, simhash, token_file, topk, toxicity,
-    url_filter,
+    chat, contamination, html_text, langid, license_scan, mixing, periodic_runs, prefix_trie, simhash, token_file,
+    topk, toxicity, url_filter,
 )
 from admitlens.llm.common import table
 
@@ -177,3 +177,45 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    ("net/es/", "block"), ("net/fr/", "block")], "rule string, verdict string")
     examples = spark.createDataFrame(url_filter.LABELLED, "url string, block boolean")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, examples)
+
+
+@query("op11_prefix_trie", """
+WITH said AS (
+  SELECT conv_id, crc AS h, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, sha256(text)) AS t
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+          xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+            list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                     lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 6 AS crc
+        FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id, crc
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.t[1:c.h], []), c.t[c.h + 1:]) AS t
+  FROM said c LEFT JOIN said b ON b.conv_id = c.conv_id - c.conv_id % 100
+), at AS (
+  SELECT conv_id, len(t) AS size, unnest(range(0, len(t) + 1)) AS depth, t FROM rebuilt
+), at_node AS (
+  SELECT conv_id, size, depth, CASE WHEN depth > 0 THEN length(t[depth].text) ELSE 0 END AS chars, t[1:depth] AS node FROM at
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS first, count(*) AS n, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends,
+         bool_and(size = depth) AS leaf
+  FROM at_node GROUP BY node, depth
+), below AS (
+  SELECT DISTINCT a.first AS conv_id, a.depth, b.first AS low_id, b.depth AS low_depth, b.n, b.chars, b.leaf
+  FROM nodes a JOIN at_node m ON m.node = a.node AND m.depth = a.depth
+  JOIN at_node l ON l.conv_id = m.conv_id AND l.depth >= a.depth
+  JOIN nodes b ON b.node = l.node AND b.depth = l.depth
+), sums AS (
+  SELECT conv_id, depth, count(*) FILTER (WHERE leaf) AS n_leaves, sum((n - 1) * chars) AS saved,
+         count(*) FILTER (WHERE low_depth = depth + 1) AS n_children
+  FROM below GROUP BY conv_id, depth
+)
+SELECT a.first AS conv_id, a.depth, p.first AS parent_conv_id, a.n AS n_convs, s.n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM nodes a JOIN sums s ON s.conv_id = a.first AND s.depth = a.depth
+LEFT JOIN nodes p ON p.depth = a.depth - 1 AND p.node = a.node[1:a.depth - 1]
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.rebuilt(prefix_trie.placed_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs)
