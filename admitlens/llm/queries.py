@@ -192,10 +192,10 @@ WITH said AS (
 ), rebuilt AS (
   SELECT c.conv_id, list_concat(coalesce(b.t[1:c.h], []), c.t[c.h + 1:]) AS t
   FROM said c LEFT JOIN said b ON b.conv_id = c.conv_id - c.conv_id % 100
-), at AS (
+), cut AS (
   SELECT conv_id, len(t) AS size, unnest(range(0, len(t) + 1)) AS depth, t FROM rebuilt
 ), at_node AS (
-  SELECT conv_id, size, depth, CASE WHEN depth > 0 THEN length(t[depth].text) ELSE 0 END AS chars, t[1:depth] AS node FROM at
+  SELECT conv_id, size, depth, CASE WHEN depth > 0 THEN length(t[depth].text) ELSE 0 END AS chars, t[1:depth] AS node FROM cut
 ), nodes AS (
   SELECT node, depth, min(conv_id) AS first, count(*) AS n, any_value(chars) AS chars,
          sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends,
