@@ -1,26 +1,168 @@
 """Best dictionary entry by Ratcliff–Obershelp ratio (stdlib ``difflib``
 semantics), as an exact similarity join.
 
-The ratio is 2·M/(la+lb), and the M matched characters form a common subsequence,
-so ratio ≥ c means that at most τ = (1−c)(la+lb) insertions and deletions turn one
-string into the other. Each of them spoils at most one of the pieces a dictionary
-entry is cut into; with more pieces than operations one piece stands unspoilt in
-the name, moved by no more than the operations before it (partition-based
-similarity joins: Li et al., Pass-Join, 2011). Candidates are an equi-join on
-(entry length, piece number, piece); the length bound and the character-bag bound
-prune natively; the ratio itself is computed by the stdlib in an Arrow-batched UDF
-on the few pairs left. No cross join, no cap on candidates, no broadcast of either
-side: every pair that can reach the cut-off is scored.
+The ratio is 2·M/(la+lb), and the M matched characters form a common subsequence, so
+a ratio ≥ c leaves at most e_d = ld − M letters of the entry and e_q = lq − M of the
+name unmatched. Of n disjoint pieces of the entry at least n − e_d lose no letter, and
+of these at most e_q / (t + 1) have more than t foreign letters between theirs: so at
+least n − e_d − ⌊e_q / (t + 1)⌋ pieces stand in the name with at most t letters in
+between. For each pair of lengths that occurs, n and t are chosen so that two pieces
+must match, where the letters allow it, at the fewest expected chance hits. Which
+pieces an entry gives is decided by their frequency: letter statistics of the whole
+dictionary are counted first, and the entry's cuts make the sum of its pieces' expected
+hits least. Hits are an equi-join on (length of the name, piece); moved too far or too
+few, they are no candidates.
+
+Candidates meet a bit-parallel bound on the longest common subsequence (Hyyrö, 2004)
+before ``difflib`` computes the ratio of the few left, both in an Arrow-batched UDF.
+No cross join, no cap on candidates: every pair that can reach the cut-off is scored.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from typing import NamedTuple
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from admitlens.session import cut_lineage
+
 EPS = 1e-9
+LETTERS = 12             # letters of equal chance that stand for an alphabet in the choice of n and t
+SCORE_COST = 10          # of a candidate, in hits or keys
+MOST_GRAMS = 200_000     # most frequent letter triples kept as statistics (they choose cuts, not results)
+GRAM = 3
+
+
+class Plan(NamedTuple):
+    """How names of one length and entries of another meet."""
+    pieces: int
+    between: int         # foreign letters allowed in a piece
+    matches: int         # pieces that must match
+    lost: int            # letters of the entry that may stay unmatched
+    extra: int           # letters of the name that may
+
+
+def least_common(lq: int, ld: int, cutoff: float) -> int:
+    return math.ceil((lq + ld) * cutoff / 2 - EPS)
+
+
+@lru_cache(maxsize=100_000)
+def plan_of(lq: int, ld: int, cutoff: float, entries: int) -> Plan | None:
+    """The cheapest plan for these lengths, by expected hits and by keys made of a
+    name; None where they cannot reach the cut-off."""
+    m = least_common(lq, ld, cutoff)
+    if m > min(lq, ld):
+        return None
+    m = max(m, 1)
+    lost, extra = ld - m, lq - m
+    best = None
+    for n in range(lost + 1, min(ld, lost + extra + 3) + 1):
+        size = ld // n
+        for t in range(extra + 1):
+            matches = min(n - lost - extra // (t + 1), 2)
+            if matches < 1:
+                continue
+            ways = math.comb(size - 1 + t, t)
+            hits = n * ways * (lost + extra + 1) * entries / LETTERS ** (ld / n)
+            keys = (ways + math.comb(size + t, t)) * lq
+            scored = hits if matches == 1 else hits * hits / max(entries, 1)
+            cost = keys + hits + SCORE_COST * scored
+            if best is None or cost < best[0]:
+                best = cost, Plan(n, t, matches, lost, extra)
+    return best[1]
+
+
+@lru_cache(maxsize=10_000)
+def patterns(size: int, between: int) -> tuple[tuple[int, tuple[tuple[int, int], ...]], ...]:
+    """(foreign letters, (start, end) of the parts) of all ways in which ``size``
+    letters stand in order with at most ``between`` foreign ones in between."""
+    out = []
+    for u in range(between + 1 if size > 1 else 1):
+        span = size + u
+        for foreign in combinations(range(1, span - 1), u):
+            cuts, parts = [-1, *foreign, span], []
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a > 1:
+                    parts.append((a + 1, b))
+            out.append((u, tuple(parts)))
+    return tuple(out)
+
+
+def _chances(grams: dict[str, int]):
+    """Chance of a piece by the letter statistics: its first letters', then each
+    letter's after the two before."""
+    total = max(sum(n for g, n in grams.items() if len(g) == 1), 1)
+    top = -math.log(total)
+
+    def log_after(s: str, i: int, start: int) -> float:
+        g = s[max(start, i - GRAM + 1):i + 1]
+        seen = grams.get(g)
+        if seen is None:
+            return top / 2
+        before = grams.get(g[:-1], total) if len(g) > 1 else total
+        return math.log(seen / max(before, seen))
+    return log_after
+
+
+def chosen_pieces(entry: str, plan: Plan, log_after) -> list[tuple[int, int]]:
+    """(start, size) of ``plan.pieces`` disjoint pieces with the least sum of chances."""
+    length, n = len(entry), plan.pieces
+    low, high = length // n, length // n + 1
+    cost: list[list[tuple[int, float]]] = []
+    for i in range(length):
+        row, log_p = [], 0.0
+        for size in range(1, min(high, length - i) + 1):
+            log_p += log_after(entry, i + size - 1, i)
+            if size >= low:
+                row.append((size, math.exp(log_p) * math.comb(size - 1 + plan.between, plan.between)))
+        cost.append(row)
+    far = float("inf")
+    best = [[far] * (n + 1) for _ in range(length + 1)]      # best[i][k]: k pieces from i on
+    step = [[0] * (n + 1) for _ in range(length + 1)]        # the size taken at i, 0: none starts there
+    for row in best:
+        row[0] = 0.0
+    for i in range(length - 1, -1, -1):
+        for k in range(1, n + 1):
+            b, s = best[i + 1][k], 0
+            for size, c in cost[i]:
+                x = c + best[i + size][k - 1]
+                if x < b:
+                    b, s = x, size
+            best[i][k], step[i][k] = b, s
+    out, i, k = [], 0, n
+    while k:
+        s = step[i][k]
+        if s:
+            out.append((i, s))
+            k -= 1
+        i += max(s, 1)
+    return out
+
+
+def common_letters(masks: dict[str, int], length: int, b: str) -> int:
+    """Length of the longest common subsequence of ``b`` and the string of ``length``
+    letters whose places ``masks`` give."""
+    full = (1 << length) - 1
+    s = full
+    for c in b:
+        u = s & masks.get(c, 0)
+        s = ((s + u) | (s - u)) & full
+    return length - s.bit_count()
+
+
+def masks_of(a: str) -> dict[str, int]:
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
 
 
 def _ratio_udf(cutoff: float):
@@ -31,13 +173,18 @@ def _ratio_udf(cutoff: float):
         index is kept); NULL where an upper bound is below the cut-off."""
         from difflib import SequenceMatcher
 
-        m, last, out = SequenceMatcher(None), None, []
+        m, last, masks, set_to, out = SequenceMatcher(None), None, {}, None, []
         for a, b in zip(candidate, query):
             if b != last:
+                masks, last = masks_of(b), b
+            if common_letters(masks, len(b), a) < least_common(len(b), len(a), cutoff):
+                out.append(None)
+                continue
+            if set_to != b:
                 m.set_seq2(b)
-                last = b
+                set_to = b
             m.set_seq1(a)
-            out.append(m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else None)
+            out.append(m.ratio())
         return pd.Series(out, dtype="float64")
 
     # Marked non-deterministic only so that the filter on the score is not
@@ -45,64 +192,106 @@ def _ratio_udf(cutoff: float):
     return ratio.asNondeterministic()
 
 
-def _bag(s: Column) -> Column:
-    """Characters of ``s`` tagged with their occurrence number: 'e#1', 'e#2'…"""
-    chars = F.regexp_extract_all(s, F.lit("(?s)(.)"), 1)
-    counted = F.array_sort(chars)
-    return F.transform(counted, lambda c, i: F.concat(c, F.lit("#"), (i - F.array_position(counted, c)).cast("string")))
+def _named(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Distinct names that hold letters, numbered and stored. They are few bytes and
+    much work, so they are dealt to as many tasks as shuffles have, not to as few as
+    their bytes would fill."""
+    d = df.select(F.col(col).alias(name)).where(F.col(name).isNotNull() & (F.col(name) != "")).distinct()
+    d = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), name)
+    return cut_lineage(d.select(F.monotonically_increasing_id().alias(f"{name}_id"), name))
+
+
+def _lengths(df: DataFrame, col: str) -> list[int]:
+    """Distinct lengths of a column: no more than the longest string has letters."""
+    return sorted(r["n"] for r in df.select(F.length(col).alias("n")).distinct().collect())
 
 
-def _operations(total: Column, cutoff: float) -> Column:
-    """Most insertions and deletions between strings of that total length."""
-    return F.floor(total * F.lit(1.0 - cutoff) + F.lit(EPS)).cast("int")
+def _gram_counts(d: DataFrame) -> dict[str, int]:
+    """Counts of letters, pairs and triples over all entries."""
+    at = F.sequence(F.lit(1), F.length("d"))
+    grams = F.flatten(F.transform(at, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("d") - i + 1)), lambda n: F.substr("d", i, n))))
+    counts = d.select(F.explode(grams).alias("g")).groupBy("g").count()
+    return {r["g"]: r["count"] for r in counts.orderBy(F.desc("count"), "g").limit(MOST_GRAMS).collect()}
 
 
-def _longest(length: Column, cutoff: float) -> Column:
-    return F.floor(length * F.lit((2.0 - cutoff) / cutoff) + F.lit(EPS)).cast("int")
+def piece_hits(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
+    """(q_id, d_id, k, matches): pieces k of entries ``d`` (d_id, d) that stand in
+    names ``q`` (q_id, q) no farther off than the letters left over allow."""
+    spark = q.sparkSession
+    entries = d.count()
+    of_names, of_entries = _lengths(q, "q"), _lengths(d, "d")
+    plans = {ld: [(lq, p) for lq in of_names if (p := plan_of(lq, ld, cutoff, entries))] for ld in of_entries}
+    grams = spark.sparkContext.broadcast(_gram_counts(d))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_after = _chances(grams.value)
+        for batch in batches:
+            rows = []
+            for d_id, entry in zip(*(c.to_pylist() for c in batch.columns)):
+                cuts: dict[tuple[int, int], list] = {}
+                for lq, plan in plans.get(len(entry), ()):
+                    key = plan.pieces, plan.between
+                    if key not in cuts:
+                        cuts[key] = chosen_pieces(entry, plan, log_after)
+                    rows += [(d_id, lq, entry[i:i + s], k, i, *plan[1:]) for k, (i, s) in enumerate(cuts[key])]
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(PIECE, r)) for r in rows], schema=piece_type)
 
-def _shortest(length: Column, cutoff: float) -> Column:
-    return F.greatest(F.ceil(length * F.lit(cutoff / (2.0 - cutoff)) - F.lit(EPS)).cast("int"), F.lit(1))
+    PIECE = ("d_id", "lq", "piece", "k", "start", "between", "matches", "lost", "extra")
+    piece_type = pa.schema([(c, pa.string() if c == "piece" else pa.int64() if c == "d_id" else pa.int32()) for c in PIECE])
+    pieces = cut_lineage(d.select("d_id", "d").mapInArrow(
+        cut, ", ".join(f"{c} {'string' if c == 'piece' else 'bigint' if c == 'd_id' else 'int'}" for c in PIECE)))
+    # Sizes and gaps that occur for names of each length: a few rows per length.
+    made: dict[int, list[tuple[int, int]]] = {}
+    for r in pieces.groupBy("lq", F.length("piece").alias("size")).agg(F.max("between").alias("between")).collect():
+        made.setdefault(r["lq"], []).append((r["size"], r["between"]))
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, str, int, int]] = []
+            for q_id, name in zip(*(c.to_pylist() for c in batch.columns)):
+                found = set()
+                for size, between in made.get(len(name), ()):
+                    for u, parts in patterns(size, between):
+                        for at in range(len(name) - size - u + 1):
+                            found.add(("".join([name[at + a:at + b] for a, b in parts]), at, u))
+                out += [(q_id, len(name), *x) for x in found]
+                if len(out) >= 100_000:
+                    yield key_batch(out)
+                    out = []
+            if out:
+                yield key_batch(out)
 
-def _fitting(df: DataFrame, col: str) -> list[int]:
-    """Distinct lengths of a column: no more than the longest string has letters."""
-    return sorted(r["n"] for r in df.select(F.length(col).alias("n")).distinct().collect())
+    def key_batch(rows):
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)],
+                                          names=["q_id", "lq", "piece", "at", "u"])
+
+    of_name = q.select("q_id", "q").mapInArrow(keys, "q_id bigint, lq int, piece string, at int, u int")
+    moved, u = F.col("at") - F.col("start"), F.col("u")
+    left = F.col("extra") - F.col("lost") - moved - u       # what is to move after the piece
+    none = F.lit(0)
+    inserted = F.greatest(moved, none) + u + F.greatest(left, none)
+    deleted = F.greatest(-moved, none) + F.greatest(-left, none)
+    return of_name.join(pieces, ["lq", "piece"]).where(
+        (u <= F.col("between")) & (inserted <= F.col("extra")) & (deleted <= F.col("lost"))).select("q_id", "d_id", "k", "matches")
+
+
+def candidate_ids(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
+    """(q_id, d_id): pairs with as many matching pieces as their lengths ask for.
+    Pieces are told apart by bits; of more than 63 some share one, so those pairs stay."""
+    hits = piece_hits(q, d, cutoff).groupBy("q_id", "d_id").agg(
+        F.bit_count(F.bit_or(F.expr("shiftleft(1L, k % 63)"))).alias("met"), F.max("k").alias("last"),
+        F.max("matches").alias("matches"))
+    return hits.where((F.col("met") >= F.col("matches")) | (F.col("last") >= 63)).select("q_id", "d_id")
 
 
-def candidate_pairs(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
-    """(q, d): every pair of names that can reach the cut-off, few others.
-
-    For each pair of lengths that occurs and can reach it, entries are cut into
-    one piece more than the operations it allows; where that is more pieces than
-    letters (a very low cut-off), pairs of those lengths meet by length alone."""
-    ld, lq, k = F.col("ld"), F.col("lq"), F.col("k")
-    n = F.col("n")
-
-    def lengths(of: list[int], own: Column) -> Column:
-        low, high = _shortest(own, cutoff), _longest(own, cutoff)
-        return F.filter(F.array(*[F.lit(x) for x in of]).cast("array<int>"), lambda x: (x >= low) & (x <= high))
-
-    def cut(df: DataFrame) -> DataFrame:
-        ops = _operations(lq + ld, cutoff)
-        df = df.withColumn("n", F.when(ops < ld, ops + 1).otherwise(0))
-        df = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))))
-        some = F.greatest(n, F.lit(1))
-        return df.withColumn("first", F.floor(k * ld / some).cast("int")).withColumn(
-            "size", F.when(n > 0, F.floor((k + 1) * ld / some).cast("int") - F.col("first")).otherwise(0))
-
-    entries = cut(d.withColumn("ld", F.length("d")).withColumn("lq", F.explode(lengths(_fitting(q, "q"), ld)))).select(
-        "d", "ld", "lq", "k", F.substring(F.col("d"), F.col("first") + 1, F.col("size")).alias("piece"))
-    names = cut(q.withColumn("lq", F.length("q")).withColumn("ld", F.explode(lengths(_fitting(d, "d"), lq))))
-    # Of the operations, insertions outnumber deletions by the longer name's
-    # surplus; a piece moves by those before it.
-    ops, longer = _operations(lq + ld, cutoff), lq - ld
-    low = F.greatest(F.lit(0), F.col("first") - F.floor((ops - longer) / 2).cast("int"))
-    high = F.least(lq - F.col("size"), F.col("first") + F.floor((ops + longer) / 2).cast("int"))
-    places = F.when(n == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high))
-    names = names.withColumn("at", F.explode(places)).select(
-        "q", "ld", "lq", "k", F.substring(F.col("q"), F.col("at") + 1, F.col("size")).alias("piece")).distinct()
-    return names.join(entries, ["ld", "lq", "k", "piece"]).select("q", "d").distinct()
+def candidate_pairs(names: DataFrame, entries: DataFrame, cutoff: float) -> DataFrame:
+    """(q, d): every pair of names that can reach the cut-off, few others; from
+    ``names`` (q) and ``entries`` (d)."""
+    q, d = _named(names, "q", "q"), _named(entries, "d", "d")
+    return candidate_ids(q, d, cutoff).join(q, "q_id").join(d, "d_id").select("q", "d")
 
 
 def fuzzy_match(names: DataFrame, name_col: str, dictionary: DataFrame, cutoff: float,
@@ -110,15 +299,8 @@ def fuzzy_match(names: DataFrame, name_col: str, dictionary: DataFrame, cutoff:
     """Distinct names of ``names[name_col]`` with their best dictionary entry of
     ratio ≥ cutoff (ties: the larger string), NULL when none / empty name /
     empty dictionary. Returns DataFrame(name_col, out_col, score)."""
-    q = names.select(F.col(name_col).alias("q")).filter(
-        F.col("q").isNotNull() & (F.col("q") != "")).distinct()
-    d = dictionary.select(F.col(dict_col).alias("d")).filter(
-        F.col("d").isNotNull() & (F.col("d") != "")).distinct()
-    pairs = candidate_pairs(q, d, cutoff)
-    lq, ld = F.length("q"), F.length("d")
-    shared = F.size(F.array_intersect(_bag(F.col("q")), _bag(F.col("d"))))
-    pairs = pairs.filter(F.lit(2.0) * F.least(lq, ld) / (lq + ld) >= F.lit(cutoff - EPS)) \
-        .filter(F.lit(2.0) * shared / (lq + ld) >= F.lit(cutoff - EPS))
+    q = _named(names, name_col, "q")
+    pairs = candidate_pairs(q, dictionary.select(F.col(dict_col).alias("d")), cutoff)
     scored = pairs.withColumn("score", _ratio_udf(cutoff)(F.col("d"), F.col("q"))) \
         .filter(F.col("score") >= F.lit(cutoff))
     best = scored.groupBy("q").agg(F.max(F.struct("score", "d")).alias("b"))

@@ -106,3 +106,66 @@ def test_enrich_with_user_model(spark):
     assert got == {1: ("Information Studies", "Mcgill University"),
                    2: ("Information Studies", "Mcgill University"),
                    3: ("Math", "University of British Columbia")}
+
+
+def test_cuts_and_plans_miss_no_pair_on_random_strings(spark):
+    """All cut-offs, lengths from 1 on, alphabets of 2 to 60 letters."""
+    rnd = random.Random(8)
+    dictionary = sorted({"".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 24)))
+                         for alphabet in ("ab", "abcdef", "aéß漢 .", "".join(map(chr, range(97, 157)))) for _ in range(60)})
+    queries = sorted({_mutate(rnd, _mutate(rnd, rnd.choice(dictionary))) for _ in range(250)} - {""})
+    qdf = spark.createDataFrame([(q,) for q in [*queries, "", None]], "q string")
+    ddf = spark.createDataFrame([(d,) for d in [*dictionary, "", None, dictionary[0]]], "name string")
+    for cutoff in (0.95, 0.84, 0.7, 0.45):
+        got = {r.q: (r.match, r.score) for r in fuzzy_match(qdf, "q", ddf, cutoff).collect()}
+        assert len(got) == len(queries)
+        for q in queries:
+            exp = difflib.get_close_matches(q, dictionary, n=1, cutoff=cutoff)
+            score = difflib.SequenceMatcher(None, exp[0], q).ratio() if exp else None
+            assert got[q] == ((exp[0], score) if exp else (None, None)), (cutoff, q, got[q], exp)
+
+
+def test_longest_common_subsequence_and_patterns():
+    from admitlens.operators import fuzzy
+
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rnd = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice("abcé") for _ in range(rnd.randint(0, 90))) for _ in "ab")
+        assert fuzzy.common_letters(fuzzy.masks_of(a), len(a), b) == slow(a, b)
+    # 4 letters with at most 2 foreign ones in 3 gaps: 1 + 3 + 6 ways
+    assert len(fuzzy.patterns(4, 2)) == 10 and len(set(fuzzy.patterns(4, 2))) == 10
+    assert fuzzy.patterns(1, 3) == ((0, ((0, 1),)),)
+
+
+def test_candidates_are_few_for_each_name_at_two_scales(spark):
+    """On the registered fixture: below 20 candidates a name, at ten times the names too."""
+    from admitlens.operators.fuzzy import candidate_pairs
+    from admitlens.plans.standardise_plan import _coded
+
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        c = _coded(spark, sf)
+        names = c.select(F.col("query").alias("q")).distinct()
+        n = names.count()
+        found = candidate_pairs(names, c.select(F.col("entry").alias("d")), 0.84).count()
+        assert 0.6 * n < found < 20 * n, (sf, n, found)
+
+
+def test_common_words_make_no_candidates(spark):
+    """Cuts avoid what most entries share: 'University of ...' alone selects nothing."""
+    from admitlens.operators.fuzzy import candidate_pairs
+
+    rnd = random.Random(4)
+    places = ["".join(rnd.choice("aeioulnrst") for _ in range(9)).title() for _ in range(1500)]
+    d = spark.createDataFrame([(f"University Of {p}",) for p in places], "d string")
+    q = spark.createDataFrame([(f"Univercity of {p}",) for p in places[:500]], "q string")
+    pairs = candidate_pairs(q, d, 0.92)
+    assert 500 <= pairs.count() < 20 * 500
