@@ -10,10 +10,11 @@ from admitlens.functions.dates import parse_date
 from admitlens.functions.numbers import try_double, try_key
 from admitlens.functions.records import combine_names, parse_prefixed_number
 from admitlens.schema import APPLICANT_COLUMNS, KEY_SPELLINGS
-from admitlens.session import DEFAULT_BROADCAST_ROWS, bounded_rows
+from admitlens.session import DEFAULT_BROADCAST_ROWS, bounded_rows, maybe_broadcast, store
 
 NUMERIC = ["gpa", "gre", "gre_v", "gre_aw"]
 ORDER_COL = "_load_pos"
+ROW_COL = "_load_row"
 
 
 def _pick(df: DataFrame, field: str, map_col: str | None = None) -> Column:
@@ -130,6 +131,15 @@ def load_stats(flagged: DataFrame, new_rows: DataFrame, key: str = "p_id") -> Da
     return both.select(*[F.col(c).cast("long") for c in ("inserted", "skipped", "rejected")])
 
 
+def _ordered(batch: DataFrame, order_cols: list[Column | str] | None) -> DataFrame:
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols or []]
+    if not order:
+        if batch.inputFiles():
+            raise ValueError("rows come from files: say by order_cols which of a key's rows is first")
+        order = [F.monotonically_increasing_id()]
+    return batch.withColumn(ORDER_COL, F.struct(*order))
+
+
 def prepare_batch(batch: DataFrame, target: DataFrame, map_col: str | None = None,
                   order_cols: list[Column | str] | None = None) -> tuple[DataFrame, DataFrame]:
     """L1 -> L6 -> L4 -> L5 without writing: (flagged batch, rows to append).
@@ -137,13 +147,7 @@ def prepare_batch(batch: DataFrame, target: DataFrame, map_col: str | None = Non
     ``order_cols`` say which of several rows of a key came first (for files:
     ``file_order()``). Rows made in memory come in their own order; rows read
     from files have none that Spark keeps, so it must be given."""
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols or []]
-    if not order:
-        if batch.inputFiles():
-            raise ValueError("rows come from files: say by order_cols which of a key's rows is first")
-        order = [F.monotonically_increasing_id()]
-    ordered = batch.withColumn(ORDER_COL, F.struct(*order))
-    flagged = flag_invalid(conform(ordered, keep=[ORDER_COL], map_col=map_col))
+    flagged = flag_invalid(conform(_ordered(batch, order_cols), keep=[ORDER_COL], map_col=map_col))
     good = flagged.filter(F.col("reject_reason").isNull()).select(*APPLICANT_COLUMNS, ORDER_COL)
     first = dedupe_first(good, "p_id", ORDER_COL).drop(ORDER_COL)
     return flagged, insert_ignore(target, first, "p_id").select(*APPLICANT_COLUMNS)
@@ -154,28 +158,37 @@ def file_order() -> list[Column]:
     return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
 
 
+def stage_batch(table, batch: DataFrame, map_col: str | None = None,
+                order_cols: list[Column | str] | None = None, batch_id: str | None = None):
+    """L8 up to the commit: (staged batch, one-row stats frame). Conform, set rejects
+    aside, dedupe, insert-ignore; rows and rejects are staged under ``batch_id``
+    (default: a digest of the whole batch), so a replay replaces its own.
+
+    The flagged batch is written once. Which rows are new is decided on keys, order
+    and row numbers alone; table files that cannot hold a key are not read; the rows
+    themselves are then read once more, for the append."""
+    flagged = flag_invalid(conform(_ordered(batch, order_cols), keep=[ORDER_COL], map_col=map_col))
+    flagged = store(flagged.withColumn(ROW_COL, F.monotonically_increasing_id()), "flagged")
+    valid = F.col("reject_reason").isNull()
+    counts = flagged.agg(F.count_if(valid).alias("valid"), F.count_if(~valid).alias("rejected"),
+                         F.sum(F.xxhash64(*flagged.drop(ORDER_COL, ROW_COL).columns).cast("decimal(38,0)")).alias("h")).first()
+    staged = table.stage(batch_id or f"{counts['valid'] + counts['rejected']}-{counts['h'] or 0}")
+    firsts = flagged.where(valid).groupBy("p_id").agg(F.min(F.struct(ORDER_COL, ROW_COL)).alias("o")).select("p_id", f"o.{ROW_COL}")
+    firsts = store(firsts, "first-rows")
+    known = table.scan_for_keys(firsts.select("p_id"), DEFAULT_BROADCAST_ROWS)
+    new = store(insert_ignore(known, firsts, "p_id"), "new-keys")
+    inserted = new.count()
+    staged.rows(flagged.join(maybe_broadcast(new.select(ROW_COL)), ROW_COL, "left_semi").select(*APPLICANT_COLUMNS))
+    staged.rejects(flagged.where(~valid).drop(ORDER_COL, ROW_COL))
+    stats = [(inserted, counts["valid"] - inserted, counts["rejected"])]
+    return staged, table.spark.createDataFrame(stats, "inserted long, skipped long, rejected long")
+
+
 def load_batch(table, batch: DataFrame, map_col: str | None = None,
                order_cols: list[Column | str] | None = None, batch_id: str | None = None) -> DataFrame:
-    """Conform, set rejects aside, dedupe, insert-ignore, append; returns
-    the one-row stats frame. Loading the same batch twice inserts nothing the
-    second time; rejects are kept per ``batch_id`` (default: a digest of the
-    batch), so a replay replaces its own. ``order_cols``: see prepare_batch."""
-    from admitlens.session import cut_lineage
-
-    # Materialise the flagged batch once: rejects, appends and stats all use it,
-    # and the new rows must be fixed before the table they were checked
-    # against changes.
-    flagged, _ = prepare_batch(batch, table.scan(), map_col, order_cols)
-    flagged = cut_lineage(flagged)
-    good = flagged.filter(F.col("reject_reason").isNull()).select(*APPLICANT_COLUMNS, ORDER_COL)
-    first = dedupe_first(good, "p_id", ORDER_COL).drop(ORDER_COL)
-    new_rows = cut_lineage(insert_ignore(table.scan(), first, "p_id").select(*APPLICANT_COLUMNS))
-    rejects = flagged.filter(F.col("reject_reason").isNotNull())
-    rejects = rejects.drop(ORDER_COL)
-    if batch_id is None:
-        d = rejects.agg(F.count(F.lit(1)).alias("n"),
-                        F.sum(F.xxhash64(*rejects.columns).cast("decimal(38,0)")).alias("h")).first()
-        batch_id = f"{d['n']}-{d['h'] or 0}"
-    table.append_rejects(rejects, batch_id)
-    table.append(new_rows)
-    return load_stats(flagged, new_rows)
+    """Stage a batch and commit it; returns the one-row stats frame. Rows and
+    rejects become visible together. Loading the same batch twice inserts nothing the
+    second time. ``order_cols``: see prepare_batch."""
+    staged, stats = stage_batch(table, batch, map_col, order_cols, batch_id)
+    staged.commit()
+    return stats

@@ -71,6 +71,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back: cuts the
+    lineage and survives lost executors like a checkpoint, and later reads take only
+    the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_rows(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` holds at most ``max_rows`` rows: counted, reading at most
     one row more. Plan estimates are no bounds, so they are not asked. Callers
