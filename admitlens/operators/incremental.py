@@ -4,11 +4,13 @@ table's last key, watermark upkeep, the update and the full build."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from admitlens.operators.numbering import running_totals, with_row_index
-from admitlens.session import DEFAULT_BROADCAST_ROWS, bounded_rows, cut_lineage
+from admitlens.session import DEFAULT_BROADCAST_ROWS, bounded_rows, cut_lineage, store
 
 
 def known_flag(batch: DataFrame, table: DataFrame, col: str = "url",
@@ -100,22 +102,85 @@ def advance_watermark(watermarks: DataFrame, batch: DataFrame, source: Column |
     return both.groupBy("source").agg(best.alias("w")).select("source", "w.*")
 
 
-def incremental_update(batch: DataFrame, table: DataFrame, page_col: str = "page_id",
-                       pos_col: str = "record_no", url_col: str = "url",
-                       key: str = "p_id") -> DataFrame:
-    """New records of the pages before the first fully seen page,
-    numbered after the table's last key in page/row order. Returns the rows to
-    append (empty when nothing is new)."""
-    # The batch (often an extraction) is computed once; every later step reads
-    # the checkpoint.
-    flagged = cut_lineage(known_flag(cut_lineage(batch), table, url_col))
-    kept = stop_at_seen_page(flagged, page_novelty(flagged, page_col), page_col)
-    new = kept.filter(~F.col("is_known")).drop("is_known")
+def _kept_until(rows: DataFrame, table: DataFrame, page_col: str, url_col: str) -> tuple[DataFrame, object]:
+    """(new rows of the pages before the first fully seen one, that page or None) of
+    stored ``rows``; novelty is decided on pages and links alone."""
+    novelty = page_novelty(known_flag(rows.select(page_col, url_col), table, url_col), page_col)
+    stop = first_seen_page(novelty, page_col)
+    kept = rows if stop is None else rows.filter(F.col(page_col) < F.lit(stop))
+    return known_flag(kept, table, url_col).filter(~F.col("is_known")).drop("is_known"), stop
+
+
+def _numbered(new: DataFrame, table: DataFrame, page_col: str, pos_col: str, key: str) -> DataFrame:
     if new.isEmpty():  # nothing new: a no-op, no numbering work
         return new.withColumn(key, F.lit(None).cast("long"))
     return number_by_page(new, page_col, pos_col, next_key(table, key), key)
 
 
+def incremental_update(batch: DataFrame, table: DataFrame, page_col: str = "page_id",
+                       pos_col: str = "record_no", url_col: str = "url",
+                       key: str = "p_id") -> DataFrame:
+    """I6 of records that are there already: new records of the pages before the
+    first fully seen page, numbered after the table's last key in page/row order.
+    Returns the rows to append (empty when nothing is new). Pages that are still to be
+    parsed: ``incremental_pull``."""
+    new, _ = _kept_until(store(batch, "batch"), table, page_col, url_col)
+    return _numbered(store(new, "new"), table, page_col, pos_col, key)
+
+
+FIRST_WAVE = 16          # pages of the first wave; each further one doubles
+EXACT_WAVE = 4096        # wider waves end at an approximate quantile of the page ids
+
+
+def next_wave(pages: DataFrame, page_col: str, after, width: int):
+    """(last page id of the wave, whether pages are left behind it) of the ``width``
+    pages or so behind ``after``; None if there are none. Page ids alone are read."""
+    rest = pages.select(page_col).where(F.col(page_col).isNotNull())
+    rest = rest if after is None else rest.where(F.col(page_col) > F.lit(after))
+    size = rest.agg(F.count(F.lit(1)).alias("n"), F.max(page_col).alias("last")).first()
+    if not size["n"]:
+        return None
+    if size["n"] <= width:
+        return size["last"], False
+    if width <= EXACT_WAVE:
+        last = rest.orderBy(page_col).limit(width).agg(F.max(page_col).alias("p")).first()["p"]
+    else:
+        last = rest.agg(F.percentile_approx(page_col, width / size["n"], F.lit(100_000)).alias("p")).first()["p"]
+    return last, last < size["last"]
+
+
+def incremental_pull(pages: DataFrame, parse: Callable[[DataFrame], DataFrame], table: DataFrame,
+                     page_col: str = "page_id", pos_col: str = "record_no", url_col: str = "url", key: str = "p_id",
+                     first_wave: int = FIRST_WAVE, waves: list | None = None) -> DataFrame:
+    """I3 + I6 over pages that are not parsed yet. Pages are parsed in waves, in page
+    order and each twice as wide as the one before; the first fully seen page ends
+    the pull, so pages beyond its wave are never parsed, and fewer than twice those
+    needed are (but for the first wave). Pages without an id are parsed last, if no
+    page has ended the pull.
+
+    ``parse`` gives the records of some pages, which are stored; ``waves`` gets (after,
+    last, stop page) of each wave."""
+    after, width, new, stop = None, first_wave, None, None
+
+    def pull(some: DataFrame, last) -> None:
+        nonlocal new, stop
+        rows = store(parse(some), "wave")
+        kept, stop = _kept_until(rows, table, page_col, url_col)
+        new = kept if new is None else new.unionByName(kept)
+        if waves is not None:
+            waves.append((after, last, stop))
+
+    more = True
+    while stop is None and more and (wave := next_wave(pages, page_col, after, width)) is not None:
+        last, more = wave
+        inside = F.col(page_col) <= F.lit(last)
+        pull(pages.where(inside if after is None else inside & (F.col(page_col) > F.lit(after))), last)
+        after, width = last, 2 * width
+    if stop is None:
+        pull(pages.where(F.col(page_col).isNull()), None)
+    return _numbered(store(new, "new"), table, page_col, pos_col, key)
+
+
 def full_build(records: DataFrame, page_col: str = "page_id", pos_col: str = "record_no",
                key: str = "p_id") -> DataFrame:
     """Every record of every page, ids from 1 in page/row order."""

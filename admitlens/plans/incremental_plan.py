@@ -10,7 +10,7 @@ from admitlens.plans.applicants_view import applicant_records, with_av
 from admitlens.plans.listing import BASE_URL, PAGE_SPAN, render_listing
 from admitlens.plans.registry import register
 from admitlens.schema import WATERMARKS
-from admitlens.session import read_table
+from admitlens.session import read_table, store
 
 
 # ----------------------------------------------------------------- I1
@@ -114,7 +114,8 @@ def q_incremental_update(spark, sf):
     """Second round over the listing: the table holds the known records; the
     update appends the new ones of the pages before the first seen page."""
     _, table = _known_split(spark, sf)
-    new = I.incremental_update(_extracted(spark, sf), table)
+    pages = store(render_listing(applicant_records(spark, sf)), "pages")
+    new = I.incremental_pull(pages, lambda some: E.extract_listing(some, BASE_URL), table)
     return table.unionByName(new.select(F.col("p_id").cast("bigint"), "url"))
 
 

@@ -9,9 +9,10 @@ from admitlens.plans.applicants_view import applicant_records, applicants_view,
 from admitlens.plans.listing import BASE_URL, render_listing
 from admitlens.plans.questions_plan import SQL_LONG
 from admitlens.plans.registry import register
-from admitlens.session import read_table, scratch_path
+from admitlens.session import read_table, scratch_path, store
 from admitlens.sources.tables import ApplicantsTable
 from admitlens.streaming import handlers as H
+from admitlens.streaming import messages as M
 from admitlens.streaming import tasks as T
 
 
@@ -82,19 +83,37 @@ def q_route_tasks(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-def _failing(_df, _batch_id):
-    raise RuntimeError("handler failed on purpose")
+def _message_log(spark, sf, pace_kinds: bool = True) -> str:
+    """Events in order as a message log; their kinds come in stretches of 500 ids."""
+    ev = read_table(spark, sf, "events").select("event_id")
+    k = F.col("event_id")
+    kinds = F.array(*[F.lit(x) for x in ("click", "error", "view", "purchase")])
+    kind = F.get(kinds, (F.floor(k / 500) % 4).cast("int")) if pace_kinds else F.lit("click")
+    good = F.to_json(F.struct(kind.alias("kind"), F.struct(k.alias("event_id")).alias("payload")))
+    line = (F.when(k % 17 == 0, F.lit('{"kind": "click", broken')).when(k % 23 == 0, F.lit("[1, 2]")).otherwise(good))
+    path = scratch_path(spark, "message-log")
+    M.append_messages(ev.select(k, line.alias("value")), path, ["event_id"])
+    return path
+
+
+def _sometimes_failing(messages, _batch_id):
+    k = F.try_variant_get(F.try_parse_json("payload"), "$.event_id", "bigint")
+    if not messages.where(k % 9973 == 750).isEmpty():
+        raise RuntimeError("handler failed on purpose")
+
+
+_MIXED = "floor(event_id / 500) % 4"
 
 
 @register("dead_letters", f"""
-SELECT CASE WHEN {_BAD} THEN 'malformed' WHEN event_type = 'error' THEN 'handler_failed'
+SELECT CASE WHEN {_BAD} THEN 'malformed' WHEN {_MIXED} = 1 THEN 'handler_failed'
   ELSE 'unknown_kind' END AS reason, COUNT(*) AS n
-FROM events WHERE {_BAD} OR event_type NOT IN ('click', 'view') GROUP BY 1""")
+FROM events WHERE {_BAD} OR {_MIXED} = 3 OR ({_MIXED} = 1 AND event_id % 9973 = 750) GROUP BY 1""")
 def q_dead_letters(spark, sf):
-    src = _message_files(spark, sf)
+    """Runs of messages: of a run that fails only the messages that fail alone go."""
     dead = scratch_path(spark, "dead")
-    handlers = {"click": lambda df, b: None, "view": lambda df, b: None, "error": _failing}
-    T.consume(spark, src, handlers, dead, scratch_path(spark, "ckpt"), max_files_per_trigger=2)
+    handlers = {"click": lambda df, b: None, "view": lambda df, b: None, "error": _sometimes_failing}
+    T.consume_log(spark, _message_log(spark, sf), handlers, dead, scratch_path(spark, "ckpt"), pace=5000)
     return spark.read.parquet(dead).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -131,7 +150,7 @@ def q_handle_ingest(spark, sf):
     known = recs.filter((F.col("p_id") % 5 == 0) | (F.col("p_id") >= F.lit(t)))
     table = ApplicantsTable(spark, scratch_path(spark, "applicants"))
     table.append(known.select(*[c for c in applicants_view(spark, sf).columns]))
-    pages = render_listing(recs)
+    pages = store(render_listing(recs), "pages")
     handler = H.ingest_handler(table, lambda: pages, BASE_URL)
     src = _one_message_per_region(spark, sf, "scrape_new_data")
     for _ in range(2):
@@ -153,15 +172,12 @@ def q_handle_refresh(spark, sf):
 
 
 @register("paced_consume", """
-SELECT row_number() OVER () - 1 AS batch_id, CAST(1 AS BIGINT) AS num_input_rows FROM nation""")
+SELECT CAST(floor((rn - 1) / 2000) AS BIGINT) AS batch_id, COUNT(*) AS num_input_rows
+FROM (SELECT row_number() OVER (ORDER BY event_id) AS rn FROM events) GROUP BY 1""")
 def q_paced_consume(spark, sf):
-    """One message file per nation and one file per batch: the consumer's own
-    progress table lists one batch per file."""
-    nation = read_table(spark, sf, "nation").select("n_name")
-    msgs = nation.select(F.to_json(F.struct(F.lit("recompute_analytics").alias("kind"),
-                                            F.struct(F.col("n_name").alias("nation")).alias("payload"))).alias("value"))
-    src, progress = scratch_path(spark, "tasks-in"), scratch_path(spark, "progress")
-    msgs.write.mode("overwrite").option("maxRecordsPerFile", 1).text(src)   # a nation a file
-    T.consume(spark, src, {"recompute_analytics": lambda df, b: None}, scratch_path(spark, "dead"),
-              scratch_path(spark, "ckpt"), max_files_per_trigger=1, progress_path=progress)
+    """A message per event, 2000 messages a batch, however they lie in files: the
+    consumer's own progress table lists every batch."""
+    progress = scratch_path(spark, "progress")
+    T.consume_log(spark, _message_log(spark, sf, False), {"click": lambda df, b: None}, scratch_path(spark, "dead"),
+                  scratch_path(spark, "ckpt"), pace=2000, progress_path=progress)
     return T.read_progress(spark, progress)

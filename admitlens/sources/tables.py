@@ -13,6 +13,7 @@ Bloom filter, by which a load reads only files that may hold its keys."""
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import quote, unquote
 
 import numpy as np
@@ -238,8 +239,6 @@ class ApplicantsTable:
 
     def append(self, df: DataFrame, batch_id: str | None = None) -> None:
         """Stage and commit rows as one batch."""
-        import uuid
-
         staged = self.stage(batch_id or uuid.uuid4().hex)
         staged.rows(df)
         staged.commit()
@@ -279,4 +278,7 @@ class WatermarkTable:
         return df.select(*WATERMARKS.names)
 
     def append(self, df: DataFrame) -> None:
-        df.select(*WATERMARKS.names).write.mode("append").parquet(self.path)
+        batch_id = uuid.uuid4().hex
+        df.select(*WATERMARKS.names).write.parquet(f"{self.path}/{BATCH_COL}={batch_id}")
+        if self.commits is not None:
+            self.commits.add(batch_id)

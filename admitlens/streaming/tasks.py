@@ -1,23 +1,29 @@
 """The task stream.
 
-Task messages are JSON objects ``{"kind", "ts", "payload"}`` arriving as lines
-of text files (any file-source; a broker connector plugs in the same way).
-A Structured Streaming query decodes them, splits off malformed ones, routes
-each kind to its handler inside ``foreachBatch`` and writes dead letters with
-their reason in the same batch. The checkpoint plays the role of the ack:
-a batch is committed only after its handlers returned; a handler that fails
-sends its messages to the dead letters (never retried), like a nack without
-requeue. ``maxFilesPerTrigger=1`` keeps one message file in flight.
+Task messages are JSON objects ``{"kind", "ts", "payload"}``: lines of text files, or
+numbered messages of a log (``messages``; a broker connector plugs in the same way).
+A Structured Streaming query decodes them, splits off malformed ones, hands the
+others to their handlers inside ``foreachBatch`` and writes dead letters with their
+reason in the same batch. Messages are handled in order: neighbours of one kind form
+a run and one handler call. A run that fails is halved, and its halves handled in
+order, until the messages that fail stand alone and go to the dead letters (never
+retried), like a nack without requeue; so a handler must leave nothing behind when it
+fails (see ``handlers``). The checkpoint plays the role of the ack: a batch is
+committed only after its handlers returned. How many messages are in flight is the
+stream's pace.
 """
 
 from __future__ import annotations
 
 import traceback
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from admitlens.streaming.messages import read_message_stream
+
 Handler = Callable[[DataFrame, int], None]
 
 DECODED_COLUMNS = ["value", "status", "kind", "ts", "payload"]
@@ -80,42 +86,74 @@ def dead_letter_frame(df: DataFrame, reason: Column | str, batch_id: int) -> Dat
     return df.select("value", r.alias("reason"), F.lit(batch_id).cast("long").alias("batch_id"))
 
 
+PLACE = "_place"
+
+
+def message_runs(routed: DataFrame, kinds: list[str]) -> list[tuple[str, int, int, int]]:
+    """(kind, first place, last place, messages) of the runs of equal kinds, in order
+    of place; messages without a handler interrupt none. Places and kinds alone are
+    dealt out by place; a row per run and task comes back, which are joined up."""
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            run = (f["route"] != f["route"].shift()).cumsum()
+            yield f.groupby(run, sort=False).agg(kind=("route", "first"), first=(PLACE, "min"), last=(PLACE, "max"), n=(PLACE, "size"))
+
+    known = routed.where(F.col("route").isin(*kinds)).select(PLACE, "route")
+    found = known.repartitionByRange(PLACE).sortWithinPartitions(PLACE).mapInPandas(scan, "kind string, first long, last long, n long")
+    runs: list[tuple[str, int, int, int]] = []
+    for kind, first, last, n in sorted(map(tuple, found.collect()), key=lambda r: r[1]):
+        if runs and runs[-1][0] == kind:
+            runs[-1] = (kind, runs[-1][1], last, runs[-1][3] + n)
+        else:
+            runs.append((kind, first, last, n))
+    return runs
+
+
 def make_batch_processor(handlers: dict[str, Handler], dead_path: str, log: list | None = None,
                          progress_path: str | None = None) -> Callable[[DataFrame, int], None]:
     """T3 + T4: the ``foreachBatch`` function. The batch is read and decoded once.
-    Kinds run in the order of their first message in the batch, each handler on
-    its kind's messages, none on an empty set; malformed / unknown / failed
-    messages go to ``dead_path`` (one folder per batch id, overwritten on replay,
-    so a re-run batch never duplicates). ``progress_path`` gets a row per batch
-    the same way, however many batches there are."""
+    Each run of messages of one kind is a handler call, in message order; malformed
+    and unknown messages and those that fail alone go to ``dead_path`` (one folder per
+    batch id, overwritten on replay, so a re-run batch never duplicates).
+    ``progress_path`` gets a row per batch the same way, however many batches there
+    are. Messages with a ``number`` are ordered by it, others by their place in the
+    files read."""
     kinds = list(handlers)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("_place", F.monotonically_increasing_id())
-        routed = route_tasks(decode_tasks(numbered, keep=["_place"]), kinds).persist()
-        try:
-            # A row per kind at most.
-            met = routed.groupBy("route").agg(F.min("_place").alias("p"), F.count(F.lit(1)).alias("n")).collect()
-            failed = []
-            for r in sorted(met, key=lambda r: r["p"]):
-                kind = r["route"]
-                if kind not in handlers:
-                    continue
-                try:
-                    handlers[kind](routed.filter(F.col("route") == kind).drop("_place"), batch_id)
-                except Exception as e:  # noqa: BLE001 - a failed handler never stops the stream
+        place = F.col("number") if "number" in batch.columns else F.monotonically_increasing_id()
+        routed = route_tasks(decode_tasks(batch.withColumn(PLACE, place), keep=[PLACE]), kinds).persist()
+        failed: list[int] = []
+
+        def handle(kind: str, first: int, last: int, n: int, places: list[int] | None = None) -> None:
+            run = routed.where((F.col("route") == kind) & F.col(PLACE).between(first, last))
+            try:
+                handlers[kind](run.drop(PLACE), batch_id)
+            except Exception as e:  # noqa: BLE001 - a failed handler never stops the stream
+                if n == 1:
+                    failed.append(first)
                     if log is not None:
                         log.append((batch_id, kind, "".join(traceback.format_exception_only(e))))
-                    failed.append(kind)
-            dead = routed.filter(F.col("route").isin("malformed", "unknown_kind", *failed))
-            reason = F.when(F.col("route").isin(*failed), F.lit("handler_failed")).otherwise(F.col("route")) \
-                if failed else F.col("route")
-            dead_letter_frame(dead, reason, batch_id).write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+                    return
+                if places is None:      # of a run that failed, no more than a batch's messages
+                    places = sorted(r[PLACE] for r in run.select(PLACE).collect())
+                half = len(places) // 2
+                for part in (places[:half], places[half:]):
+                    handle(kind, part[0], part[-1], len(part), part)
+
+        try:
+            for kind, first, last, n in message_runs(routed, kinds):
+                handle(kind, first, last, n)
+            dead = routed.where(F.col("route").isin("malformed", "unknown_kind"))
+            letters = dead_letter_frame(dead, F.col("route"), batch_id)
+            if failed:
+                spark = batch.sparkSession
+                lost = spark.createDataFrame([(p,) for p in failed], f"{PLACE} long")
+                letters = letters.unionByName(dead_letter_frame(routed.join(F.broadcast(lost), PLACE, "left_semi"), "handler_failed", batch_id))
+            letters.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
             if progress_path:
-                total = sum(r["n"] for r in met)
-                batch.sparkSession.range(1).select(
-                    F.lit(batch_id).cast("long").alias("batch_id"), F.lit(total).cast("long").alias("num_input_rows")
-                ).write.mode("overwrite").parquet(f"{progress_path}/b={batch_id}")
+                routed.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.count(F.lit(1)).alias("num_input_rows")) \
+                    .write.mode("overwrite").parquet(f"{progress_path}/b={batch_id}")
         finally:
             routed.unpersist()
 
@@ -142,6 +180,19 @@ def consume(spark: SparkSession, source_path: str, handlers: dict[str, Handler],
     q.awaitTermination()
 
 
+def consume_log(spark: SparkSession, log_path: str, handlers: dict[str, Handler], dead_path: str,
+                checkpoint: str, pace: int = 1, log: list | None = None, progress_path: str | None = None) -> None:
+    """T7 over a message log: drain it, ``pace`` messages a batch, each acknowledged
+    through the checkpoint after its handlers returned."""
+    q = (read_message_stream(spark, log_path, pace).writeStream
+         .foreachBatch(make_batch_processor(handlers, dead_path, log, progress_path))
+         .option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
 def read_progress(spark: SparkSession, progress_path: str) -> DataFrame:
     """(batch_id, num_input_rows) of every batch a consumer has finished."""
     return spark.read.schema("batch_id long, num_input_rows long").parquet(progress_path + "/b=*")
