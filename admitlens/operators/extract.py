@@ -16,7 +16,9 @@ document order, so an unclosed element contains what follows it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -49,36 +51,72 @@ ELEMENT_FIELDS = ["pos", "tag", "classes", "href", "text", "nodes", "hrefs", "de
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "nth", "seen", "strs")
+    """An element. ``at`` is its place among the page's elements in document order and
+    ``end`` that behind its last descendant, so descendants are an interval; so are
+    its texts, from ``text`` to ``text_end`` of the page's."""
+    __slots__ = ("tag", "attrs", "parent", "nth", "seen", "at", "end", "text", "text_end")
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+    def __init__(self, tag, attrs, parent, at, text):
+        self.tag, self.attrs, self.parent, self.at, self.text = tag, attrs, parent, at, text
         self.nth = 1
         self.seen: dict[str, int] = {}
-        self.strs: list[str] | None = None
+        self.end = self.text_end = -1
+
+
+class _Tree:
+    """The elements of a page in document order, and its stripped, non-empty texts."""
+
+    def __init__(self):
+        self.root = self.cur = _Node("[document]", {}, None, -1, 0)
+        self.order: list[_Node] = []
+        self.texts: list[str] = []
+        self.raw = 0             # open elements whose text is none
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        cur = self.cur
+        node = _Node(tag, attrs, cur, len(self.order), len(self.texts))
+        node.nth = cur.seen[tag] = cur.seen.get(tag, 0) + 1
+        self.order.append(node)
+        if tag in VOID:
+            node.end, node.text_end = len(self.order), node.text
+        else:
+            self.cur = node
+            self.raw += tag in RAW_TEXT
+
+    def end(self, tag: str) -> None:
+        n = self.cur
+        while n is not self.root and n.tag != tag:
+            n = n.parent
+        if n is not self.root:
+            self.close_to(n.parent)
+
+    def close_to(self, node: _Node) -> None:
+        while self.cur is not node:
+            cur = self.cur
+            cur.end, cur.text_end = len(self.order), len(self.texts)
+            self.raw -= cur.tag in RAW_TEXT
+            self.cur = cur.parent
+
+    def say(self, text: str) -> None:
+        text = text.strip()
+        if text and not self.raw:
+            self.texts.append(text)
 
 
 class _TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("[document]", {}, None)
-        self.cur = self.root
+        self.tree = _Tree()
         self.buf: list[str] = []
-        self.order: list[_Node] = []
 
     def _flush(self):
         if self.buf:
-            self.cur.children.append("".join(self.buf))
+            self.tree.say("".join(self.buf))
             self.buf = []
 
     def handle_starttag(self, tag, attrs):
         self._flush()
-        node = _Node(tag, dict((k, v if v is not None else "") for k, v in attrs), self.cur)
-        node.nth = self.cur.seen[tag] = self.cur.seen.get(tag, 0) + 1
-        self.cur.children.append(node)
-        self.order.append(node)
-        if tag not in VOID:
-            self.cur = node
+        self.tree.start(tag, {k: v if v is not None else "" for k, v in attrs})
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -87,11 +125,7 @@ class _TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        n = self.cur
-        while n is not None and n is not self.root and n.tag != tag:
-            n = n.parent
-        if n is not None and n is not self.root:
-            self.cur = n.parent
+        self.tree.end(tag)
 
     def handle_data(self, data):
         self.buf.append(data)
@@ -104,35 +138,63 @@ class _TreeBuilder(HTMLParser):
         self._flush()
 
 
-def _fill_strings(order: list[_Node]) -> None:
-    """Stripped, non-empty text nodes of every element, computed once,
-    children before parents (reverse document order)."""
-    for n in reversed(order):
-        if n.tag in RAW_TEXT:
-            n.strs = []
+# Plain markup: tags whose attributes are quoted or bare names, text, comments and a
+# doctype. A page of these alone means the same to every parser.
+_PLAIN = re.compile(
+    r"""([^<]+)|</([a-zA-Z][a-zA-Z0-9-]*)[ \t\n\r\f]*>"""
+    r"""|<([a-zA-Z][a-zA-Z0-9-]*)((?:[ \t\n\r\f]+[a-zA-Z][a-zA-Z0-9:_-]*(?:="[^"&]*"|='[^'&]*')?)*)[ \t\n\r\f]*(/?)>"""
+    r"""|<!--(?!-?>)(?:(?!--).)*-->|<!(?i:doctype)[^<>]*>""", re.S)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z][a-zA-Z0-9:_-]*)(?:="([^"]*)"|='([^']*)')?""")
+# Elements whose content is not markup; pages that hold them are left to the parser.
+_OWN_RULES = re.compile(r"<(?:script|style|xmp|iframe|noembed|noframes|noscript|plaintext|textarea|title)[\s/>]", re.I)
+
+
+def _plain_tree(html: str) -> _Tree | None:
+    """The tree of plain markup, in one scan of a regular expression; None if the page
+    holds anything else."""
+    if _OWN_RULES.search(html):
+        return None
+    tree, at, known = _Tree(), 0, {}
+    said = ""
+    for m in _PLAIN.finditer(html):
+        if m.start() != at:
+            return None
+        at = m.end()
+        kind = m.lastindex
+        if kind == 1:
+            said = m[1]
             continue
-        out: list[str] = []
-        for c in n.children:
-            if isinstance(c, _Node):
-                out.extend(c.strs)
-            else:
-                t = c.strip()
-                if t:
-                    out.append(t)
-        n.strs = out
-
-
-def _strings(node: _Node) -> list[str]:
-    return node.strs
-
-
-def _descendants(node: _Node) -> list[_Node]:
-    out, stack = [], list(reversed([c for c in node.children if isinstance(c, _Node)]))
-    while stack:
-        n = stack.pop()
-        out.append(n)
-        stack.extend(reversed([c for c in n.children if isinstance(c, _Node)]))
-    return out
+        if kind is None and html[m.start() + 2] in "dD" and (said or tree.order):
+            return None              # a doctype inside a page does not end a text
+        if said:
+            tree.say(unescape(said) if "&" in said else said)
+            said = ""
+        if kind == 2:
+            tree.end(m[2].lower())
+        elif kind == 5:
+            tag, rest = m[3].lower(), m[4]
+            attrs = known.get(rest)
+            if attrs is None:
+                attrs = known[rest] = {n.lower(): a or b for n, a, b in _ATTRIBUTE.findall(rest)}
+            tree.start(tag, attrs)
+            if m[5] and tag not in VOID:
+                tree.end(tag)
+    if at != len(html):
+        return None
+    if said:
+        tree.say(unescape(said) if "&" in said else said)
+    return tree
+
+
+def _tree_of(html: str) -> _Tree:
+    tree = _plain_tree(html)
+    if tree is None:
+        b = _TreeBuilder()
+        b.feed(html)
+        b.close()
+        tree = b.tree
+    tree.close_to(tree.root)
+    return tree
 
 
 def _classes(n: _Node) -> list[str]:
@@ -173,14 +235,11 @@ def _listing_only(desc: list[_Node], top: _Node) -> list[_Node]:
 
 
 def _explode_page(html: str, tag: str, with_desc: bool | str) -> list[dict]:
-    b = _TreeBuilder()
-    b.feed(html or "")
-    b.close()
-    _fill_strings(b.order)
-    rows = []
-    for pos, el in enumerate(n for n in b.order if n.tag == tag):
-        nodes = _strings(el)
-        desc = _descendants(el)
+    tree = _tree_of(html or "")
+    texts, rows = tree.texts, []
+    for pos, el in enumerate(n for n in tree.order if n.tag == tag):
+        nodes = texts[el.text:el.text_end]
+        desc = tree.order[el.at + 1:el.end]
         links = [d.attrs["href"] for d in desc if d.tag == "a" and "href" in d.attrs]
         if with_desc == "listing":      # the first link is all that is read
             desc, links = _listing_only(desc, el), links[:1]
@@ -191,7 +250,7 @@ def _explode_page(html: str, tag: str, with_desc: bool | str) -> list[dict]:
             "hrefs": links,
             "descendants": [
                 {"tag": d.tag, "nth": d.nth, "cell": _cell(d, el), "classes": _classes(d),
-                 "nodes": _strings(d), "href": d.attrs.get("href")}
+                 "nodes": texts[d.text:d.text_end], "href": d.attrs.get("href")}
                 for d in desc] if with_desc else None,
         })
     return rows

@@ -19,11 +19,7 @@ def ids(df):
     return sorted(r.p_id for r in df.select("p_id").collect())
 
 
-STEPS = ["rows", "rejects", "commit"]
-
-
-@pytest.mark.parametrize("step", STEPS)
-@pytest.mark.parametrize("before", [True, False])
+@pytest.mark.parametrize("step, before", [("rows", False), ("rejects", False), ("commit", True), ("commit", False)])
 def test_a_load_that_dies_leaves_nothing_and_comes_again_once(spark, tmp_path, monkeypatch, step, before):
     t = S.ApplicantsTable(spark, str(tmp_path / "t"))
     L.load_batch(t, rows(spark, [1, 2]))

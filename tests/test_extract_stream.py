@@ -86,20 +86,12 @@ def test_task_message_shape(spark):
     assert v == '{"kind":"scrape_new_data","ts":"2025-01-01T10:00:00","payload":{}}'
 
 
-def test_paced_consume_one_file_per_batch(spark, sf_small):
-    import __spark_entry__ as entry
-
-    rows = entry.queries()["paced_consume"](spark, sf_small).collect()
-    assert len(rows) == 25 and all(r.num_input_rows == 1 for r in rows)
-    assert sorted(r.batch_id for r in rows) == list(range(25))
-
-
-def test_paced_consume_lists_more_batches_than_spark_remembers(spark, tmp_path):
-    import __spark_entry__ as entry
-
-    spark.range(0, 105, 1, 3).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('N', id) AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
-    rows = entry.queries()["paced_consume"](spark, str(tmp_path)).collect()
-    assert sorted(r.batch_id for r in rows) == list(range(105)) and all(r.num_input_rows == 1 for r in rows)
+def test_one_file_a_batch_lists_every_batch(spark, tmp_path):
+    src, progress = str(tmp_path / "in"), str(tmp_path / "p")
+    spark.range(0, 12, 1, 3).selectExpr("""concat('{"kind": "a", "n": ', id, '}') AS value""").write.option(
+        "maxRecordsPerFile", 1).text(src)
+    T.consume(spark, src, {"a": lambda df, b: None}, str(tmp_path / "d"), str(tmp_path / "c"), progress_path=progress)
+    assert sorted(tuple(r) for r in T.read_progress(spark, progress).collect()) == [(i, 1) for i in range(12)]
 
 
 def test_kinds_run_in_message_order_and_only_when_met(spark, tmp_path):
@@ -115,7 +107,7 @@ def test_kinds_run_in_message_order_and_only_when_met(spark, tmp_path):
                 "b": lambda df, b: ran.append(("b", df.count())), "bad": fail}
     progress = str(tmp_path / "p")
     T.consume(spark, src, handlers, str(tmp_path / "d"), str(tmp_path / "c"), log=log, progress_path=progress)
-    assert ran == [("b", 2), ("a", 1)] and [x[1] for x in log] == ["bad"]
+    assert ran == [("b", 1), ("a", 1), ("b", 1)] and [x[1] for x in log] == ["bad"]
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "d")).collect()] == ["handler_failed"]
     assert [tuple(r) for r in T.read_progress(spark, progress).collect()] == [(0, 4)]
 
@@ -145,3 +137,45 @@ def test_resolve_url_matches_urljoin(spark):
     df = spark.createDataFrame([(base, h) for h in hrefs], "base string, href string")
     got = [r[0] for r in df.select(resolve_url(F.col("base"), F.col("href"))).collect()]
     assert got == [None if h is None else urljoin(base, h) for h in hrefs]
+
+
+def _tree_rows(tree):
+    tree.close_to(tree.root)
+    return [(n.tag, n.attrs, n.nth, n.end, tree.texts[n.text:n.text_end]) for n in tree.order], tree.texts
+
+
+def test_plain_markup_gives_the_parsers_tree():
+    """Random markup: what the scan takes is the standard parser's tree; the rest is left to it."""
+    import random
+
+    rnd = random.Random(5)
+    tokens = ["<tr>", "</tr>", "<TD class='a b'>", "</td >", "<p>", "</p>", "<br>", "<br/>", "<div id=\"x\" hidden>", "</div>",
+              "<a href='/r?a=1'>", "</a>", " one ", "t&amp;wo", "&lt;b&gt;", "&nbsp;", "&copy x", "<!-- c <p> -->", "<!-- a--b -->", "<!DOCTYPE html>",
+              "<template>", "</template>", "<span\n class=\"q\"\n>", "</span>", "<x-y z:w=\"1\">", "</x-y>", "<img src=\"i.png\" />", "\n", "<b/>", "</nope>",
+              "<a href=/bare>", "<a href=\"/q&amp;r\">", "<script>if (a < b) '</p>'</script>", "<title>T <b></title>", " < ", "<3", "<p class=\"open>", "&#65", "<>"]
+    taken = 0
+    for i in range(4000):
+        html = "".join(rnd.choice(tokens[:30] if i % 3 else tokens) for _ in range(rnd.randint(0, 25)))
+        plain = E._plain_tree(html)
+        b = E._TreeBuilder()
+        b.feed(html)
+        b.close()
+        if plain is not None:
+            taken += 1
+            assert _tree_rows(plain) == _tree_rows(b.tree), html
+    assert taken > 1500
+
+
+def test_a_listing_page_parses_fast():
+    """At most 25 ms for a page of 80 records, as the best of several runs."""
+    import time
+
+    row = ("<tr><td><div class=\"tw-font-medium tw-text-gray-900 tw-text-sm\">U{0}</div></td><td><span>P</span><span>D</span></td><td>Jan 1</td>"
+           "<td>Accepted on 2 Feb</td><td><a href=\"/r/{0}\">go</a></td></tr><tr><td><div class=\"tw-inline-flex\">GPA 3.5</div></td></tr>")
+    page = "<table>" + "".join(row.format(i) for i in range(80)) + "</table>"
+    best = 1.0
+    for _ in range(8):
+        t0 = time.perf_counter()
+        assert len(E._explode_page(page, "tr", "listing")) == 160
+        best = min(best, time.perf_counter() - t0)
+    assert best < 0.025
