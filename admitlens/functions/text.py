@@ -95,23 +95,50 @@ def split_program_university(c: Column) -> Column:
     return let(parts, finish)
 
 
+def _one_value(c: Column) -> Column:
+    """Whether JSON text has one value, an object or array, and nothing behind it: the
+    brackets outside strings close at the end and not before."""
+    bare = F.regexp_replace(c, r'(?s)"(?:[^"\\]|\\.)*"', "")
+    brackets = F.regexp_extract_all(bare, F.lit(r"([{}\[\]])"), 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("early"))
+    end = F.aggregate(brackets, start, lambda s, b: F.struct(
+        (s["depth"] + F.when(b.isin("{", "["), 1).otherwise(-1)).alias("depth"), (s["n"] + 1).alias("n"),
+        (s["early"] | ((s["n"] > 0) & (s["depth"] == 0))).alias("early")))
+    return bare.rlike(r"(?s)^\s*[{\[].*[}\]]\s*$") & ~end["early"] & (end["depth"] == 0)
+
+
+CORRUPT = "_corrupt"
+
+
+def json_object(c: Column, fields: str) -> Column:
+    """Text read as one JSON object by a typed, permissive parse, as Python reads it: of
+    equal keys the last counts, NaN and infinities are numbers, nothing may follow the
+    object. ``fields`` as in a schema; a string field of any other type is its JSON
+    text. The struct's ``_corrupt`` is NULL for a good object, else the text."""
+    schema = f"{fields}, {CORRUPT} string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
+    # Blank text gives no struct at all; as an open brace it gives one of NULLs.
+    typed = F.from_json(F.when(c.rlike(r"^\s*\{"), c).otherwise("{"), schema, options)
+    good = typed[CORRUPT].isNull() & _one_value(c)      # the parser does not look behind an object
+    return typed.withField(CORRUPT, F.when(~F.coalesce(good, F.lit(False)), F.coalesce(c, F.lit(""))))
+
+
 def json_from_chatter(c: Column) -> Column:
     """The first non-greedy ``{...}`` in free text (or the whole text if
     there is none) read as a JSON object; struct(ok, program, university).
 
     ``ok`` is false when the text is not JSON or not an object; callers fall back
-    to the rule-based split then.
+    to the rule-based split then. Equal keys and NaN are read as Python does.
     """
     found = F.regexp_extract(c, r"(?s)\{.*?\}", 0)
     candidate = F.when(found == "", c).otherwise(found)
-    v = F.try_parse_json(candidate)
-    ok = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
 
-    def field(name: str) -> Column:
-        return ws_trim(F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), _lit("")))
+    def read(v: Column) -> Column:
+        ok = v[CORRUPT].isNull()
+
+        def field(name: str) -> Column:
+            return F.when(ok, ws_trim(F.coalesce(v[name], _lit(""))))
+
+        return F.struct(ok.alias("ok"), field("standardized_program").alias("program"), field("standardized_university").alias("university"))
 
-    return F.struct(
-        F.coalesce(ok, F.lit(False)).alias("ok"),
-        F.when(ok, field("standardized_program")).alias("program"),
-        F.when(ok, field("standardized_university")).alias("university"),
-    )
+    return let(json_object(candidate, "standardized_program string, standardized_university string"), read)

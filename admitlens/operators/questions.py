@@ -3,7 +3,8 @@
 Each single question filters first (so equality / IN / null predicates reach
 the parquet scan) and then aggregates with partial + final HashAggregate.
 ``scalar_bundle`` answers Q1–Q9 in one scan with conditional aggregates, and
-``run_all`` needs three small jobs in total instead of eleven statements.
+``run_all`` answers all from one scan into mergeable cells, which a table keeps per
+batch.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from admitlens.fixed_values import (
@@ -22,6 +23,8 @@ from admitlens.fixed_values import (
     TOP_SCHOOL_PATTERNS,
 )
 from admitlens.functions.numbers import clamp_limit, pct, round2
+from admitlens.session import store
+from admitlens.sources.tables import BATCH_COL
 
 
 def _any_ilike(c: Column, patterns: list[str]) -> Column:
@@ -188,33 +191,91 @@ def scalar_bundle(df: DataFrame, term: str = DEFAULT_TERM) -> DataFrame:
     )
 
 
-def run_all(df: DataFrame, limit=DEFAULT_LIMIT, max_limit: int | None = MAX_LIMIT) -> DataFrame:
-    """Q13: every answer as one long frame (question, row_no, label, metric, value).
-
-    Three jobs: the bundle (one scan) and the two grouped questions. The
-    unpivot and the numbering only touch the tiny answer frames."""
-    bundle = scalar_bundle(df)
+# Measures whose count and sum a cell holds, and the patterns it counts rows by.
+MEASURES = ("gpa", "gre", "gre_v", "gre_aw")
+CELL_KEYS = ("semester", "status", "citizenship", "phd", "q7", "q8", "q9")
+
+
+def answer_cells(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Mergeable partial aggregates for Q1–Q11: rows, and count and sum of each score,
+    per semester, status, citizenship and pattern flag (and the columns ``keep``). One
+    scan; cells of parts of a table add up to those of the whole."""
+    flags = {"phd": F.col("degreeType").ilike("%PhD%"), "q7": _q7_pred(), "q8": _q8_pred(),
+             "q9": _q8_pred("llm_generated_university", "llm_generated_program")}
+    rows = df.select(*(keep or []), "semester", "status", "citizenship",
+                     *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()], *MEASURES)
+    return rows.groupBy(*(keep or []), *CELL_KEYS).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(m).alias(f"{m}_n") for m in MEASURES],
+        *[F.coalesce(F.sum(m), F.lit(0.0)).alias(f"{m}_sum") for m in MEASURES])
+
+
+def _mean(measure: str, where: Column | None = None) -> Column:
+    def total(c: str) -> Column:
+        return F.sum(F.col(c) if where is None else F.when(where, F.col(c)))
+
+    return round2(total(f"{measure}_sum") / F.nullif(total(f"{measure}_n"), F.lit(0)))
+
+
+def answers_of(cells: DataFrame, term: str = DEFAULT_TERM, limit=DEFAULT_LIMIT,
+               max_limit: int | None = MAX_LIMIT) -> DataFrame:
+    """Q13 from ``answer_cells``, which may hold several rows for a cell. Pass a stored
+    frame: it is read three times."""
+    def rows(where: Column | None = None) -> Column:
+        n = F.sum(F.col("n") if where is None else F.when(where, F.col("n")))
+        return F.coalesce(n, F.lit(0)).cast("long")
+
+    sem, accepted = F.col("semester") == term, F.col("status") == "Accepted"
+    scalars = {
+        ("q1", "total"): rows(sem),
+        ("q2", "international_pct"): pct(rows(F.col("citizenship") == "International"), rows()),
+        **{("q3", f"avg_{m}"): _mean(m) for m in MEASURES},
+        ("q4", "avg_gpa"): _mean("gpa", sem & (F.col("citizenship") == "American")),
+        ("q5", "acceptance_pct"): pct(rows(sem & accepted), rows(sem)),
+        ("q6", "avg_gpa"): _mean("gpa", sem & accepted),
+        **{(q, "total"): rows(F.col(q)) for q in ("q7", "q8", "q9")},
+    }
+    bundle = cells.agg(*[e.alias(f"{q}_{m}") for (q, m), e in scalars.items()])
     stack = ", ".join(f"'{q}', '{m}', CAST(`{q}_{m}` AS DOUBLE)" for q, m in SCALAR_COLUMNS)
-    scalars = bundle.selectExpr(f"stack({len(SCALAR_COLUMNS)}, {stack}) AS (question, metric, value)") \
+    scalar_long = bundle.selectExpr(f"stack({len(SCALAR_COLUMNS)}, {stack}) AS (question, metric, value)") \
         .select("question", F.lit(1).cast("long").alias("row_no"),
-                F.lit(None).cast("string").alias("label"),
-                "metric", "value")
-
-    from pyspark.sql import Window
-
-    q10 = rejection_rate_by_term(df, limit=limit)
-    q10 = q10.withColumn("row_no", F.row_number().over(
-        Window.orderBy(F.col("semester").desc_nulls_first())).cast("long"))
+                F.lit(None).cast("string").alias("label"), "metric", "value")
+    # A row per term or status at most from here on.
+    q10 = (cells.filter(F.col("phd") & _any_like(F.col("semester"), [f"%{y}%" for y in DEFAULT_YEARS]))
+           .groupBy("semester").agg(rows().alias("total"), rows(F.col("status") == "Rejected").alias("rejections"))
+           .withColumn("rejection_pct", pct(F.col("rejections"), F.col("total")))
+           .orderBy(F.col("semester").desc_nulls_first()).limit(clamp_limit(limit, max_limit)))
+    q10 = q10.withColumn("row_no", F.row_number().over(Window.orderBy(F.col("semester").desc_nulls_first())).cast("long"))
     q10_long = q10.selectExpr(
         "'q10' AS question", "row_no", "semester AS label",
         "stack(3, 'total', CAST(total AS DOUBLE), 'rejections', CAST(rejections AS DOUBLE), "
         "'rejection_pct', rejection_pct) AS (metric, value)")
-    q11 = gpa_by_outcome(df, limit=limit)
+    q11 = (cells.filter(F.col("phd") & F.col("semester").like("%2026%") & F.col("status").isin("Accepted", "Rejected")
+                        & (F.col("gpa_n") > 0))
+           .groupBy("status").agg(F.sum("gpa_n").alias("total"), _mean("gpa").alias("avg_gpa"))
+           .orderBy(F.col("status").asc_nulls_last()).limit(clamp_limit(limit, max_limit)))
     q11 = q11.withColumn("row_no", F.row_number().over(Window.orderBy("status")).cast("long"))
     q11_long = q11.selectExpr(
         "'q11' AS question", "row_no", "status AS label",
         "stack(2, 'total', CAST(total AS DOUBLE), 'avg_gpa', avg_gpa) AS (metric, value)")
-    return scalars.unionByName(q10_long).unionByName(q11_long)
+    return scalar_long.unionByName(q10_long).unionByName(q11_long)
+
+
+def run_all(df: DataFrame, limit=DEFAULT_LIMIT, max_limit: int | None = MAX_LIMIT) -> DataFrame:
+    """Q13: every answer as one long frame (question, row_no, label, metric, value), from
+    one scan: the cells are stored, and all answers come from merging them."""
+    return answers_of(store(answer_cells(df), "cells"), limit=limit, max_limit=max_limit)
+
+
+def refreshed_answers(table) -> DataFrame:
+    """Q13 of a table that grows by batches: cells are kept beside each committed batch,
+    so only batches without cells are scanned; a batch's cells replace themselves."""
+    missing = [i for i in table.commits.ids() if not table.commits.exists(table.cells_folder(i))]
+    if missing:
+        cells = store(answer_cells(table.scan_batches(missing), keep=[BATCH_COL]), "cells")
+        for i in missing:
+            cells.where(F.col(BATCH_COL) == i).drop(BATCH_COL).write.mode("overwrite").parquet(table.cells_folder(i))
+    cells = table.cells()
+    return run_all(table.scan()) if cells is None else answers_of(cells)
 
 
 QUESTIONS = {

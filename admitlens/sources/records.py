@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from admitlens.functions.text import ws_trim
+from admitlens.functions.text import CORRUPT, json_object, ws_trim
 from admitlens.operators.numbering import with_row_index
 
 # Records per JSON array when writing the array format (bounds every group).
@@ -26,16 +26,24 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType,
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
-def read_envelope(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
+def read_envelope(df: DataFrame, json_col: str, schema: T.StructType, unread_col: str | None = None) -> DataFrame:
     """A JSON text that is either a list of rows or ``{"rows": [...]}``;
-    any other shape (or bad JSON) yields no rows."""
-    v = F.try_parse_json(F.col(json_col))
-    kind = F.schema_of_variant(v)
-    arr_type = T.ArrayType(schema).simpleString()
-    rows = (F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", arr_type))
-            .when(kind.startswith("OBJECT"), F.try_variant_get(v, "$.rows", arr_type)))
+    any other shape (or bad JSON) yields no rows. A typed, permissive parse: of equal
+    keys the last counts, NaN is a number, and a value of the wrong type is NULL and
+    costs no other. With ``unread_col`` every text without a list of rows gives one row
+    of NULLs and its reason there ('malformed' or 'no_rows'), so none is lost unseen."""
+    text = F.col(json_col)
+    envelope = F.when(text.rlike(r"^\s*\["), F.concat(F.lit('{"rows":'), text, F.lit("}"))).otherwise(text)
+    read = json_object(envelope, f"rows {T.ArrayType(schema).simpleString()}")
     keep = [c for c in df.columns if c != json_col]
-    return df.select(*keep, F.explode(rows).alias("_row")).select(*keep, "_row.*")
+    d = df.select(*keep, read.alias("_read"))
+    # A wrong type inside marks the text too, with its rows read as far as they go.
+    rows = F.col("_read.rows")
+    if unread_col is None:
+        return d.select(*keep, F.explode(rows).alias("_row")).select(*keep, "_row.*")
+    why = F.when(rows.isNull(), F.when(F.col(f"_read.{CORRUPT}").isNull(), "no_rows").otherwise("malformed"))
+    d = d.where(rows.isNull() | (F.size(rows) > 0)).select(*keep, F.explode_outer(rows).alias("_row"), why.alias(unread_col))
+    return d.select(*keep, "_row.*", unread_col)
 
 
 def write_records(df: DataFrame, path: str, fmt: str = "json_array") -> None:

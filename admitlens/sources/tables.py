@@ -170,6 +170,7 @@ class ApplicantsTable:
         self.path = path.rstrip("/")
         self.rejects_path = self.path + "_rejects"
         self.keys_path = self.path + "_keys"
+        self.cells_path = self.path + "_cells"
         self.commits = CommitLog(spark, self.path + "_commits")
 
     def exists(self) -> bool:
@@ -234,6 +235,14 @@ class ApplicantsTable:
         read = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*files)
         return read.select(*APPLICANT_COLUMNS)
 
+    def cells_folder(self, batch_id: str) -> str:
+        """Where a batch's partial aggregates of the questions are kept."""
+        return f"{self.cells_path}/{BATCH_COL}={quote(batch_id, safe='')}"
+
+    def cells(self) -> DataFrame | None:
+        """Partial aggregates of the committed batches; None without any."""
+        return self._read(self.cells_path, None)
+
     def stage(self, batch_id: str) -> Staged:
         return Staged(self.ensure(), batch_id)
 
@@ -251,7 +260,7 @@ class ApplicantsTable:
     def drop(self) -> None:
         """DROP TABLE IF EXISTS (removes the folders through the Hadoop FS), markers
         first: a table half removed has no rows."""
-        for path in (self.commits.path, self.path, self.keys_path):
+        for path in (self.commits.path, self.path, self.keys_path, self.cells_path):
             self.commits.delete(path)
 
 

@@ -80,14 +80,14 @@ def ingest_handler(table: ApplicantsTable, pages: Callable[[], DataFrame],
 
 
 def refresh_handler(table: ApplicantsTable, report_path: str):
-    """Make sure the table exists, then recompute every answer (Q13) and
-    replace the stored report."""
+    """Make sure the table exists, then answer every question anew (Q13) and
+    replace the stored report; of the table only batches appended since are scanned."""
 
     def handle(messages: DataFrame, batch_id: int) -> None:
         if messages.isEmpty():
             return
         table.ensure()
-        answers = Q.run_all(table.scan())
+        answers = Q.refreshed_answers(table)
         answers.withColumn("batch_id", F.lit(batch_id).cast("long")) \
             .write.mode("overwrite").parquet(report_path)
 

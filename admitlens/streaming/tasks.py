@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from admitlens.functions.text import CORRUPT, json_object
 from admitlens.streaming.messages import read_message_stream
 
 Handler = Callable[[DataFrame, int], None]
@@ -58,18 +59,13 @@ def encode_tasks(df: DataFrame, kind: Column | str, ts: Column | str,
 def decode_tasks(messages: DataFrame, value_col: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Parse each message; ``status`` is 'ok' for a JSON object and
     'malformed' for bad JSON or JSON that is not an object. A missing kind
-    reads as ''; a missing payload as {}."""
-    v = F.try_parse_json(F.col(value_col))
-    is_obj = F.coalesce(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"),
-                        F.lit(False))
-    kind = F.coalesce(F.try_variant_get(v, "$.kind", "string"), F.lit(""))
-    payload = F.coalesce(F.to_json(F.try_variant_get(v, "$.payload", "variant")), F.lit("{}"))
-    return messages.select(
-        F.col(value_col).alias("value"),
-        F.when(is_obj, F.lit("ok")).otherwise(F.lit("malformed")).alias("status"),
-        F.when(is_obj, kind).alias("kind"),
-        F.when(is_obj, F.try_variant_get(v, "$.ts", "string")).alias("ts"),
-        F.when(is_obj, payload).alias("payload"), *(keep or []))
+    reads as ''; a missing payload as {}; of equal keys the last counts."""
+    read = messages.withColumn("_read", json_object(F.col(value_col), "kind string, ts string, payload string"))
+    ok = F.col(f"_read.{CORRUPT}").isNull()
+    return read.select(
+        F.col(value_col).alias("value"), F.when(ok, F.lit("ok")).otherwise(F.lit("malformed")).alias("status"),
+        F.when(ok, F.coalesce("_read.kind", F.lit(""))).alias("kind"), F.when(ok, F.col("_read.ts")).alias("ts"),
+        F.when(ok, F.coalesce("_read.payload", F.lit("{}"))).alias("payload"), *(keep or []))
 
 
 def route_tasks(decoded: DataFrame, kinds: list[str]) -> DataFrame:
