@@ -128,7 +128,7 @@ def incremental_update(batch: DataFrame, table: DataFrame, page_col: str = "page
     return _numbered(store(new, "new"), table, page_col, pos_col, key)
 
 
-FIRST_WAVE = 16          # pages of the first wave; each further one doubles
+FIRST_WAVE = 256         # pages of the first wave; each further one doubles
 EXACT_WAVE = 4096        # wider waves end at an approximate quantile of the page ids
 
 

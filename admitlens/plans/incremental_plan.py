@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from admitlens.operators import extract as E
 from admitlens.operators import incremental as I
 from admitlens.plans.applicants_view import applicant_records, with_av
-from admitlens.plans.listing import BASE_URL, PAGE_SPAN, render_listing
+from admitlens.plans.listing import BASE_URL, PAGE_SPAN, render_listing, stored_listing
 from admitlens.plans.registry import register
 from admitlens.schema import WATERMARKS
-from admitlens.session import read_table, store
+from admitlens.session import read_table
 
 
 # ----------------------------------------------------------------- I1
@@ -114,7 +114,7 @@ def q_incremental_update(spark, sf):
     """Second round over the listing: the table holds the known records; the
     update appends the new ones of the pages before the first seen page."""
     _, table = _known_split(spark, sf)
-    pages = store(render_listing(applicant_records(spark, sf)), "pages")
+    pages = stored_listing(render_listing(applicant_records(spark, sf)))
     new = I.incremental_pull(pages, lambda some: E.extract_listing(some, BASE_URL), table)
     return table.unionByName(new.select(F.col("p_id").cast("bigint"), "url"))
 

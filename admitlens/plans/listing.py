@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from admitlens.session import store
+
 PAGE_SPAN = 80
 BASE_URL = "https://example.test/"
 
@@ -64,3 +66,10 @@ def render_listing(records: DataFrame) -> DataFrame:
                                            F.col("page_id").cast("string")).alias("url"),
                        html.alias("html"))
     return out
+
+
+def stored_listing(pages: DataFrame) -> DataFrame:
+    """The pages as a table of files by page id, as a page store has them: a range of
+    pages lies in few files, and many tasks parse a wide one."""
+    parts = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return store(pages.repartitionByRange(parts, "page_id"), "pages")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from admitlens.operators import incremental as I
 from admitlens.plans.applicants_view import applicant_records, applicants_view, with_av
-from admitlens.plans.listing import BASE_URL, render_listing
+from admitlens.plans.listing import BASE_URL, render_listing, stored_listing
 from admitlens.plans.questions_plan import SQL_LONG
 from admitlens.plans.registry import register
-from admitlens.session import read_table, scratch_path, store
+from admitlens.session import read_table, scratch_path
 from admitlens.sources.tables import ApplicantsTable
 from admitlens.streaming import handlers as H
 from admitlens.streaming import messages as M
@@ -98,7 +98,7 @@ def _message_log(spark, sf, pace_kinds: bool = True) -> str:
 
 def _sometimes_failing(messages, _batch_id):
     k = F.try_variant_get(F.try_parse_json("payload"), "$.event_id", "bigint")
-    if not messages.where(k % 9973 == 750).isEmpty():
+    if not messages.where(k % 49999 == 750).isEmpty():
         raise RuntimeError("handler failed on purpose")
 
 
@@ -108,12 +108,12 @@ _MIXED = "floor(event_id / 500) % 4"
 @register("dead_letters", f"""
 SELECT CASE WHEN {_BAD} THEN 'malformed' WHEN {_MIXED} = 1 THEN 'handler_failed'
   ELSE 'unknown_kind' END AS reason, COUNT(*) AS n
-FROM events WHERE {_BAD} OR {_MIXED} = 3 OR ({_MIXED} = 1 AND event_id % 9973 = 750) GROUP BY 1""")
+FROM events WHERE {_BAD} OR {_MIXED} = 3 OR ({_MIXED} = 1 AND event_id % 49999 = 750) GROUP BY 1""")
 def q_dead_letters(spark, sf):
     """Runs of messages: of a run that fails only the messages that fail alone go."""
     dead = scratch_path(spark, "dead")
     handlers = {"click": lambda df, b: None, "view": lambda df, b: None, "error": _sometimes_failing}
-    T.consume_log(spark, _message_log(spark, sf), handlers, dead, scratch_path(spark, "ckpt"), pace=5000)
+    T.consume_log(spark, _message_log(spark, sf), handlers, dead, scratch_path(spark, "ckpt"), pace=20_000)
     return spark.read.parquet(dead).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -150,7 +150,7 @@ def q_handle_ingest(spark, sf):
     known = recs.filter((F.col("p_id") % 5 == 0) | (F.col("p_id") >= F.lit(t)))
     table = ApplicantsTable(spark, scratch_path(spark, "applicants"))
     table.append(known.select(*[c for c in applicants_view(spark, sf).columns]))
-    pages = store(render_listing(recs), "pages")
+    pages = stored_listing(render_listing(recs))
     handler = H.ingest_handler(table, lambda: pages, BASE_URL)
     src = _one_message_per_region(spark, sf, "scrape_new_data")
     for _ in range(2):
@@ -172,12 +172,12 @@ def q_handle_refresh(spark, sf):
 
 
 @register("paced_consume", """
-SELECT CAST(floor((rn - 1) / 2000) AS BIGINT) AS batch_id, COUNT(*) AS num_input_rows
+SELECT CAST(floor((rn - 1) / 5000) AS BIGINT) AS batch_id, COUNT(*) AS num_input_rows
 FROM (SELECT row_number() OVER (ORDER BY event_id) AS rn FROM events) GROUP BY 1""")
 def q_paced_consume(spark, sf):
-    """A message per event, 2000 messages a batch, however they lie in files: the
+    """A message per event, 5000 messages a batch, however they lie in files: the
     consumer's own progress table lists every batch."""
     progress = scratch_path(spark, "progress")
     T.consume_log(spark, _message_log(spark, sf, False), {"click": lambda df, b: None}, scratch_path(spark, "dead"),
-                  scratch_path(spark, "ckpt"), pace=2000, progress_path=progress)
+                  scratch_path(spark, "ckpt"), pace=5000, progress_path=progress)
     return T.read_progress(spark, progress)

@@ -87,17 +87,24 @@ PLACE = "_place"
 
 def message_runs(routed: DataFrame, kinds: list[str]) -> list[tuple[str, int, int, int]]:
     """(kind, first place, last place, messages) of the runs of equal kinds, in order
-    of place; messages without a handler interrupt none. Places and kinds alone are
-    dealt out by place; a row per run and task comes back, which are joined up."""
+    of place; messages without a handler interrupt none. Each task tells the runs it
+    holds, a row each, and they are joined up; where tasks hold messages in between
+    each other's, places and kinds are dealt out by place first."""
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             run = (f["route"] != f["route"].shift()).cumsum()
             yield f.groupby(run, sort=False).agg(kind=("route", "first"), first=(PLACE, "min"), last=(PLACE, "max"), n=(PLACE, "size"))
 
+    def told(df: DataFrame) -> list[tuple[str, int, int, int]]:
+        found = df.mapInPandas(scan, "kind string, first long, last long, n long").collect()
+        return sorted(map(tuple, found), key=lambda r: r[1])
+
     known = routed.where(F.col("route").isin(*kinds)).select(PLACE, "route")
-    found = known.repartitionByRange(PLACE).sortWithinPartitions(PLACE).mapInPandas(scan, "kind string, first long, last long, n long")
+    found = told(known)
+    if any(a[2] >= b[1] for a, b in zip(found, found[1:])):
+        found = told(known.repartitionByRange(PLACE).sortWithinPartitions(PLACE))
     runs: list[tuple[str, int, int, int]] = []
-    for kind, first, last, n in sorted(map(tuple, found.collect()), key=lambda r: r[1]):
+    for kind, first, last, n in found:
         if runs and runs[-1][0] == kind:
             runs[-1] = (kind, runs[-1][1], last, runs[-1][3] + n)
         else:

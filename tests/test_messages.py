@@ -147,3 +147,19 @@ def test_an_ingest_that_dies_is_unseen_and_its_replay_adds_each_row_once(spark,
     assert sorted(r.p_id for r in table.scan().collect()) == list(range(1, 13))
     assert [r.last_seen for r in marks.scan().collect()] == ["12"]
     assert [x["inserted"] for _, x in stats] == [12]        # the second replay was committed already
+
+
+def test_runs_of_messages_that_lie_across_tasks(spark):
+    rows = [(i, "ab"[(i // 7) % 2] if i % 5 else "malformed") for i in range(200)]
+    df = spark.createDataFrame(rows, f"{T.PLACE} long, route string")
+    expected: list = []
+    for place, kind in rows:
+        if kind == "malformed":
+            continue
+        if expected and expected[-1][0] == kind:
+            expected[-1] = (kind, expected[-1][1], place, expected[-1][3] + 1)
+        else:
+            expected.append((kind, place, place, 1))
+    for some in (df.coalesce(1), df.repartition(6), df.repartitionByRange(4, T.PLACE), df.orderBy(F.desc(T.PLACE))):
+        assert T.message_runs(some, ["a", "b"]) == expected
+    assert T.message_runs(df.where("false"), ["a", "b"]) == []
