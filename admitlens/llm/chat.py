@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from admitlens.llm.common import stored
+from admitlens.llm.mixing import ranked
+
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 LEARNED = "assistant"
-BUCKET = 1024            # ids among which replies are exchanged
+BUCKET = 1024            # neighbours among which replies are exchanged, at least
 
 
 def turns(conversations: DataFrame) -> DataFrame:
@@ -82,18 +85,22 @@ def preferences(pairs: DataFrame, id_col: str = "pair_id") -> DataFrame:
 def exchanged_replies(conversations: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected): each conversation up to its last reply against
     the same turns with the last reply of the next conversation in its place.
-    Next goes by conv_id among the conversations of one block of ids, the first
-    behind the last, so an exchange is a bounded sort. Conversations without a
-    reply have nothing to prefer and are left out."""
+    Next goes by conv_id, however far apart ids lie: conversations are ranked over range
+    partitions and exchange within blocks of at least ``BUCKET`` neighbours (fewer, if
+    there are no more), the first behind the last, so an exchange is a bounded sort.
+    Conversations without a reply have nothing to prefer and are left out; a single
+    one meets itself."""
     t = turns(conversations)
     last = F.array_max(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.get("turns", i - 1)["role"] == LEARNED))
-    t = (t.withColumn("last", last).where(F.col("last").isNotNull())
-         .withColumn("reply", F.get("turns", F.col("last") - 1)["text"])
-         .withColumn("block", F.floor(F.col("conv_id") / BUCKET)))
-    by = Window.partitionBy("block").orderBy("conv_id")
+    t = stored(t.withColumn("last", last).where(F.col("last").isNotNull())
+               .withColumn("reply", F.get("turns", F.col("last") - 1)["text"]), "replies")
+    blocks = max(t.count() // BUCKET, 1)
+    placed = ranked(t.select("conv_id", "reply"), F.col("conv_id").asc(), "rank").withColumn(
+        "block", F.least(F.floor(F.col("rank") / BUCKET), F.lit(blocks - 1)))
+    by = Window.partitionBy("block").orderBy("rank")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     other = F.coalesce(F.lead("reply").over(by), F.first("reply").over(whole))
-    t = t.withColumn("other", other)
+    t = t.join(placed.select("conv_id", other.alias("other")), "conv_id")
     before = F.slice("turns", F.lit(1), F.col("last") - 1)
     swapped = F.array(F.struct(F.lit(LEARNED).alias("role"), F.col("other").alias("text")))
     return t.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("last")).alias("chosen"),

@@ -135,7 +135,8 @@ WITH said AS (
   SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS n
   FROM said
 ), picked AS (
-  SELECT conv_id, turns, n, turns[n].text AS reply, conv_id // 1024 AS block FROM replied WHERE n IS NOT NULL
+  SELECT conv_id, turns, n, turns[n].text AS reply, least((row_number() OVER (ORDER BY conv_id) - 1) // 1024,
+         greatest(count(*) OVER () // 1024, 1) - 1) AS block FROM replied WHERE n IS NOT NULL
 ), swapped AS (
   SELECT *, coalesce(lead(reply) OVER (PARTITION BY block ORDER BY conv_id),
                      first_value(reply) OVER (PARTITION BY block ORDER BY conv_id)) AS other
