@@ -1,7 +1,6 @@
 """Record files, envelopes, JSON Lines, dictionaries, chunked write.
 
-All reads take an explicit schema (no inference). Plain JSON-array files do
-not split, so they are landed once (as array-per-line JSON or parquet)."""
+All reads take an explicit schema (no inference)."""
 
 from __future__ import annotations
 
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 
 from admitlens.functions.text import CORRUPT, json_object, ws_trim
 from admitlens.operators.numbering import with_row_index
+from admitlens.sources.json_array import read_json_array
 
 # Records per JSON array when writing the array format (bounds every group).
 ARRAY_CHUNK_ROWS = 1000
@@ -21,9 +21,11 @@ ARRAY_CHUNK_ROWS = 1000
 def read_records(spark: SparkSession, path: str, schema: T.StructType,
                  multiline: bool = False) -> DataFrame:
     """Records from JSON. ``multiline=True`` for files that each hold one
-    (possibly indented) JSON array; otherwise one object or one array per line,
-    which splits across tasks."""
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    (possibly indented) JSON array, which many tasks read (``read_json_array``);
+    otherwise one object or one array per line, which splits across tasks."""
+    if multiline:
+        return read_json_array(spark, path, schema)
+    return spark.read.schema(schema).json(path)
 
 
 def read_envelope(df: DataFrame, json_col: str, schema: T.StructType, unread_col: str | None = None) -> DataFrame:
