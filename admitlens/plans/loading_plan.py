@@ -67,6 +67,29 @@ def q_read_envelope(spark, sf):
     return S.read_envelope(_envelopes(spark, sf), "body", _ENV_SCHEMA).drop("grp")
 
 
+@register("read_json_array", with_av("SELECT p_id, program, status FROM av"))
+def q_read_json_array(spark, sf):
+    """S1 for files that hold one array each, over many lines: every task of the writer
+    makes an array of its rows, and many tasks read each."""
+    rows = applicants_view(spark, sf).select("p_id", "program", "status")
+    text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+
+    def array(batches):
+        import pyarrow as pa
+
+        mark = "["
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([(mark if i == 0 else ",") + x for i, x in enumerate(lines)])], names=["value"])
+                mark = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    path = scratch_path(spark, "json-array")
+    text.mapInArrow(array, "value string").write.text(path)
+    return S.read_records(spark, path, rows.schema, multiline=True)
+
+
 # ----------------------------------------------------------------- S4
 @register("write_jsonl", with_av("SELECT * FROM av UNION ALL SELECT * FROM av"))
 def q_write_jsonl(spark, sf):
