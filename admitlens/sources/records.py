@@ -4,8 +4,9 @@ All reads take an explicit schema (no inference)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,23 +52,33 @@ def read_envelope(df: DataFrame, json_col: str, schema: T.StructType, unread_col
 def write_records(df: DataFrame, path: str, fmt: str = "json_array") -> None:
     """S3: write records, replacing the target.
 
-    ``json_array``: arrays of at most ARRAY_CHUNK_ROWS objects, one per line
-    (readable by ``read_records``); ``json`` / ``parquet``: plain writers."""
+    ``json_array``: arrays of at most ARRAY_CHUNK_ROWS objects, one per line, made by
+    each task of its own rows, without a shuffle (readable by ``read_records``);
+    ``json`` / ``parquet``: plain writers."""
     if fmt == "parquet":
         df.write.mode("overwrite").parquet(path)
         return
     if fmt == "json":
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
         return
-    cols = df.columns
-    mid = F.monotonically_increasing_id()
-    chunked = df.select(F.floor(mid / ARRAY_CHUNK_ROWS).alias("_chunk"), mid.alias("_mid"),
-                        F.struct(*cols).alias("_rec"))
-    arrays = chunked.groupBy("_chunk").agg(
-        F.sort_array(F.collect_list(F.struct("_mid", "_rec"))).alias("_recs"))
-    text = arrays.select(F.to_json(F.col("_recs._rec"), {"ignoreNullFields": "false"})
-                         .alias("value"))
-    text.write.mode("overwrite").text(path)
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            full = len(held) - len(held) % ARRAY_CHUNK_ROWS
+            if full:
+                yield lines(held[:full])
+                held = held[full:]
+        if held:
+            yield lines(held)
+
+    def lines(rows: list[str]) -> pa.RecordBatch:
+        each = range(0, len(rows), ARRAY_CHUNK_ROWS)
+        return pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(rows[i:i + ARRAY_CHUNK_ROWS]) + "]" for i in each])], names=["value"])
+
+    rows.mapInArrow(arrays, "value string").write.mode("overwrite").text(path)
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -78,24 +89,26 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Text lines -> DataFrame(name, pos): trimmed, blank lines dropped,
-    file order kept (pos = file rank * 2^32 + line number). A missing path
-    gives an empty dictionary."""
+    file order kept (pos = file rank * 2^32 + line number). A file of any size is read
+    by as many tasks as it has splits. A missing path gives an empty dictionary."""
     schema = "name string, pos long"
     try:
-        raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+        raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                           "value", F.monotonically_increasing_id().alias("_at"))
         raw.schema  # noqa: B018 - resolve now so a missing path surfaces here
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], schema)
         raise
-    lines = raw.select("_file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    names = lines.select("_file", "line_no", ws_trim(F.col("line")).alias("name")) \
+    # Lines are numbered within their split; the splits' counts (a row each) are added up.
+    splits = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    rank = F.dense_rank().over(Window.orderBy("_file"))
+    splits = splits.select("_file", "_block", F.coalesce(before, F.lit(0)).alias("_before"), rank.cast("long").alias("_rank"))
+    place = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1
+    lines = raw.withColumn("_place", place).join(splits, ["_file", "_block"])
+    return lines.select(ws_trim(F.col("value")).alias("name"), (F.col("_rank") * (1 << 32) + F.col("_before") + F.col("_place")).alias("pos")) \
         .filter(F.col("name") != "")
-    file_rank = F.dense_rank().over(Window.orderBy("_file"))
-    # The file list is tiny (one row per file) so rank it on its own.
-    files = names.select("_file").distinct().withColumn("_rank", file_rank)
-    return names.join(F.broadcast(files), "_file").select(
-        "name", (F.col("_rank").cast("long") * (1 << 32) + F.col("line_no")).alias("pos"))
 
 
 def chunked_write_merge(df: DataFrame, n: int, path: str,

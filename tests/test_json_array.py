@@ -61,3 +61,32 @@ def test_one_large_array_is_read_by_several_tasks(spark, tmp_path):
         assert spark.read.option("lineSep", "}").text(str(tmp_path / "big.json")).rdd.getNumPartitions() > 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_dictionary_lines_keep_their_order_over_splits_and_files(spark, tmp_path):
+    from admitlens.sources.records import read_dictionary
+
+    lines = [f"  Name {i}\t" if i % 9 else "   " for i in range(4000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("last one\r\n\r\nand another\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = read_dictionary(spark, str(tmp_path)).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.name for r in got] == [x.strip() for x in lines if x.strip()] + ["last one", "and another"]
+    assert [r.pos - (1 << 32) for r in got[:3]] == [1, 2, 3] and [r.pos - (2 << 32) for r in got[-2:]] == [0, 2]
+
+
+def test_arrays_are_written_without_a_shuffle(spark, tmp_path):
+    from admitlens.sources import records as S
+
+    df = spark.range(0, 5300, 1, 3).selectExpr("id AS a", "IF(id % 2 = 0, NULL, concat('\"', id)) AS b")
+    S.write_records(df, str(tmp_path / "out"))
+    sizes = [len(json.loads(r.value)) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sum(sizes) == 5300 and max(sizes) == S.ARRAY_CHUNK_ROWS and len(sizes) == 6
+    back = S.read_records(spark, str(tmp_path / "out"), df.schema)
+    assert back.count() == 5300 and back.exceptAll(df).count() == 0
+    S.write_records(df.where("false"), str(tmp_path / "none"))
+    assert S.read_records(spark, str(tmp_path / "none"), df.schema).count() == 0
