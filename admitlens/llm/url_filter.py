@@ -176,10 +176,12 @@ def judge(pages: DataFrame, rules: DataFrame, examples: DataFrame, url_col: str
     rows, empty rules and examples allow all. Nothing is shuffled and no column but
     the two is read."""
     spark = pages.sparkSession
-    held = spark.sparkContext.broadcast((_rules_by_host(rules), trained(examples)))
+    fitted = trained(examples)
+    held = spark.sparkContext.broadcast((_rules_by_host(rules), fitted.weights, fitted.bias))   # plain values
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, model = held.value
+        by, weights, bias = held.value
+        model = Model(weights, bias)
         known: dict[str, float] = {}
         for batch in batches:
             rule, verdict, score = [], [], []
