@@ -30,7 +30,7 @@ SEED = 5
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas",
        "audio", "video", "select"}
-DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "dialog", "menu"}
+DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "option", "optgroup", "datalist"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
           "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img"}
@@ -47,10 +47,17 @@ SAYS = {"nav", "navbar", "navigation", "menu", "sidebar", "footer", "header", "m
         "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay",
         "newsletter", "subscribe", "signup", "share", "sharing", "social", "comment", "comments", "disqus", "replies",
         "related", "breadcrumb", "breadcrumbs", "widget", "toolbar", "skip", "pagination", "pager"}
+# Words that say nothing more beside one of SAYS: in an article a name of several
+# parts counts only if its other parts are of these ("related-posts", not "related-work").
+SLOTS = {"area", "articles", "bar", "block", "body", "box", "button", "buttons", "container", "content", "form", "group",
+         "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "posts",
+         "reader", "right", "row", "section", "site", "slot", "stories", "thread", "top", "unit", "user", "wrap", "wrapper"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_TAG = re.compile(r"<[/!]?[a-zA-Z]")
 _QUOTE = re.compile(r"""=\s*(["'])""")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -58,8 +65,9 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 def _events(page: str):
     """(kind, tag, attributes or text): "text", "open", "close", in one pass.
-    Comments, declarations and the content of raw elements are left out."""
-    at, n, open_quotes = 0, len(page), {'"': True, "'": True}
+    Comments, declarations and the content of raw elements are left out; a raw
+    element without an end tag ends at the next tag."""
+    at, n, open_quotes, endless = 0, len(page), {'"': True, "'": True}, set()
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -105,8 +113,15 @@ def _events(page: str):
         inside = page[m.end():end]
         yield "open", tag, inside
         at = end + 1
-        if tag in RAW and not inside.endswith("/"):
-            stop = _END[tag].search(page, at)
+        if tag in RAW:
+            if inside.endswith("/"):
+                yield "close", tag, ""
+                continue
+            stop = None if tag in endless else _END[tag].search(page, at)
+            if stop is None:                     # no such end tag ever again
+                endless.add(tag)
+                stop = _TAG.search(page, at)
+                yield "close", tag, ""
             at = n if stop is None else stop.start()
 
 
@@ -132,7 +147,21 @@ class Page:
     explicit: bool = False      # the page has an article or main element
 
 
-def _says(tag: str, inside: str) -> bool:
+def _named(value: str, article: bool) -> bool:
+    """Whether a class or id says that the element is no part of the article. In an
+    article whole names count, not any part of one."""
+    if not article:
+        return not SAYS.isdisjoint(_PARTS.split(value))
+    for name in value.split():
+        parts = {x for x in _PARTS.split(name) if x and not x.isdigit()}
+        if not SAYS.isdisjoint(parts) and parts <= SAYS | SLOTS:
+            return True
+    return False
+
+
+def _says(tag: str, inside: str, article: bool = False) -> bool:
+    """Whether an element is dropped by its tag or attributes. Ids of headings are
+    marks to jump to, and headings of an article are text whatever their class."""
     if tag in DROPPED:
         return True
     if not inside or tag in ("html", "body", "article", "main"):
@@ -141,8 +170,9 @@ def _says(tag: str, inside: str) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in INLINE - {"span", "a"} and not SAYS.isdisjoint(_PARTS.split(value)):
-            return True
+        if name in ("class", "id") and tag not in INLINE - {"span", "a"} and not (tag in HEADINGS and (article or name == "id")):
+            if _named(value, article):
+                return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
@@ -204,13 +234,14 @@ def read_page(page: str) -> Page:
             if tag not in INLINE:
                 flush()
                 close_to({"p"}, SCOPE)
+                close_to({"option"}, SCOPE)      # holds text alone
             if tag in CLOSES:
                 close_to(*CLOSES[tag])
             if tag in VOID:
                 stack[-1].parts.append(tag)
                 continue
             up = stack[-1]
-            said = tag in RAW or _says(tag, inside)
+            said = _says(tag, inside, up.main or up.body)
             e = Element(tag, up, up.dropped or said, up.main or tag == "article", up.body or tag == "main" or 'role="main"' in inside,
                         up.prose or tag in TEXT_BLOCKS - INLINE)
             elements.append(e)

@@ -100,11 +100,30 @@ def test_article_text_stays_in_any_container_and_on_any_copy(spark):
     assert all(got[400 + i] == (said if i < 4 else f"own {i}") for i in range(40))
 
 
+@pytest.mark.parametrize("inside, want", [
+    ('<h2 id="related-work">Related work</h2><p>a</p>', "Related work\n\na"),
+    ('<section id="social-history"><p>a</p></section>', "a"),
+    ('<div class="notice-period">Three months.</div>', "Three months."),
+    ('<p class="comment-free">a</p>', "a"),
+    ('<h1 class="header">T</h1><p>a</p>', "T\n\na"),
+    ('<p>a</p><div class="related-posts"><p>x</p></div><ul id="comments"><li>x</li></ul>', "a"),
+    ('<p>a</p><div class="cookie-notice big">x</div><div class="ad-3">x</div><p class="notice">x</p>', "a"),
+    ('<p>a</p><div class="col user-comments"><p>x</p></div>', "a"),
+    ("<p>a</p><svg><path d='m'><p>b</p>", "a\n\nb"),
+    ("<p>a</p><textarea>typed<p>b</p>", "a\n\nb"),
+    ("<p>a</p><svg/><p>b</p><select><option>x<option>y</div><p>c</p>", "a\n\nb\n\nc"),
+    ("<p>a</p><script>var x;<p>b</p><script>if (1 < 2) x;</script>", "a"),
+])
+def test_names_in_an_article_count_whole(inside, want):
+    for around in ("article", "main"):
+        assert html_text.main_text(f"<body><{around}>{inside}</{around}></body>") == want
+
+
 def test_odd_pages_take_linear_time():
     import time
 
     for page in ("<div>" * 20_000, "<a href='" * 20_000, "<p" * 50_000, "</x>" * 50_000, "<!-- " * 50_000, "<b>" * 3_000 + "</p>" * 20_000,
-                 "&" * 100_000, "<tr>" * 20_000 + "x"):
+                 "&" * 100_000, "<tr>" * 20_000 + "x", "<svg>" * 20_000, "<svg/>" * 20_000):
         t = time.time()
         html_text.main_text("<article>" + page)
         html_text.subtree_hashes(page)
