@@ -4,6 +4,7 @@ nulls, empty and long texts, ties, repeats and columns of clashing names."""
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import textwrap
 import zlib
@@ -422,6 +423,102 @@ def test_notices_over_lines_and_two_in_a_line(spark):
     assert mit["block_start"] + mit["block_chars"] == len(texts[1]) - len("\nmain()")
 
 
+def test_deciding_words_refute():
+    """A notice of another version, kind or name is none of the license it is like."""
+    scan = license_scan.Scanner(license_scan.TEMPLATES)
+    sure = lambda text: sorted({r[2] for r in scan.rows(text) if r[-1]})
+    long = license_scan.TEMPLATES
+    for text in ("Licensed under the Apache License, Version 1.1.", "Licensed under the Foo License, Version 2.0.",
+                 "This work is licensed under the GNU General Public License, version 4.",
+                 "This work is licensed under the GNU Lesser General Public License, version 2.",
+                 "Licensed under CC BY 3.0.", "Licensed under CC BY-NC-SA 4.0.", "Released under the Foo License.",
+                 "Licensed under the BSD 4-Clause License.", long["GPL-2.0"][1].replace("version 2", "version 1")):
+        assert sure(text) == [], text
+    for text, name in (("Licensed under the Apache License, Version 2.", "Apache-2.0"), ("Licensed under CC BY-SA v4.0", "CC-BY-SA-4.0"),
+                       ("This work is subject to the terms of the Mozilla Public License, version 2.0.", "MPL-2.0"),
+                       (long["BSD-3-Clause"][1].replace("the copyright holder nor", "Some University nor"), "BSD-3-Clause"),
+                       (long["BSD-2-Clause"][1].replace("1. ", "* ").replace("2. ", "* "), "BSD-2-Clause"),
+                       (long["GPL-2.0"][1], "GPL-2.0"), (long["GPL-3.0"][1], "GPL-3.0"), (long["AGPL-3.0"][1], "AGPL-3.0")):
+        assert sure(text) == [name], (text, sure(text))
+
+
+def slow_notices(scan, text):
+    """Licenses of every run of words whose wording confirms a template: all runs of
+    up to twice a template's length against all templates."""
+    spans = [m.span() for m in license_scan._WORD.finditer(text)]
+    words = [license_scan.normal(text[a:b]) for a, b in spans]
+    found = set()
+    for name, want in scan.words.items():
+        least = int(license_scan.LEAST_COVERAGE * len(want))
+        for a, n in itertools.product(range(len(words)), range(least, 2 * len(want) + 9)):
+            have = words[a:a + n]
+            if sum((Counter(have) & scan.counts[name]).values()) < least:
+                continue
+            coverage, _, added, met, gone = scan.differences(have, name)
+            if coverage >= license_scan.LEAST_COVERAGE and not scan.refuted(name, gone, added):
+                block = text[spans[a + met[0]][0]:spans[a + met[-1]][1]]
+                if dict((k, g) for g, k in scan.saved(block))[name] >= license_scan.LEAST_REDUCTION * scan.own[name]:
+                    found.add(name[0])
+    return found
+
+
+def test_scan_is_that_of_all_runs_and_templates():
+    """Short notices, altered and not, in text of their own words: the licenses are
+    those of all runs of words, but for those that another notice there outdoes."""
+    rng = np.random.default_rng(9)
+    templates = {k: [x for x in ([t] if isinstance(t, str) else t) if len(x) < 100] for k, t in license_scan.TEMPLATES.items()}
+    scan = license_scan.Scanner(templates)
+    flat = sorted(license_scan.wordings(templates).items())
+    pool = sorted(scan.vocabulary) + "and yet the evening light over quiet water".split()
+    planted = met = 0
+    for _ in range(25):
+        parts, want = [], set()
+        for name, t in (flat[i] for i in rng.integers(0, len(flat), 3)):
+            words = t.split()
+            if len(words) >= 10 and rng.random() < 0.5:
+                words.insert(int(rng.integers(1, len(words))), "gladly")
+            else:
+                want.add(name[0])
+            parts += [" ".join(rng.choice(pool, 12)), " ".join(words)]
+        text = "\n".join(parts)
+        got = {r[2] for r in scan.rows(text) if r[-1]}
+        assert got <= slow_notices(scan, text)
+        planted += len(want)
+        met += len(want & got)
+    assert met / planted > 0.97
+
+
+@pytest.mark.parametrize("rate", [0.03, 0.1])
+def test_altered_and_wrapped_notices_are_found(rate):
+    """Notices with words dropped, changed and put in at random, wrapped over lines:
+    at least nine in ten are found, and none under another license."""
+    rng = np.random.default_rng(1)
+    scan = license_scan.Scanner(license_scan.TEMPLATES)
+    found = []
+    for (name, _), t in sorted(license_scan.wordings(license_scan.TEMPLATES).items()):
+        for _ in range(4 if len(t.split()) >= 20 else 0):
+            words = []
+            for w in t.split():
+                u = rng.random() / rate
+                words += [] if u < 1 / 3 else ["other"] if u < 2 / 3 else [w, "more"] if u < 1 else [w]
+            got = {r[2] for r in scan.rows(textwrap.fill(" ".join(words), 60)) if r[-1]}
+            assert got <= {name}
+            found.append(bool(got))
+    assert sum(found) >= 0.9 * len(found)
+
+
+def test_many_notices_in_one_text_take_linear_time():
+    import time
+
+    scan = license_scan.Scanner(license_scan.TEMPLATES)
+    took = []
+    for n in (40, 160):
+        t = time.time()
+        assert sum(r[-1] for r in scan.rows("\n".join([license_scan.TEMPLATES["MIT"][1]] * n))) == n
+        took.append(time.time() - t)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_toxicity_learns_from_labels_and_shows_evidence(spark, sf_small, docs, none):
     rng = np.random.default_rng(4)
     common = [f"w{i}" for i in range(300)]
