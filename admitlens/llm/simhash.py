@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -286,15 +286,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The row of the smallest doc_id of every component, all columns kept. Among
-    rows of that one id the smaller hash of id and text stays, once."""
+    rows of that one id the smaller hash of id and text stays, of rows equal in both
+    the first by the other columns (maps, which have no order, aside), once. A null
+    doc_id counts as the greatest; null and empty texts are near copies of each other."""
     h = row_hash(SEED, "doc_id", "text")
     fps = stored(docs.select("doc_id", h.alias("h"), fingerprint_column("text", width).alias("fp")), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))).alias("first")
     best = fps.groupBy("fp").agg(first)
     kept = (_with_components(fps).join(best, "fp").groupBy("component").agg(F.min("first").alias("first"))
-            .select(F.col("first.h").alias("h")).distinct())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), h.alias("h"))
-    from pyspark.sql import Window
-
-    once = F.row_number().over(Window.partitionBy("h").orderBy(F.lit(1)))
-    return rows.join(kept, "h", "left_semi").withColumn("n", once).where("n = 1").select("row.*")
+            .select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own"), h.alias("hash"))
+    rows = rows.join(kept, (F.col("hash") == F.col("h")) & F.col("own").eqNullSafe(F.col("id")), "left_semi")
+    order = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    once = F.row_number().over(Window.partitionBy("hash", "own").orderBy(*order))
+    return rows.withColumn("place", once).where("place = 1").select("row.*")

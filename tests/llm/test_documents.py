@@ -94,6 +94,14 @@ def test_one_document_of_each_group_stays(docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.without_near_duplicates(none).count() == 0
 
 
+def test_rows_equal_in_id_and_text_leave_the_first_by_all_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", "z"), (1, "a b c", "m"), (1, "a b c", None), (None, "q", "y"), (None, "q", "x")],
+                               "doc_id long, text string, source string")
+    for n in (1, 4):
+        got = simhash.without_near_duplicates(df.repartition(n)).collect()
+        assert sorted((r["doc_id"] or 0, r["source"]) for r in got) == [(0, "x"), (1, None)]
+
+
 @pytest.mark.parametrize("bucket_rows", [4, 2048])
 def test_links_of_clusters_and_noise(spark, bucket_rows):
     """Random fingerprints, tight clusters and chains; blocks of buckets too."""
