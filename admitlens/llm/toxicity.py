@@ -153,13 +153,13 @@ def _shipped(spark, index: Index):
 def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[DataFrame, int, int]:
     """Stored sample (doc_id, text, y) of the rows one may learn from, its size
     and its rows of label 1. A document labelled more than once takes the larger
-    label; rows of one id count once."""
+    label; of rows of one id the smallest text counts, once."""
     y = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
          .groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("y")))
     learnable = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(y, "doc_id")
     total = y.count()
     share = F.pmod(row_hash(SEED, "doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_examples / max(total, 1))))
-    sample = stored(learnable.where(share).dropDuplicates(["doc_id"]), "examples")
+    sample = stored(learnable.where(share).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), "examples")
     r = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).first()
     return sample, r["n"], r["ones"] or 0
 
