@@ -177,11 +177,10 @@ def phrase_matches(index: DataFrame, items: DataFrame, wins: DataFrame) -> DataF
     texts = items.select("tid", "words").distinct()
     wins = stored(wins.join(texts, "tid").select(
         "tid", "s", "len", "first", "second", F.slice("words", F.col("s") + 1, F.col("len")).alias("words")), "windows")
-    pairs = aligned.join(_small(wins), "tid")
-    met = F.transform(F.col("met"), lambda m: m["o"])
-    both = F.array_contains(met, F.col("first")) & F.array_contains(met, F.col("second"))
-    own = F.get(F.filter("met", lambda m: m["o"] == F.col("first")), F.lit(0))
-    pairs = pairs.where(both & (F.col("at") + F.col("s") >= 0)).withColumn("own", own)
+    # A window meets the alignments that hold its first rarest term, not all of its item.
+    pairs = aligned.select("rid", "tid", "at", F.transform("met", lambda m: m["o"]).alias("offsets"), F.explode("met").alias("own"))
+    pairs = pairs.withColumn("first", F.col("own.o")).join(_small(wins), ["tid", "first"])
+    pairs = pairs.where(F.array_contains("offsets", F.col("second")) & (F.col("at") + F.col("s") >= 0))
     there = F.slice(F.col("own.near"), F.greatest(F.col("own.left") - (F.col("first") - F.col("s")) + 1, F.lit(1)), F.col("len"))
     fits = (F.col("own.left") >= F.col("first") - F.col("s")) & (there == F.col("words"))
     return pairs.where(fits).select("rid", "tid", (F.col("at") + F.col("s")).alias("start"), "len")
