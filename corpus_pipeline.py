@@ -14,27 +14,33 @@ from admitlens.llm.queries import tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go (0.3 or more). Null and empty texts score the
+    rate of texts without telling terms; repeated rows stay or go together."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, that of the smallest doc_id;
+    of its repeated rows one. Null and empty texts are one group."""
     return simhash.without_near_duplicates(docs)
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with too much of the benchmark in them go."""
+    """Documents with too much of the benchmark in them go (a twentieth of their
+    words). Null and empty texts have no words and stay, as all do without items."""
     return contamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them."""
+    """Documents as often as the mix to target weights takes them; equal rows stand
+    or fall together. A null source is one of its own. Texts without words weigh
+    nothing and come as often as all of their shard do."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token files, read back: doc_id, start, n_tokens, ids_crc32. Null and empty texts
+    have their end id alone; no documents give no rows."""
     return token_file.token_file(docs, tokenizer_path())
 
 
