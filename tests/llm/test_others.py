@@ -173,7 +173,7 @@ def test_matches_sql(spark, sf_small, name):
 
 
 def test_a_query_for_each_operator(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_native_operators_run_no_python(spark, sf_small):
