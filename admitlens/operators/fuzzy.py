@@ -10,8 +10,8 @@ between. For each pair of lengths that occurs, n and t are chosen so that two pi
 must match, where the letters allow it, at the fewest expected chance hits. Which
 pieces an entry gives is decided by their frequency: letter statistics of the whole
 dictionary are counted first, and the entry's cuts make the sum of its pieces' expected
-hits least. Hits are an equi-join on (length of the name, piece); moved too far or too
-few, they are no candidates.
+hits least. Hits are an equi-join on (length of the name, piece); moved too far, of too
+few letters in common (whatever their order) or too few, they are no candidates.
 
 Candidates meet a bit-parallel bound on the longest common subsequence (Hyyrö, 2004)
 before ``difflib`` computes the ratio of the few left, both in an Arrow-batched UDF.
@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from admitlens.session import cut_lineage
+from admitlens.session import cut_lineage, shuffled
 
 EPS = 1e-9
 LETTERS = 12             # letters of equal chance that stand for an alphabet in the choice of n and t
-SCORE_COST = 10          # of a candidate, in hits or keys
+KEY_COST = 10            # of a key made of a name, in hits
+SCORE_COST = 3           # of a candidate, in hits
+BAG, DEEP = 32, 4        # kinds of letters told apart, and how many of each are counted singly
 MOST_GRAMS = 200_000     # most frequent letter triples kept as statistics (they choose cuts, not results)
 GRAM = 3
 
@@ -74,7 +77,7 @@ def plan_of(lq: int, ld: int, cutoff: float, entries: int) -> Plan | None:
             hits = n * ways * (lost + extra + 1) * entries / LETTERS ** (ld / n)
             keys = (ways + math.comb(size + t, t)) * lq
             scored = hits if matches == 1 else hits * hits / max(entries, 1)
-            cost = keys + hits + SCORE_COST * scored
+            cost = KEY_COST * keys + hits + SCORE_COST * scored
             if best is None or cost < best[0]:
                 best = cost, Plan(n, t, matches, lost, extra)
     return best[1]
@@ -165,6 +168,20 @@ def masks_of(a: str) -> dict[str, int]:
     return masks
 
 
+def letter_bag(text: str) -> tuple[int, int, int]:
+    """The letters of ``text`` without their order: two 64-bit words with a bit for each of
+    the first ``DEEP`` letters of a kind, and the number of those that have no bit."""
+    counts = [0] * BAG
+    for c in text:
+        counts[ord(c) % BAG] += 1
+    bits = 0
+    for i, n in enumerate(counts):
+        bits |= ((1 << min(n, DEEP)) - 1) << i * DEEP
+    words = ((bits >> at & (1 << 64) - 1) for at in (0, 64))
+    low, high = (w - (1 << 64) if w >> 63 else w for w in words)
+    return low, high, sum(max(n - DEEP, 0) for n in counts)
+
+
 def _ratio_udf(cutoff: float):
     @F.pandas_udf(T.DoubleType())
     def ratio(candidate: pd.Series, query: pd.Series) -> pd.Series:
@@ -230,18 +247,19 @@ def piece_hits(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
             rows = []
             for d_id, entry in zip(*(c.to_pylist() for c in batch.columns)):
                 cuts: dict[tuple[int, int], list] = {}
+                bag = letter_bag(entry)
                 for lq, plan in plans.get(len(entry), ()):
                     key = plan.pieces, plan.between
                     if key not in cuts:
                         cuts[key] = chosen_pieces(entry, plan, log_after)
-                    rows += [(d_id, lq, entry[i:i + s], k, i, *plan[1:]) for k, (i, s) in enumerate(cuts[key])]
+                    rows += [(d_id, lq, entry[i:i + s], k, i, *plan[1:], *bag) for k, (i, s) in enumerate(cuts[key])]
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(PIECE, r)) for r in rows], schema=piece_type)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), piece_type)], schema=piece_type)
 
-    PIECE = ("d_id", "lq", "piece", "k", "start", "between", "matches", "lost", "extra")
-    piece_type = pa.schema([(c, pa.string() if c == "piece" else pa.int64() if c == "d_id" else pa.int32()) for c in PIECE])
-    pieces = cut_lineage(d.select("d_id", "d").mapInArrow(
-        cut, ", ".join(f"{c} {'string' if c == 'piece' else 'bigint' if c == 'd_id' else 'int'}" for c in PIECE)))
+    kinds = {"piece": pa.string(), **dict.fromkeys(("d_id", "d_low", "d_high"), pa.int64())}
+    piece_type = pa.schema([(c, kinds.get(c, pa.int32())) for c in (
+        "d_id", "lq", "piece", "k", "start", "between", "matches", "lost", "extra", "d_low", "d_high", "d_more")])
+    pieces = cut_lineage(d.select("d_id", "d").mapInArrow(cut, from_arrow_schema(piece_type)))
     # Sizes and gaps that occur for names of each length: a few rows per length.
     made: dict[int, list[tuple[int, int]]] = {}
     for r in pieces.groupBy("lq", F.length("piece").alias("size")).agg(F.max("between").alias("between")).collect():
@@ -249,33 +267,38 @@ def piece_hits(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, str, int, int]] = []
+            out: list[tuple] = []
             for q_id, name in zip(*(c.to_pylist() for c in batch.columns)):
-                found = set()
+                found, bag = set(), letter_bag(name)
                 for size, between in made.get(len(name), ()):
                     for u, parts in patterns(size, between):
                         for at in range(len(name) - size - u + 1):
                             found.add(("".join([name[at + a:at + b] for a, b in parts]), at, u))
-                out += [(q_id, len(name), *x) for x in found]
+                out += [(q_id, len(name), *x, *bag) for x in found]
                 if len(out) >= 100_000:
                     yield key_batch(out)
                     out = []
             if out:
                 yield key_batch(out)
 
+    key_type = pa.schema([(c, kinds.get(c.replace("q_", "d_"), pa.int32())) for c in (
+        "q_id", "lq", "piece", "at", "u", "q_low", "q_high", "q_more")])
+
     def key_batch(rows):
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)],
-                                          names=["q_id", "lq", "piece", "at", "u"])
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), key_type)], schema=key_type)
 
-    of_name = q.select("q_id", "q").mapInArrow(keys, "q_id bigint, lq int, piece string, at int, u int")
+    of_name = q.select("q_id", "q").mapInArrow(keys, from_arrow_schema(key_type))
     moved, u = F.col("at") - F.col("start"), F.col("u")
     left = F.col("extra") - F.col("lost") - moved - u       # what is to move after the piece
     none = F.lit(0)
     inserted = F.greatest(moved, none) + u + F.greatest(left, none)
     deleted = F.greatest(-moved, none) + F.greatest(-left, none)
-    return of_name.join(pieces, ["lq", "piece"]).where(
-        (u <= F.col("between")) & (inserted <= F.col("extra")) & (deleted <= F.col("lost"))).select("q_id", "d_id", "k", "matches")
+    # No more letters match than both have in common, in any order.
+    common = F.bit_count(F.col("q_low").bitwiseAND(F.col("d_low"))) + F.bit_count(F.col("q_high").bitwiseAND(F.col("d_high"))) \
+        + F.least("q_more", "d_more")
+    needed = F.col("lq") - F.col("extra")
+    return of_name.join(shuffled(pieces), ["lq", "piece"]).where(
+        (common >= needed) & (u <= F.col("between")) & (inserted <= F.col("extra")) & (deleted <= F.col("lost"))).select("q_id", "d_id", "k", "matches")
 
 
 def candidate_ids(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
@@ -291,7 +314,7 @@ def candidate_pairs(names: DataFrame, entries: DataFrame, cutoff: float) -> Data
     """(q, d): every pair of names that can reach the cut-off, few others; from
     ``names`` (q) and ``entries`` (d)."""
     q, d = _named(names, "q", "q"), _named(entries, "d", "d")
-    return candidate_ids(q, d, cutoff).join(q, "q_id").join(d, "d_id").select("q", "d")
+    return candidate_ids(q, d, cutoff).join(shuffled(q), "q_id").join(shuffled(d), "d_id").select("q", "d")
 
 
 def fuzzy_match(names: DataFrame, name_col: str, dictionary: DataFrame, cutoff: float,
@@ -304,5 +327,5 @@ def fuzzy_match(names: DataFrame, name_col: str, dictionary: DataFrame, cutoff:
     scored = pairs.withColumn("score", _ratio_udf(cutoff)(F.col("d"), F.col("q"))) \
         .filter(F.col("score") >= F.lit(cutoff))
     best = scored.groupBy("q").agg(F.max(F.struct("score", "d")).alias("b"))
-    return q.join(best, "q", "left").select(
+    return q.join(shuffled(best), "q", "left").select(
         F.col("q").alias(name_col), F.col("b.d").alias(out_col), F.col("b.score").alias("score"))

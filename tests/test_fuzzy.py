@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from admitlens.operators.fuzzy import fuzzy_match
+from admitlens.operators.fuzzy import _named, candidate_pairs, common_letters, fuzzy_match, letter_bag, masks_of, piece_hits
 from admitlens.operators.normalize import normalize_program, normalize_university
 
 WORDS = ["computer", "science", "information", "studies", "mathematics", "economics",
@@ -169,3 +169,29 @@ def test_common_words_make_no_candidates(spark):
     q = spark.createDataFrame([(f"Univercity of {p}",) for p in places[:500]], "q string")
     pairs = candidate_pairs(q, d, 0.92)
     assert 500 <= pairs.count() < 20 * 500
+
+
+def test_joins_behind_python_steps_are_never_broadcast(spark):
+    """Estimates know nothing of the many rows a Python step gives; the driver would hold them."""
+    q = _named(spark.createDataFrame([("abcdefgh",), ("xbcdefgh",)], "q string"), "q", "q")
+    d = _named(spark.createDataFrame([("abcdefgh",), ("abcdefgi",)], "d string"), "d", "d")
+    plans = [piece_hits(q, d, 0.84), candidate_pairs(q.select("q"), d.select("d"), 0.84),
+             fuzzy_match(q, "q", d.select(F.col("d").alias("name")), 0.84),
+             normalize_program(q.select("q"), "q", d.select(F.col("d").alias("name")), out_col="out").drop("q")]
+    for df in plans[:3]:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+    plan = plans[3]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 2, plan      # the look-up in a counted dictionary, read twice
+
+
+def test_letters_in_common_bound_the_match():
+    rnd = random.Random(5)
+    for _ in range(500):
+        a, b = ("".join(rnd.choice("aabcdeé中 AZ") for _ in range(rnd.randint(1, 60))) for _ in "ab")
+        (al, ah, am), (bl, bh, bm) = letter_bag(a), letter_bag(b)
+        assert all(-1 << 63 <= w < 1 << 63 for w in (al, ah, bl, bh))
+        full = (1 << 64) - 1
+        common = (al & bl & full).bit_count() + (ah & bh & full).bit_count() + min(am, bm)
+        matched = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert matched <= common_letters(masks_of(b), len(b), a) <= common
