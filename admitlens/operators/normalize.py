@@ -32,7 +32,7 @@ from admitlens.functions.text import (
     ws_trim,
 )
 from admitlens.operators.fuzzy import fuzzy_match
-from admitlens.session import maybe_broadcast
+from admitlens.session import maybe_broadcast, shuffled
 
 RULES_PER_CASE = 200
 
@@ -109,13 +109,13 @@ def _dictionary_step(df: DataFrame, pre_col: str, out_col: str, dictionary: Data
     flagged = canonical_lookup(names, pre_col, dictionary, out_col="_hit")
     misses = flagged.filter(~F.col("_hit"))
     fm = fuzzy_match(misses, pre_col, dictionary, cutoff, out_col="_fz").drop("score")
-    mapping = flagged.join(fm, pre_col, "left").select(
+    mapping = flagged.join(shuffled(fm), pre_col, "left").select(
         pre_col, F.when(F.col("_hit"), F.col(pre_col)).otherwise(
             F.coalesce(F.col("_fz"), F.col(pre_col))).alias("_norm"))
     res = F.col("_norm")
     if empty_value is not None:
         res = F.when(res == "", F.lit(empty_value)).otherwise(res)
-    out = df.join(mapping, pre_col, "left")
+    out = df.join(shuffled(mapping), pre_col, "left")
     return out.withColumn(out_col, res).drop(pre_col, "_norm")
 
 
