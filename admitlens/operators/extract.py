@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from admitlens.fixed_values import BADGE_CLASS, RECORD_START_CLASSES
 from admitlens.functions.records import (
@@ -54,12 +55,12 @@ class _Node:
     """An element. ``at`` is its place among the page's elements in document order and
     ``end`` that behind its last descendant, so descendants are an interval; so are
     its texts, from ``text`` to ``text_end`` of the page's."""
-    __slots__ = ("tag", "attrs", "parent", "nth", "seen", "at", "end", "text", "text_end")
+    __slots__ = ("tag", "attrs", "parent", "nth", "seen", "at", "end", "text", "text_end", "cell")
 
     def __init__(self, tag, attrs, parent, at, text):
         self.tag, self.attrs, self.parent, self.at, self.text = tag, attrs, parent, at, text
         self.nth = 1
-        self.seen: dict[str, int] = {}
+        self.seen: dict[str, int] | None = None
         self.end = self.text_end = -1
 
 
@@ -75,7 +76,10 @@ class _Tree:
     def start(self, tag: str, attrs: dict[str, str]) -> None:
         cur = self.cur
         node = _Node(tag, attrs, cur, len(self.order), len(self.texts))
-        node.nth = cur.seen[tag] = cur.seen.get(tag, 0) + 1
+        if cur.seen is None:
+            cur.seen = {tag: 1}
+        else:
+            node.nth = cur.seen[tag] = cur.seen.get(tag, 0) + 1
         self.order.append(node)
         if tag in VOID:
             node.end, node.text_end = len(self.order), node.text
@@ -186,8 +190,63 @@ def _plain_tree(html: str) -> _Tree | None:
     return tree
 
 
+_END = re.compile(r"/([a-zA-Z][a-zA-Z0-9-]*)[ \t\n\r\f]*")
+_START = re.compile(r"""([a-zA-Z][a-zA-Z0-9-]*)((?:[ \t\n\r\f]+[a-zA-Z][a-zA-Z0-9:_-]*(?:="[^"&]*"|='[^'&]*')?)*)[ \t\n\r\f]*(/?)""")
+_DOCTYPE = re.compile(r"!(?i:doctype)[^<>]*")
+MOST_TAGS = 10_000       # different tags remembered, each read once
+_tags: dict[str, tuple] = {}
+
+
+def _tag(inside: str) -> tuple | None:
+    """(tag, attributes, whether it ends at once) of what stands between < and >, with None
+    for the attributes of an end tag; None if it is neither."""
+    if m := _END.fullmatch(inside):
+        found = m[1].lower(), None, False
+    elif m := _START.fullmatch(inside):
+        found = m[1].lower(), {n.lower(): a or b for n, a, b in _ATTRIBUTE.findall(m[2])}, bool(m[3])
+    else:
+        return None
+    if len(_tags) >= MOST_TAGS:
+        _tags.clear()
+    _tags[inside] = found
+    return found
+
+
+def _simple_tree(html: str) -> _Tree | None:
+    """The tree of plain markup without comments and without < or > in attributes, which
+    is cut at these signs; None if the page holds anything else."""
+    if _OWN_RULES.search(html):
+        return None
+    tree = _Tree()
+    start, end, say = tree.start, tree.end, tree.say
+    said, *parts = html.split("<")
+    for part in parts:
+        inside, closed, text = part.partition(">")
+        if not closed:
+            return None
+        found = _tags.get(inside) or _tag(inside)
+        if found is None:
+            if said or tree.order or not _DOCTYPE.fullmatch(inside):
+                return None          # a doctype inside a page does not end a text
+            said = text
+            continue
+        if said:
+            say(unescape(said) if "&" in said else said)
+        said = text
+        tag, attrs, at_once = found
+        if attrs is None:
+            end(tag)
+        else:
+            start(tag, attrs)
+            if at_once and tag not in VOID:
+                end(tag)
+    if said:
+        say(unescape(said) if "&" in said else said)
+    return tree
+
+
 def _tree_of(html: str) -> _Tree:
-    tree = _plain_tree(html)
+    tree = _simple_tree(html) or _plain_tree(html)
     if tree is None:
         b = _TreeBuilder()
         b.feed(html)
@@ -197,8 +256,14 @@ def _tree_of(html: str) -> _Tree:
     return tree
 
 
-def _classes(n: _Node) -> list[str]:
-    return (n.attrs.get("class") or "").split()
+@lru_cache(maxsize=4096)
+def _split_classes(text: str) -> tuple[str, ...]:
+    return tuple(text.split())
+
+
+def _classes(n: _Node) -> tuple[str, ...]:
+    text = n.attrs.get("class")
+    return _split_classes(text) if text else ()
 
 
 def _cell(n: _Node, top: _Node):
@@ -236,26 +301,101 @@ def _listing_only(desc: list[_Node], top: _Node) -> list[_Node]:
 
 def _explode_page(html: str, tag: str, with_desc: bool | str) -> list[dict]:
     tree = _tree_of(html or "")
-    texts, rows = tree.texts, []
-    for pos, el in enumerate(n for n in tree.order if n.tag == tag):
+    texts, order, rows = tree.texts, tree.order, []
+    for pos, el in enumerate([n for n in order if n.tag == tag]):
         nodes = texts[el.text:el.text_end]
-        desc = tree.order[el.at + 1:el.end]
+        desc = order[el.at + 1:el.end]
         links = [d.attrs["href"] for d in desc if d.tag == "a" and "href" in d.attrs]
+        cells = None
         if with_desc == "listing":      # the first link is all that is read
             desc, links = _listing_only(desc, el), links[:1]
+            cells = [_cell(d, el) for d in desc]
+        elif with_desc:                 # a parent, if it is not the element, comes before
+            for d in desc:
+                d.cell = d.nth if d.tag == "td" else None if d.parent is el else d.parent.cell
+            cells = [d.cell for d in desc]
         rows.append({
             "pos": pos, "tag": tag, "classes": _classes(el), "href": el.attrs.get("href"),
             "text": "".join(nodes),
             "nodes": nodes,
             "hrefs": links,
             "descendants": [
-                {"tag": d.tag, "nth": d.nth, "cell": _cell(d, el), "classes": _classes(d),
+                {"tag": d.tag, "nth": d.nth, "cell": cell, "classes": _classes(d),
                  "nodes": texts[d.text:d.text_end], "href": d.attrs.get("href")}
-                for d in desc] if with_desc else None,
+                for d, cell in zip(desc, cells)] if with_desc else None,
         })
     return rows
 
 
+class _Lists:
+    """A column of lists: its values one behind the other, and where each list ends."""
+
+    def __init__(self):
+        self.values: list = []
+        self.ends: list[int] = [0]
+
+    def add(self, some) -> None:
+        self.values += some
+        self.ends.append(len(self.values))
+
+    def array(self, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), values)
+
+
+class _Elements:
+    """Elements of pages as columns: Arrow takes flat lists of values far faster than
+    nested rows. ``held`` counts the characters."""
+
+    def __init__(self, with_desc: bool | str):
+        self.with_desc = with_desc
+        self.pos, self.tag, self.href, self.text = [], [], [], []
+        self.classes, self.nodes, self.hrefs = _Lists(), _Lists(), _Lists()
+        self.d_tag, self.d_nth, self.d_cell, self.d_href = [], [], [], []
+        self.d_classes, self.d_nodes = _Lists(), _Lists()
+        self.d_ends = [0]
+        self.held = 0
+
+    def add_page(self, rows: list[dict]) -> None:
+        for r in rows:
+            nodes, desc = r["nodes"], r["descendants"]
+            self.pos.append(r["pos"])
+            self.tag.append(r["tag"])
+            self.href.append(r["href"])
+            self.text.append(r["text"])
+            self.classes.add(r["classes"])
+            self.nodes.add(nodes)
+            self.hrefs.add(r["hrefs"])
+            self.held += 2 * len(r["text"]) + 64
+            if desc is not None:
+                for d in desc:
+                    self.d_tag.append(d["tag"])
+                    self.d_nth.append(d["nth"])
+                    self.d_cell.append(d["cell"])
+                    self.d_href.append(d["href"])
+                    self.d_classes.add(d["classes"])
+                    self.d_nodes.add(d["nodes"])
+                    self.held += sum(map(len, d["nodes"])) + 64
+                self.d_ends.append(len(self.d_tag))
+
+    def array(self) -> pa.Array:
+        def strings(x):
+            return pa.array(x, pa.string())
+
+        def lists(x):
+            return x.array(strings(x.values))
+
+        if self.with_desc:
+            desc = pa.ListArray.from_arrays(pa.array(self.d_ends, pa.int32()), pa.StructArray.from_arrays(
+                [strings(self.d_tag), pa.array(self.d_nth, pa.int32()), pa.array(self.d_cell, pa.int32()),
+                 lists(self.d_classes), lists(self.d_nodes), strings(self.d_href)],
+                ["tag", "nth", "cell", "classes", "nodes", "href"]))
+        else:
+            desc = pa.nulls(len(self.pos), to_arrow_type(T._parse_datatype_string(DESC_TYPE)))
+        return pa.StructArray.from_arrays(
+            [pa.array(self.pos, pa.int32()), strings(self.tag), lists(self.classes), strings(self.href),
+             strings(self.text), lists(self.nodes), lists(self.hrefs), desc], ELEMENT_FIELDS)
+
+
 def page_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
                   html_col: str = "html", with_descendants: bool | str = True,
                   carry: list[str] | None = None) -> DataFrame:
@@ -271,23 +411,27 @@ def page_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out_type)
-        out: list[dict] = []
-        size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                items, error = [], None
-                try:
-                    items = _explode_page(row["html"], tag, with_descendants)
-                except Exception as e:  # noqa: BLE001 - one bad page never stops the run
-                    error = f"{type(e).__name__}: {e}"
-                out.append({"page_id": row["page_id"], "items": items, "error": error,
-                            **{c: row[c] for c in carry}})
-                size += len(row["html"] or "") + 64
-                if size >= OUT_TEXT:
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
-                    out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            at, n = 0, len(batch)
+            while at < n:                # a page at a time, so that few are held as Python's strings
+                first, elements, ends, errors = at, _Elements(with_descendants), [0], []
+                held = 0
+                while at < n and held + elements.held < OUT_TEXT:
+                    html, error = batch.column(1)[at].as_py(), None
+                    held += len(html or "") + 64
+                    try:
+                        rows = _explode_page(html, tag, with_descendants)
+                    except Exception as e:  # noqa: BLE001 - one bad page never stops the run
+                        error = f"{type(e).__name__}: {e}"
+                    else:
+                        elements.add_page(rows)
+                    ends.append(len(elements.pos))
+                    errors.append(error)
+                    at += 1
+                some = batch.slice(first, at - first)
+                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), elements.array())
+                columns = [some.column(0), items, pa.array(errors, pa.string()), *some.columns[2:]]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return src.mapInArrow(run, out_type)
 

@@ -8,6 +8,7 @@ folder whose predecessors are not all there yet are not seen yet."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from admitlens.operators.numbering import with_row_index
 from admitlens.session import store
 
 BLOCK = 10_000           # messages of a folder
-READ = 5_000             # messages of a reading task
+READ = 20_000            # messages of a reading task
 FORMAT = "message_log"
 
 
@@ -37,20 +38,33 @@ def append_messages(df: DataFrame, path: str, order: list[Column | str], value_c
     return start + numbered.count()
 
 
-def _blocks(path: str) -> list[tuple[int, int, str]]:
-    """(first, end, folder) of the folders without a gap before them."""
+Block = tuple[int, int, str]         # first message, end, folder
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _blocks(path: str, known: list[Block] | None = None) -> list[Block]:
+    """Folders without a gap before them. Those ``known`` are not opened again: a folder
+    does not change once it is there."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    system, root = _opened(path)
+    out = list(known or [])
+    end = out[-1][1] if out else 0
     found = []
     for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
         if info.type == fs.FileType.Directory and info.base_name.startswith("first="):
-            rows = ds.dataset(info.path, filesystem=system, format="parquet").count_rows()
-            found.append((int(info.base_name.removeprefix("first=")), rows, info.path))
-    out, end = [], 0
-    for first, rows, folder in sorted(found):
-        if first != end or not rows:
+            first = int(info.base_name.removeprefix("first="))
+            if first >= end:
+                found.append((first, info.path))
+    for first, folder in sorted(found):
+        rows = ds.dataset(folder, filesystem=system, format="parquet").count_rows() if first == end else 0
+        if not rows:
             break
         end = first + rows
         out.append((first, end, folder))
@@ -64,41 +78,54 @@ def log_length(path: str) -> int:
 
 
 class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
+    """Messages of a reading task and the folders that hold them."""
+
+    def __init__(self, start: int, end: int, folders: list[str]):
+        self.start, self.end, self.folders = start, end, folders
 
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, path: str, pace: int):
         self.path, self.pace = path, pace
         self.at: int | None = None           # the number up to which batches are planned
+        self.blocks: list[Block] = []        # folders seen, which only become more
+
+    def _seen_to(self, number: int) -> int:
+        """How far the log reaches; it is listed only if ``number`` lies behind that."""
+        if not self.blocks or self.blocks[-1][1] < number:
+            self.blocks = _blocks(self.path, self.blocks)
+        return self.blocks[-1][1] if self.blocks else 0
 
     def initialOffset(self) -> dict:
         return {"number": 0}
 
     def latestOffset(self) -> dict:
         at = self.at or 0
-        self.at = max(at, min(at + self.pace, log_length(self.path)))
+        self.at = max(at, min(at + self.pace, self._seen_to(at + self.pace)))
         return {"number": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         if self.at is None:                  # a restart plans its last batch first
             self.at = end["number"]
-        return [_Range(i, min(i + READ, end["number"])) for i in range(start["number"], end["number"], READ)]
+        self._seen_to(end["number"])
+        firsts = [first for first, _, _ in self.blocks]
+        out = []
+        for i in range(start["number"], end["number"], READ):
+            j = min(i + READ, end["number"])
+            some = self.blocks[max(bisect_right(firsts, i) - 1, 0):bisect_left(firsts, j)]
+            out.append(_Range(i, j, [folder for _, _, folder in some]))
+        return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        path = self.path
-        system = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
-        for first, end, folder in _blocks(path):
-            if first < partition.end and end > partition.start:
-                n = ds.field("number")
-                rows = ds.dataset(folder, filesystem=system, format="parquet").to_table(
-                    columns=["number", "value"], filter=(n >= partition.start) & (n < partition.end)).sort_by("number")
-                for batch in rows.to_batches(max_chunksize=1000):
-                    yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        system, _ = _opened(self.path)
+        for folder in partition.folders:
+            n = ds.field("number")
+            rows = ds.dataset(folder, filesystem=system, format="parquet").to_table(
+                columns=["number", "value"], filter=(n >= partition.start) & (n < partition.end)).sort_by("number")
+            for batch in rows.to_batches(max_chunksize=1000):
+                yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
 class MessageLog(DataSource):

@@ -154,8 +154,9 @@ def make_batch_processor(handlers: dict[str, Handler], dead_path: str, log: list
                 lost = spark.createDataFrame([(p,) for p in failed], f"{PLACE} long")
                 letters = letters.unionByName(dead_letter_frame(routed.join(F.broadcast(lost), PLACE, "left_semi"), "handler_failed", batch_id))
             letters.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
-            if progress_path:
-                routed.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.count(F.lit(1)).alias("num_input_rows")) \
+            if progress_path:                       # counted on what is kept, in one task per partition
+                batch.sparkSession.range(1).coalesce(1).select(
+                    F.lit(batch_id).cast("long").alias("batch_id"), F.lit(routed.count()).cast("long").alias("num_input_rows")) \
                     .write.mode("overwrite").parquet(f"{progress_path}/b={batch_id}")
         finally:
             routed.unpersist()
