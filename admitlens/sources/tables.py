@@ -14,10 +14,12 @@ Bloom filter, by which a load reads only files that may hold its keys."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,22 +81,44 @@ def _places(key: Column) -> list[Column]:
     return [F.xxhash64(F.lit(i), key.cast("long")) for i in range(HASHES)]
 
 
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, word, bits) that the keys of a task set in their files' filters: a row for
+    every word of a filter, not one per key and hash."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        files = batch.column(0).dictionary_encode()
+        which = files.indices.to_numpy(zero_copy_only=False)
+        sizes = batch.column(1).to_numpy()
+        hashes = [c.to_numpy() for c in batch.columns[2:]]
+        for i, file in enumerate(files.dictionary.to_pylist()):
+            mine = which == i
+            places = int(sizes[mine.argmax()]) * 64
+            bits = held.setdefault(file, np.zeros(places, dtype=bool))
+            for h in hashes:
+                bits[np.mod(h[mine], places)] = True
+    for file, bits in held.items():
+        words = np.packbits(bits, bitorder="little").view("<i8")
+        for a in range(0, len(words), 10_000):
+            some = words[a:a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array(np.arange(a, a + len(some)), pa.int32()), pa.array(some, pa.int64())],
+                                             names=["file", "word", "bits"])
+
+
 def file_statistics(rows: DataFrame, key: str = KEY) -> DataFrame:
     """(file, low, high, words): per file of ``rows`` the range of its keys and a
-    Bloom filter in 64-bit words. Keys are aggregated by file and word, so no task
-    holds a file's keys."""
+    Bloom filter in 64-bit words. Each task makes its part of the filters of the files it
+    reads (12 bytes a key), which are joined by word."""
     keys = rows.where(F.col(key).isNotNull()).select(F.col("_metadata.file_path").alias("file"), F.col(key).cast("long").alias("k"))
     sizes = keys.groupBy("file").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("size", F.least(F.lit(MOST_WORDS), F.floor(F.col("n") * BITS_PER_KEY / 64) + 1))
-    hit = keys.join(F.broadcast(sizes.select("file", "size")), "file").select(
-        "file", "size", F.explode(F.array(*_places(F.col("k")))).alias("h"))
-    place = F.pmod("h", F.col("size") * 64)
-    bits = hit.select("file", F.floor(place / 64).cast("int").alias("word"),
-                      F.expr("shiftleft(1L, cast(pmod(h, size * 64) % 64 as int))").alias("bit"))
-    words = bits.groupBy("file", "word").agg(F.bit_or("bit").alias("bits")).groupBy("file").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("set"))
-    filled = F.transform(F.sequence(F.lit(0), F.col("size").cast("int") - 1), lambda i: F.coalesce(F.col("set")[i], F.lit(0).cast("long")))
-    return sizes.join(words, "file").select("file", "low", "high", filled.alias("words"))
+    hashed = keys.join(F.broadcast(sizes.select("file", "size")), "file").select(
+        "file", "size", *[h.alias(f"h{i}") for i, h in enumerate(_places(F.col("k")))])
+    bits = hashed.mapInArrow(_filter_words, "file string, word int, bits long")
+    # All words are there, so they need sorting alone: looking each up in a map would
+    # take the square of a file's words.
+    words = bits.groupBy("file", "word").agg(F.bit_or("bits").alias("bits")).groupBy("file").agg(
+        F.sort_array(F.collect_list(F.struct("word", "bits"))).getField("bits").alias("words"))
+    return sizes.join(words, "file").select("file", "low", "high", "words")
 
 
 def files_that_may_hold(statistics: DataFrame, hashes: np.ndarray, values: np.ndarray) -> DataFrame:
