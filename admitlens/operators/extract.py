@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from admitlens.fixed_values import BADGE_CLASS, RECORD_START_CLASSES
 from admitlens.functions.records import (
@@ -377,7 +377,7 @@ class _Elements:
                     self.held += sum(map(len, d["nodes"])) + 64
                 self.d_ends.append(len(self.d_tag))
 
-    def array(self) -> pa.Array:
+    def array(self, desc_type: pa.DataType) -> pa.Array:
         def strings(x):
             return pa.array(x, pa.string())
 
@@ -390,7 +390,7 @@ class _Elements:
                  lists(self.d_classes), lists(self.d_nodes), strings(self.d_href)],
                 ["tag", "nth", "cell", "classes", "nodes", "href"]))
         else:
-            desc = pa.nulls(len(self.pos), to_arrow_type(T._parse_datatype_string(DESC_TYPE)))
+            desc = pa.nulls(len(self.pos), desc_type)
         return pa.StructArray.from_arrays(
             [pa.array(self.pos, pa.int32()), strings(self.tag), lists(self.classes), strings(self.href),
              strings(self.text), lists(self.nodes), lists(self.hrefs), desc], ELEMENT_FIELDS)
@@ -411,6 +411,7 @@ def page_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out_type)
+        desc_type = schema.field("items").type.value_type.field("descendants").type
         for batch in batches:
             at, n = 0, len(batch)
             while at < n:                # a page at a time, so that few are held as Python's strings
@@ -429,7 +430,7 @@ def page_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
                     errors.append(error)
                     at += 1
                 some = batch.slice(first, at - first)
-                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), elements.array())
+                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), elements.array(desc_type))
                 columns = [some.column(0), items, pa.array(errors, pa.string()), *some.columns[2:]]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 

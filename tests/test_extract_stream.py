@@ -179,3 +179,40 @@ def test_a_listing_page_parses_fast():
         assert len(E._explode_page(page, "tr", "listing")) == 160
         best = min(best, time.perf_counter() - t0)
     assert best < 0.025
+
+
+def test_plain_tags_are_cut_as_the_parser_reads_them():
+    import random
+
+    bits = ["<", "<a>", "</a>", "<a href='x>y'>", '<a HREF="q" b>', "<td>", "</td>", "<tr class='a b'>", "</tr>", "text", "&amp;", " ", "<br/>",
+            "<p/>", "<!doctype html>", "<!-- c -->", ">", "</p >", "< b>", "<a b=c>", "<template>x</template>", '<a title="a<b">', "&lt", "<p"]
+
+    def dump(tree):
+        tree.close_to(tree.root)
+        return [(n.tag, n.attrs, n.nth, n.at, n.end, n.text, n.text_end, n.parent.at) for n in tree.order], tree.texts
+
+    rnd, seen = random.Random(1), 0
+    for _ in range(5000):
+        html = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 8)))
+        tree = E._simple_tree(html)
+        if tree is not None:
+            seen += 1
+            parser = E._TreeBuilder()
+            parser.feed(html)
+            parser.close()
+            assert dump(tree) == dump(parser.tree), html
+    assert seen > 500
+
+
+def test_elements_come_whole_in_every_mode(spark):
+    """Pages in many batches: with all descendants, none, or those of listings."""
+    html = "<tr class='x y'><td>a<p>b</p></td><td><span>c</span><a href='/1'>d</a></td></tr><tr></tr>"
+    pages = spark.createDataFrame([(i, html) for i in range(5)] + [(5, None), (6, "")], "page_id long, html string")
+    for mode in (True, False, "listing"):
+        got = {r.page_id: r["items"] for r in E.page_elements(pages, "tr", with_descendants=mode).collect()}
+        rows = E._explode_page(html, "tr", mode)
+        assert got[5] == got[6] == [] and len(got) == 7
+        for i in range(5):
+            assert [x.asDict(True) for x in got[i]] == [{**r, "classes": list(r["classes"]), "descendants": r["descendants"] and [
+                {**d, "classes": list(d["classes"])} for d in r["descendants"]] if r["descendants"] is not None else None} for r in rows]
+

@@ -163,3 +163,37 @@ def test_runs_of_messages_that_lie_across_tasks(spark):
     for some in (df.coalesce(1), df.repartition(6), df.repartitionByRange(4, T.PLACE), df.orderBy(F.desc(T.PLACE))):
         assert T.message_runs(some, ["a", "b"]) == expected
     assert T.message_runs(df.where("false"), ["a", "b"]) == []
+
+
+def test_a_folder_of_the_log_is_opened_once(spark, tmp_path, monkeypatch):
+    import pyarrow.dataset as ds
+
+    path, opened, whole = str(tmp_path / "log"), [], ds.dataset
+    monkeypatch.setattr(M, "BLOCK", 10)
+    log_of(spark, path, ["a"] * 95)
+    monkeypatch.setattr(ds, "dataset", lambda folder, **kw: opened.append(folder) or whole(folder, **kw))
+    reader, at, found = M._Reader(path, 7), 0, []
+    while (end := reader.latestOffset()["number"]) > at:
+        parts = reader.partitions({"number": at}, {"number": end})
+        assert sum(len(p.folders) for p in parts) <= 2
+        before = len(opened)
+        found += [n for p in parts for n, _ in reader.read(p)]
+        del opened[before:]                                 # what reading opens
+        at = end
+    assert found == list(range(95)) and len(opened) == len(set(opened)) == 10
+    again = M._Reader(path, 7)                              # a restart plans its last batch first
+    parts = again.partitions({"number": 14}, {"number": 21})
+    assert [n for p in parts for n, _ in again.read(p)] == list(range(14, 21))
+
+
+def test_filters_hold_every_key_and_are_made_of_words(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    spark.range(0, 3000, 1, 2).selectExpr("id * 7 - 50 as p_id").write.parquet(path)
+    stats = S.file_statistics(spark.read.parquet(path))
+    assert "Generate" not in stats._jdf.queryExecution().sparkPlan().toString()
+    for r in stats.collect():
+        keys = spark.read.parquet(r.file).select(*[h.alias(f"h{i}") for i, h in enumerate(S._places(F.col("p_id")))]).collect()
+        places = {h % (len(r["words"]) * 64) for k in keys for h in k}
+        held = {64 * i + b for i, w in enumerate(r["words"]) for b in range(64) if w >> b & 1}
+        assert held == places
+
