@@ -26,7 +26,7 @@ def pct(part: Column, whole: Column) -> Column:
 def try_double(c: Column) -> Column:
     """Text -> double; NULL on bad text, blanks and NaN."""
     d = F.when(c.rlike(NUMBER), c.try_cast("double"))
-    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+    return F.nanvl(d, F.lit(None).cast("double"))
 
 
 def try_key(c: Column) -> Column:

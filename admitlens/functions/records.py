@@ -69,12 +69,12 @@ def classify_badges(badges: Column) -> Column:
 def badge_issue_count(badges: Column) -> Column:
     """Numeric badges (GPA / GRE kinds) whose number cannot be read."""
     def bad(x: Column) -> Column:
-        k = _badge_kind(x)
-        val = (F.when(k == "gpa", parse_prefixed_number(x, "GPA"))
-               .when(k == "gre", parse_prefixed_number(x, "GRE"))
-               .when(k == "gre_v", parse_prefixed_number(x, "GRE V"))
-               .when(k == "gre_aw", parse_prefixed_number(x, "GRE AW")))
-        return k.isin("gpa", "gre", "gre_v", "gre_aw") & val.isNull()
+        # The kind is bound once: inside a lambda every mention would be worked out again.
+        return let(_badge_kind(x), lambda k: (
+            F.when(k == "gpa", parse_prefixed_number(x, "GPA").isNull())
+            .when(k == "gre", parse_prefixed_number(x, "GRE").isNull())
+            .when(k == "gre_v", parse_prefixed_number(x, "GRE V").isNull())
+            .when(k == "gre_aw", parse_prefixed_number(x, "GRE AW").isNull())))
     return F.size(F.filter(badges, lambda x: F.coalesce(bad(x), F.lit(False))))
 
 
