@@ -16,7 +16,9 @@ document order, so an unclosed element contains what follows it.
 
 from __future__ import annotations
 
+import gc
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -55,7 +57,7 @@ class _Node:
     """An element. ``at`` is its place among the page's elements in document order and
     ``end`` that behind its last descendant, so descendants are an interval; so are
     its texts, from ``text`` to ``text_end`` of the page's."""
-    __slots__ = ("tag", "attrs", "parent", "nth", "seen", "at", "end", "text", "text_end", "cell")
+    __slots__ = ("tag", "attrs", "parent", "nth", "seen", "at", "end", "text", "text_end")
 
     def __init__(self, tag, attrs, parent, at, text):
         self.tag, self.attrs, self.parent, self.at, self.text = tag, attrs, parent, at, text
@@ -198,12 +200,16 @@ _tags: dict[str, tuple] = {}
 
 
 def _tag(inside: str) -> tuple | None:
-    """(tag, attributes, whether it ends at once) of what stands between < and >, with None
-    for the attributes of an end tag; None if it is neither."""
+    """(tag, attributes, whether it ends at once, classes, link, kind) of what stands
+    between < and >, with None for the attributes of an end tag; None if it is neither, or
+    begins an element whose content is not markup."""
     if m := _END.fullmatch(inside):
-        found = m[1].lower(), None, False
+        found = m[1].lower(), None, False, (), None, None
     elif m := _START.fullmatch(inside):
-        found = m[1].lower(), {n.lower(): a or b for n, a, b in _ATTRIBUTE.findall(m[2])}, bool(m[3])
+        tag, attrs = m[1].lower(), {n.lower(): a or b for n, a, b in _ATTRIBUTE.findall(m[2])}
+        if _OWN_RULES.match(f"<{tag}>"):
+            return None
+        found = tag, attrs, bool(m[3]), *_traits(tag, attrs)
     else:
         return None
     if len(_tags) >= MOST_TAGS:
@@ -212,48 +218,142 @@ def _tag(inside: str) -> tuple | None:
     return found
 
 
-def _simple_tree(html: str) -> _Tree | None:
-    """The tree of plain markup without comments and without < or > in attributes, which
-    is cut at these signs; None if the page holds anything else."""
-    if _OWN_RULES.search(html):
-        return None
-    tree = _Tree()
-    start, end, say = tree.start, tree.end, tree.say
+class _Page:
+    """The elements of a page as columns, in document order; ``said`` are its stripped,
+    non-empty texts. Descendants and texts of an element are intervals, as in the tree."""
+    __slots__ = ("infos", "nths", "ends", "froms", "tos", "cells", "links", "listed", "said")
+
+    def __init__(self):
+        self.infos: list[tuple] = []     # as _tag gives them
+        self.nths, self.ends, self.froms, self.tos = [], [], [], []
+        self.cells: list[int] = []       # place of the nearest td, the element itself or above it; -1: none
+        self.links: list[int] = []       # places of the links
+        self.listed: list[int] = []      # places of the elements that may be read of a listing's row
+        self.said: list[str] = []
+
+
+def _simple_page(html: str) -> _Page | None:
+    """Plain markup without comments and without < or > in attributes, cut at its tags;
+    None if the page holds anything else."""
     said, *parts = html.split("<")
-    for part in parts:
-        inside, closed, text = part.partition(">")
-        if not closed:
+    insides, closed, texts = zip(*[x.partition(">") for x in parts]) if parts else ((), (), ())
+    if "" in closed:
+        return None
+    found = [_tags.get(x) or _tag(x) for x in insides]
+    first, texts = 0, [said, *texts]
+    while first < len(found) and found[first] is None:      # a doctype inside a page does not end a text
+        if texts[first] or not _DOCTYPE.fullmatch(insides[first]):
             return None
-        found = _tags.get(inside) or _tag(inside)
-        if found is None:
-            if said or tree.order or not _DOCTYPE.fullmatch(inside):
-                return None          # a doctype inside a page does not end a text
-            said = text
-            continue
-        if said:
-            say(unescape(said) if "&" in said else said)
-        said = text
-        tag, attrs, at_once = found
-        if attrs is None:
-            end(tag)
+        first += 1
+    found, texts = found[first:], texts[first:]
+    if None in found:
+        return None
+    if "&" in html:
+        texts = [unescape(t) if "&" in t else t for t in texts]
+    texts = [t.strip() for t in texts]
+
+    page = _Page()
+    infos, nths, ends, froms, tos, cells, said = page.infos, page.nths, page.ends, page.froms, page.tos, page.cells, page.said
+    links, listed, raw = page.links, page.listed, 0
+    stack: list[tuple] = []              # (tag, place, counts, cell) of the elements around the current one
+    current, place, counts, cell = "", -1, {}, -1
+    if texts[0]:
+        said.append(texts[0])
+    for (tag, attrs, at_once, _, link, kind), info, text in zip(found, found, texts[1:]):
+        if attrs is not None:
+            at = len(infos)
+            n = counts.get(tag, 0) + 1
+            counts[tag] = n
+            infos.append(info)
+            nths.append(n)
+            froms.append(len(said))
+            if kind is not None:
+                listed.append(at)
+            if link is not None and tag == "a":
+                links.append(at)
+            if at_once or tag in VOID:
+                cells.append(at if tag == "td" else cell)
+                ends.append(at + 1)
+                tos.append(len(said))
+            else:
+                ends.append(-1)
+                tos.append(-1)
+                stack.append((current, place, counts, cell))
+                if tag == "td":
+                    cell = at
+                cells.append(cell)
+                current, place, counts = tag, at, {}
+                if tag in RAW_TEXT:
+                    raw += 1
         else:
-            start(tag, attrs)
-            if at_once and tag not in VOID:
-                end(tag)
-    if said:
-        say(unescape(said) if "&" in said else said)
+            if current != tag and any(s[0] == tag for s in stack[1:]):
+                while current != tag:
+                    ends[place], tos[place] = len(infos), len(said)
+                    if current in RAW_TEXT:
+                        raw -= 1
+                    current, place, counts, cell = stack.pop()
+            if current == tag and stack:
+                ends[place], tos[place] = len(infos), len(said)
+                if tag in RAW_TEXT:
+                    raw -= 1
+                current, place, counts, cell = stack.pop()
+        if text and not raw:
+            said.append(text)
+    while stack:
+        ends[place], tos[place] = len(infos), len(said)
+        current, place, counts, cell = stack.pop()
+    return page
+
+
+def _page_of_tree(tree: _Tree) -> _Page:
+    page = _Page()
+    page.said = tree.texts
+    known: dict[int, int] = {-1: -1}
+    for n in tree.order:
+        info = (n.tag, n.attrs, False, *_traits(n.tag, n.attrs))
+        cell = known[n.at] = n.at if n.tag == "td" else known[n.parent.at]
+        page.infos.append(info)
+        page.nths.append(n.nth)
+        page.ends.append(n.end)
+        page.froms.append(n.text)
+        page.tos.append(n.text_end)
+        page.cells.append(cell)
+        if info[5] is not None:
+            page.listed.append(n.at)
+        if info[4] is not None and n.tag == "a":
+            page.links.append(n.at)
+    return page
+
+
+def _simple_tree(html: str) -> _Tree | None:
+    """The page as a tree, or None, as ``_simple_page`` reads it."""
+    page = _simple_page(html)
+    if page is None:
+        return None
+    tree, parents = _Tree(), []
+    tree.texts = page.said
+    for at, info in enumerate(page.infos):
+        while parents and parents[-1].end <= at:
+            parents.pop()
+        node = _Node(info[0], info[1], parents[-1] if parents else tree.root, at, page.froms[at])
+        node.nth, node.end, node.text_end = page.nths[at], page.ends[at], page.tos[at]
+        tree.order.append(node)
+        parents.append(node)
     return tree
 
 
-def _tree_of(html: str) -> _Tree:
-    tree = _simple_tree(html) or _plain_tree(html)
+def _page_of(html: str) -> _Page:
+    page = _simple_page(html)
+    if page is not None:
+        return page
+    tree = _plain_tree(html)
     if tree is None:
         b = _TreeBuilder()
         b.feed(html)
         b.close()
         tree = b.tree
     tree.close_to(tree.root)
-    return tree
+    return _page_of_tree(tree)
 
 
 @lru_cache(maxsize=4096)
@@ -261,68 +361,66 @@ def _split_classes(text: str) -> tuple[str, ...]:
     return tuple(text.split())
 
 
-def _classes(n: _Node) -> tuple[str, ...]:
-    text = n.attrs.get("class")
-    return _split_classes(text) if text else ()
+def _traits(tag: str, attrs: dict[str, str]) -> tuple:
+    """(classes, link, kind) of an element; the kind says as what E2, E3, E7 and E9 may
+    read it of a listing's row, None if they do not."""
+    text = attrs.get("class")
+    classes = _split_classes(text) if text else ()
+    kind = None
+    if tag == "div":
+        if BADGE_CLASS in classes:
+            kind = "badge"
+        elif all(c in classes for c in RECORD_START_CLASSES):
+            kind = "marker"
+    elif tag in ("span", "td", "p"):
+        kind = tag
+    return classes, attrs.get("href"), kind
 
 
-def _cell(n: _Node, top: _Node):
-    while n is not None and n is not top:
-        if n.tag == "td":
-            return n.nth
-        n = n.parent
-    return None
-
-
-def _listing_only(desc: list[_Node], top: _Node) -> list[_Node]:
+def _listing_only(page: _Page, at: int) -> list[int]:
     """Of a row's descendants those that E2, E3, E7 and E9 read: the first marker,
     two spans of cell 2, cells 3 and 4, a paragraph, and every badge."""
     left = {"marker": 1, "span": 2, 3: 1, 4: 1, "p": 1}
-    out = []
-    for d in desc:
-        kind = None
-        if d.tag == "div":
-            classes = _classes(d)
-            if BADGE_CLASS in classes:
-                out.append(d)
-                continue
-            kind = "marker" if all(c in classes for c in RECORD_START_CLASSES) else None
-        elif d.tag == "span" and left["span"] and _cell(d, top) == 2:
-            kind = "span"
-        elif d.tag == "td" and d.nth in (3, 4):
-            kind = d.nth
-        elif d.tag == "p":
-            kind = "p"
-        if kind is not None and left[kind]:
+    listed, out = page.listed, []
+    for i in range(bisect_right(listed, at), bisect_left(listed, page.ends[at])):
+        d = listed[i]
+        kind = page.infos[d][5]
+        if kind == "badge":
+            out.append(d)
+            continue
+        if kind == "td":
+            kind = page.nths[d]
+        elif kind == "span" and left["span"] and not (page.cells[d] > at and page.nths[page.cells[d]] == 2):
+            continue
+        if left.get(kind):
             left[kind] -= 1
             out.append(d)
     return out
 
 
 def _explode_page(html: str, tag: str, with_desc: bool | str) -> list[dict]:
-    tree = _tree_of(html or "")
-    texts, order, rows = tree.texts, tree.order, []
-    for pos, el in enumerate([n for n in order if n.tag == tag]):
-        nodes = texts[el.text:el.text_end]
-        desc = order[el.at + 1:el.end]
-        links = [d.attrs["href"] for d in desc if d.tag == "a" and "href" in d.attrs]
-        cells = None
+    page = _page_of(html or "")
+    infos, nths, cells, froms, tos, said = page.infos, page.nths, page.cells, page.froms, page.tos, page.said
+    links, rows = page.links, []
+    for at in [i for i, info in enumerate(infos) if info[0] == tag]:
+        info, end, nodes = infos[at], page.ends[at], said[froms[at]:tos[at]]
+        some = links[bisect_right(links, at):bisect_left(links, end)] if links else []
         if with_desc == "listing":      # the first link is all that is read
-            desc, links = _listing_only(desc, el), links[:1]
-            cells = [_cell(d, el) for d in desc]
-        elif with_desc:                 # a parent, if it is not the element, comes before
-            for d in desc:
-                d.cell = d.nth if d.tag == "td" else None if d.parent is el else d.parent.cell
-            cells = [d.cell for d in desc]
+            desc, some = _listing_only(page, at), some[:1]
+        else:
+            desc = range(at + 1, end) if with_desc else ()
+        given = [] if with_desc else None
+        for d in desc:
+            name, _, _, classes, href, _ = infos[d]
+            cell = cells[d]
+            given.append({"tag": name, "nth": nths[d], "cell": nths[cell] if cell > at else None, "classes": classes,
+                          "nodes": said[froms[d]:tos[d]], "href": href})
         rows.append({
-            "pos": pos, "tag": tag, "classes": _classes(el), "href": el.attrs.get("href"),
+            "pos": len(rows), "tag": tag, "classes": info[3], "href": info[4],
             "text": "".join(nodes),
             "nodes": nodes,
-            "hrefs": links,
-            "descendants": [
-                {"tag": d.tag, "nth": d.nth, "cell": cell, "classes": _classes(d),
-                 "nodes": texts[d.text:d.text_end], "href": d.attrs.get("href")}
-                for d, cell in zip(desc, cells)] if with_desc else None,
+            "hrefs": [infos[d][4] for d in some],
+            "descendants": given,
         })
     return rows
 
@@ -356,6 +454,10 @@ class _Elements:
         self.held = 0
 
     def add_page(self, rows: list[dict]) -> None:
+        d_tag, d_nth, d_cell, d_href = self.d_tag, self.d_nth, self.d_cell, self.d_href
+        classes, class_ends = self.d_classes.values, self.d_classes.ends
+        texts, text_ends = self.d_nodes.values, self.d_nodes.ends
+        first = len(texts)
         for r in rows:
             nodes, desc = r["nodes"], r["descendants"]
             self.pos.append(r["pos"])
@@ -368,14 +470,16 @@ class _Elements:
             self.held += 2 * len(r["text"]) + 64
             if desc is not None:
                 for d in desc:
-                    self.d_tag.append(d["tag"])
-                    self.d_nth.append(d["nth"])
-                    self.d_cell.append(d["cell"])
-                    self.d_href.append(d["href"])
-                    self.d_classes.add(d["classes"])
-                    self.d_nodes.add(d["nodes"])
-                    self.held += sum(map(len, d["nodes"])) + 64
-                self.d_ends.append(len(self.d_tag))
+                    d_tag.append(d["tag"])
+                    d_nth.append(d["nth"])
+                    d_cell.append(d["cell"])
+                    d_href.append(d["href"])
+                    classes += d["classes"]
+                    class_ends.append(len(classes))
+                    texts += d["nodes"]
+                    text_ends.append(len(texts))
+                self.d_ends.append(len(d_tag))
+        self.held += sum(map(len, texts[first:])) + 64 * (len(texts) - first)
 
     def array(self, desc_type: pa.DataType) -> pa.Array:
         def strings(x):
@@ -417,18 +521,25 @@ def page_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
             while at < n:                # a page at a time, so that few are held as Python's strings
                 first, elements, ends, errors = at, _Elements(with_descendants), [0], []
                 held = 0
-                while at < n and held + elements.held < OUT_TEXT:
-                    html, error = batch.column(1)[at].as_py(), None
-                    held += len(html or "") + 64
-                    try:
-                        rows = _explode_page(html, tag, with_descendants)
-                    except Exception as e:  # noqa: BLE001 - one bad page never stops the run
-                        error = f"{type(e).__name__}: {e}"
-                    else:
-                        elements.add_page(rows)
-                    ends.append(len(elements.pos))
-                    errors.append(error)
-                    at += 1
+                # A page's rows hold no cycles; the collector would walk them again and again.
+                collects = gc.isenabled()
+                gc.disable()
+                try:
+                    while at < n and held + elements.held < OUT_TEXT:
+                        html, error = batch.column(1)[at].as_py(), None
+                        held += len(html or "") + 64
+                        try:
+                            rows = _explode_page(html, tag, with_descendants)
+                        except Exception as e:  # noqa: BLE001 - one bad page never stops the run
+                            error = f"{type(e).__name__}: {e}"
+                        else:
+                            elements.add_page(rows)
+                        ends.append(len(elements.pos))
+                        errors.append(error)
+                        at += 1
+                finally:
+                    if collects:
+                        gc.enable()
                 some = batch.slice(first, at - first)
                 items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), elements.array(desc_type))
                 columns = [some.column(0), items, pa.array(errors, pa.string()), *some.columns[2:]]

@@ -216,3 +216,57 @@ def test_elements_come_whole_in_every_mode(spark):
             assert [x.asDict(True) for x in got[i]] == [{**r, "classes": list(r["classes"]), "descendants": r["descendants"] and [
                 {**d, "classes": list(d["classes"])} for d in r["descendants"]] if r["descendants"] is not None else None} for r in rows]
 
+
+
+def test_a_page_as_columns_is_its_tree():
+    """Random listing markup: what is read of rows and cells is the same from the columns
+    that are cut at the tags and from the standard parser's tree."""
+    import random
+
+    marker = "<div class='tw-font-medium tw-text-gray-900 tw-text-sm'>"
+    bits = ["<tr>", "</tr>", "<tr class='a b'>", "<td>", "</td>", "<td class='tw-inline-flex'>", "<td/>", marker, "</div>", "<div class='tw-inline-flex q'>",
+            "<span>", "</span>", "<p>", "</p>", "<a href='/1'>", "<a>", "</a>", "<br>", "<template>", "</template>", "text", " u ", "&amp;", "<table>", "</table>"]
+    rnd, seen = random.Random(7), 0
+    for _ in range(3000):
+        html = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40)))
+        assert E._simple_page(html) is not None, html
+        by_parser = html + "<!-- -- -->"        # no plain markup: left to the parser
+        assert E._simple_page(by_parser) is None
+        for mode in ("listing", True, False):
+            for tag in ("tr", "td", "a"):
+                got = E._explode_page(html, tag, mode)
+                assert got == E._explode_page(by_parser, tag, mode), (html, tag, mode)
+                seen += len(got)
+    assert seen > 10_000
+
+
+def test_the_collector_rests_while_pages_are_parsed(spark, monkeypatch):
+    """The elements of a page hold no cycles: none of them waits for the collector."""
+    import gc
+
+    html = "<table>" + "<tr><td><div class='tw-inline-flex'>GPA 3.5</div></td></tr>" * 50 + "</table>"
+
+    def explode(html, tag, with_desc, whole=E._explode_page):
+        if gc.isenabled():
+            raise RuntimeError("the collector runs")
+        return whole(html, tag, with_desc)
+
+    monkeypatch.setattr(E, "_explode_page", explode)
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [r.error for r in E.page_elements(pages, "tr").collect()] == [None]
+    monkeypatch.undo()
+    gc.collect()
+    gc.disable()
+    try:
+        E._explode_page(html, "tr", "listing")
+        assert gc.collect() < 20
+    finally:
+        gc.enable()
+
+
+def test_unreadable_badges_are_counted_by_kind(spark):
+    from admitlens.functions.records import badge_issue_count
+
+    badges = [["GPA 3.5", "GPA n/a", "GRE 167", "GRE x", "GRE V 150", "GRE V nan", "GRE AW 4.5", "GRE AW -", "Fall 2026", "other", None], [], None]
+    df = spark.createDataFrame([(b,) for b in badges], "b array<string>")
+    assert [r[0] for r in df.select(badge_issue_count(F.col("b"))).collect()] == [4, 0, None]
