@@ -1,7 +1,8 @@
 """Listing pages -> applicant records, as one Spark job over ``pages``.
 
-Only E1 (HTML -> elements) runs Python: a stdlib ``html.parser`` tree per page
-inside ``mapInArrow``, one output row per page with the ordered array of its
+Only E1 (HTML -> elements) runs Python inside ``mapInArrow``: plain pages by array
+steps over a batch (``extract_batch``), others one at a time, up to a stdlib
+``html.parser`` tree; one output row per page with the ordered array of its
 elements. Stitching the follower rows is array access (rows i+1 and i+2 of the
 same page), record numbers are array positions, and pages are exploded last: from
 the parse to the records nothing is shuffled. Field picking, badge
@@ -24,7 +25,9 @@ from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -500,6 +503,15 @@ class _Elements:
              strings(self.text), lists(self.nodes), lists(self.hrefs), desc], ELEMENT_FIELDS)
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut behind every ``OUT_TEXT`` bytes or so of a text column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // OUT_TEXT)) + 1
+    for first, last in zip([0, *cuts], [*cuts, len(batch)]):
+        if last > first:
+            yield batch.slice(first, last - first)
+
+
 def page_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
                   html_col: str = "html", with_descendants: bool | str = True,
                   carry: list[str] | None = None) -> DataFrame:
@@ -514,36 +526,52 @@ def page_elements(pages: DataFrame, tag: str, id_col: str = "page_id",
         f"page_id long, items array<{ELEMENT_TYPE}>, error string" + "".join(f", {c} string" for c in carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from admitlens.operators.extract_batch import read_pages
+
         schema = to_arrow_schema(out_type)
         desc_type = schema.field("items").type.value_type.field("descendants").type
-        for batch in batches:
-            at, n = 0, len(batch)
-            while at < n:                # a page at a time, so that few are held as Python's strings
-                first, elements, ends, errors = at, _Elements(with_descendants), [0], []
-                held = 0
-                # A page's rows hold no cycles; the collector would walk them again and again.
-                collects = gc.isenabled()
-                gc.disable()
+
+        def given(some: pa.RecordBatch, items: pa.Array, errors: pa.Array) -> pa.RecordBatch:
+            columns = [some.column(0), items, errors, *some.columns[2:]]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        for whole in batches:
+            for batch in _slices(whole, 1):
                 try:
-                    while at < n and held + elements.held < OUT_TEXT:
-                        html, error = batch.column(1)[at].as_py(), None
-                        held += len(html or "") + 64
-                        try:
-                            rows = _explode_page(html, tag, with_descendants)
-                        except Exception as e:  # noqa: BLE001 - one bad page never stops the run
-                            error = f"{type(e).__name__}: {e}"
-                        else:
-                            elements.add_page(rows)
-                        ends.append(len(elements.pos))
-                        errors.append(error)
-                        at += 1
-                finally:
-                    if collects:
-                        gc.enable()
-                some = batch.slice(first, at - first)
-                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), elements.array(desc_type))
-                columns = [some.column(0), items, pa.array(errors, pa.string()), *some.columns[2:]]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                    read, items = read_pages(batch.column(1), tag, with_descendants, desc_type)
+                except pa.ArrowException:    # text that Arrow does not take: a page at a time says which
+                    read, items = np.zeros(len(batch), bool), None
+                if items is not None:
+                    some = batch if read.all() else batch.filter(pa.array(read))
+                    yield given(some, items, pa.nulls(len(some), pa.string()))
+                    if read.all():
+                        continue
+                    batch = batch.filter(pa.array(~read))
+                at, n = 0, len(batch)
+                while at < n:                # a page at a time, so that few are held as Python's strings
+                    first, elements, ends, errors = at, _Elements(with_descendants), [0], []
+                    held = 0
+                    # A page's rows hold no cycles; the collector would walk them again and again.
+                    collects = gc.isenabled()
+                    gc.disable()
+                    try:
+                        while at < n and held + elements.held < OUT_TEXT:
+                            html, error = batch.column(1)[at].as_py(), None
+                            held += len(html or "") + 64
+                            try:
+                                rows = _explode_page(html, tag, with_descendants)
+                            except Exception as e:  # noqa: BLE001 - one bad page never stops the run
+                                error = f"{type(e).__name__}: {e}"
+                            else:
+                                elements.add_page(rows)
+                            ends.append(len(elements.pos))
+                            errors.append(error)
+                            at += 1
+                    finally:
+                        if collects:
+                            gc.enable()
+                    items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), elements.array(desc_type))
+                    yield given(batch.slice(first, at - first), items, pa.array(errors, pa.string()))
 
     return src.mapInArrow(run, out_type)
 
@@ -660,13 +688,13 @@ def listing_rows(pages: DataFrame, base_url: str | Column = "https://example.tes
     starts only (E2–E9, the link still relative in ``_href``). One parse per
     page feeds both E10 and E11; ``record_no`` counts the starts of a page."""
     parsed = page_elements(pages, "tr", with_descendants="listing")
-    # Record numbers come from the array itself: starts at or before a position.
-    marks = F.transform("items", lambda e: _is_start(e["descendants"]))
-    parsed = parsed.withColumn("_marks", marks)
+    # Record numbers come from the array itself: a start's place among the page's starts.
+    marks = F.transform("items", lambda e, i: F.when(_is_start(e["descendants"]), i))
+    parsed = parsed.withColumn("_starts", F.array_compact(marks))
     rows = stitch_followers(parsed)
-    rows = rows.withColumn("is_start", F.coalesce(F.get("_marks", F.col("pos")), F.lit(False)))
-    start = F.col("is_start")
-    number = F.size(F.filter(F.slice("_marks", F.lit(1), F.greatest(F.col("pos"), F.lit(0))), lambda m: m))
+    place = F.array_position("_starts", F.col("pos"))
+    rows = rows.withColumn("is_start", F.coalesce(place > 0, F.lit(False)))
+    start, number = F.col("is_start"), (place - 1).cast("int")
     first = rows.select(
         "page_id", "pos", "is_start", "error", F.when(start, number).alias("record_no"),
         *[F.when(start, e).alias(n) for n, e in _main_row_exprs().items()],
