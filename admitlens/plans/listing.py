@@ -14,6 +14,8 @@ from admitlens.session import store
 
 PAGE_SPAN = 80
 BASE_URL = "https://example.test/"
+RENDERED = ["p_id", "university", "raw_program", "degreeType", "datePosted", "status", "semester", "citizenship",
+            "gpa", "gre", "gre_v", "gre_aw"]
 
 
 def _div(cls: str, content: Column) -> Column:
@@ -56,7 +58,11 @@ def record_rows(records: DataFrame) -> DataFrame:
 
 def render_listing(records: DataFrame) -> DataFrame:
     """DataFrame(page_id, url, html) of listing pages."""
-    frags = record_rows(records)
+    # Records are brought together before they become text, which is far wider. AQE would
+    # size tasks by these bytes and leave few for the parse; a given number it keeps.
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = records.select(*RENDERED).repartition(parts, F.floor(F.col("p_id") / PAGE_SPAN).cast("long"))
+    frags = record_rows(together)
     pages = frags.groupBy("page_id").agg(
         F.sort_array(F.collect_list(F.struct("p_id", "fragment"))).alias("f"))
     html = F.concat(F.lit("<!DOCTYPE html><html><body><table><tbody>\n"),

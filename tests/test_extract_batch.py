@@ -97,3 +97,16 @@ def test_record_numbers_count_the_starts_of_a_page(spark):
     got = [tuple(r) for r in E.listing_rows(pages).orderBy("page_id", "pos").select("page_id", "pos", "is_start", "record_no").collect()]
     assert got == [(1, 0, False, None), (1, 1, True, 0), (1, 2, False, None), (1, 3, True, 1), (1, 4, True, 2), (1, 5, False, None),
                    (2, 0, False, None), (3, 0, True, 0)]
+
+
+def test_records_are_shuffled_before_they_become_pages(spark):
+    """Rendered pages lie in as many parts as shuffles have, and only records are shuffled."""
+    from admitlens.plans.listing import RENDERED, render_listing
+
+    types = {"p_id": "long", "datePosted": "date", **{c: "double" for c in ("gpa", "gre", "gre_v", "gre_aw")}}
+    records = spark.range(400).select(*[F.lit(None).cast(types.get(c, "string")).alias(c) if c != "p_id" else F.col("id").alias(c) for c in RENDERED])
+    pages = render_listing(records)
+    assert pages.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = pages._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "fragment" not in plan[plan.index("Exchange hashpartitioning"):]
+    assert sorted(r.page_id for r in pages.collect()) == list(range(5))
