@@ -104,11 +104,11 @@ def advance_watermark(watermarks: DataFrame, batch: DataFrame, source: Column |
 
 def _kept_until(rows: DataFrame, table: DataFrame, page_col: str, url_col: str) -> tuple[DataFrame, object]:
     """(new rows of the pages before the first fully seen one, that page or None) of
-    stored ``rows``; novelty is decided on pages and links alone."""
-    novelty = page_novelty(known_flag(rows.select(page_col, url_col), table, url_col), page_col)
-    stop = first_seen_page(novelty, page_col)
-    kept = rows if stop is None else rows.filter(F.col(page_col) < F.lit(stop))
-    return known_flag(kept, table, url_col).filter(~F.col("is_known")).drop("is_known"), stop
+    stored ``rows``. The rows are met with the table once; their flags are stored."""
+    flagged = store(known_flag(rows, table, url_col), "flagged")
+    stop = first_seen_page(page_novelty(flagged, page_col), page_col)
+    kept = flagged if stop is None else flagged.filter(F.col(page_col) < F.lit(stop))
+    return kept.filter(~F.col("is_known")).drop("is_known"), stop
 
 
 def _numbered(new: DataFrame, table: DataFrame, page_col: str, pos_col: str, key: str) -> DataFrame:

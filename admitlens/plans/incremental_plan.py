@@ -10,7 +10,7 @@ from admitlens.plans.applicants_view import applicant_records, with_av
 from admitlens.plans.listing import BASE_URL, PAGE_SPAN, render_listing, stored_listing
 from admitlens.plans.registry import register
 from admitlens.schema import WATERMARKS
-from admitlens.session import read_table
+from admitlens.session import read_table, store
 
 
 # ----------------------------------------------------------------- I1
@@ -113,7 +113,8 @@ SELECT CAST((SELECT greatest(COUNT(*), max(p_id)) FROM tab) + rn AS BIGINT), url
 def q_incremental_update(spark, sf):
     """Second round over the listing: the table holds the known records; the
     update appends the new ones of the pages before the first seen page."""
-    _, table = _known_split(spark, sf)
+    # Each wave asks the table: stored, as a table is, not worked out again each time.
+    table = store(_known_split(spark, sf)[1], "table")
     pages = stored_listing(render_listing(applicant_records(spark, sf)))
     new = I.incremental_pull(pages, lambda some: E.extract_listing(some, BASE_URL), table)
     return table.unionByName(new.select(F.col("p_id").cast("bigint"), "url"))

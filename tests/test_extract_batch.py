@@ -110,3 +110,21 @@ def test_records_are_shuffled_before_they_become_pages(spark):
     plan = pages._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "fragment" not in plan[plan.index("Exchange hashpartitioning"):]
     assert sorted(r.page_id for r in pages.collect()) == list(range(5))
+
+
+def test_a_wave_meets_the_table_once(spark, monkeypatch):
+    from admitlens.operators import incremental as I
+
+    pages = spark.range(40).select(F.col("id").alias("page_id"))
+    table = spark.range(200, 240).select(F.col("id").alias("p_id"), F.concat(F.lit("u"), F.col("id") - 200 + 90).alias("url"))
+    asked, whole = [], I.known_flag
+    monkeypatch.setattr(I, "known_flag", lambda *a, **k: asked.append(1) or whole(*a, **k))
+
+    def parse(some):
+        return some.select("page_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("record_no")).select(
+            "*", F.concat(F.lit("u"), F.col("page_id") * 3 + F.col("record_no")).alias("url"))
+
+    waves = []
+    got = I.incremental_pull(pages, parse, table, first_wave=4, waves=waves).collect()
+    assert [w[2] for w in waves] == [None, None, None, 30] and len(asked) == len(waves)
+    assert sorted((r.p_id, r.url) for r in got) == [(240 + i, f"u{i}") for i in range(90)]
