@@ -98,13 +98,15 @@ def split_program_university(c: Column) -> Column:
 def _one_value(c: Column) -> Column:
     """Whether JSON text has one value, an object or array, and nothing behind it: the
     brackets outside strings close at the end and not before."""
-    bare = F.regexp_replace(c, r'(?s)"(?:[^"\\]|\\.)*"', "")
-    brackets = F.regexp_extract_all(bare, F.lit(r"([{}\[\]])"), 1)
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("early"))
-    end = F.aggregate(brackets, start, lambda s, b: F.struct(
-        (s["depth"] + F.when(b.isin("{", "["), 1).otherwise(-1)).alias("depth"), (s["n"] + 1).alias("n"),
-        (s["early"] | ((s["n"] > 0) & (s["depth"] == 0))).alias("early")))
-    return bare.rlike(r"(?s)^\s*[{\[].*[}\]]\s*$") & ~end["early"] & (end["depth"] == 0)
+
+    def closed(bare: Column) -> Column:
+        brackets = F.regexp_extract_all(bare, F.lit(r"([{}\[\]])"), 1)
+        return bare.rlike(r"(?s)^\s*[{\[].*[}\]]\s*$") & F.aggregate(brackets, start, lambda s, b: F.struct(
+            (s["depth"] + F.when(b.isin("{", "["), 1).otherwise(-1)).alias("depth"), (s["n"] + 1).alias("n"),
+            (s["early"] | ((s["n"] > 0) & (s["depth"] == 0))).alias("early")), lambda s: ~s["early"] & (s["depth"] == 0))
+
+    return let(F.regexp_replace(c, r'(?s)"(?:[^"\\]|\\.)*"', ""), closed)
 
 
 CORRUPT = "_corrupt"
@@ -119,8 +121,12 @@ def json_object(c: Column, fields: str) -> Column:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
     # Blank text gives no struct at all; as an open brace it gives one of NULLs.
     typed = F.from_json(F.when(c.rlike(r"^\s*\{"), c).otherwise("{"), schema, options)
-    good = typed[CORRUPT].isNull() & _one_value(c)      # the parser does not look behind an object
-    return typed.withField(CORRUPT, F.when(~F.coalesce(good, F.lit(False)), F.coalesce(c, F.lit(""))))
+
+    def checked(v: Column) -> Column:
+        good = v[CORRUPT].isNull() & _one_value(c)      # the parser does not look behind an object
+        return v.withField(CORRUPT, F.when(~F.coalesce(good, F.lit(False)), F.coalesce(c, F.lit(""))))
+
+    return let(typed, checked)      # parsed once, not once for each field taken
 
 
 def json_from_chatter(c: Column) -> Column:

@@ -19,7 +19,8 @@ from admitlens.operators.numbering import with_row_index
 from admitlens.session import store
 
 BLOCK = 10_000           # messages of a folder
-READ = 20_000            # messages of a reading task
+READ = 1_000, 20_000     # messages of a reading task, least and most
+TASKS = 4                # reading tasks of a batch, where these allow it
 FORMAT = "message_log"
 
 
@@ -110,8 +111,9 @@ class _Reader(DataSourceStreamReader):
         self._seen_to(end["number"])
         firsts = [first for first, _, _ in self.blocks]
         out = []
-        for i in range(start["number"], end["number"], READ):
-            j = min(i + READ, end["number"])
+        step = min(max(READ[0], -(-(end["number"] - start["number"]) // TASKS)), READ[1])
+        for i in range(start["number"], end["number"], step):
+            j = min(i + step, end["number"])
             some = self.blocks[max(bisect_right(firsts, i) - 1, 0):bisect_left(firsts, j)]
             out.append(_Range(i, j, [folder for _, _, folder in some]))
         return out

@@ -197,3 +197,61 @@ def test_filters_hold_every_key_and_are_made_of_words(spark, tmp_path):
         held = {64 * i + b for i, w in enumerate(r["words"]) for b in range(64) if w >> b & 1}
         assert held == places
 
+
+
+@pytest.mark.parametrize("limits", [(20_000, 2_000), (0, 2_000), (20_000, 5)], ids=["held", "many", "long"])
+def test_a_batch_held_by_the_driver_is_handled_like_one_the_cluster_keeps(spark, tmp_path, monkeypatch, limits):
+    monkeypatch.setattr(T, "HELD_MESSAGES", limits[0])
+    monkeypatch.setattr(T, "HELD_LENGTH", limits[1])
+    kept, whole, ran = [], T._Stored.__init__, []
+    monkeypatch.setattr(T._Stored, "__init__", lambda self, *a: kept.append(1) or whole(self, *a))
+
+    def handler(kind):
+        def handle(df, batch_id):
+            assert df.columns == [*T.DECODED_COLUMNS, "route"]
+            got = sorted((r.ts, r.payload, r.status, r.route) for r in df.collect())
+            if ("t9", "{}", "ok", "b") in got:
+                raise RuntimeError("t9")
+            ran.append((batch_id, kind, got))
+        return handle
+
+    kinds = ["a", "a", "bad{", "a", "other", "b", "a", "b", "b", "b", "b", '{"kind": "a", "ts": "t11", "payload": {"x": [1]}}', "bad{", '{"kind": "b", "ts": "t13"} ']
+    progress = str(tmp_path / "p")
+    path, dead = log_of(spark, str(tmp_path / "log"), kinds), str(tmp_path / "dead")
+    T.consume_log(spark, path, {k: handler(k) for k in "ab"}, dead, str(tmp_path / "ck"), 12, None, progress)
+    assert bool(kept) == (limits != (20_000, 2_000))
+    one = [(f"t{i}", "{}", "ok", k) for i, k in enumerate(kinds)]
+    assert ran == [(0, "a", [one[0], one[1], one[3]]), (0, "b", [one[5]]), (0, "a", [one[6]]), (0, "b", [one[7], one[8]]), (0, "b", [("t10", "{}", "ok", "b")]),
+                   (0, "a", [("t11", '{"x":[1]}', "ok", "a")]), (1, "b", [("t13", "{}", "ok", "b")])]
+    letters = spark.read.parquet(dead)
+    assert dict(letters.dtypes) == {"value": "string", "reason": "string", "batch_id": "int"}
+    assert sorted((r.value, r.reason, r.batch_id) for r in letters.collect()) == [
+        ("bad{", "malformed", 0), ("bad{", "malformed", 1), ('{"kind": "b", "ts": "t9"}', "handler_failed", 0), ('{"kind": "other", "ts": "t4"}', "unknown_kind", 0)]
+    assert sorted(map(tuple, T.read_progress(spark, progress).collect())) == [(0, 12), (1, 2)]
+
+
+def test_a_batch_of_files_is_held_in_order_and_letters_are_replaced(spark, tmp_path):
+    seen: list = []
+    process = T.make_batch_processor({"a": lambda df, _: seen.append([r.ts for r in df.collect()])}, str(tmp_path / "dead"), progress_path=str(tmp_path / "p"))
+    lines = [json.dumps({"kind": "a", "ts": str(i)}) if i % 10 else "{" for i in range(100)]
+    for some in (lines, lines[:25]):                        # a replay with fewer messages
+        process(spark.createDataFrame([(x,) for x in some], "value string").repartition(1).repartition(3), 7)
+    assert [sorted(map(int, s)) for s in seen] == [[i for i in range(100) if i % 10], [i for i in range(25) if i % 10]]
+    assert spark.read.parquet(str(tmp_path / "dead")).count() == 3
+    assert T.read_progress(spark, str(tmp_path / "p")).collect() == [(7, 25)]
+    process(spark.createDataFrame([], "value string"), 8)   # nothing: folders with a schema
+    assert spark.read.parquet(str(tmp_path / "dead/batch_id=8")).columns == ["value", "reason", "batch_id"]
+
+
+def test_a_message_is_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], "value string")
+    assert T.decode_tasks(df)._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+
+
+def test_a_batch_is_read_by_a_few_tasks(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log_of(spark, path, ["a"] * 5000)
+    for pace, parts in ((100, 1), (1500, 2), (5000, 4)):
+        planned = M._Reader(path, pace).partitions({"number": 0}, {"number": pace})
+        assert len(planned) == parts and planned[0].start == 0 and planned[-1].end == pace
+        assert all(a.end == b.start for a, b in zip(planned, planned[1:]))
