@@ -170,6 +170,7 @@ class _Held:
         rows = rows.sort_by(PLACE).combine_chunks()
         known = pc.is_in(rows["route"], pa.array(kinds, pa.string()))
         self.spark, self.n = spark, len(rows)
+        self.whole = self.rows = None
         self.known, self.dead = rows.filter(known).drop_columns(PLACE), rows.filter(pc.invert(known))
 
     def runs(self) -> list[tuple[str, tuple[int, int]]]:
@@ -180,7 +181,14 @@ class _Held:
         return list(zip(runs.values.to_pylist(), zip([0, *ends], ends)))
 
     def frame(self, kind: str, part: tuple[int, int]) -> DataFrame:
-        return self.spark.createDataFrame(self.known.slice(part[0], part[1] - part[0]), ROUTED)
+        if self.whole is None:          # handed to the JVM once, not once a run
+            self.whole = self.spark.createDataFrame(self.known, ROUTED)
+        if part == (0, len(self.known)):
+            return self.whole
+        session = self.spark._jsparkSession
+        if self.rows is None:
+            self.rows, self.schema = self.whole._jdf.collectAsList(), session.parseDataType(ROUTED.json())
+        return DataFrame(session.createDataFrame(self.rows.subList(*part), self.schema), self.spark)
 
     def halves(self, kind: str, part: tuple[int, int]) -> list[tuple[int, int]]:
         a, b = part

@@ -255,3 +255,24 @@ def test_a_batch_is_read_by_a_few_tasks(spark, tmp_path):
         planned = M._Reader(path, pace).partitions({"number": 0}, {"number": pace})
         assert len(planned) == parts and planned[0].start == 0 and planned[-1].end == pace
         assert all(a.end == b.start for a, b in zip(planned, planned[1:]))
+
+
+def test_runs_of_a_held_batch_are_no_jobs(spark, tmp_path):
+    got: list = []
+
+    def handle(df, _):
+        if not df.where(F.col("ts") == "7").isEmpty():
+            raise RuntimeError("7")
+        got.append([r.ts for r in df.collect()])
+
+    process = T.make_batch_processor({"a": handle, "b": handle}, str(tmp_path / "dead"), most=100)
+    rows = [(i, json.dumps({"kind": "ab"[i // 3 % 2], "ts": str(i)})) for i in range(60)]
+    batch = spark.createDataFrame(rows, "number long, value string")
+    spark.sparkContext.setJobGroup("runs-of-a-held-batch", "")
+    try:
+        process(batch, 0)
+    finally:
+        spark.sparkContext.setJobGroup("other", "")
+    assert sorted(int(x) for some in got for x in some) == [i for i in range(60) if i != 7] and max(map(len, got)) == 3
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("runs-of-a-held-batch")) <= 2
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == ["handler_failed"]
