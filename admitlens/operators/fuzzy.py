@@ -15,17 +15,24 @@ few letters in common (whatever their order) or too few, they are no candidates.
 
 Candidates meet a bit-parallel bound on the longest common subsequence (Hyyrö, 2004)
 before ``difflib`` computes the ratio of the few left, both in an Arrow-batched UDF.
+
+Only the best entry counts, so names meet the dictionary by falling cut-offs: a name that
+has an entry of at least some ratio has its best one among those, and is done. Equal names
+cost a plain join, near ones long pieces and few keys; the others alone are cut into keys
+for the cut-off asked for, in rounds of so many keys that their shuffle stays bounded.
 No cross join, no cap on candidates: every pair that can reach the cut-off is scored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from admitlens.session import cut_lineage, shuffled
+from admitlens.session import cut_lineage, shuffled, store, store_and_clean
 
 EPS = 1e-9
 LETTERS = 12             # letters of equal chance that stand for an alphabet in the choice of n and t
@@ -42,6 +49,8 @@ SCORE_COST = 3           # of a candidate, in hits
 BAG, DEEP = 32, 4        # kinds of letters told apart, and how many of each are counted singly
 MOST_GRAMS = 200_000     # most frequent letter triples kept as statistics (they choose cuts, not results)
 GRAM = 3
+CELLS = 2_000_000        # of the table in which an entry's cuts are chosen, for entries taken at once
+ROUND_KEYS = 200_000_000  # keys of names that are shuffled at a time (about 20 bytes each)
 
 
 class Plan(NamedTuple):
@@ -99,57 +108,73 @@ def patterns(size: int, between: int) -> tuple[tuple[int, tuple[tuple[int, int],
     return tuple(out)
 
 
-def _chances(grams: dict[str, int]):
-    """Chance of a piece by the letter statistics: its first letters', then each
-    letter's after the two before."""
+class Chances(NamedTuple):
+    """Log chances of letters, each after the two before it, by the letter statistics."""
+    known: list[tuple[np.ndarray, np.ndarray]]      # by letters of the gram: ascending codes, log chances
+    unseen: float
+
+
+def _code(letters: list) -> int | np.ndarray:
+    code = letters[0]
+    for x in letters[1:]:
+        code = code << 21 | x
+    return code
+
+
+def chances_by(grams: dict[str, int]) -> Chances:
     total = max(sum(n for g, n in grams.items() if len(g) == 1), 1)
-    top = -math.log(total)
-
-    def log_after(s: str, i: int, start: int) -> float:
-        g = s[max(start, i - GRAM + 1):i + 1]
-        seen = grams.get(g)
-        if seen is None:
-            return top / 2
-        before = grams.get(g[:-1], total) if len(g) > 1 else total
-        return math.log(seen / max(before, seen))
-    return log_after
-
-
-def chosen_pieces(entry: str, plan: Plan, log_after) -> list[tuple[int, int]]:
-    """(start, size) of ``plan.pieces`` disjoint pieces with the least sum of chances."""
-    length, n = len(entry), plan.pieces
-    low, high = length // n, length // n + 1
-    cost: list[list[tuple[int, float]]] = []
-    for i in range(length):
-        row, log_p = [], 0.0
-        for size in range(1, min(high, length - i) + 1):
-            log_p += log_after(entry, i + size - 1, i)
-            if size >= low:
-                row.append((size, math.exp(log_p) * math.comb(size - 1 + plan.between, plan.between)))
-        cost.append(row)
-    far = float("inf")
-    best = [[far] * (n + 1) for _ in range(length + 1)]      # best[i][k]: k pieces from i on
-    step = [[0] * (n + 1) for _ in range(length + 1)]        # the size taken at i, 0: none starts there
-    for row in best:
-        row[0] = 0.0
-    for i in range(length - 1, -1, -1):
-        for k in range(1, n + 1):
-            b, s = best[i + 1][k], 0
-            for size, c in cost[i]:
-                x = c + best[i + size][k - 1]
-                if x < b:
-                    b, s = x, size
-            best[i][k], step[i][k] = b, s
-    out, i, k = [], 0, n
-    while k:
-        s = step[i][k]
-        if s:
-            out.append((i, s))
-            k -= 1
-        i += max(s, 1)
+    known = []
+    for n in range(1, GRAM + 1):
+        some = sorted((_code([ord(c) for c in g]), math.log(seen / max(grams.get(g[:-1], total) if n > 1 else total, seen)))
+                      for g, seen in grams.items() if len(g) == n)
+        known.append((np.array([c for c, _ in some], dtype=np.int64), np.array([x for _, x in some], dtype=np.float64)))
+    return Chances(known, -math.log(total) / 2)
+
+
+def _log_chances(letters: np.ndarray, chances: Chances) -> list[np.ndarray]:
+    """For each entry and place, the log chance of its letter, by 1, 2 and 3 letters."""
+    count, length = letters.shape
+    out = []
+    for n, (codes, logs) in enumerate(chances.known, 1):
+        found = np.full((count, length), chances.unseen)
+        if n <= length and len(codes):
+            code = _code([letters[:, i:length - n + 1 + i] for i in range(n)])
+            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            found[:, n - 1:] = np.where(codes[at] == code, logs[at], chances.unseen)
+        out.append(found)
     return out
 
 
+def chosen_pieces(letters: np.ndarray, plan: Plan, chances: Chances) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, sizes), a row per entry of ``letters`` (entries of one length, a row of
+    letter codes each): ``plan.pieces`` disjoint pieces with the least sum of chances."""
+    (count, length), n = letters.shape, plan.pieces
+    one, two, three = _log_chances(letters, chances)
+    summed = np.zeros((count, length + 1))
+    np.cumsum(three, axis=1, out=summed[:, 1:])
+    best = np.full((length + 1, n + 1, count), np.inf)       # best[i][k]: k pieces from i on
+    step = np.zeros((length + 1, n + 1, count), dtype=np.int16)     # the size taken at i, 0: none starts there
+    best[:, 0] = 0.0
+    for i in range(length - 1, -1, -1):
+        best[i, 1:] = best[i + 1, 1:]
+        for size in range(length // n, min(length // n + 1, length - i) + 1):
+            log_p = one[:, i] + (two[:, i + 1] if size > 1 else 0) + (summed[:, i + size] - summed[:, i + 2] if size > 2 else 0)
+            x = np.exp(log_p) * math.comb(size - 1 + plan.between, plan.between) + best[i + size, :-1]
+            less = x < best[i, 1:]
+            best[i, 1:][less] = x[less]
+            step[i, 1:][less] = size
+    rows = np.arange(count)
+    starts, sizes = np.zeros((count, n), dtype=np.int32), np.zeros((count, n), dtype=np.int32)
+    at, left = np.zeros(count, dtype=np.int64), np.full(count, n)
+    for _ in range(length):
+        s = step[at, left, rows]
+        taken = (s > 0) & (left > 0)
+        starts[rows[taken], n - left[taken]], sizes[rows[taken], n - left[taken]] = at[taken], s[taken]
+        left[taken] -= 1
+        at = np.minimum(at + np.maximum(np.where(taken, s, 0), 1), length)
+    return starts, sizes
+
+
 def common_letters(masks: dict[str, int], length: int, b: str) -> int:
     """Length of the longest common subsequence of ``b`` and the string of ``length``
     letters whose places ``masks`` give."""
@@ -225,45 +250,85 @@ def _lengths(df: DataFrame, col: str) -> list[int]:
 
 def _gram_counts(d: DataFrame) -> dict[str, int]:
     """Counts of letters, pairs and triples over all entries."""
-    at = F.sequence(F.lit(1), F.length("d"))
-    grams = F.flatten(F.transform(at, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("d") - i + 1)), lambda n: F.substr("d", i, n))))
-    counts = d.select(F.explode(grams).alias("g")).groupBy("g").count()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[str] = Counter()
+            for entry in batch.column(0).to_pylist():
+                for n in range(1, GRAM + 1):
+                    found.update([entry[i:i + n] for i in range(len(entry) - n + 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["g", "n"])
+
+    counts = d.select("d").mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("count"))
     return {r["g"]: r["count"] for r in counts.orderBy(F.desc("count"), "g").limit(MOST_GRAMS).collect()}
 
 
+KINDS = {"piece": pa.string(), **dict.fromkeys(("d_id", "d_low", "d_high"), pa.int64())}
+
+
+class Pieces(NamedTuple):
+    """Pieces of all entries, and by the names' lengths the (size, letters between) they have."""
+    rows: DataFrame
+    made: dict[int, list[tuple[int, int]]]
+
+
 def piece_hits(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
     """(q_id, d_id, k, matches): pieces k of entries ``d`` (d_id, d) that stand in
     names ``q`` (q_id, q) no farther off than the letters left over allow."""
-    spark = q.sparkSession
+    return hits_of(q, pieces_of(_lengths(q, "q"), d, cutoff, _gram_counts(d)))
+
+
+def pieces_of(of_names: list[int], d: DataFrame, cutoff: float, counts: dict[str, int]) -> Pieces:
+    """Pieces of the entries ``d`` (d_id, d) for names of these lengths."""
+    spark = d.sparkSession
     entries = d.count()
-    of_names, of_entries = _lengths(q, "q"), _lengths(d, "d")
+    of_entries = _lengths(d, "d")
     plans = {ld: [(lq, p) for lq in of_names if (p := plan_of(lq, ld, cutoff, entries))] for ld in of_entries}
-    grams = spark.sparkContext.broadcast(_gram_counts(d))
+    grams = spark.sparkContext.broadcast(counts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_after = _chances(grams.value)
+        chances = chances_by(grams.value)
         for batch in batches:
-            rows = []
+            by_length: dict[int, list[tuple[int, str]]] = {}
             for d_id, entry in zip(*(c.to_pylist() for c in batch.columns)):
-                cuts: dict[tuple[int, int], list] = {}
-                bag = letter_bag(entry)
-                for lq, plan in plans.get(len(entry), ()):
-                    key = plan.pieces, plan.between
-                    if key not in cuts:
-                        cuts[key] = chosen_pieces(entry, plan, log_after)
-                    rows += [(d_id, lq, entry[i:i + s], k, i, *plan[1:], *bag) for k, (i, s) in enumerate(cuts[key])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), piece_type)], schema=piece_type)
-
-    kinds = {"piece": pa.string(), **dict.fromkeys(("d_id", "d_low", "d_high"), pa.int64())}
-    piece_type = pa.schema([(c, kinds.get(c, pa.int32())) for c in (
+                by_length.setdefault(len(entry), []).append((d_id, entry))
+            for length, some in by_length.items():
+                known = plans.get(length, ())
+                width = (length + 1) * max([p.pieces + 1 for _, p in known], default=1)
+                for a in range(0, len(some), at_once := max(CELLS // width, 1)):
+                    if rows := rows_of(some[a:a + at_once], length, known, chances):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), piece_type)], schema=piece_type)
+
+    def rows_of(some: list[tuple[int, str]], length: int, known, chances: Chances) -> list[tuple]:
+        letters = np.frombuffer("".join([e for _, e in some]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length).astype(np.int64)
+        cuts: dict[tuple[int, int], list] = {}
+        for _, plan in known:
+            if (key := (plan.pieces, plan.between)) not in cuts:
+                cuts[key] = [list(zip(*x)) for x in zip(*(y.tolist() for y in chosen_pieces(letters, plan, chances)))]
+        rows = []
+        for i, (d_id, entry) in enumerate(some):
+            bag = letter_bag(entry)
+            for lq, plan in known:
+                rows += [(d_id, lq, entry[at:at + s], k, at, *plan[1:], *bag) for k, (at, s) in enumerate(cuts[plan.pieces, plan.between][i])]
+        return rows
+
+    piece_type = pa.schema([(c, KINDS.get(c, pa.int32())) for c in (
         "d_id", "lq", "piece", "k", "start", "between", "matches", "lost", "extra", "d_low", "d_high", "d_more")])
-    pieces = cut_lineage(d.select("d_id", "d").mapInArrow(cut, from_arrow_schema(piece_type)))
+    pieces = store(d.select("d_id", "d").mapInArrow(cut, from_arrow_schema(piece_type)), "pieces")
     # Sizes and gaps that occur for names of each length: a few rows per length.
     made: dict[int, list[tuple[int, int]]] = {}
     for r in pieces.groupBy("lq", F.length("piece").alias("size")).agg(F.max("between").alias("between")).collect():
         made.setdefault(r["lq"], []).append((r["size"], r["between"]))
+    return Pieces(pieces, made)
+
+
+def keys_of_length(length: int, made: dict[int, list[tuple[int, int]]]) -> int:
+    """Keys that a name of this length gives, equal ones counted apart."""
+    return sum(max(length - size - u + 1, 0) for size, between in made.get(length, ()) for u, _ in patterns(size, between))
+
+
+def hits_of(q: DataFrame, pieces: Pieces) -> DataFrame:
+    """``piece_hits`` of names by the entries' pieces."""
+    made = pieces.made
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +346,7 @@ def piece_hits(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
             if out:
                 yield key_batch(out)
 
-    key_type = pa.schema([(c, kinds.get(c.replace("q_", "d_"), pa.int32())) for c in (
+    key_type = pa.schema([(c, KINDS.get(c.replace("q_", "d_"), pa.int32())) for c in (
         "q_id", "lq", "piece", "at", "u", "q_low", "q_high", "q_more")])
 
     def key_batch(rows):
@@ -297,14 +362,18 @@ def piece_hits(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
     common = F.bit_count(F.col("q_low").bitwiseAND(F.col("d_low"))) + F.bit_count(F.col("q_high").bitwiseAND(F.col("d_high"))) \
         + F.least("q_more", "d_more")
     needed = F.col("lq") - F.col("extra")
-    return of_name.join(shuffled(pieces), ["lq", "piece"]).where(
+    return of_name.join(shuffled(pieces.rows), ["lq", "piece"]).where(
         (common >= needed) & (u <= F.col("between")) & (inserted <= F.col("extra")) & (deleted <= F.col("lost"))).select("q_id", "d_id", "k", "matches")
 
 
 def candidate_ids(q: DataFrame, d: DataFrame, cutoff: float) -> DataFrame:
     """(q_id, d_id): pairs with as many matching pieces as their lengths ask for.
     Pieces are told apart by bits; of more than 63 some share one, so those pairs stay."""
-    hits = piece_hits(q, d, cutoff).groupBy("q_id", "d_id").agg(
+    return _matched(piece_hits(q, d, cutoff))
+
+
+def _matched(hits: DataFrame) -> DataFrame:
+    hits = hits.groupBy("q_id", "d_id").agg(
         F.bit_count(F.bit_or(F.expr("shiftleft(1L, k % 63)"))).alias("met"), F.max("k").alias("last"),
         F.max("matches").alias("matches"))
     return hits.where((F.col("met") >= F.col("matches")) | (F.col("last") >= 63)).select("q_id", "d_id")
@@ -317,15 +386,42 @@ def candidate_pairs(names: DataFrame, entries: DataFrame, cutoff: float) -> Data
     return candidate_ids(q, d, cutoff).join(shuffled(q), "q_id").join(shuffled(d), "d_id").select("q", "d")
 
 
+def _best_of(q: DataFrame, d: DataFrame, cutoff: float, counts: dict[str, int]) -> DataFrame:
+    """(q_id, q, b): names with an entry of ratio ≥ cutoff and the best of these, in
+    rounds of names; a round's shuffle files are gone before the next begins."""
+    names = {r["n"]: r["count"] for r in q.groupBy(F.length("q").alias("n")).count().collect()}
+    pieces = pieces_of(sorted(names), d, cutoff, counts)
+    rounds = math.ceil(sum(n * keys_of_length(length, pieces.made) for length, n in names.items()) / ROUND_KEYS)
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = []
+    for i in range(max(rounds, 1)):
+        some = q if rounds < 2 else q.where(F.pmod(F.xxhash64("q_id"), F.lit(rounds)) == i)
+        some = some.repartition(tasks, "q_id")      # few bytes and much work, as in _named
+        pairs = _matched(hits_of(some, pieces)).join(shuffled(some), "q_id").join(shuffled(d), "d_id")
+        scored = pairs.withColumn("score", _ratio_udf(cutoff)(F.col("d"), F.col("q"))).filter(F.col("score") >= F.lit(cutoff))
+        found.append(store_and_clean(scored.groupBy("q_id", "q").agg(F.max(F.struct("score", "d")).alias("b")), "best"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def fuzzy_match(names: DataFrame, name_col: str, dictionary: DataFrame, cutoff: float,
                 dict_col: str = "name", out_col: str = "match") -> DataFrame:
     """Distinct names of ``names[name_col]`` with their best dictionary entry of
     ratio ≥ cutoff (ties: the larger string), NULL when none / empty name /
     empty dictionary. Returns DataFrame(name_col, out_col, score)."""
     q = _named(names, name_col, "q")
-    pairs = candidate_pairs(q, dictionary.select(F.col(dict_col).alias("d")), cutoff)
-    scored = pairs.withColumn("score", _ratio_udf(cutoff)(F.col("d"), F.col("q"))) \
-        .filter(F.col("score") >= F.lit(cutoff))
-    best = scored.groupBy("q").agg(F.max(F.struct("score", "d")).alias("b"))
-    return q.join(shuffled(best), "q", "left").select(
+    d = _named(dictionary.select(F.col(dict_col).alias("d")), "d", "d")
+    equal = F.struct(F.lit(1.0).alias("score"), "d")
+    met = store_and_clean(q.join(shuffled(d.select("d")), (F.col("q") == F.col("d")) & F.lit(cutoff <= 1), "left")
+                          .select("q_id", "q", F.when(F.col("d").isNotNull(), equal).alias("b")), "equal")
+    found = [met.where("b is not null")]
+    left = met.where("b is null").drop("b")
+    counts = None
+    for level in sorted({(1 + cutoff) / 2, cutoff}, reverse=True):      # the near ones first
+        if level >= 1 or left.isEmpty():        # 1 is reached by equal names alone
+            continue
+        counts = _gram_counts(d) if counts is None else counts
+        found.append(_best_of(left, d, level, counts))
+        left = store_and_clean(left.join(shuffled(found[-1].select("q_id")), "q_id", "left_anti"), "left")
+    best = reduce(DataFrame.unionByName, found)
+    return q.join(shuffled(best.select("q", "b")), "q", "left").select(
         F.col("q").alias(name_col), F.col("b.d").alias(out_col), F.col("b.score").alias("score"))

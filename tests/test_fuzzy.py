@@ -195,3 +195,38 @@ def test_letters_in_common_bound_the_match():
         common = (al & bl & full).bit_count() + (ah & bh & full).bit_count() + min(am, bm)
         matched = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
         assert matched <= common_letters(masks_of(b), len(b), a) <= common
+
+
+def test_best_entries_by_levels_and_rounds_are_difflibs(spark, monkeypatch):
+    from admitlens.operators import fuzzy
+
+    r = random.Random(5)
+    entries = ["".join(r.choice("abcde") for _ in range(r.randint(1, 14))) for _ in range(60)] + ["ab", "ba", "é😀abcdef"]
+    names = [None, "", "é😀abcdeg", *entries[:8]]
+    for e in entries:
+        for edits in range(5):
+            x = list(e)
+            for _ in range(edits):
+                x.insert(r.randint(0, len(x)), r.choice("abcde"))
+                del x[r.randrange(len(x))]
+            names.append("".join(x))
+    q, d = spark.createDataFrame([(n,) for n in names], "q string"), spark.createDataFrame([(e,) for e in [*entries, None, ""]], "name string")
+    keyed, whole = [], fuzzy.hits_of
+    monkeypatch.setattr(fuzzy, "hits_of", lambda some, pieces: keyed.append(some.count()) or whole(some, pieces))
+    for cutoff, most in ((0.6, 10**9), (0.84, 2000), (1.0, 10**9)):
+        monkeypatch.setattr(fuzzy, "ROUND_KEYS", most)
+        del keyed[:]
+        got = {x[0]: (x[1], x[2]) for x in fuzzy_match(q, "q", d, cutoff).collect()}
+        for name in {n for n in names if n}:
+            found = difflib.get_close_matches(name, sorted(set(entries)), 1, cutoff)
+            want = (found[0], difflib.SequenceMatcher(None, found[0], name).ratio()) if found else (None, None)
+            assert got.pop(name) == want
+        assert not got
+        new = len({n for n in names if n} - set(entries))
+        if cutoff == 1.0:
+            assert keyed == []                              # equal names need no keys
+        elif most == 10**9:
+            assert len(keyed) == 2 and keyed[0] == new and keyed[1] < new       # near names are done
+        else:
+            assert len(keyed) > 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
