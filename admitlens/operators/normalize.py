@@ -32,7 +32,7 @@ from admitlens.functions.text import (
     ws_trim,
 )
 from admitlens.operators.fuzzy import fuzzy_match
-from admitlens.session import maybe_broadcast, shuffled
+from admitlens.session import maybe_broadcast, shuffled, store
 
 RULES_PER_CASE = 200
 
@@ -105,8 +105,9 @@ def _dictionary_step(df: DataFrame, pre_col: str, out_col: str, dictionary: Data
         if empty_value is not None:
             res = F.when(res == "", F.lit(empty_value)).otherwise(res)
         return df.withColumn(out_col, res).drop(pre_col)
-    names = df.select(pre_col).distinct()
-    flagged = canonical_lookup(names, pre_col, dictionary, out_col="_hit")
+    # Stored: the rules run once for this, not for each of the later uses.
+    names = store(df.select(pre_col).distinct(), "names")
+    flagged = store(canonical_lookup(names, pre_col, dictionary, out_col="_hit"), "flagged")
     misses = flagged.filter(~F.col("_hit"))
     fm = fuzzy_match(misses, pre_col, dictionary, cutoff, out_col="_fz").drop("score")
     mapping = flagged.join(shuffled(fm), pre_col, "left").select(

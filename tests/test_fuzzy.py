@@ -230,3 +230,50 @@ def test_best_entries_by_levels_and_rounds_are_difflibs(spark, monkeypatch):
         else:
             assert len(keyed) > 2
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_cuts_of_many_entries_have_the_least_sum_of_chances():
+    import math
+    from collections import Counter
+    from itertools import combinations, product
+
+    import numpy as np
+
+    from admitlens.operators import fuzzy
+
+    r = random.Random(1)
+    entries = ["".join(r.choice("abcdefgh😀") for _ in range(8)) for _ in range(25)]
+    grams = Counter(e[i:i + n] for e in entries[:20] for n in (1, 2, 3) for i in range(8 - n + 1))
+    total = sum(n for g, n in grams.items() if len(g) == 1)
+
+    def chance(piece, between):
+        log_p = 0.0
+        for i in range(len(piece)):
+            g = piece[max(0, i - 2):i + 1]
+            log_p += math.log(grams[g] / max(grams[g[:-1]] if len(g) > 1 else total, grams[g])) if g in grams else -math.log(total) / 2
+        return math.exp(log_p) * math.comb(len(piece) - 1 + between, between)
+
+    letters = np.array([[ord(c) for c in e] for e in entries], dtype=np.int64)
+    for n, between in ((1, 0), (2, 1), (3, 0), (8, 0)):
+        starts, sizes = fuzzy.chosen_pieces(letters, fuzzy.Plan(n, between, 1, 0, 0), fuzzy.chances_by(grams))
+        low = 8 // n
+        for e, at, size in zip(entries, starts.tolist(), sizes.tolist()):
+            ways = (x for i in combinations(range(8), n) for s in product((low, low + 1), repeat=n)
+                    if all(a + b <= c for a, b, c in zip(i, s, [*i[1:], 8])) for x in [sum(chance(e[a:a + b], between) for a, b in zip(i, s))])
+            assert all(a + b <= c for a, b, c in zip(at, size, [*at[1:], 8])) and set(size) <= {low, low + 1}
+            assert math.isclose(sum(chance(e[a:a + b], between) for a, b in zip(at, size)), min(ways), abs_tol=1e-9)
+
+
+def test_the_rules_run_once_for_the_names_of_a_dictionary(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([("computr science",), ("mathematics",), ("strange",)], "p string").mapInPandas(note, "p string")
+    d = spark.createDataFrame([("Computer Science",), ("Mathematics",)], "name string")
+    got = normalize_program(df, "p", d, out_col="out").collect()
+    assert {(r.p, r.out) for r in got} == {("computr science", "Computer Science"), ("mathematics", "Mathematics"), ("strange", "Strange")}
+    assert seen.value == 6                                  # for the names and for the rows
